@@ -41,15 +41,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+def python_ready(spark: SparkSession, batch_rows: int = 512) -> None:
+    """Prepare the session for Python workers.
+
+    They import this package from where the driver has it, use one thread each,
+    and get batches of ``batch_rows`` rows, so that long texts stay within memory.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    env.setdefault("OMP_NUM_THREADS", "1")
-    env.setdefault("OPENBLAS_NUM_THREADS", "1")
+    env.update({"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "RAYON_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false"})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path`` in whichever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -6,26 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrafold.llm.common import scratch
 from terrafold.llm.decontaminate import overlaps
 from terrafold.llm.exact_dedup import exact_dedup
+from terrafold.llm.language import identify
+from terrafold.llm.packing import pack
+from terrafold.llm.token_counts import count_tokens
+from terrafold.llm.toxicity import score as toxicity_score
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap the benchmark, one row per document and item."""
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own for each call, so that every call does the whole work."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), scratch(spark, "token-cache"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_packing": op6_packing,
+    "op7_language": op7_language,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
