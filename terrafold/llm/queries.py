@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from terrafold.llm.common import scratch
 from terrafold.llm.decontaminate import overlaps
 from terrafold.llm.exact_dedup import exact_dedup
+from terrafold.llm.html_text import extract
 from terrafold.llm.language import identify
+from terrafold.llm.near_dup import classes
 from terrafold.llm.packing import pack
+from terrafold.llm.pii import find
 from terrafold.llm.token_counts import count_tokens
 from terrafold.llm.toxicity import score as toxicity_score
 
@@ -39,6 +42,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -54,9 +69,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
+    "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
 }
 
