@@ -76,3 +76,15 @@ def crc_mod(key: Column, modulus: int) -> Column:
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Just ``names``; extra columns, whatever they are called, cannot clash later."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; rows with a null id stay.
+
+    The ids are written and counted: up to ``broadcast_rows`` of them are broadcast,
+    so that texts are not shuffled; more are joined by a shuffle.
+    """
+    (name,) = ids.columns
+    gone = written(ids.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").alias("gone_id")).distinct(), "gone-ids")
+    few = gone.count() <= broadcast_rows
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == gone["gone_id"], "left_anti")

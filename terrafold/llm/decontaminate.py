@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import columns_of, written
+from terrafold.llm.common import columns_of, without_ids, written
 
 #: Masks over 9, 10 and 11 tokens with six hashed positions each.
 MASKS = ("110101011", "1101001101", "11001010011")
@@ -181,5 +181,4 @@ def overlaps(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the rows whose id overlaps the benchmark; rows with a null id stay."""
-    leaked = overlaps(docs, benchmark, id_col=id_col, **how).select(F.col(f"`{id_col}`").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs[f"`{id_col}`"] == leaked["leaked_id"], "left_anti")
+    return without_ids(docs, overlaps(docs, benchmark, id_col=id_col, **how).select(f"`{id_col}`"), id_col)

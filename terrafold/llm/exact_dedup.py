@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import ascii_lower, columns_of, written
+from terrafold.llm.common import ascii_lower, columns_of, without_ids, written
 
 
 def sha256(content: Column) -> Column:
@@ -89,3 +89,8 @@ def exact_dedup(
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with the row of the largest id of each content; of rows that repeat it, all."""
+    return without_ids(docs, exact_dedup(docs, id_col, text_col, **how).where("NOT kept").select(f"`{id_col}`"), id_col)

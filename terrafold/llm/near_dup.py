@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import columns_of, python_ready, written
+from terrafold.llm.common import columns_of, python_ready, without_ids, written
 
 SKETCH = "id long, key string, kmers int, bands array<long>"
 
@@ -240,5 +240,4 @@ def _with_root(pairs: DataFrame, roots: DataFrame, side: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one document of each class."""
-    out = classes(docs, id_col=id_col, **how).where("NOT kept").select(F.col(f"`{id_col}`").alias("dropped_id")).distinct()
-    return docs.join(out, docs[f"`{id_col}`"] == out["dropped_id"], "left_anti")
+    return without_ids(docs, classes(docs, id_col=id_col, **how).where("NOT kept").select(f"`{id_col}`"), id_col)

@@ -11,6 +11,7 @@ from terrafold.llm.decontaminate import overlaps
 from terrafold.llm.exact_dedup import exact_dedup
 from terrafold.llm.html_text import extract
 from terrafold.llm.language import identify
+from terrafold.llm.lm_score import score as lm_score
 from terrafold.llm.near_dup import classes
 from terrafold.llm.packing import pack
 from terrafold.llm.pii import find
@@ -66,6 +67,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
