@@ -12,7 +12,8 @@ band around the diagonal; shifts beyond that band cannot reach the threshold.
 
 Links are found without forming all pairs of a bucket: every text is first held
 against the smallest id of its buckets; components of those links are formed;
-then only texts whose components still differ are held against each other.
+then, in each bucket that still has several components, the texts outside its
+largest one are held against the whole bucket, block by block.
 Classes are the connected components of all links, found by hooking to smaller
 ids and written to the shared folder between rounds.
 """
@@ -132,6 +133,41 @@ def _verify_batches(k: int, threshold: float) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
+def _kmer_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kmers = [kmers_of(t, k).view(np.int64) for t in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kmers, pa.list_(pa.int64()))], names=["id", "kmers"])
+
+    return run
+
+
+def _block_links(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links of the asking texts to those of a block, one for each other component of the block: enough to join them."""
+
+    def rows(t: pa.Table) -> list[tuple[int, int, np.ndarray, set[int]]]:
+        arrays = [np.array(x, np.int64).view(np.uint64) for x in t.column("kmers").to_pylist()]
+        return list(zip(t.column("id").to_pylist(), t.column("root").to_pylist(), arrays, [set(a.tolist()) for a in arrays], strict=True))
+
+    def run(base: pa.Table, asking: pa.Table) -> pa.Table:
+        a, b = [], []
+        there = rows(base)
+        for own, root, kmers, members in rows(asking):
+            done = {root}
+            for other, other_root, other_kmers, other_members in there:
+                if other_root in done:
+                    continue
+                common, total = len(members & other_members), len(members) + len(other_members)
+                # The chain cannot be longer than what is common at all.
+                if common >= threshold * (total - common) and common and similarity(kmers, other_kmers, threshold) >= threshold:
+                    a.append(other)
+                    b.append(own)
+                    done.add(other_root)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(id, root) for every id of the edges (a, b): root is the smallest id of its component.
 
@@ -167,6 +203,7 @@ def classes(
     k: int = 5,
     bands: int = 24,
     picked: int = 6,
+    block: int = 256,
 ) -> DataFrame:
     """One row per input row: id, class_id, class_size, kept.
 
@@ -210,15 +247,21 @@ def classes(
     second = written(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(verified(second, "second-links"))
 
-    # What is left: texts that share a bucket, whose components still differ, and that were not held against each other.
+    # What is left: texts that share a bucket and whose components still differ.  Those outside a bucket's
+    # largest component are held against all of the bucket, block by block, inside the tasks.
     roots = components(links)
-    rooted = written(_with_root(members.select("band", F.col("id").alias("a")), roots, "a"), "rooted")
-    mixed = rooted.groupBy("band").agg(F.min("a_root").alias("x"), F.max("a_root").alias("y")).where("x <> y").select("band")
-    rooted = rooted.join(mixed, "band", "left_semi")
-    other = rooted.select("band", F.col("a").alias("b"), F.col("a_root").alias("b_root"))
-    third = rooted.join(other, "band").where("a < b AND a_root <> b_root").select("a", "b").distinct()
-    third = written(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "third-pairs")
-    links = links.unionByName(verified(third, "third-links"))
+    rooted = written(_with_root(members.select("band", F.col("id").alias("a")), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root")), "rooted")
+    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    mixed = written(parts.where("parts > 1").select("band", "major", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed")
+    held = written(rooted.join(mixed, "band"), "held")
+    arrays = rows.join(held.select("id").distinct(), "id").mapInArrow(_kmer_batches(k), "id long, kmers array<long>")
+    arrays = written(arrays.groupBy("id").agg(F.first("kmers").alias("kmers")), "held-kmers")
+    base = held.select("band", "id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).join(arrays, "id")
+    asking = held.where("root <> major").select("band", "id", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(arrays, "id")
+    base, asking = base.toDF(*base.columns), asking.toDF(*asking.columns)  # attributes of their own
+    third = base.groupBy("band", "block").cogroup(asking.groupBy("band", "block")).applyInArrow(_block_links(threshold), "a long, b long")
+    links = links.unionByName(written(third, "third-links"))
 
     roots = components(links.unionByName(copies))
     sized = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
