@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,12 @@ def build_session(master: str = "local[8]", app: str = "terrafold", **conf: str)
         "spark.driver.memory": "8g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
