@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -108,26 +109,40 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str, bucket: Column,
     return joined.select(*df.columns, plus("rank"), plus("place"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], buckets: int = 4096) -> DataFrame:
-    """One row q0, q1, ...: interpolated quantiles of the known values, null when there are none.
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], buckets: int = 4096, gather: int = 10_000) -> list[float | None]:
+    """Interpolated quantiles of the known values; None when there are none.  Runs jobs.
 
-    Values are counted in equal steps between their extremes; only the steps that
-    hold a wanted place are sorted.
+    Values are counted in equal steps between their extremes; the steps that hold
+    a wanted place are counted again, until one holds ``gather`` values at most or
+    only equal ones.  The driver gets that many numbers, however many rows there are.
     """
-    known = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    span = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
-    step = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))).otherwise(0)
-    marked = known.crossJoin(F.broadcast(span)).select("v", step.cast("int").alias("b"))  # span is one row
-    sizes = marked.groupBy("b").agg(F.count(F.lit(1)).alias("m"))  # at most `buckets` rows
-    sizes = sizes.select("b", "m", F.coalesce(F.sum("m").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at")) for i, q in enumerate(shares)])
-    wanted = span.where("n > 0").select(F.inline(places)).select("i", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("place"))
-    held = wanted.join(F.broadcast(sizes), (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("m")))
-    inside = marked.join(F.broadcast(held.select("b", "before").distinct()), "b")
-    ranked = inside.select("v", (F.row_number().over(W.partitionBy("b").orderBy("v")) - 1 + F.col("before")).alias("place"))
-    found = ranked.join(F.broadcast(held.select("i", "at", "place")), "place")
-    part = F.when(F.col("place") == F.floor("at"), F.lit(1.0) - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
-    return found.agg(*[F.sum(F.when(F.col("i") == i, F.col("v") * part)).alias(f"q{i}") for i in range(len(shares))])
+    known = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").persist()
+    try:
+        span = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        if not span["n"]:
+            return [None] * len(shares)
+        places = [q * (span["n"] - 1) for q in shares]
+        found: dict[int, float] = {}
+        work = [(span["lo"], span["hi"], 0, span["n"], sorted({f(p) for p in places for f in (math.floor, math.ceil)}))]
+        while work:
+            low, high, before, n, wanted = work.pop()
+            part = known.where(F.col("v").between(low, high))
+            if low == high:
+                found.update(dict.fromkeys(wanted, low))
+            elif n <= gather:
+                values = sorted(r["v"] for r in part.collect())
+                found.update({p: values[p - before] for p in wanted})
+            else:
+                step = F.least(F.lit(buckets - 1), F.floor((F.col("v") - low) / (high - low) * buckets))
+                counted = part.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                for r in sorted(counted.collect(), key=lambda r: r["b"]):  # at most `buckets` rows
+                    inside = [p for p in wanted if before <= p < before + r["n"]]
+                    if inside:
+                        work.append((r["lo"], r["hi"], before, r["n"], inside))
+                    before += r["n"]
+        return [found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)]) for p in places]
+    finally:
+        known.unpersist()
 
 
 def rank_gaps(df: DataFrame, keys: Sequence[str], rank: str, value: str) -> DataFrame:

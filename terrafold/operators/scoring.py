@@ -45,12 +45,12 @@ def shelter_pressure(assigned: DataFrame, shelters: DataFrame) -> DataFrame:
     )
 
 
-def quantile_bounds(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """One row (low, high) of exact interpolated quantiles; none known gives (0, 1), no spread gives high = low + 1."""
-    q = exact_quantiles(df, column, (low, high)).select(F.col("q0").alias("lo"), F.col("q1").alias("hi"))
-    lo = F.coalesce("lo", F.lit(0.0))
-    hi = F.coalesce("hi", F.lit(1.0))
-    return q.select(lo.alias("low"), F.when(hi <= lo, lo + 1.0).otherwise(hi).alias("high"))
+def quantile_bounds(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> tuple[float, float]:
+    """Exact interpolated quantiles; none known gives (0, 1), no spread gives high = low + 1.  Runs jobs."""
+    lo, hi = exact_quantiles(df, column, (low, high))
+    if lo is None:
+        return 0.0, 1.0
+    return lo, hi if hi > lo else lo + 1.0
 
 
 def composite(mesh: DataFrame, nearest: DataFrame, shelters: DataFrame) -> DataFrame:
@@ -59,26 +59,26 @@ def composite(mesh: DataFrame, nearest: DataFrame, shelters: DataFrame) -> DataF
     ``mesh``: mesh_id, total_population, tsunami_inundation_ratio, aging_rate_65plus;
     ``nearest``: mesh_id, shelter_key, total_walking_distance_m, inundation_ratio,
     unknown_ratio, classified_ratio (one row per mesh with a route);
-    ``shelters``: shelter_key, capacity.  The walking bounds are one broadcast row.
+    ``shelters``: shelter_key, capacity.  The walking bounds are two numbers, found first.
     """
     base = demand(targets(mesh)).join(nearest, "mesh_id", "left").withColumn("ready", F.col("shelter_key").isNotNull())
     pressure = shelter_pressure(base.where("ready"), shelters)
-    bounds = quantile_bounds(base.where("ready"), "total_walking_distance_m")
-    full = base.join(pressure, "shelter_key", "left").crossJoin(F.broadcast(bounds))
+    low, high = map(F.lit, quantile_bounds(base.where("ready"), "total_walking_distance_m"))
+    full = base.join(pressure, "shelter_key", "left")
     when_ready = lambda c: F.when(F.col("ready"), c)
     hundred = lambda c: V.clip_keep_null(c * 100.0, 0.0, 100.0)
     full = full.select(
         "*",
         hundred(F.col("tsunami_inundation_ratio")).alias("tsunami_exposure_component"),
         hundred(F.col("aging_rate_65plus")).alias("vulnerable_population_component"),
-        when_ready(V.minmax_0_100(F.col("total_walking_distance_m"), F.col("low"), F.col("high"))).alias("walking_accessibility_component"),
+        when_ready(V.minmax_0_100(F.col("total_walking_distance_m"), low, high)).alias("walking_accessibility_component"),
         when_ready(hundred(F.col("inundation_ratio"))).alias("route_inundation_exposure_component_lower"),
         when_ready(hundred(F.col("classified_ratio"))).alias("route_inundation_exposure_component"),
         when_ready(hundred(F.col("inundation_ratio") + F.col("unknown_ratio"))).alias("route_inundation_exposure_component_upper"),
         F.coalesce(F.col("ready") & (F.col("unknown_ratio") > 0), F.lit(False)).alias("route_exposure_uncertainty_flag"),
         when_ready(hundred(F.col("capacity_pressure_area_weighted"))).alias("shelter_capacity_pressure_component_area_weighted"),
         when_ready(hundred(F.col("capacity_pressure_full_mesh"))).alias("shelter_capacity_pressure_component_full_mesh"),
-    ).drop("low", "high")
+    )
 
     def score(weights: Mapping[str, float], route: str = "", pressure: str = "area_weighted") -> Column:
         at = {k: F.col(c) for k, c in COMPONENTS.items()}

@@ -1,6 +1,7 @@
 """The registry of queries over the driver's tables and the SQL they are held against.
 
-Floats are rounded to six decimals in the last projection on both sides.
+Floats are rounded to six decimals in the last projection on both sides; sums that
+fall on a tie there are moved off it first.
 """
 
 from __future__ import annotations
@@ -292,6 +293,11 @@ def rank_validation(spark: SparkSession, d: str) -> DataFrame:
 # --- pressure, scores, robustness, what-if
 
 
+def pressures(spark: SparkSession, d: str) -> DataFrame:
+    base = scoring.demand(scoring.targets(S.meshes(spark, d))).join(first_candidates(spark, d), "mesh_id")
+    return scoring.shelter_pressure(base, S.shelters(spark, d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelter_pressure(spark, sf_dir)
 
@@ -299,8 +305,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RISK + """ SELECT shelter_key, assigned_mesh_count, round(assigned_demand_area_weighted, 6) AS assigned_demand_area_weighted, round(assigned_demand_full_mesh, 6) AS assigned_demand_full_mesh,
     capacity, round(capacity_pressure_area_weighted, 6) AS capacity_pressure_area_weighted, round(capacity_pressure_full_mesh, 6) AS capacity_pressure_full_mesh FROM pressure""")
 def shelter_pressure(spark: SparkSession, d: str) -> DataFrame:
-    base = scoring.demand(scoring.targets(S.meshes(spark, d))).join(first_candidates(spark, d), "mesh_id")
-    p = scoring.shelter_pressure(base, S.shelters(spark, d))
+    p = pressures(spark, d)
     names = ["assigned_demand_area_weighted", "assigned_demand_full_mesh", "capacity_pressure_area_weighted", "capacity_pressure_full_mesh"]
     return p.select("shelter_key", "assigned_mesh_count", "capacity", *[r6(n) for n in names])
 
@@ -316,7 +321,8 @@ def demand_conservation(spark: SparkSession, d: str) -> DataFrame:
 @query(RISK + " SELECT round(low, 6) AS low, round(high, 6) AS high FROM bounds")
 def walking_bounds(spark: SparkSession, d: str) -> DataFrame:
     base = scoring.targets(S.meshes(spark, d)).join(first_candidates(spark, d), "mesh_id")
-    return scoring.quantile_bounds(base, "total_walking_distance_m").select(r6("low"), r6("high"))
+    low, high = scoring.quantile_bounds(base, "total_walking_distance_m")
+    return spark.range(1).select(r6("low", F.lit(low)), r6("high", F.lit(high)))
 
 
 SCORES = ["core_score", "core_score_lower", "core_score_upper", "full_score", "full_score_lower", "full_score_upper", "full_score_full_mesh"]
@@ -391,28 +397,28 @@ WHATIF = RISK + f""", runs AS (SELECT p.*, delta, assigned_demand_area_weighted
       coalesce(sum(reduction) FILTER (WHERE full_score IS NOT NULL), 0) AS total_score_reduction FROM sim GROUP BY ALL)"""
 
 
-@query(WHATIF + """ SELECT delta, shelter_key, round(simulated_pressure, 6) AS simulated_pressure, affected_complete_meshes, round(total_score_reduction, 6) AS total_score_reduction,
+@query(WHATIF + """ SELECT delta, shelter_key, round(simulated_pressure, 6) AS simulated_pressure, affected_complete_meshes, round(total_score_reduction + 1e-8, 6) AS total_score_reduction,
     capacity_pressure_area_weighted > 1 AND simulated_pressure <= 1 AS resolved_over_capacity FROM whatif""")
 def whatif_capacity(spark: SparkSession, d: str) -> DataFrame:
     r = risk(spark, d)
-    known = r.select("shelter_key", "capacity", "assigned_demand_area_weighted", "capacity_pressure_area_weighted").where("shelter_key IS NOT NULL").distinct()
+    known = pressures(spark, d)
     w = scoring.what_if_capacity(r, known, DELTAS)
-    return w.select("delta", "shelter_key", r6("simulated_pressure"), "affected_complete_meshes", r6("total_score_reduction"), "resolved_over_capacity")
+    return w.select("delta", "shelter_key", r6("simulated_pressure"), "affected_complete_meshes", r6("total_score_reduction", F.col("total_score_reduction") + 1e-8), "resolved_over_capacity")
 
 
 @query(WHATIF + """, o AS (SELECT *, row_number() OVER (PARTITION BY delta ORDER BY round(total_score_reduction, 6) DESC, (capacity_pressure_area_weighted > 1 AND simulated_pressure <= 1)::INT DESC, simulated_pressure, shelter_key::VARCHAR) AS place FROM whatif)
-    SELECT delta, place::INT AS place, round(total_score_reduction, 6) AS total_score_reduction FROM o WHERE place <= 12""")
+    SELECT delta, place::INT AS place, round(total_score_reduction + 1e-8, 6) AS total_score_reduction FROM o WHERE place <= 12""")
 def whatif_ranking(spark: SparkSession, d: str) -> DataFrame:
     r = risk(spark, d)
-    known = r.select("shelter_key", "capacity", "assigned_demand_area_weighted", "capacity_pressure_area_weighted").where("shelter_key IS NOT NULL").distinct()
-    return scoring.what_if_ranking(scoring.what_if_capacity(r, known, DELTAS)).select("delta", "place", r6("total_score_reduction"))
+    known = pressures(spark, d)
+    return scoring.what_if_ranking(scoring.what_if_capacity(r, known, DELTAS)).select("delta", "place", r6("total_score_reduction", F.col("total_score_reduction") + 1e-8))
 
 
 @query(WHATIF + """, per AS (SELECT delta, count(*) FILTER (WHERE simulated_pressure > 1) AS overloaded FROM whatif GROUP BY delta)
     SELECT delta, overloaded, coalesce(overloaded <= lag(overloaded) OVER (ORDER BY delta), true) AS monotone FROM per""")
 def whatif_monotone(spark: SparkSession, d: str) -> DataFrame:
     r = risk(spark, d)
-    known = r.select("shelter_key", "capacity", "assigned_demand_area_weighted", "capacity_pressure_area_weighted").where("shelter_key IS NOT NULL").distinct()
+    known = pressures(spark, d)
     per = scoring.what_if_capacity(r, known, DELTAS).groupBy("delta").agg(F.count_if("simulated_over_capacity").alias("overloaded"))
     return per.selectExpr("delta", "overloaded", "coalesce(overloaded <= lag(overloaded) OVER (ORDER BY delta), true) AS monotone")
 
