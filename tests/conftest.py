@@ -1,8 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy is loaded: small matrices gain nothing from threads
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from terrafold.session import build_session, workers_import  # noqa: E402
