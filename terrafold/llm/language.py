@@ -103,9 +103,11 @@ class Model:
         return words, self.marginals(self.emissions(distinct)[codes], starts, ends - starts), bounds
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        words, marginals, bounds = self.label(texts)
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if len(self.labels) and len(marginals):
+        if not self.labels:
+            return names, scores
+        words, marginals, bounds = self.label(texts)
+        if len(marginals):
             weight = np.fromiter((len(w) for ws in words for w in ws), np.float64, len(marginals))
             full = np.flatnonzero(np.diff(bounds))
             sums = np.add.reduceat(marginals * weight[:, None], bounds[full], axis=0)

@@ -195,6 +195,29 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
+def tree_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, root) for links (a, b) with one smaller ``a`` at most for each ``b``: the smallest id that leads to it, by pointer jumping."""
+    up = written(links.select(F.col("b").alias("id"), F.col("a").alias("root")), "trees")
+    for _ in range(rounds):
+        over = up.select(F.col("id").alias("root"), F.col("root").alias("over"))
+        jumped = up.join(over, "root", "left").select("id", F.coalesce("over", "root").alias("root"), F.col("over").isNotNull().alias("moved"))
+        jumped = written(jumped, "trees")
+        up = jumped.select("id", "root")
+        if jumped.where("moved").isEmpty():
+            return up
+    raise RuntimeError(f"trees did not settle in {rounds} rounds")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after ``links`` (a, b) have joined some of them: components of the roots alone, which are few."""
+    over = _with_root(_with_root(links, roots, "a"), roots, "b").where("a_root <> b_root")
+    over = components(over.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    moved = roots.join(over.select(F.col("id").alias("root"), F.col("root").alias("over")), "root", "left")
+    moved = moved.select("id", F.coalesce("over", "root").alias("root"))
+    tops = over.where("id <> root").join(roots.select("id"), "id", "left_anti")  # roots that now have one above them
+    return written(moved.unionByName(tops.select("id", "root")), "roots")
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -222,7 +245,7 @@ def classes(
     sketches = written(texts.mapInArrow(_sketch_batches(k, bands, picked), SKETCH), "sketches")
 
     firsts = written(sketches.groupBy("key").agg(F.min("id").alias("rep"), F.first("kmers").alias("kmers"), F.first("bands").alias("bands")), "first-of-copies")
-    copies = sketches.join(firsts.select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    of_copy = sketches.select("id", "key").join(firsts.select("key", "rep"), "key").select("id", "rep").distinct()
 
     keyed = firsts.select(F.explode("bands").alias("band"), F.col("rep").alias("id"), "kmers")
     leaders = keyed.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -240,16 +263,14 @@ def classes(
 
     leading = members.where("leader <> id")
     first = written(leading.groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b")), "first-pairs")
-    links = verified(first, "first-links")
+    roots = tree_roots(verified(first, "first-links"))
 
-    roots = components(links)
     apart = _with_root(_with_root(leading.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), roots, "a"), roots, "b")
     second = written(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
-    links = links.unionByName(verified(second, "second-links"))
+    roots = merged(roots, verified(second, "second-links"))
 
     # What is left: texts that share a bucket and whose components still differ.  Those outside a bucket's
     # largest component are held against all of the bucket, block by block, inside the tasks.
-    roots = components(links)
     rooted = written(_with_root(members.select("band", F.col("id").alias("a")), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root")), "rooted")
     parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
@@ -261,11 +282,15 @@ def classes(
     asking = held.where("root <> major").select("band", "id", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(arrays, "id")
     base, asking = base.toDF(*base.columns), asking.toDF(*asking.columns)  # attributes of their own
     third = base.groupBy("band", "block").cogroup(asking.groupBy("band", "block")).applyInArrow(_block_links(threshold), "a long, b long")
-    links = links.unionByName(written(third, "third-links"))
-
-    roots = components(links.unionByName(copies))
-    sized = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    of = roots.join(sized, "root")
+    # An id with several texts joins their classes.
+    least = of_copy.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
+    shared = of_copy.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    roots = merged(roots, written(third.unionByName(shared), "third-links"))
+
+    named = of_copy.groupBy("id").agg(F.min("rep").alias("rep"))
+    named = named.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    named = written(named, "classes")
+    of = named.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
     out = rows.select("id").join(of, "id", "left")
     root = F.coalesce(F.col("root"), F.col("id"))
     return out.select(
