@@ -344,6 +344,46 @@ def test_lm_gradient():
         model.p[name][at] += 1e-5
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    ids_of, size = lm_score.subwords(path)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(map(str, rng.zipf(1.3, 40) % 900))) for i in range(200)]
+    rows.append((200, "the zeppelin and the zeppelin and"))
+    docs = spark.createDataFrame(rows, "id long, content string").repartition(5)
+    sequences = [np.append(ids_of(lm_score.words_of(t)), size) for _, t in rows]
+    counts = np.bincount(np.concatenate(sequences), minlength=size + 1).astype(float)
+    rank = lm_score.ranks_of(counts)
+    want = np.zeros((size + 1, 2 * lm_score.NEAR))
+    for ids in sequences:
+        for a, b in zip([size, *ids[:-1]], ids, strict=True):
+            if rank[b] >= lm_score.SINGLE and rank[a] < lm_score.NEAR:
+                want[b, rank[a]] += 1
+            if a != size and rank[a] >= lm_score.SINGLE and rank[b] < lm_score.NEAR:
+                want[a, lm_score.NEAR + rank[b]] += 1
+    met = np.flatnonzero((counts > 0) & (rank >= lm_score.SINGLE))
+    want = want[met]
+    got = lm_score.neighbours(docs, path, counts)
+    assert len(got) > 200 and np.allclose(got, np.sqrt(want / np.maximum(want.sum(axis=1, keepdims=True), 1)), atol=1e-6)
+
+
+def test_lm_training_grows_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_ROWS", 200)
+    monkeypatch.setattr(lm_score, "ONE_IN", 1)
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    ids_of, size = lm_score.subwords(path)
+    rows = [(i, "one two three four " * 8) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "id long, content string")
+    sequences = [np.append(ids_of(lm_score.words_of(t)), size) for _, t in rows[:5]]
+    vocab = lm_score.vocabulary(np.bincount(np.concatenate(sequences), minlength=size + 1).astype(float), sequences)
+    start = lm_score.train(sequences, vocab, steps=2)
+    after = lm_score.trained_on(start, vocab, docs, path)
+    again = lm_score.trained_on(start, vocab, docs.repartition(7), path)
+    before, then = (lm_score.log10_probabilities(sequences, m, vocab).sum() for m in (start, after))
+    assert then > before + 1
+    assert all(np.allclose(after.p[k], again.p[k], atol=1e-6) for k in after.p)
+
+
 def test_sql_oracles(spark):
     import duckdb
 
