@@ -7,8 +7,8 @@ generated-code stage (explode, hash, probe) and probed against the hashes of the
 benchmark; a hit fixes a document, an item and an alignment (diagonal).  The
 document's tokens under the item are cut out there and then, so neither texts
 nor windows are shuffled: only hits are.  Each distinct alignment is then
-verified: the best ungapped stretch by match/mismatch score must be long enough
-and agree in a share of its tokens.
+verified: some ungapped stretch of it must match enough tokens and agree in a
+share of its length.  Of all such stretches the one that matches most counts.
 
 Benchmarks of any size are handled in blocks: each block's hashes stay under
 ``block_seeds`` rows, which bounds what is broadcast.
@@ -16,6 +16,7 @@ Benchmarks of any size are handled in blocks: each block's hashes stay under
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,21 +83,47 @@ def _document_seeds(docs: DataFrame, masks: tuple[str, ...], short_lengths: list
     )
 
 
-def _best_stretch(matches: Column, penalty: float) -> Column:
-    """struct(score, hit, length) of the stretch with the largest matches - penalty * mismatches (Kadane's scan)."""
-    start = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("hit"), F.lit(0).alias("length"))
-    zero = F.struct(start.alias("best"), start.alias("run"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, hit: Column) -> Column:
-        grown = F.struct(
-            (acc["run"]["score"] + F.when(hit, F.lit(1.0)).otherwise(F.lit(-penalty))).alias("score"),
-            (acc["run"]["hit"] + hit.cast("int")).alias("hit"),
-            (acc["run"]["length"] + 1).alias("length"),
-        )
-        run = F.when(grown["score"] > 0, grown).otherwise(start)
-        return F.struct(F.when(run["score"] > acc["best"]["score"], run).otherwise(acc["best"]).alias("best"), run.alias("run"))
 
-    return F.aggregate(matches, zero, step)["best"]
+def _best_stretch(matches: Column, min_identity: float) -> Column:
+    """struct(hit, length) of the stretch with most matches of all that agree in ``min_identity`` of their length; the shortest of those.
+
+    From the k-th to the l-th match, at places p, a stretch has l - k + 1 matches in
+    p[l] - p[k] + 1 tokens, so it agrees enough where low[k] = k - share * p[k] is at
+    most high[l] = l + 1 - share * (p[l] + 1).  The most matches are found in one walk
+    over the least low up to k and the largest high from l on.
+    """
+    share, near = F.lit(min_identity), F.lit(1e-9)
+    places = F.filter(F.transform(matches, lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
+
+    def most(p: Column) -> Column:
+        low = F.transform(p, lambda x, k: k - share * x)
+        high = F.transform(p, lambda x, k: k + 1 - share * (x + 1))
+        least = _let(low, lambda a: F.transform(a, lambda x, k: F.array_min(F.slice(a, 1, k + 1))))
+        largest = _let(high, lambda a: F.transform(a, lambda x, k: F.array_max(F.slice(a, k + 1, F.size(a)))))
+
+        def walk(both: Column) -> Column:
+            def step(at: Column, _: Column) -> Column:
+                grows = F.get(both["largest"], at["l"]) >= F.get(both["least"], at["k"]) - near
+                return (
+                    F.when((at["l"] >= F.size(p)) | (at["k"] >= F.size(p)), at)
+                    .when(grows, F.struct(at["k"].alias("k"), (at["l"] + 1).alias("l"), F.greatest(at["hit"], at["l"] - at["k"] + 1).alias("hit")))
+                    .otherwise(F.struct((at["k"] + 1).alias("k"), at["l"].alias("l"), at["hit"].alias("hit")))
+                )
+
+            zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("l"), F.lit(0).alias("hit"))
+            return F.aggregate(F.sequence(F.lit(1), 2 * F.size(p)), zero, step)["hit"]
+
+        return _let(F.struct(least.alias("least"), largest.alias("largest")), walk)
+
+    def shortest(p: Column, hit: Column) -> Column:
+        spans = F.transform(F.slice(p, 1, F.size(p) - hit + 1), lambda x, k: F.get(p, k + hit - 1) - x + 1)
+        return F.struct(hit.alias("hit"), F.array_min(spans).alias("length"))
+
+    return _let(places, lambda p: F.when(F.size(p) > 0, _let(most(p), lambda hit: shortest(p, hit))))
 
 
 def overlaps(
@@ -117,7 +144,8 @@ def overlaps(
     ``length`` aligned tokens agree, from token ``doc_start`` on; ``covers`` is
     the matched share of the item.  An overlap counts when it matches at least
     ``min_tokens`` tokens (all of a shorter item) and ``min_identity`` of its
-    length.  Null and empty texts, on either side, overlap nothing; repeated rows
+    length; every stretch of an alignment is considered, of which the one with most
+    matches, then the shortest, is reported.  Null and empty texts, on either side, overlap nothing; repeated rows
     give the row of their id once; ties go to the first alignment.  Extra columns
     are ignored; an empty table on either side gives an empty result.
     """
@@ -166,11 +194,8 @@ def overlaps(
         "item_id",
         F.greatest(F.col("diagonal"), F.lit(0)).alias("doc_start"),
         size.alias("item_tokens"),
-        _best_stretch(aligned, min_identity / (1 - min_identity) / 2).alias("best"),
-    ).where(
-        (F.col("best.hit") >= F.least(F.lit(min_tokens), F.col("item_tokens")))
-        & (F.col("best.hit") >= min_identity * F.col("best.length"))
-    )
+        _best_stretch(aligned, min_identity).alias("best"),
+    ).where(F.col("best.hit") >= F.least(F.lit(min_tokens), F.col("item_tokens")))
     rank = F.struct(F.col("best.hit").alias("hit"), -F.col("best.length"), -F.col("doc_start"))
     return (
         scored.groupBy("doc_id", "item_id")

@@ -88,6 +88,29 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench, block_seeds=20).collect()} == set(got)
 
 
+def test_decontamination_tests_every_stretch(spark):
+    rng = np.random.default_rng(8)
+    patterns = [[i not in (1, 14) for i in range(16)], [True] * 13 + [False] * 6 + [True] * 12 + [False] * 6]
+    for n, gone in ((14, 1), (15, 2), (16, 2), (16, 3), (18, 3), (20, 4), (37, 8), (59, 15), (59, 30)):
+        patterns += [[bool(x) for x in ~np.isin(np.arange(n), rng.choice(n, gone, replace=False))] for _ in range(20)]
+    patterns += [[False] * 5, [True], [False, True, False]]
+
+    def best(hits):  # brute force over all stretches
+        some = [(sum(hits[a:b]), a - b) for a in range(len(hits)) for b in range(a + 1, len(hits) + 1) if hits[a] and hits[b - 1] and 5 * sum(hits[a:b]) >= 4 * (b - a)]
+        return max(some, default=None)
+
+    rows = spark.createDataFrame(list(enumerate(patterns)), "n int, hits array<boolean>").select("n", decontaminate._best_stretch(F.col("hits"), 0.8).alias("b"))
+    got = {r.n: r.b and (r.b.hit, -r.b.length) for r in rows.collect()}
+    assert got == {n: best(hits) for n, hits in enumerate(patterns)}
+    # Through the seeds: each passage that one of them hits and that meets the rule is reported.
+    seeded = lambda hits: any(all(c == "0" or hits[a + i] for i, c in enumerate(m)) for m in decontaminate.MASKS for a in range(len(hits) - len(m) + 1))
+    docs = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" if hit else "other" for i, hit in enumerate(hits))) for n, hits in enumerate(patterns)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(len(hits)))) for n, hits in enumerate(patterns)], "item_id long, text string")
+    want = {n for n, hits in enumerate(patterns) if len(hits) >= 13 and seeded(hits) and (best(hits) or (0,))[0] >= 13}
+    assert {0, 1} <= want
+    assert {r.doc_id for r in decontaminate.overlaps(docs, bench).collect() if len(patterns[r.doc_id]) >= 13} == want
+
+
 def test_decontamination_finds_whole_items(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     tokens = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
