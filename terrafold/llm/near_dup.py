@@ -6,6 +6,11 @@ k-mers are taken and kept in the order of the text; the sequence is the band's
 key.  Texts with equal keys are candidates: equal keys need the same k-mers in the
 same order, which follows edit similarity, not just set similarity.
 
+Keys of few k-mers seldom agree, so texts of fewer than ``few`` k-mers, and those
+long enough to be like one, are candidates by their rarest k-mers as well: in one
+order of all k-mers, the first n - ceil(threshold * n) + 1 of two texts that reach
+the threshold have one in common.  For pairs with such a text nothing is missed.
+
 Similarity is shared / (a + b - shared) of two texts with a and b k-mers, where
 ``shared`` is the longest chain of common k-mers in the order of both within a
 band around the diagonal; shifts beyond that band cannot reach the threshold.
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import columns_of, python_ready, without_ids, written
 
-SKETCH = "id long, key string, kmers int, bands array<long>"
+SKETCH = "id long, key string, kmers int, bands array<long>, short array<long>"
 
 
 def kmers_of(text: str, k: int) -> np.ndarray:
@@ -105,14 +110,15 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return shared / (total - shared)
 
 
-def _sketch_batches(k: int, bands: int, picked: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sketch_batches(k: int, bands: int, picked: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kmers = [kmers_of(t, k) for t in batch.column("content").to_pylist()]
             keys = [sketch(x, bands, picked) for x in kmers]
+            short = [x.view(np.int64) if 0 < len(x) <= longest else None for x in kmers]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array(map(len, kmers), pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "key", "kmers", "bands"],
+                [batch.column("id"), batch.column("key"), pa.array(map(len, kmers), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, short))],
+                names=["id", "key", "kmers", "bands", "short"],
             )
 
     return run
@@ -218,6 +224,17 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(tops.select("id", "root")), "roots")
 
 
+def rarest(texts: DataFrame, threshold: float) -> DataFrame:
+    """(band, id, kmers) for texts (id, kmers, short): a key for each of the rarest k-mers, enough that texts alike share one."""
+    each = written(texts.where("short IS NOT NULL").select("id", "kmers", F.explode("short").alias("kmer")), "short-kmers")
+    times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("times"))
+    # A k-mer of one text alone comes first and joins nothing.
+    ranked = each.join(times.where("times > 1"), "kmer").groupBy("id", "kmers").agg(F.sort_array(F.collect_list(F.struct("times", "kmer"))).alias("ranked"))
+    prefix = F.col("kmers") - F.ceil(F.lit(threshold) * F.col("kmers") - 1e-9).cast("int") + 1
+    shared = F.slice("ranked", 1, F.greatest(prefix - (F.col("kmers") - F.size("ranked")), F.lit(0)))
+    return ranked.select(F.explode(shared).alias("r"), "id", "kmers").select(F.xxhash64(F.lit("kmer"), "r.kmer").alias("band"), "id", "kmers")
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,6 +244,7 @@ def classes(
     bands: int = 24,
     picked: int = 6,
     block: int = 256,
+    few: int = 30,
 ) -> DataFrame:
     """One row per input row: id, class_id, class_size, kept.
 
@@ -242,12 +260,13 @@ def classes(
     rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), content.alias("content"))
     key = F.md5(F.trim(F.regexp_replace(F.lower("content"), r"\s+", " ")).cast("binary"))
     texts = rows.where("id IS NOT NULL").withColumn("key", key)
-    sketches = written(texts.mapInArrow(_sketch_batches(k, bands, picked), SKETCH), "sketches")
+    sketches = written(texts.mapInArrow(_sketch_batches(k, bands, picked, int((few - 1) / threshold + 1e-9)), SKETCH), "sketches")
 
-    firsts = written(sketches.groupBy("key").agg(F.min("id").alias("rep"), F.first("kmers").alias("kmers"), F.first("bands").alias("bands")), "first-of-copies")
+    firsts = written(sketches.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("kmers", "bands", "short")]), "first-of-copies")
     of_copy = sketches.select("id", "key").join(firsts.select("key", "rep"), "key").select("id", "rep").distinct()
 
     keyed = firsts.select(F.explode("bands").alias("band"), F.col("rep").alias("id"), "kmers")
+    keyed = keyed.unionByName(rarest(firsts.select(F.col("rep").alias("id"), "kmers", "short"), threshold))
     leaders = keyed.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = written(keyed.join(leaders, "band"), "buckets")
     sizes = members.select("id", "kmers").distinct()

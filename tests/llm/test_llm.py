@@ -279,6 +279,36 @@ def test_near_duplicates(spark):
     assert got[3][0] == 3 and got[5][0] == 5 and got[6][0] == 6 and got[9][0] == 9 and got[7][0] == got[8][0] == 7
 
 
+def test_near_duplicates_among_short_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for group in range(60):
+        words = [f"g{group}x{x}" for x in range(rng.integers(8, 42))]
+        texts += [words, words[:-1], words[1:], words[: len(words) // 2], [*words, "more"], [*words[:-1], "other"]]
+    common = [f"c{x}" for x in range(7)]  # a run that many texts begin with
+    texts += [[*common, *(f"t{n}x{x}" for x in range(n % 6))] for n in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kmers = [near_dup.kmers_of(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            small, large = sorted((len(kmers[i]), len(kmers[j])))
+            if small < 30 and rows[i][1] == rows[j][1] or small and small >= 0.8 * large and near_dup.similarity(kmers[i], kmers[j], 0.8) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: top(i) for i in range(len(rows))}
+    nine = "one two three four five six seven eight nine"
+    pair = spark.createDataFrame([(1, nine), (2, nine.rsplit(" ", 1)[0])], "doc_id long, text string")
+    assert {r.class_id for r in near_dup.classes(pair).collect()} == {1}
+
+
 def test_near_duplicates_lose_no_link(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     cls = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
