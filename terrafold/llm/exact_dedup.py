@@ -20,18 +20,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import ascii_lower, columns_of, without_ids, written
+from terrafold.llm.common import ascii_lower, columns_of, written
 
 
 def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def _content(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    content = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     return (
         columns_of(docs, id_col, text_col)
-        .select(F.col(f"`{id_col}`").alias("id"), content.alias("content"))
+        .select(F.col(f"`{id_col}`").alias("id"), _content(text_col).alias("content"))
         .select("id", "content", digest(F.col("content")).alias("digest"))
     )
 
@@ -91,6 +94,14 @@ def exact_dedup(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with the row of the largest id of each content; of rows that repeat it, all."""
-    return without_ids(docs, exact_dedup(docs, id_col, text_col, **how).where("NOT kept").select(f"`{id_col}`"), id_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, broadcast_rows: int = 1_000_000, **how) -> DataFrame:
+    """``docs`` with the row of the largest id of each content; of rows that repeat it, all.
+
+    Removed are rows by id and digest: another text with the id of a removed copy stays.
+    """
+    out = exact_dedup(docs, id_col, text_col, digest=digest, **how)
+    gone = out.where(f"NOT kept AND `{id_col}` IS NOT NULL").select(F.col(f"`{id_col}`").alias("gone_id"), F.col("text_sha256").alias("gone_digest"))
+    gone = written(gone.distinct(), "gone-copies")
+    few = gone.count() <= broadcast_rows
+    same = (F.col(f"`{id_col}`") == F.col("gone_id")) & (digest(_content(text_col)) == F.col("gone_digest"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -74,6 +74,14 @@ def test_exact_dedup_matches_groups(spark, docs):
     assert short == {w[:4] for w in want}
 
 
+def test_exact_dedup_keeps_other_texts_of_an_id(spark):
+    rows = [(5, "a"), (9, "A"), (5, "b"), (None, "a"), (7, None), (8, ""), (9, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"broadcast_rows": 0}):
+        got = [tuple(r) for r in exact_dedup.keep_one(docs, **how).collect()]
+        assert sorted(got, key=str) == sorted([(9, "A"), (9, "a"), (5, "b"), (None, "a"), (8, "")], key=str)
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = [f"w{i}" for i in range(30)]
     swapped = [("other" if i % 7 == 3 else w) for i, w in enumerate(item)]
