@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -16,11 +17,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset and the
+    executors are threads of the driver, as in tests, a temporary folder is made and
+    set; on a cluster that folder would be another one on each machine, so there
+    it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="terrafold-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,11 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def python_ready(spark: SparkSession, batch_rows: int = 512) -> None:
+def python_ready(spark: SparkSession, batch_rows: int = 512, batch_bytes: int = 32 << 20) -> None:
     """Prepare the session for Python workers.
 
     They import this package from where the driver has it, use one thread each,
-    and get batches of ``batch_rows`` rows, so that long texts stay within memory.
+    and get batches of ``batch_rows`` rows or ``batch_bytes``, whichever is less (one
+    row at least), so that long texts stay within memory.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
@@ -53,7 +59,10 @@ def python_ready(spark: SparkSession, batch_rows: int = 512) -> None:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     env.update({"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "RAYON_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false"})
+    # Arrays of a few MB are made and freed for every batch: keep their memory instead of giving it back each time.
+    env.update({"MALLOC_MMAP_THRESHOLD_": str(64 << 20), "MALLOC_TRIM_THRESHOLD_": str(128 << 20)})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -73,6 +82,11 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus))
 
 
+def id_type(df: DataFrame, name: str) -> str:
+    """The type of a column, for the schema of a Python stage that passes it on."""
+    return df.schema[name].dataType.simpleString()
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Just ``names``; extra columns, whatever they are called, cannot clash later."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -374,75 +374,69 @@ def test_lm_base_and_model(spark, docs):
 def test_lm_windows_score_each_id_once_and_add_to_one():
     rng = np.random.default_rng(0)
     size = 300
-    vocab = lm_score.vocabulary(rng.integers(0, 50, size + 1).astype(float), [rng.integers(0, size, 400)])
-    model = lm_score.Attention()
+    vocab = lm_score.Vocabulary(np.maximum(0, rng.integers(-20, 50, size + 1)).astype(float))
+    model = lm_score.Attention(vocab)
+    model.p["u"] *= 20
     for n in (1, 23, 24, 25, 100):
-        ids, owners, real = lm_score.windows([rng.integers(0, size, n)], vocab)
-        assert real.sum() == n
-    head = rng.integers(0, size, 30)
-    every = lm_score.log10_probabilities([np.append(head, x) for x in range(size + 1)], model, vocab)
-    assert abs((10 ** (every - lm_score.log10_probabilities([head], model, vocab))).sum() - 1) < 1e-3
-
-
-def test_lm_gradient():
+        ids = rng.integers(0, size, n)
+        rows, target, real, owners = lm_score.windows([ids, ids[:1]], vocab)
+        assert real.sum() == n + 1 and target[owners == 0][real[owners == 0]].tolist() == vocab.place[ids].tolist()
+        assert lm_score.log10_probabilities([ids[::-1], ids], model)[1] == pytest.approx(lm_score.log10_probabilities([ids], model)[0])
+    for n in (0, 5, 30):
+        head = rng.integers(0, size, n)
+        every = lm_score.log10_probabilities([np.append(head, x) for x in range(size + 1)], model)
+        before = lm_score.log10_probabilities([head], model)[0] if n else 0.0
+        assert abs((10 ** (every - before)).sum() - 1) < 1e-3
+
+
+def test_lm_gradient(monkeypatch):
     rng = np.random.default_rng(2)
-    model = lm_score.Attention()
+    monkeypatch.setattr(lm_score, "FIRST", 8)
+    vocab = lm_score.Vocabulary(np.maximum(0, rng.integers(-20, 50, 60)).astype(float))
+    model = lm_score.Attention(vocab)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    rows, target = rng.integers(0, 99, (2, lm_score.WINDOW)), rng.integers(0, lm_score.CLASSES, (2, lm_score.STRIDE))
-    real = np.ones(target.shape, bool)
+    rows, target = rng.integers(0, vocab.seen + 3, (2, lm_score.WINDOW)), rng.integers(0, vocab.seen, (2, lm_score.STRIDE))
+    real = rng.random(target.shape) < 0.8
     g = model.gradient(rows, target, real)
-
-    def loss():
-        z = model.forward(rows)
-        return float((np.log(np.exp(z).sum(axis=2)) - np.take_along_axis(z, target[:, :, None], 2)[:, :, 0]).mean())
-
-    for name in ("q", "k", "v", "o", "f", "g", "u", "b", "at"):
-        at = tuple(int(rng.integers(0, s)) for s in model.p[name].shape)
-        model.p[name][at] += 1e-5
-        up = loss()
-        model.p[name][at] -= 2e-5
-        assert abs((up - loss()) / 2e-5 - g[name][at]) < 1e-4
-        model.p[name][at] += 1e-5
-
-
-def test_lm_learns_from_all_training_rows(spark):
-    path = tokenizer("byte_bpe_50k.tiktoken")
-    ids_of, size = lm_score.subwords(path)
-    rng = np.random.default_rng(4)
-    rows = [(i, " ".join(map(str, rng.zipf(1.3, 40) % 900))) for i in range(200)]
-    rows.append((200, "the zeppelin and the zeppelin and"))
-    docs = spark.createDataFrame(rows, "id long, content string").repartition(5)
-    sequences = [np.append(ids_of(lm_score.words_of(t)), size) for _, t in rows]
-    counts = np.bincount(np.concatenate(sequences), minlength=size + 1).astype(float)
-    rank = lm_score.ranks_of(counts)
-    want = np.zeros((size + 1, 2 * lm_score.NEAR))
-    for ids in sequences:
-        for a, b in zip([size, *ids[:-1]], ids, strict=True):
-            if rank[b] >= lm_score.SINGLE and rank[a] < lm_score.NEAR:
-                want[b, rank[a]] += 1
-            if a != size and rank[a] >= lm_score.SINGLE and rank[b] < lm_score.NEAR:
-                want[a, lm_score.NEAR + rank[b]] += 1
-    met = np.flatnonzero((counts > 0) & (rank >= lm_score.SINGLE))
-    want = want[met]
-    got = lm_score.neighbours(docs, path, counts)
-    assert len(got) > 200 and np.allclose(got, np.sqrt(want / np.maximum(want.sum(axis=1, keepdims=True), 1)), atol=1e-6)
+    loss = lambda: -float((model.log_probabilities(model.hidden(rows), target.reshape(-1)) * real.reshape(-1)).sum() / real.sum())
+    for name in model.p:
+        for at in np.argsort(-np.abs(g[name]), axis=None)[:2] if name in g else ():
+            at = np.unravel_index(at, g[name].shape)
+            model.p[name][at] += 1e-5
+            up = loss()
+            model.p[name][at] -= 2e-5
+            assert (up - loss()) / 2e-5 == pytest.approx(g[name][at], abs=1e-5, rel=1e-3), name
+            model.p[name][at] += 1e-5
 
 
 def test_lm_training_grows_with_the_input(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SHARD_ROWS", 200)
+    monkeypatch.setattr(lm_score, "SHARD_ROWS", 50)
     monkeypatch.setattr(lm_score, "ONE_IN", 1)
     path = tokenizer("byte_bpe_50k.tiktoken")
     ids_of, size = lm_score.subwords(path)
-    rows = [(i, "one two three four " * 8) for i in range(1200)]
-    docs = spark.createDataFrame(rows, "id long, content string")
-    sequences = [np.append(ids_of(lm_score.words_of(t)), size) for _, t in rows[:5]]
-    vocab = lm_score.vocabulary(np.bincount(np.concatenate(sequences), minlength=size + 1).astype(float), sequences)
+    rows = [(i, np.append(ids_of(lm_score.words_of(f"one two three four {i} " * 8)), size).astype("<u4").tobytes()) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "id long, ids binary")
+    sequences = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in rows[:50]]
+    vocab = lm_score.Vocabulary(np.bincount(np.concatenate(sequences), minlength=size + 1).astype(float))
     start = lm_score.train(sequences, vocab, steps=2)
-    after = lm_score.trained_on(start, vocab, docs, path)
-    again = lm_score.trained_on(start, vocab, docs.repartition(7), path)
-    before, then = (lm_score.log10_probabilities(sequences, m, vocab).sum() for m in (start, after))
+    after = lm_score.trained_on(start, docs)
+    again = lm_score.trained_on(start, docs.repartition(7))
+    before, then = (lm_score.log10_probabilities(sequences, m).sum() for m in (start, after))
     assert then > before + 1
-    assert all(np.allclose(after.p[k], again.p[k], atol=1e-6) for k in after.p)
+    assert all(np.allclose(after.p[k], again.p[k], atol=1e-5) for k in after.p)
+
+
+def test_lm_scores_held_out_text_better_than_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = lm_score.score(docs, tokenizer("byte_bpe_50k.tiktoken")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[2] > held[1] / held[2] + 0.1
+
+
+def test_lm_encodes_long_words_and_odd_spaces():
+    ids_of, size = lm_score.subwords(tokenizer("byte_bpe_50k.tiktoken"))
+    for text in ("x" * 5000, "\u00a0" * 300_000, "a \u2003\u2003 b", "", "ä" * 3000):
+        ids = ids_of(lm_score.words_of(text))
+        assert ids.dtype == np.int64 and (len(ids) == 0) == (not lm_score.words_of(text)) and (ids < size).all()
 
 
 def test_sql_oracles(spark):
