@@ -43,7 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what :func:`written` wrote for ``df``, once nothing that is still to run reads it; other frames stay as they are."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def python_ready(spark: SparkSession, batch_rows: int = 512, batch_bytes: int = 32 << 20) -> None:

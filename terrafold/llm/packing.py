@@ -16,6 +16,9 @@ depends on the capacity alone.
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import columns_of, python_ready, written
+from terrafold.llm.common import columns_of, id_type, python_ready, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECES}, sequence_id long, offset long"
+PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
+PLACED = PIECES + ", sequence_id long, offset long"
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -113,23 +116,29 @@ def plan_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
 
 
+#: Characters whose classes no version of either library's tables changes; a test holds both libraries against each other on each of them.
+PLAIN = r"\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2015\u2018-\u201f\u2026\u20ac"
+#: Texts with other characters, or a run of so much white space that the quick library's backtracking could fail on it.
+UNSURE = re.compile(rf"[^{PLAIN}]|[\t\n\r ]{{1000}}")
+
+
 def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids by the tokenizers file; texts without its special strings go through the same vocabulary as ranks, if there.
+    """Ids by the tokenizers file.  Texts of plain characters, without its special strings, go through the same vocabulary as ranks, if there.
 
-    Both give the same ids (tests hold one against the other); the ranks encode several times faster.
+    Both cut a text by the same pattern and merge by the same ranks; for plain
+    characters they give the same ids, several times faster.  All other texts go
+    through the library itself.
     """
-    import base64
-    import os
-
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
     exact.no_truncation()
     exact.no_padding()
+    whole = lambda texts: [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
     specials = [t.content for t in exact.get_added_tokens_decoder().values()]
     ranked = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranked):
-        return lambda texts: [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
+        return whole
     import public_tokenizers
     import tiktoken
 
@@ -138,9 +147,7 @@ def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [
-            exact.encode(t, add_special_tokens=False).ids if any(s in t for s in specials) else quick.encode_ordinary(t) for t in texts
-        ]
+        return [whole([t])[0] if UNSURE.search(t) or any(s in t for s in specials) else quick.encode_ordinary(t) for t in texts]
 
     return encode
 
@@ -155,16 +162,19 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _piece_batches(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        schema = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column("id").to_pylist(), encode(batch.column("content").to_pylist()), strict=True):
+            out: list[list] = [[], [], [], []]
+            owners: list[int] = []
+            for i, ids in enumerate(encode(batch.column("content").to_pylist())):
                 data = np.array([*ids, end_id], dtype="<u4").tobytes()
                 for piece, (start, length) in enumerate(cut(len(ids) + 1, capacity)):
-                    row = (doc_id, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]))
+                    owners.append(i)
+                    row = (piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            columns = [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owners, pa.int64())), *columns], names=["doc_id", *schema.names])
 
     return run
 
@@ -199,7 +209,7 @@ def pack(
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its text (null: empty) and then ``end_id``, so the
-    empty one has length 1; ids are integers or null.  Only documents over the
+    empty one has length 1; ids keep their type and may be null.  Only documents over the
     capacity are cut.  Repeated rows are packed each on their own.  Extra columns
     are ignored; an empty table gives an empty result.  Pieces are written to the
     shared folder, so that texts are encoded once.  Ranks within a length are
@@ -209,9 +219,10 @@ def pack(
     spark = docs.sparkSession
     python_ready(spark)
     texts = columns_of(docs, id_col, text_col).select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("content")
+        F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("content")
     )
-    pieces = written(texts.mapInArrow(_piece_batches(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    kind = id_type(docs, id_col)
+    pieces = written(texts.mapInArrow(_piece_batches(tokenizer_path, capacity, end_id), PIECES.format(id=kind)), "pieces")
     histogram = written(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")  # at most `capacity` rows
     runs = plan_runs({r["length"]: r["n"] for r in histogram.collect()}, capacity)
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.ceil(F.col("n") / rank_rows).cast("long"))
@@ -223,5 +234,5 @@ def pack(
     )
     ranked = dealt.selectExpr("*", "row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece, ids_crc32) - 1 AS place")
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("place") + F.col("before"))
-    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place_batches(runs), PLACED)
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place_batches(runs), PLACED.format(id=kind))
     return placed.withColumnRenamed("doc_id", id_col)
