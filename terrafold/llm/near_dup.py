@@ -1,24 +1,24 @@
 """Near-duplicate documents by Order MinHash, candidates verified by banded alignment.
 
+Two texts are near duplicates when the edit distance of their words is at most
+``1 - threshold`` of the longer one's words.
+
 A text's k-mers are its runs of five words, labelled by occurrence, so each is
 unique in its text.  For each of ``bands`` hash functions the ``picked`` smallest
 k-mers are taken and kept in the order of the text; the sequence is the band's
 key.  Texts with equal keys are candidates: equal keys need the same k-mers in the
 same order, which follows edit similarity, not just set similarity.
 
-Keys of few k-mers seldom agree, so texts of fewer than ``few`` k-mers, and those
-long enough to be like one, are candidates by their rarest k-mers as well: in one
-order of all k-mers, the first n - ceil(threshold * n) + 1 of two texts that reach
-the threshold have one in common.  For pairs with such a text nothing is missed.
-
-Similarity is shared / (a + b - shared) of two texts with a and b k-mers, where
-``shared`` is the longest chain of common k-mers in the order of both within a
-band around the diagonal; shifts beyond that band cannot reach the threshold.
-
 Links are found without forming all pairs of a bucket: every text is first held
-against the smallest id of its buckets; components of those links are formed;
-then, in each bucket that still has several components, the texts outside its
-largest one are held against the whole bucket, block by block.
+against the smallest id of its buckets, and components of those links are formed.
+What is left are buckets with several components.  Their texts, and all texts of
+fewer than ``few`` words (and those long enough to be like one), whose keys seldom
+agree, are then joined exactly, by the rarest of their labelled pairs of words: of
+two texts with n words at most that are alike, at least 0.6 n - 1 pairs are common,
+so in one order of all pairs the first ones of both have one in common.  Texts that
+share such a pair and are in different components are aligned block by block inside
+the tasks.
+
 Classes are the connected components of all links, found by hooking to smaller
 ids and written to the shared folder between rounds.
 """
@@ -34,22 +34,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import columns_of, python_ready, without_ids, written
+from terrafold.llm.common import columns_of, dropped, python_ready, without_ids, written
 
-SKETCH = "id long, key string, kmers int, bands array<long>, short array<long>"
+SKETCH = "id long, key string, words int, bands array<long>"
+Batches = Iterator[pa.RecordBatch]
 
 
-def kmers_of(text: str, k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` lower-cased words, labelled by occurrence, in order."""
+def codes_of(text: str) -> np.ndarray:
+    """A hash of each lower-cased word, in order."""
     words = text.lower().split()
-    if len(words) < k:
+    if not words:
         return np.zeros(0, np.uint64)
     codes, distinct = pd.factorize(np.array(words, dtype=object))
-    hashes = pd.util.hash_array(distinct, categorize=False)[codes]
-    n = len(words) - k + 1
+    return pd.util.hash_array(distinct, categorize=False)[codes]
+
+
+def runs_of(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words, labelled by occurrence, in order."""
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = (h ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     order = np.argsort(h, kind="stable")
     ranked = h[order]
@@ -65,107 +72,166 @@ def sketch(kmers: np.ndarray, bands: int, picked: int) -> np.ndarray:
     """One key for each band from the ``picked`` smallest k-mers in the order of the text; none without k-mers."""
     if not len(kmers):
         return np.zeros(0, np.int64)
-    take = min(picked, len(kmers))
-    seeds = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    # Odd multipliers: the k-mers are hashes already, so each product orders them anew.
+    seeds = (np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    seeds ^= (seeds >> np.uint64(23)) << np.uint64(1)
     out = np.zeros(bands, np.uint64)
-    block = max(1, 1_000_000 // len(kmers))
+    block = max(1, 200_000 // len(kmers))
+    most = np.uint64(2**64 - 1)
     for at in range(0, bands, block):
-        h = (kmers[None, :] ^ seeds[at : at + block, None]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        places = np.argpartition(h, take - 1, axis=1)[:, :take]
+        h = kmers[None, :] * seeds[at : at + block, None]
+        each = np.arange(len(h))
+        places = np.empty((len(h), min(picked, len(kmers))), np.int64)
+        for column in range(places.shape[1]):
+            places[:, column] = h.argmin(axis=1)
+            h[each, places[:, column]] = most
         places.sort(axis=1)
         key = seeds[at : at + block].copy()
-        for column in range(take):
+        for column in range(places.shape[1]):
             key = (key ^ kmers[places[:, column]]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
         out[at : at + block] = key
     return out.view(np.int64)
 
 
-def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest chain of common k-mers, rising in both, whose places differ by at most ``band``."""
+def chain(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both of the longest chain of common k-mers, rising in both, whose places differ by at most ``band``."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    j = j[np.argsort(i)]
+    order = np.argsort(i[near])
+    i, j = i[near][order], j[near][order]
     if len(j) < 2 or (np.diff(j) > 0).all():
-        return len(j)
+        return i, j
     tails: list[int] = []
-    for x in j.tolist():
+    ends: list[int] = []
+    before: list[int] = []
+    for n, x in enumerate(j.tolist()):
         at = bisect_left(tails, x)
+        before.append(ends[at - 1] if at else -1)
         if at == len(tails):
             tails.append(x)
+            ends.append(n)
         else:
-            tails[at] = x
-    return len(tails)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Aligned share of k-mers; 0 for texts without any."""
-    total = len(a) + len(b)
-    if not len(a) or not len(b):
-        return 0.0
-    shared = chain(a, b, int((1 - threshold) / (1 + threshold) * total) + 1)
-    return shared / (total - shared)
-
-
-def _sketch_batches(k: int, bands: int, picked: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tails[at], ends[at] = x, n
+    taken = [ends[-1]]
+    while before[taken[-1]] >= 0:
+        taken.append(before[taken[-1]])
+    return i[taken[::-1]], j[taken[::-1]]
+
+
+def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Edit distance of two sequences if it is at most ``limit``, else ``limit`` + 1: rows of a band around the diagonal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > limit:
+        return limit + 1
+    # Cell o of row i is column i - limit + o.
+    step = np.arange(2 * limit + 1)
+    row = np.where(step >= limit, step - limit, limit + 1)
+    column = np.full(2 * limit + len(a) + 1, -1, np.int64)
+    codes, both = pd.factorize(np.concatenate([a, b]))
+    column[limit : limit + len(b)] = codes[len(a) :][: len(column) - limit]
+    for i in range(len(a)):
+        new = row + (column[i : i + 2 * limit + 1] != codes[i])
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        row = np.minimum.accumulate(new - step) + step
+        if row.min() > limit:
+            return limit + 1
+    return min(int(row[len(b) - len(a) + limit]), limit + 1)
+
+
+class Text:
+    """A text's words as hashes, their counts and, when needed, its k-mers."""
+
+    def __init__(self, codes: np.ndarray, k: int) -> None:
+        self.codes, self.k, self._kmers = codes, k, None
+        self.distinct, self.times = np.unique(codes, return_counts=True)
+
+    @property
+    def kmers(self) -> np.ndarray:
+        if self._kmers is None:
+            self._kmers = runs_of(self.codes, self.k)
+        return self._kmers
+
+
+def chained(a: Text, b: Text, limit: int) -> int:
+    """Cost of the alignment through the longest chain of common k-mers; never less than the edit distance."""
+    n, m, k = len(a.codes), len(b.codes), a.k
+    i, j = chain(a.kmers, b.kmers, limit)
+    if not len(i):
+        return max(n, m)
+    # Each k-mer pairs k words; of words that the one before has paired in either text it leaves out as many in both.
+    gap_a, gap_b = i[1:] - i[:-1] - k, j[1:] - j[:-1] - k
+    out = np.maximum(0, -np.minimum(gap_a, gap_b))
+    between = np.maximum(gap_a, gap_b) + out
+    return int(max(i[0], j[0]) + between.sum() + max(n - i[-1] - k, m - j[-1] - k))
+
+
+def alike(a: Text, b: Text, threshold: float) -> bool:
+    """Whether the edit distance of the words is at most 1 - ``threshold`` of the longer text's words."""
+    longer = max(len(a.codes), len(b.codes))
+    limit = int((1 - threshold) * longer + 1e-9)
+    if longer - min(len(a.codes), len(b.codes)) > limit:
+        return False
+    _, i, j = np.intersect1d(a.distinct, b.distinct, assume_unique=True, return_indices=True)
+    if longer - np.minimum(a.times[i], b.times[j]).sum() > limit:  # no alignment pairs more equal words than both have
+        return False
+    return chained(a, b, limit) <= limit or distance(a.codes, b.codes, limit) <= limit
+
+
+def _sketch_batches(k: int, bands: int, picked: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            kmers = [kmers_of(t, k) for t in batch.column("content").to_pylist()]
-            keys = [sketch(x, bands, picked) for x in kmers]
-            short = [x.view(np.int64) if 0 < len(x) <= longest else None for x in kmers]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array(map(len, kmers), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, short))],
-                names=["id", "key", "kmers", "bands", "short"],
-            )
+            codes = [codes_of(t) for t in batch.column("content").to_pylist()]
+            keys = [sketch(runs_of(x, k), bands, picked) for x in codes]
+            columns = [pa.array(map(len, codes), pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *columns], names=["id", "key", "words", "bands"])
 
     return run
 
 
-def _verify_batches(k: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_batches(k: int, threshold: float) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            known: dict[str, np.ndarray] = {}
+            known: dict[str, Text] = {}
             linked = []
             for a, b in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
                 for t in (a, b):
                     if t not in known:
-                        known[t] = kmers_of(t, k)
-                linked.append(similarity(known[a], known[b], threshold) >= threshold)
+                        known[t] = Text(codes_of(t), k)
+                linked.append(alike(known[a], known[b], threshold))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
-def _kmer_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kmers = [kmers_of(t, k).view(np.int64) for t in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kmers, pa.list_(pa.int64()))], names=["id", "kmers"])
+def _pair_batches(batches: Batches) -> Batches:
+    """Labelled pairs of neighbouring words of each text."""
+    for batch in batches:
+        pairs = [runs_of(codes_of(t), 2).view(np.int64) for t in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("words"), pa.array(pairs, pa.list_(pa.int64()))], names=["id", "words", "pairs"])
 
-    return run
+
+def _code_batches(batches: Batches) -> Batches:
+    for batch in batches:
+        codes = [codes_of(t).view(np.int64) for t in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
 
 
-def _block_links(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _block_links(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Links of the asking texts to those of a block, one for each other component of the block: enough to join them."""
 
-    def rows(t: pa.Table) -> list[tuple[int, int, np.ndarray, set[int]]]:
-        arrays = [np.array(x, np.int64).view(np.uint64) for x in t.column("kmers").to_pylist()]
-        return list(zip(t.column("id").to_pylist(), t.column("root").to_pylist(), arrays, [set(a.tolist()) for a in arrays], strict=True))
+    def rows(t: pa.Table) -> list[tuple[int, int, Text]]:
+        texts = [Text(np.array(x, np.int64).view(np.uint64), k) for x in t.column("codes").to_pylist()]
+        return list(zip(t.column("id").to_pylist(), t.column("root").to_pylist(), texts, strict=True))
 
     def run(base: pa.Table, asking: pa.Table) -> pa.Table:
         a, b = [], []
-        there = rows(base)
-        for own, root, kmers, members in rows(asking):
+        there = rows(base) if len(asking) else []
+        for own, root, text in rows(asking):
             done = {root}
-            for other, other_root, other_kmers, other_members in there:
-                if other_root in done:
-                    continue
-                common, total = len(members & other_members), len(members) + len(other_members)
-                # The chain cannot be longer than what is common at all.
-                if common >= threshold * (total - common) and common and similarity(kmers, other_kmers, threshold) >= threshold:
+            for other, other_root, other_text in there:
+                if other_root not in done and alike(text, other_text, threshold):
                     a.append(other)
                     b.append(own)
                     done.add(other_root)
@@ -190,7 +256,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        pairs = written(small.where("u <> v").distinct(), name)
+        last, pairs = pairs, written(small.where("u <> v").distinct(), name)
+        dropped(last)
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -204,11 +271,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 def tree_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for links (a, b) with one smaller ``a`` at most for each ``b``: the smallest id that leads to it, by pointer jumping."""
     up = written(links.select(F.col("b").alias("id"), F.col("a").alias("root")), "trees")
+    jumped_from = up
     for _ in range(rounds):
         over = up.select(F.col("id").alias("root"), F.col("root").alias("over"))
         jumped = up.join(over, "root", "left").select("id", F.coalesce("over", "root").alias("root"), F.col("over").isNotNull().alias("moved"))
-        jumped = written(jumped, "trees")
-        up = jumped.select("id", "root")
+        last, jumped = jumped_from, written(jumped, "trees")
+        dropped(last)
+        jumped_from, up = jumped, jumped.select("id", "root")
         if jumped.where("moved").isEmpty():
             return up
     raise RuntimeError(f"trees did not settle in {rounds} rounds")
@@ -225,14 +294,16 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def rarest(texts: DataFrame, threshold: float) -> DataFrame:
-    """(band, id, kmers) for texts (id, kmers, short): a key for each of the rarest k-mers, enough that texts alike share one."""
-    each = written(texts.where("short IS NOT NULL").select("id", "kmers", F.explode("short").alias("kmer")), "short-kmers")
-    times = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("times"))
-    # A k-mer of one text alone comes first and joins nothing.
-    ranked = each.join(times.where("times > 1"), "kmer").groupBy("id", "kmers").agg(F.sort_array(F.collect_list(F.struct("times", "kmer"))).alias("ranked"))
-    prefix = F.col("kmers") - F.ceil(F.lit(threshold) * F.col("kmers") - 1e-9).cast("int") + 1
-    shared = F.slice("ranked", 1, F.greatest(prefix - (F.col("kmers") - F.size("ranked")), F.lit(0)))
-    return ranked.select(F.explode(shared).alias("r"), "id", "kmers").select(F.xxhash64(F.lit("kmer"), "r.kmer").alias("band"), "id", "kmers")
+    """(pair, id) for texts (id, words, pairs): each one's rarest pairs, as many as make texts that are alike share one."""
+    each = written(texts.select("id", "words", F.explode("pairs").alias("pair")), "pairs")
+    times = each.groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
+    # A pair of one text alone comes first and joins nothing.
+    ranked = each.join(times.where("times > 1"), "pair").groupBy("id", "words").agg(F.sort_array(F.collect_list(F.struct("times", "pair"))).alias("ranked"))
+    # An edit takes two pairs at most from either text.
+    shared = F.greatest(F.lit(1), F.ceil((1 - 2 * (1 - F.lit(threshold))) * F.col("words") - 1 - 1e-9).cast("int"))
+    prefix = (F.col("words") - 1) - shared + 1
+    alone = (F.col("words") - 1) - F.size("ranked")
+    return ranked.select("id", F.explode(F.slice("ranked", 1, F.greatest(prefix - alone, F.lit(0)))).alias("r")).select(F.col("r.pair").alias("pair"), "id")
 
 
 def classes(
@@ -241,41 +312,44 @@ def classes(
     text_col: str = "text",
     threshold: float = 0.8,
     k: int = 5,
-    bands: int = 24,
-    picked: int = 6,
+    bands: int = 32,
+    picked: int = 3,
     block: int = 256,
-    few: int = 30,
+    few: int = 50,
 ) -> DataFrame:
     """One row per input row: id, class_id, class_size, kept.
 
     ``class_id`` is the smallest id of the class, and its row is the one kept.
-    Texts equal after lower-casing and splitting into words are one class; those
-    of fewer than ``k`` words are like nothing else.  A null text counts as empty.
-    Rows that share an id are one document.  A row with a null id is a class of
-    its own: class_id null, class_size 1, kept.  Extra columns are ignored.
+    Texts equal after lower-casing and splitting into words are one class, and
+    so are texts without words; of texts of less than 1 / (1 - ``threshold``) words only
+    equal ones are alike.  A null text counts as empty.  Rows that share an id are
+    one document.  A row with a null id is a class of its own: class_id null,
+    class_size 1, kept.  Ids are integers.  Extra columns are ignored.
     """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("the threshold must lie over 0.5: below it, texts that are alike need not share a pair of words")
     spark = docs.sparkSession
     python_ready(spark)
     content = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), content.alias("content"))
     key = F.md5(F.trim(F.regexp_replace(F.lower("content"), r"\s+", " ")).cast("binary"))
     texts = rows.where("id IS NOT NULL").withColumn("key", key)
-    sketches = written(texts.mapInArrow(_sketch_batches(k, bands, picked, int((few - 1) / threshold + 1e-9)), SKETCH), "sketches")
+    sketches = written(texts.mapInArrow(_sketch_batches(k, bands, picked), SKETCH), "sketches")
+    near = rows.where("id IS NOT NULL")
 
-    firsts = written(sketches.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("kmers", "bands", "short")]), "first-of-copies")
-    of_copy = sketches.select("id", "key").join(firsts.select("key", "rep"), "key").select("id", "rep").distinct()
+    firsts = written(sketches.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("words", "bands")]), "first-of-copies")
+    of_copy = written(sketches.select("id", "key").join(firsts.select("key", "rep"), "key").select("id", "rep").distinct(), "of-copies")
+    dropped(sketches)
 
-    keyed = firsts.select(F.explode("bands").alias("band"), F.col("rep").alias("id"), "kmers")
-    keyed = keyed.unionByName(rarest(firsts.select(F.col("rep").alias("id"), "kmers", "short"), threshold))
+    keyed = firsts.select(F.explode("bands").alias("band"), F.col("rep").alias("id"), "words")
     leaders = keyed.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = written(keyed.join(leaders, "band"), "buckets")
-    sizes = members.select("id", "kmers").distinct()
-    close = F.least("kmers", "b_kmers") >= threshold * F.greatest("kmers", "b_kmers")  # fewer shared k-mers cannot reach it
+    sizes = members.select("id", "words").distinct()
+    close = F.least("words", "b_words") >= threshold * F.greatest("words", "b_words")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.join(sizes.select(F.col("id").alias("b"), F.col("kmers").alias("b_kmers")), "b")
+        wanted = pairs.join(sizes.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
         wanted = wanted.join(sizes.withColumnRenamed("id", "a"), "a").where(close).select("a", "b")
-        near = rows.where("id IS NOT NULL")
         both = wanted.join(near.select(F.col("id").alias("a"), F.col("content").alias("a_text")), "a")
         both = both.join(near.select(F.col("id").alias("b"), F.col("content").alias("b_text")), "b")
         return written(both.mapInArrow(_verify_batches(k, threshold), "a long, b long"), name)
@@ -288,27 +362,43 @@ def classes(
     second = written(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
     roots = merged(roots, verified(second, "second-links"))
 
-    # What is left: texts that share a bucket and whose components still differ.  Those outside a bucket's
-    # largest component are held against all of the bucket, block by block, inside the tasks.
-    rooted = written(_with_root(members.select("band", F.col("id").alias("a")), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root")), "rooted")
-    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-    mixed = written(parts.where("parts > 1").select("band", "major", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed")
-    held = written(rooted.join(mixed, "band"), "held")
-    arrays = rows.join(held.select("id").distinct(), "id").mapInArrow(_kmer_batches(k), "id long, kmers array<long>")
-    arrays = written(arrays.groupBy("id").agg(F.first("kmers").alias("kmers")), "held-kmers")
-    base = held.select("band", "id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).join(arrays, "id")
-    asking = held.where("root <> major").select("band", "id", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(arrays, "id")
+    # Texts of buckets that still have several components, and short ones, by their rarest pairs of words.
+    rooted = _with_root(members.select("band", F.col("id").alias("a")), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
+    short = firsts.where(F.col("words").between(2, int((few - 1) / threshold + 1e-9))).select(F.col("rep").alias("id"), "words")
+    held = written(members.join(mixed, "band").select("id", "words").union(short).distinct(), "held")
+    pairs = near.join(held, "id").mapInArrow(_pair_batches, "id long, words int, pairs array<long>")
+    # An id may have several texts: all of their pairs.
+    shared = written(rarest(pairs, threshold).distinct(), "shared-pairs")
+    shared = _with_root(shared.withColumnRenamed("id", "a"), roots, "a").select("pair", F.col("a").alias("id"), F.col("a_root").alias("root"))
+    shared = written(shared, "rooted-pairs")
+    parts = shared.groupBy("pair", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("pair")
+    parts = parts.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
+    # Those outside the largest component of a pair are aligned with all of it, blocks with blocks.
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    parts = written(parts.select("pair", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("others")), "mixed-pairs")
+    apart = written(shared.join(parts, "pair"), "apart")
+    codes = near.join(apart.select("id").distinct(), "id").mapInArrow(_code_batches, "id long, codes array<long>")
+    codes = written(codes, "codes")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = apart.select("pair", "id", "root", own(F.col("blocks")).alias("block"), every(F.col("others")).alias("other")).join(codes, "id")
+    asking = apart.where("root <> major").select("pair", "id", "root", own(F.col("others")).alias("other"), every(F.col("blocks")).alias("block")).join(codes, "id")
     base, asking = base.toDF(*base.columns), asking.toDF(*asking.columns)  # attributes of their own
-    third = base.groupBy("band", "block").cogroup(asking.groupBy("band", "block")).applyInArrow(_block_links(threshold), "a long, b long")
+    by = ["pair", "block", "other"]
+    third = base.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(_block_links(k, threshold), "a long, b long")
     # An id with several texts joins their classes.
     least = of_copy.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
-    shared = of_copy.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    roots = merged(roots, written(third.unionByName(shared), "third-links"))
+    several = of_copy.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    roots = merged(roots, written(third.unionByName(several), "third-links"))
+    for spent in (members, first, second, held, shared, apart, codes, parts):
+        dropped(spent)
 
     named = of_copy.groupBy("id").agg(F.min("rep").alias("rep"))
     named = named.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     named = written(named, "classes")
+    for spent in (firsts, of_copy, roots):
+        dropped(spent)
     of = named.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
     out = rows.select("id").join(of, "id", "left")
     root = F.coalesce(F.col("root"), F.col("id"))
