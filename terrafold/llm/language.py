@@ -7,8 +7,8 @@ marginals, so words of a code-switched text get their own labels; the language o
 a document is the one with the largest sum of marginals over its letters, the
 score its share.
 
-Chains run over ``CHAIN`` words at most, which bounds memory for texts of any
-length; all words of a text are labelled.
+A chain is a whole text.  Training follows the gradient of the chains' likelihood:
+emissions by the marginals of words, transitions by those of pairs of words.
 """
 
 from __future__ import annotations
@@ -19,22 +19,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from terrafold.llm.common import columns_of, crc_mod, python_ready
+from terrafold.llm.common import columns_of, crc_mod, id_type, python_ready
 from terrafold.llm.words import char_table, mixed, word_table
 
 BITS = 17
-CHAIN = 64
 LONGEST = 40
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+APOSTROPHES = str.maketrans("", "", "'’")
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters; over-long ones in parts."""
-    return [w[i : i + LONGEST] for w in WORD.findall(text.lower()) for i in range(0, len(w), LONGEST)]
+    """Lower-cased runs of letters (Unicode's category L); over-long ones in parts."""
+    out = []
+    for w in WORD.findall(text.lower()):
+        letters = w.isalpha() or w.translate(APOSTROPHES).isalpha()
+        # Signs that count as numbers, such as fractions, are no letters.
+        parts = [w] if letters else [x.strip("'’") for x in "".join(c if c.isalpha() or c in "'’" else " " for c in w).split()]
+        out += [x[i : i + LONGEST] for x in parts for i in range(0, len(x), LONGEST)]
+    return out
 
 
 def _features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,12 +75,15 @@ class Model:
                 out[:, k] += np.bincount(owner, self.weights[feature, k], len(words))
         return out
 
-    def marginals(self, emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Marginals of all words; chain i covers rows starts[i] to starts[i] + lengths[i]."""
+    def marginals(self, emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of all words; chain i covers rows starts[i] to starts[i] + lengths[i].
+
+        Those of neighbouring words together are added up in ``pairs`` (from, to), where it is given.
+        """
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         steps = int(lengths[0]) if len(lengths) else 0
-        alive = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(steps)]  # chains longer than t
+        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # chains longer than t
         local = np.exp(emissions - emissions.max(axis=1, keepdims=True))
         tie = np.exp(self.transitions - self.transitions.max())
         forward, out = np.empty_like(local), np.empty_like(local)
@@ -87,7 +97,11 @@ class Model:
             at = starts[:n] + t
             m = forward[at] * backward[:n]
             out[at] = m / m.sum(axis=1, keepdims=True)
-            b = (local[at] * backward[:n]) @ tie.T
+            ahead = local[at] * backward[:n]
+            if pairs is not None and t:
+                both = forward[at - 1][:, :, None] * tie * ahead[:, None, :]
+                pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            b = ahead @ tie.T
             backward[:n] = b / b.sum(axis=1, keepdims=True)
         return out
 
@@ -97,10 +111,8 @@ class Model:
         distinct, codes, bounds = word_table(words)
         if not len(codes):
             return words, np.zeros((0, len(self.labels)), np.float32), bounds
-        pairs = [(np.arange(a, b, CHAIN), b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
-        starts = np.concatenate([p for p, _ in pairs])
-        ends = np.concatenate([np.minimum(p + CHAIN, b) for p, b in pairs])
-        return words, self.marginals(self.emissions(distinct)[codes], starts, ends - starts), bounds
+        full = np.flatnonzero(np.diff(bounds))
+        return words, self.marginals(self.emissions(distinct)[codes], bounds[full], np.diff(bounds)[full]), bounds
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -117,12 +129,28 @@ class Model:
         return names, scores
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.3, longest: int = 256, seed: int = 11) -> Model:
+def gradient(model: Model, codes: np.ndarray, bounds: np.ndarray, distinct: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of minus the log-likelihood of labels ``y``: (distinct word, label) for the emissions, (from, to) for the transitions."""
+    pairs = np.zeros_like(model.transitions, dtype=np.float64)
+    p = model.marginals(model.emissions(distinct)[codes], bounds[:-1], np.diff(bounds), pairs)
+    p[np.arange(len(y)), y] -= 1
+    by_word = np.stack([np.bincount(codes, p[:, k], len(distinct)) for k in range(len(model.labels))], axis=1)
+    inner = np.ones(len(y), bool)
+    inner[bounds[1:] - 1] = False
+    left = np.flatnonzero(inner)
+    np.subtract.at(pairs, (y[left], y[left + 1]), 1)
+    return by_word, pairs
+
+
+def train(
+    texts: list[str], labels: list[str], epochs: int = 4, batch: int = 64, rate: float = 0.3, longest: int = 256, stretches: int = 4, seed: int = 11
+) -> Model:
     """A model from texts whose words all have the text's label; by AdaGrad on the likelihood of the chains.
 
-    Each text gives a stretch of ``longest`` words from a random place, so long
-    texts do not outweigh the rest.  Where training texts are of one language
-    each, transitions are learnt from pairs of them put next to each other, too.
+    A chain is a stretch of at most ``longest`` words; in each epoch a text gives all
+    of its own, or ``stretches`` of them drawn at random, so that long texts do not
+    outweigh the rest.  Where training texts are of one language each, transitions
+    are learnt from pairs of them put next to each other, too.
     """
     names = sorted(set(labels))
     model = Model(names, np.zeros((1 << BITS, len(names)), np.float32), np.eye(len(names), dtype=np.float32))
@@ -130,59 +158,56 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64,
         return model
     rng = np.random.default_rng(seed)
     known = {n: k for k, n in enumerate(names)}
-    docs = [(w, known[y]) for w, y in ((words_of(t), y) for t, y in zip(texts, labels, strict=True)) if w]
+    docs = [([w[i : i + longest] for i in range(0, len(w), longest)], known[y]) for w, y in ((words_of(t), y) for t, y in zip(texts, labels, strict=True))]
     grad_w, grad_t = np.full_like(model.weights, 1e-6), np.full_like(model.transitions, 1e-6)
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
+        drawn = [(x, y) for own, y in docs for x in (own if len(own) <= stretches else [own[i] for i in rng.choice(len(own), stretches, replace=False)])]
+        order = rng.permutation(len(drawn))
         for at in range(0, len(order), batch):
             chains, targets = [], []
-            part = [docs[i] for i in order[at : at + batch]]
+            part = [drawn[i] for i in order[at : at + batch]]
             for k, (words, y) in enumerate(part):
-                start = int(rng.integers(0, max(1, len(words) - longest + 1)))
-                stretch, truth = words[start : start + longest], [y] * min(longest, len(words) - start)
-                if k % 4 == 0:  # code-switched: the beginning of another text follows
+                truth = [y] * len(words)
+                if k % 4 == 0:  # code-switched: the beginning of another stretch follows, then the first goes on
                     other, z = part[(k + 1) % len(part)]
-                    stretch, truth = stretch[:32] + other[:32], truth[:32] + [z] * len(other[:32])
-                for i in range(0, len(stretch), CHAIN):
-                    chains.append(stretch[i : i + CHAIN])
-                    targets.append(truth[i : i + CHAIN])
+                    words, truth = words[:32] + other[:32] + words[32:], truth[:32] + [z] * len(other[:32]) + truth[32:]
+                chains.append(words)
+                targets.append(truth)
             distinct, codes, bounds = word_table(chains)
-            y = np.concatenate([np.array(t) for t in targets])
-            p = model.marginals(model.emissions(distinct)[codes], bounds[:-1], np.diff(bounds))
-            error = p.copy()
-            error[np.arange(len(y)), y] -= 1
-            by_word = np.stack([np.bincount(codes, error[:, k], len(distinct)) for k in range(len(names))], axis=1) / len(y) * 64
+            y = np.concatenate([np.array(t, np.int64) for t in targets])
+            by_word, pairs = gradient(model, codes, bounds, distinct, y)
+            by_word, g = by_word / len(y) * 64, pairs / len(y) * 64
+            grad_t += g**2
+            model.transitions -= (rate * g / np.sqrt(grad_t)).astype(np.float32)
             for owner, feature in _features(distinct):
                 g = np.stack([np.bincount(feature, by_word[owner, k], 1 << BITS) for k in range(len(names))], axis=1)
                 hit = np.flatnonzero(np.abs(g).sum(axis=1))
                 grad_w[hit] += g[hit] ** 2
                 model.weights[hit] -= rate * g[hit] / np.sqrt(grad_w[hit])
-            # Expected transitions by the product of neighbouring marginals, the chain's first-order part.
-            inner = np.ones(len(y), bool)
-            inner[bounds[1:] - 1] = False
-            left = np.flatnonzero(inner)
-            g = p[left].T @ p[left + 1]
-            np.subtract.at(g, (y[left], y[left + 1]), 1)
-            g = g / max(1, len(left)) * 64
-            grad_t += g**2
-            model.transitions -= rate * g / np.sqrt(grad_t)
     return model
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = 3000) -> Model:
-    """A model from at most ``train_rows`` rows with a language, as many of each: those with the smallest hashes of their ids."""
-    rows = columns_of(docs, id_col, text_col, lang_col).where(f"`{lang_col}` IS NOT NULL AND `{text_col}` IS NOT NULL AND `{id_col}` IS NOT NULL")
-    names = [r[0] for r in rows.select(F.col(f"`{lang_col}`")).distinct().collect()]
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = 3000, most_labels: int = 1000) -> Model:
+    """A model from at most ``train_rows`` rows with a language, as many of each (no more than 1000): those with the smallest hashes of their ids.
+
+    More than ``most_labels`` languages are an error.
+    """
+    rows = columns_of(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    # Up to that limit Spark keeps each language's first rows where they are read, before they are shuffled.
+    each = min(1000, train_rows)
+    first = rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= each).limit(each * most_labels + 1).collect()
+    names = sorted({r["lang"] for r in first})
+    if len(names) > most_labels:
+        raise ValueError(f"more than {most_labels} languages")
     each = max(1, train_rows // max(1, len(names)))
+    ids = [(r["id"], r["lang"]) for r in first if r["place"] <= each]
     sample: list[tuple[str, str]] = []
-    ids: list[tuple[int, str]] = []
-    for name in sorted(names):
-        own = rows.where(F.col(f"`{lang_col}`") == name).select(F.col(f"`{id_col}`").cast("long").alias("id"))
-        ids += [(r[0], name) for r in own.orderBy(F.xxhash64("id"), "id").limit(each).collect()]
     if ids:
-        chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "picked long, name string").dropDuplicates(["picked"]))  # train_rows rows at most
-        got = rows.join(chosen, (F.col(f"`{id_col}`") == F.col("picked")) & (F.col(f"`{lang_col}`") == F.col("name")))
-        sample = sorted((r[1], r[0]) for r in got.select(F.col(f"`{text_col}`"), "name").collect())
+        schema = StructType([StructField("picked", rows.schema["id"].dataType), StructField("name", rows.schema["lang"].dataType)])
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, schema).distinct())  # train_rows rows at most
+        got = rows.join(chosen, (F.col("id") == F.col("picked")) & (F.col("lang") == F.col("name")))
+        sample = sorted((r["name"], r["text"]) for r in got.select("text", "name").collect())
     return train([t for _, t in sample], [name for name, _ in sample])
 
 
@@ -211,14 +236,14 @@ def identify(
     Learns from text and non-null language of rows whose crc32(id as text) mod
     ``folds`` is not ``held_out``; a prediction depends on the text alone.  A null
     text, or one without a letter, is ``und`` with score 0, and so is every text
-    when there is nothing to learn from.  Null ids are in no fold.  Extra columns
-    are ignored.
+    when there is nothing to learn from.  Ids keep their type; null ids are in no
+    fold.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     python_ready(spark)
     model = fit(docs.where(crc_mod(F.col(f"`{id_col}`"), folds) != held_out), id_col, text_col, lang_col, train_rows)
-    rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("content"))
-    predicted = rows.mapInArrow(_predict_batches(model), "id long, lang_pred string, score double")
+    rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("content"))
+    predicted = rows.mapInArrow(_predict_batches(model), f"id {id_type(docs, id_col)}, lang_pred string, score double")
     return predicted.select(
         F.col("id").alias(id_col), F.coalesce(crc_mod(F.col("id"), folds) == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
