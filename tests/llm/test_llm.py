@@ -171,8 +171,22 @@ def test_packing_round_trip(spark, docs):
             at += length
         assert at <= 2048
     assert len(bins) <= math.ceil(sum(map(len, ids.values())) / 2048) + 1
-    text = "x <|endoftext|> y  z"
-    assert packing._encoder(tokenizer("byte_bpe_50k.json"))([text, "plain  text\n\n é"]) == [tok.encode(t, add_special_tokens=False).ids for t in (text, "plain  text\n\n é")]
+
+
+def test_packing_ids_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["x <|endoftext|> y  z", "plain  text\n\n é", " " * 1_000_000, "\n" * 300_000 + "a", " \t" * 2000 + "b", "\u2003" * 100_000, "a" * 100_000, "don't I'LL 12ab\u00b2", "\u200b\u0301 中文 😀"]
+    plain = [c for c in map(chr, range(0x2100)) if not packing.UNSURE.search(c)]
+    assert len(plain) > 500
+    for c in plain:  # each plain character between letters, digits, spaces, signs and itself
+        texts.append("".join(f"a{c}b {c} 1{c}2 {c}x{c}{c}\n{c}.{c},  {c}{c} {other}{c}" for other in "é'½"))
+    assert packing._encoder(path)(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([("one", " " * 1_000_000), ("two", None)], "doc_id string, text string")
+    rows = packing.pack(docs, path).collect()
+    assert sum(r.length for r in rows if r.doc_id == "one") == len(tok.encode(" " * 1_000_000).ids) + 1 and sum(r.doc_id == "two" for r in rows) == 1
 
 
 @pytest.mark.parametrize("capacity", [10, 100, 2048])
@@ -254,10 +268,55 @@ def test_language_held_out(spark):
     rows = language.identify(docs, train_rows=400).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert all(r.held_out == (crc(r.doc_id, 4) == 2) for r in rows)
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
-    none = spark.createDataFrame([(1, None, "en"), (2, "12 34!", "de")], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([(1, None, "en"), (2, "12 34!", "de"), (3, "½ ² ① Ⅷ _", "de"), (4, "", None)], "doc_id long, text string, lang string")
     assert {tuple(r)[2:] for r in language.identify(none).collect()} == {("und", 0.0)}
 
 
+def test_language_words_are_letters():
+    assert language.words_of("½ ² ① Ⅷ _ 12") == [] and language.words_of("Aujourd'hui x²y 'tis l’été") == ["aujourd'hui", "x", "y", "tis", "l’été"]
+
+
+def test_language_labels_code_switched_words(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND length(text) > 400").orderBy("doc_id").collect()
+    train, test = [r for r in rows if r.doc_id % 4], [r for r in rows if r.doc_id % 4 == 0]
+    model = language.train([r.text for r in train], [r.lang for r in train])
+    right = total = 0
+    for a, b in zip(test, test[1:], strict=False):
+        if a.lang != b.lang:
+            parts = [language.words_of(a.text)[:30], language.words_of(b.text)[:30], language.words_of(a.text)[30:45]]
+            words, marginals, _ = model.label([" ".join(w for p in parts for w in p)])
+            truth = [a.lang] * len(parts[0]) + [b.lang] * len(parts[1]) + [a.lang] * len(parts[2])
+            right += sum(model.labels[k] == t for k, t in zip(marginals.argmax(axis=1), truth, strict=True))
+            total += len(words[0])
+    assert total > 2000 and right / total > 0.9
+
+
+def test_language_gradient():
+    rng = np.random.default_rng(4)
+    model = language.Model(["a", "b", "c"], np.zeros((1 << language.BITS, 3)), rng.standard_normal((3, 3)))
+    distinct = ["x", "yy", "zzz"]
+    codes, bounds, y = rng.integers(0, 3, 9), np.array([0, 5, 6, 9]), rng.integers(0, 3, 9)
+    emissions = rng.standard_normal((3, 3))
+    model.emissions = lambda words: emissions
+
+    def loss():
+        total = 0.0
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            paths = [emissions[codes[a:b], s].sum() + sum(model.transitions[i, j] for i, j in zip(s, s[1:], strict=False)) for s in np.stack(np.meshgrid(*[range(3)] * (b - a), indexing="ij"), -1).reshape(-1, b - a)]
+            own = y[a:b]
+            total += np.log(np.exp(paths).sum()) - emissions[codes[a:b], own].sum() - sum(model.transitions[i, j] for i, j in zip(own, own[1:], strict=False))
+        return total
+
+    by_word, pairs = language.gradient(model, codes, bounds, distinct, y)
+    for table, g in ((emissions, by_word), (model.transitions, pairs)):
+        for at in np.ndindex(3, 3):
+            table[at] += 1e-5
+            up = loss()
+            table[at] -= 2e-5
+            assert (up - loss()) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+            table[at] += 1e-5
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(1)
     model = language.Model(["a", "b"], np.zeros((1, 2), np.float32), rng.standard_normal((2, 2)).astype(np.float32))
@@ -273,13 +332,51 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(got[start : start + n], weight / weight.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def edits(a, b):
+    """Edit distance by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[j - 1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
+
+
+def classes_by_force(texts, threshold=0.8):
+    """Smallest index of the component of each text, by the edit distance of all pairs that have enough words in common."""
+    words = [t.lower().split() for t in texts]
+    bags, root = [Counter(w) for w in words], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            longer = max(len(words[i]), len(words[j]))
+            limit = (1 - threshold) * longer + 1e-9
+            if abs(len(words[i]) - len(words[j])) > limit or top(i) == top(j):
+                continue
+            if longer - sum((bags[i] & bags[j]).values()) <= limit and edits(words[i], words[j]) <= limit:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def near_classes(spark, texts, **how):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(0)
     base = [f"w{x}" for x in rng.integers(0, 400, 300)]
     few, many = list(base), list(base)
-    for i in (40, 160):
-        few[i] = "changed"
     for i in range(0, 300, 12):
+        few[i] = "changed"
+    for i in range(0, 300, 4):
         many[i] = f"new{i}"
     rows = [(1, " ".join(base)), (2, " ".join(few)), (3, " ".join(many)), (4, " ".join(base).upper()), (5, "a b c"), (6, "a b c d"), (7, None), (8, ""), (9, " ".join(base[::-1]))]
     got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -290,43 +387,71 @@ def test_near_duplicates(spark):
 def test_near_duplicates_among_short_texts(spark):
     rng = np.random.default_rng(6)
     texts = []
-    for group in range(60):
-        words = [f"g{group}x{x}" for x in range(rng.integers(8, 42))]
-        texts += [words, words[:-1], words[1:], words[: len(words) // 2], [*words, "more"], [*words[:-1], "other"]]
+    for group in range(40):
+        words = [f"g{group}x{x}" for x in range(rng.integers(4, 48))]
+        swapped = [f"o{x}" if x % 6 == 2 else w for x, w in enumerate(words)]
+        texts += [words, words[:-1], words[1:], words[: len(words) // 2], [*words, "more"], [*words[:-1], "other"], swapped]
     common = [f"c{x}" for x in range(7)]  # a run that many texts begin with
     texts += [[*common, *(f"t{n}x{x}" for x in range(n % 6))] for n in range(60)]
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    kmers = [near_dup.kmers_of(t, 5) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            small, large = sorted((len(kmers[i]), len(kmers[j])))
-            if small < 30 and rows[i][1] == rows[j][1] or small and small >= 0.8 * large and near_dup.similarity(kmers[i], kmers[j], 0.8) >= 0.8:
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: top(i) for i in range(len(rows))}
+    texts = [" ".join(t) for t in texts]
+    want = classes_by_force(texts)
+    assert near_classes(spark, texts) == want
+    assert near_classes(spark, texts, block=2) == want
     nine = "one two three four five six seven eight nine"
-    pair = spark.createDataFrame([(1, nine), (2, nine.rsplit(" ", 1)[0])], "doc_id long, text string")
-    assert {r.class_id for r in near_dup.classes(pair).collect()} == {1}
+    assert near_classes(spark, [nine, nine.rsplit(" ", 1)[0]]) == [0, 0]
 
 
-def test_near_duplicates_lose_no_link(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    cls = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
-    kmers = {r.doc_id: near_dup.kmers_of(r.text or "", 5) for r in docs.collect()}
-    inv = defaultdict(list)
-    for i, k in kmers.items():
-        for x in sorted(k.tolist())[:80]:
-            inv[x].append(i)
-    pairs = {(a, b) for v in inv.values() for a in v for b in v if a < b}
-    assert not [p for p in pairs if near_dup.similarity(kmers[p[0]], kmers[p[1]], 0.8) >= 0.8 and cls[p[0]] != cls[p[1]]]
+def test_near_duplicates_in_mixed_buckets(spark):
+    rng = np.random.default_rng(9)
+    passage = [f"p{x}" for x in range(80)]
+    texts = []
+    for group in range(30):  # all share a passage that makes up most of them; some are copies with edits, too
+        own = [f"g{group}x{x}" for x in rng.integers(0, 90, 60)]
+        for copy in range(1 + group % 4):
+            words = [f"e{rng.integers(10**6)}" if rng.random() < 0.06 else w for w in own]
+            texts.append(" ".join(passage + words if copy % 2 else words[:30] + passage + words[30:]))
+    want = classes_by_force(texts)
+    assert len(set(want)) > 25 and near_classes(spark, texts) == want and near_classes(spark, texts, block=3) == want
+
+
+def test_near_duplicates_lose_and_invent_no_link(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    texts = [t for t in texts if len(t.split()) <= 700][:600]
+    assert near_classes(spark, texts) == classes_by_force(texts)
+
+
+def test_near_duplicates_are_caught(spark):
+    """Planted copies with 8 % of the words changed, left out or put in, against a corpus of others."""
+    rng = np.random.default_rng(12)
+    texts, want = [], []
+    for group in range(150):
+        words = [f"w{x}" for x in rng.zipf(1.2, rng.integers(50, 400)) % 5000]
+        for copy in range(2):
+            out = []
+            for w in words:
+                kind = rng.random() if copy else 1.0
+                out += [[f"n{rng.integers(999)}"], [], [w, "put"], [w]][0 if kind < 0.03 else 1 if kind < 0.055 else 2 if kind < 0.08 else 3]
+            texts.append(" ".join(out))
+            want.append(2 * group)
+    got = near_classes(spark, texts)
+    assert np.mean([g == w for g, w in zip(got[1::2], want[1::2], strict=True)]) >= 0.98
+    assert all(g in (w, w + 1) for g, w in zip(got, want, strict=True))
+
+
+def test_alignment_decides_as_the_edit_distance():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = rng.integers(0, 6 if rng.random() < 0.3 else 99, rng.integers(0, 40)).astype(np.uint64)
+        b = a.copy()
+        for _ in range(rng.integers(0, 9)):
+            at = int(rng.integers(0, len(b) + 1))
+            b = [np.delete(b, at) if at < len(b) else b, np.insert(b, at, 7), np.concatenate([b[at:], b[:at]])][rng.integers(0, 3 if rng.random() < 0.1 else 2)]
+        true, longer = edits(a.tolist(), b.tolist()), max(len(a), len(b))
+        for limit in (0, 2, 5, 40):
+            assert near_dup.distance(a, b, limit) == min(true, limit + 1)
+        x, y = near_dup.Text(a, 5), near_dup.Text(b, 5)
+        assert near_dup.chained(x, y, 40) >= true
+        assert near_dup.alike(x, y, 0.8) == near_dup.alike(y, x, 0.8) == (true <= 0.2 * longer + 1e-9)
 
 
 def test_chain_is_longest():
@@ -337,7 +462,8 @@ def test_chain_is_longest():
         for i in range(9):
             for j in range(9):
                 best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + (a[i] == b[j]))
-        assert near_dup.chain(a, b, 99) == best[9, 9]
+        i, j = near_dup.chain(a, b, 99)
+        assert len(i) == best[9, 9] and (a[i] == b[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
 
 
 def test_toxicity_held_out(spark):
