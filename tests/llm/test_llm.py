@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,6 +498,10 @@ def test_lm_base_and_model(spark, docs):
         assert r.score < 0
 
 
+def lm_scores(sequences, model):
+    return lm_score.log10_probabilities(np.concatenate(sequences), np.array([len(x) for x in sequences]), model, at_once=3, together=2)
+
+
 def test_lm_windows_score_each_id_once_and_add_to_one():
     rng = np.random.default_rng(0)
     size = 300
@@ -505,14 +510,17 @@ def test_lm_windows_score_each_id_once_and_add_to_one():
     model.p["u"] *= 20
     for n in (1, 23, 24, 25, 100):
         ids = rng.integers(0, size, n)
-        rows, target, real, owners = lm_score.windows([ids, ids[:1]], vocab)
+        rows, target, real, owners = lm_score.windows(np.append(ids, ids[:1]), np.array([n, 1]), vocab)
         assert real.sum() == n + 1 and target[owners == 0][real[owners == 0]].tolist() == vocab.place[ids].tolist()
-        assert lm_score.log10_probabilities([ids[::-1], ids], model)[1] == pytest.approx(lm_score.log10_probabilities([ids], model)[0])
+        assert lm_scores([ids[::-1], ids], model)[1] == pytest.approx(lm_scores([ids], model)[0])
     for n in (0, 5, 30):
         head = rng.integers(0, size, n)
-        every = lm_score.log10_probabilities([np.append(head, x) for x in range(size + 1)], model)
-        before = lm_score.log10_probabilities([head], model)[0] if n else 0.0
+        every = lm_scores([np.append(head, x) for x in range(size + 1)], model)
+        before = lm_scores([head], model)[0] if n else 0.0
         assert abs((10 ** (every - before)).sum() - 1) < 1e-3
+    plain = lm_scores([head], model)
+    model.p["qkv"][:, : 2 * lm_score.KEY] *= 100  # attention weights that overflow are taken against the largest
+    assert np.isfinite(lm_scores([head], model)).all() and lm_scores([head], model) != plain
 
 
 def test_lm_gradient(monkeypatch):
@@ -538,16 +546,15 @@ def test_lm_gradient(monkeypatch):
 def test_lm_training_grows_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SHARD_ROWS", 50)
     monkeypatch.setattr(lm_score, "ONE_IN", 1)
-    path = tokenizer("byte_bpe_50k.tiktoken")
-    ids_of, size = lm_score.subwords(path)
-    rows = [(i, np.append(ids_of(lm_score.words_of(f"one two three four {i} " * 8)), size).astype("<u4").tobytes()) for i in range(1200)]
+    ids_of, size = lm_score.subwords(tokenizer("byte_bpe_50k.tiktoken"))
+    ids, lengths, _ = lm_score.sequences_of(pa.array([f"one two three four {i} " * 8 for i in range(1200)]), ids_of, size)
+    rows = list(enumerate(lm_score._binary(ids, lengths, size).to_pylist()))
     docs = spark.createDataFrame(rows, "id long, ids binary")
-    sequences = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in rows[:50]]
-    vocab = lm_score.Vocabulary(np.bincount(np.concatenate(sequences), minlength=size + 1).astype(float))
-    start = lm_score.train(sequences, vocab, steps=2)
+    vocab = lm_score.Vocabulary(np.bincount(ids, minlength=size + 1).astype(float))
+    start = lm_score.train(ids, lengths, vocab, steps=2)
     after = lm_score.trained_on(start, docs)
     again = lm_score.trained_on(start, docs.repartition(7))
-    before, then = (lm_score.log10_probabilities(sequences, m).sum() for m in (start, after))
+    before, then = (lm_score.log10_probabilities(ids, lengths, m).sum() for m in (start, after))
     assert then > before + 1
     assert all(np.allclose(after.p[k], again.p[k], atol=1e-5) for k in after.p)
 
@@ -560,9 +567,13 @@ def test_lm_scores_held_out_text_better_than_the_base(spark):
 
 def test_lm_encodes_long_words_and_odd_spaces():
     ids_of, size = lm_score.subwords(tokenizer("byte_bpe_50k.tiktoken"))
-    for text in ("x" * 5000, "\u00a0" * 300_000, "a \u2003\u2003 b", "", "ä" * 3000):
-        ids = ids_of(lm_score.words_of(text))
-        assert ids.dtype == np.int64 and (len(ids) == 0) == (not lm_score.words_of(text)) and (ids < size).all()
+    texts = ["x" * 5000, "\u00a0" * 300_000, "a \u2003\u2003 b", "", "Ä" * 3000, " \t A\x0bb\x0c\r\nc ", "É", "a a a"]
+    ids, lengths, (words, codes, bounds) = lm_score.sequences_of(pa.array(texts), ids_of, size)
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    assert [[words[c] for c in codes[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == split
+    assert [x[-1] for x in np.split(ids, np.cumsum(lengths)[:-1])] == [size] * len(texts) and lengths[3] == 1
+    one = lambda ws: ids_of(ws)[0].tolist()
+    assert np.split(ids, np.cumsum(lengths)[:-1])[5].tolist() == [*one(["a"]), *one(["b"]), *one(["c"]), size]
 
 
 def test_sql_oracles(spark):
