@@ -570,9 +570,13 @@ def test_lm_encodes_long_words_and_odd_spaces():
     texts = ["x" * 5000, "\u00a0" * 300_000, "a \u2003\u2003 b", "", "Ä" * 3000, " \t A\x0bb\x0c\r\nc ", "É", "a a a"]
     ids, lengths, (words, codes, bounds) = lm_score.sequences_of(pa.array(texts), ids_of, size)
     split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    words = words.to_pylist()
     assert [[words[c] for c in codes[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == split
     assert [x[-1] for x in np.split(ids, np.cumsum(lengths)[:-1])] == [size] * len(texts) and lengths[3] == 1
-    one = lambda ws: ids_of(ws)[0].tolist()
+    one = lambda ws: ids_of(pa.array(ws))[0].tolist()
+    many = ["a", "\u00a0x", "b\u00a0", "don't", "12ab", "...", "\u2003\u2003", "日本", "a\u00a0\u00a0b"]
+    flat, sizes = ids_of(pa.array(many))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [one([w]) for w in many]
     assert np.split(ids, np.cumsum(lengths)[:-1])[5].tolist() == [*one(["a"]), *one(["b"]), *one(["c"]), size]
 
 
