@@ -4,14 +4,15 @@ A spaced seed is a fixed mask over a window of tokens: positions marked 1 are
 hashed, those marked 0 are ignored, so a substitution that falls on a 0 still
 hits.  Every window of every document is hashed under each mask inside one
 generated-code stage (explode, hash, probe) and probed against the hashes of the
-benchmark; a hit fixes a document, an item and an alignment (diagonal).  The
-document's tokens under the item are cut out there and then, so neither texts
-nor windows are shuffled: only hits are.  Each distinct alignment is then
-verified: some ungapped stretch of it must match enough tokens and agree in a
-share of its length.  Of all such stretches the one that matches most counts.
-
-Benchmarks of any size are handled in blocks: each block's hashes stay under
-``block_seeds`` rows, which bounds what is broadcast.
+benchmark; a hit fixes a document, an item and an alignment (diagonal).  Neither
+texts nor windows are shuffled: only hits are, without their tokens.  Each distinct
+alignment is then verified against the tokens of its document and item: some
+ungapped stretch of it must match enough tokens and agree in a share of its
+length.  Of all such stretches the one that matches most counts.
+
+What is broadcast is hash, item number and place of a seed, so a long item costs no
+more than its seeds.  Benchmarks of any size are handled in blocks: each block's
+hashes stay under ``block_seeds`` rows, which bounds the bytes that are broadcast.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _whole_hash(tokens: Column, length: Column) -> Column:
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(h, item_id, item_tokens, at): each window hash of each item of (item_id, item_tokens).
+    """(h, item, at): each window hash of each item of (item, item_tokens).
 
     Items shorter than the longest mask have one seed, of the whole item.
     """
@@ -52,19 +53,12 @@ def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     size = F.size("item_tokens")
     windows = (
         items.where(size >= longest)
-        .select("item_id", "item_tokens", F.explode(F.sequence(F.lit(0), size - min(map(len, masks)))).alias("at"))
-        .select(
-            "item_id",
-            "item_tokens",
-            "at",
-            F.explode(F.array(*[F.when(F.col("at") + len(m) <= size, _window_hash(m, "item_tokens", F.col("at"))) for m in masks])).alias("h"),
-        )
+        .select("item", "item_tokens", F.explode(F.sequence(F.lit(0), size - min(map(len, masks)))).alias("at"))
+        .select("item", "at", F.explode(F.array(*[F.when(F.col("at") + len(m) <= size, _window_hash(m, "item_tokens", F.col("at"))) for m in masks])).alias("h"))
         .where("h is not null")
     )
-    short = items.where((size > 0) & (size < longest)).select(
-        "item_id", "item_tokens", F.lit(0).alias("at"), _whole_hash(F.col("item_tokens"), size).alias("h")
-    )
-    return windows.unionByName(short).select("h", "item_id", "item_tokens", "at")
+    short = items.where((size > 0) & (size < longest)).select("item", F.lit(0).alias("at"), _whole_hash(F.col("item_tokens"), size).alias("h"))
+    return windows.unionByName(short).select("h", "item", "at")
 
 
 def _document_seeds(docs: DataFrame, masks: tuple[str, ...], short_lengths: list[int]) -> DataFrame:
@@ -137,6 +131,7 @@ def overlaps(
     min_tokens: int = 13,
     min_identity: float = 0.8,
     block_seeds: int = 400_000,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Verified overlaps: id, item_id, doc_start, matched, length, item_tokens, covers.
 
@@ -146,7 +141,7 @@ def overlaps(
     ``min_tokens`` tokens (all of a shorter item) and ``min_identity`` of its
     length; every stretch of an alignment is considered, of which the one with most
     matches, then the shortest, is reported.  Null and empty texts, on either side, overlap nothing; repeated rows
-    give the row of their id once; ties go to the first alignment.  Extra columns
+    give the row of their id once; a null id overlaps nothing; ties go to the first alignment.  Extra columns
     are ignored; an empty table on either side gives an empty result.
     """
     items = (
@@ -155,6 +150,7 @@ def overlaps(
         .where(F.size("item_tokens") > 0)
         .dropDuplicates()
     )
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
     longest = max(map(len, masks))
     # Items are dealt to blocks by their seeds, so that each block broadcasts a bounded table.
     sizes = items.agg(
@@ -162,39 +158,28 @@ def overlaps(
         F.array_sort(F.collect_set(F.when(F.size("item_tokens") < longest, F.size("item_tokens")))).alias("short"),
     ).first()
     blocks = max(1, -(-(sizes["seeds"] or 0) // block_seeds))
-    tokens = columns_of(docs, id_col, text_col).select(
-        F.col(f"`{id_col}`").alias("doc_id"), tokens_of(F.col(f"`{text_col}`")).alias("doc_tokens")
-    )
-    seeds = written(benchmark_seeds(items, masks).withColumn("block", F.pmod(F.xxhash64("item_id", "item_tokens"), F.lit(blocks))), "benchmark-seeds")
-    probes = _document_seeds(tokens, masks, list(sizes["short"] or []))
+    rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    seeds = written(benchmark_seeds(items, masks).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))), "benchmark-seeds")
+    probes = _document_seeds(rows.select("doc_id", tokens_of(F.col("text")).alias("doc_tokens")), masks, list(sizes["short"] or []))
 
     def hits(block: int) -> DataFrame:
-        diagonal = F.col("pos") - F.col("at")
-        first = F.greatest(diagonal, F.lit(0))
-        return (
-            probes.join(F.broadcast(seeds.where(F.col("block") == block).drop("block")), "h")
-            .select(
-                "doc_id",
-                "item_id",
-                diagonal.alias("diagonal"),
-                F.slice("doc_tokens", first + 1, F.size("item_tokens") - (first - diagonal)).alias("under"),
-                "item_tokens",
-            )
-            # As aggregates, so that the verification below is not pushed into the probe and evaluated for each hit.
-            .groupBy("doc_id", "item_id", "diagonal")
-            .agg(F.first("under").alias("under"), F.first("item_tokens").alias("item_tokens"))
-        )
-
-    found = reduce(DataFrame.unionByName, [hits(b) for b in range(blocks)])
+        own = F.broadcast(seeds.where(F.col("block") == block).drop("block"))  # block_seeds rows of three numbers, or little more
+        return probes.join(own, "h").select("doc_id", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+
+    found = written(reduce(DataFrame.unionByName, [hits(b) for b in range(blocks)]).distinct(), "hits")
+    # Only documents with a hit are cut into tokens again.
+    few = found.count() <= broadcast_rows
+    ids = found.select("doc_id").distinct()
+    again = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", tokens_of(F.col("text")).alias("doc_tokens"))
+    aligned = again.join(F.broadcast(found) if few else found, "doc_id").join(items, "item")
+    size, first = F.size("item_tokens"), F.greatest(F.col("diagonal"), F.lit(0))
+    # A text that shares its id with another may be shorter than the place that the other was hit at.
+    under = F.slice("doc_tokens", first + 1, F.greatest(size - (first - F.col("diagonal")), F.lit(0)))
     start = F.greatest(-F.col("diagonal"), F.lit(0))
-    aligned = F.zip_with("under", F.slice(F.col("item_tokens"), start + 1, F.size("under")), lambda a, b: a.eqNullSafe(b))
-    size = F.size("item_tokens")
-    scored = found.select(
-        "doc_id",
-        "item_id",
-        F.greatest(F.col("diagonal"), F.lit(0)).alias("doc_start"),
-        size.alias("item_tokens"),
-        _best_stretch(aligned, min_identity).alias("best"),
+    matches = F.zip_with(F.col("under"), F.slice(F.col("item_tokens"), start + 1, F.size("under")), lambda a, b: a.eqNullSafe(b))
+    aligned = aligned.select("doc_id", "item_id", "item_tokens", "diagonal", under.alias("under"))
+    scored = aligned.select(
+        "doc_id", "item_id", F.greatest(F.col("diagonal"), F.lit(0)).alias("doc_start"), size.alias("item_tokens"), _best_stretch(matches, min_identity).alias("best")
     ).where(F.col("best.hit") >= F.least(F.lit(min_tokens), F.col("item_tokens")))
     rank = F.struct(F.col("best.hit").alias("hit"), -F.col("best.length"), -F.col("doc_start"))
     return (
