@@ -18,6 +18,7 @@ the leftmost non-overlapping matches as they are.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,22 +57,42 @@ def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sums_before(numbers: Column, chunk: int = 128) -> Column:
+    """Sum of the numbers before each place, by sums of chunks and sums within a chunk: a fold that appends would copy all of its result at each step."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    places = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / chunk).cast("int"))
+
+    def of_chunks(chunks: Column) -> Column:
+        def from_totals(totals: Column) -> Column:
+            def one(own: Column, i: Column) -> Column:
+                return _let(total(F.slice(totals, 1, i)), lambda base: F.transform(own, lambda _, j: base + total(F.slice(own, 1, j))))
+
+            return F.flatten(F.transform(chunks, one))
+
+        return _let(F.transform(chunks, total), from_totals)
+
+    cut = F.transform(places, lambda i: F.slice(numbers, i * chunk + 1, chunk))
+    return F.when(F.size(numbers) > 0, _let(cut, of_chunks)).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+
 def _spans(pieces: Column, matches: Column) -> Column:
     """array<struct<start, end, s, before, after>>, offsets in code points, from what lies between matches and the matches."""
     n = F.size(matches)
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,s:string,before:string,after:string>>)")
-    zipped = F.arrays_zip(F.slice(pieces, 1, n).alias("a"), matches.alias("m"), F.slice(pieces, 2, n).alias("z"))
+    lengths = F.zip_with(F.slice(pieces, 1, n), matches, lambda a, m: F.char_length(a) + F.char_length(m))
+    zipped = F.arrays_zip(F.slice(pieces, 1, n).alias("a"), matches.alias("m"), F.slice(pieces, 2, n).alias("z"), _sums_before(lengths).alias("at"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["a"])
+    def span(x: Column) -> Column:
+        start = x["at"] + F.char_length(x["a"])
         end = start + F.char_length(x["m"])
-        span = F.struct(
-            start.alias("start"), end.alias("end"), x["m"].alias("s"), F.right(x["a"], F.lit(24)).alias("before"), F.left(x["z"], F.lit(12)).alias("after")
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"), F.right(x["a"], F.lit(24)).alias("before"), F.left(x["z"], F.lit(12)).alias("after"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(n > 0, found).otherwise(empty)
+    return F.when(n > 0, F.transform(zipped, span)).otherwise(empty)
 
 
 def _digits(s: Column) -> Column:
@@ -118,8 +139,8 @@ def _features(kind: Column, s: Column, before: Column, after: Column) -> Column:
     return F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values])
 
 
-def sample_spans(spark: SparkSession, n: int) -> DataFrame:
-    """``n`` labelled proposals: kind, s, before, after, label; templates filled from hashes of the row number."""
+def sample_spans(spark: SparkSession, n: int, first: int = 0) -> DataFrame:
+    """``n`` labelled proposals: kind, s, before, after, label; templates filled from hashes of the row number, from ``first`` on."""
     number = lambda k, m: F.lpad(F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(10**m)).cast("string"), m, "0")
     group = lambda k: F.substring(F.lower(F.hex(F.xxhash64(F.col("id"), F.lit(k)))), 1, 4)
     pick = lambda k, *words: F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(words))).cast("int"))
@@ -156,7 +177,7 @@ def sample_spans(spark: SparkSession, n: int) -> DataFrame:
         ("phone", F.concat_ws(".", *[number(k, 3) for k in range(66, 70)]), neutral, rest, 0),
     ]
     cases = F.array(*[F.struct(F.lit(k).alias("kind"), s.alias("s"), b.alias("before"), a.alias("after"), F.lit(y).alias("label")) for k, s, b, a, y in rows])
-    made = spark.range(n).select(F.get(cases, F.pmod(F.col("id"), F.lit(len(rows))).cast("int")).alias("x")).select("x.*")
+    made = spark.range(first, first + n).select(F.get(cases, F.pmod(F.col("id"), F.lit(len(rows))).cast("int")).alias("x")).select("x.*")
     # Card numbers are labelled by their check digit.
     return made.withColumn("label", F.when(F.col("label") < 0, _luhn(_digits(F.col("s"))).cast("int")).otherwise(F.col("label")))
 
@@ -251,8 +272,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_
     each get their row.  Extra columns are ignored.
     """
     trees = fitted(docs.sparkSession, train_rows)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).select("id", text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = columns_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     sources = [("b", BASE), ("p", PROPOSED)]
     # Texts without the characters that a kind needs are not searched for it.
     needs = {"b_email": F.contains("text", F.lit("@")), "b_phone": F.contains("text", F.lit("+")), "p_ip": F.contains("text", F.lit(":"))}
