@@ -24,14 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import columns_of, python_ready
+from terrafold.llm.common import columns_of, id_type, python_ready
 
 # Names of HTML elements and the words that name parts of a page in class, id and role.
-RAW = frozenset("script style template noscript textarea title iframe object svg math canvas select head".split())
+RAW = frozenset("script style template textarea title svg select head annotation annotation-xml".split())
+#: Shown only where something else is not: the cut decides.
+INSTEAD = frozenset("noscript object canvas iframe audio video".split())
+MATH = frozenset(
+    "maction math menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
-)
+) | MATH
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -53,6 +58,8 @@ TOKEN = re.compile(
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Farther apart in the tree makes no difference.
+FAR = 64
 NAMES = ("words", "link", "sentence", "aside_tag", "aside_word", "comment", "main_tag", "main_word", "heading", "header", "listed", "hidden", "one")
 
 
@@ -85,6 +92,8 @@ def _flags(tag: str, attributes: str, parent: Node | None) -> frozenset[str]:
         flags.add("main_tag")
     if tag in ASIDE and not (tag in ("header",) and inside):
         flags.add("aside_tag")
+    if tag in INSTEAD:
+        flags.add("hidden")
     if tag == "header" and not inside:
         flags.add("header")
     if tag in ("li", "dt", "dd", "td", "th"):
@@ -109,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; text of scripts, styles, forms' lists and the head is no block."""
     root = Node("", None)
     node, blocks, block = root, [], None
-    links = 0
+    link: Node | None = None  # the element that an open link is in
     at, end = 0, len(page)
 
     def text(s: str) -> None:
@@ -120,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
             block = Block(node)
             blocks.append(block)
         block.parts.append(s)
-        if links:
+        if link is not None:
             block.linked += len(s.strip())
 
     while at < end:
@@ -144,19 +153,20 @@ def blocks_of(page: str) -> list[Block]:
             text(" ")
             continue
         if tag == "a":
-            links = 0 if closing else 1
+            link = None if closing else node
         if tag in INLINE or tag in VOID:
             if tag == "hr":
                 block = None
             continue
         block = None
-        links = 0
         if closing:
             up = node
             while up is not root and up.tag != tag:
                 up = up.parent
             if up is not root:
                 node = up.parent
+                if link is not None and node.depth < link.depth:
+                    link = None  # its element is closed, and the link with it
             continue
         if tag in CLOSES_P and node.tag == "p" or tag == node.tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
             node = node.parent
@@ -177,9 +187,9 @@ def _features(block: Block) -> tuple[float, ...]:
 
 
 def _distance(a: Node, b: Node) -> int:
-    """Edges between two elements of the tree, by way of their nearest common ancestor."""
+    """Edges between two elements of the tree, by way of their nearest common ancestor, counted up to ``FAR``."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -234,7 +244,10 @@ def min_cut(content: list[float], boilerplate: list[float], edges: list[tuple[in
                 for e in path:
                     room[e] -= push
                     room[e ^ 1] += push
-                path, u = [], source
+                # Go on from where the first full edge begins.
+                full = next(i for i, e in enumerate(path) if room[e] <= 1e-12)
+                u = head[path[full] ^ 1]
+                del path[full:]
                 continue
             while place[u] < len(out[u]):
                 e = out[u][place[u]]
@@ -278,6 +291,8 @@ def sample_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
             body.append(rng.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br></p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"]).format(said(2, 60, True, rng.random() < 0.9)))
         if rng.random() < 0.3:
             body.insert(rng.randint(0, len(body)), f'<div class="{named(ASIDE_WORDS)}">{said(3, 20, False)}</div>')
+        if rng.random() < 0.25:  # names mislead: a long paragraph of the article under the name of something else
+            body.insert(rng.randint(0, len(body)), f'<div class="{named(ASIDE_WORDS)}"><p>{said(35, 90, True)}</p></div>')
         main = "".join(body)
         main = rng.choice([f"<article>{main}</article>"] * 3 + [f"<main>{main}</main>", f'<div class="{named(MAIN_WORDS)}">{main}</div>', f"<div>{main}</div>"])
         top = rng.choice(["<nav>{}</nav>", '<div class="nav">{}</div>', "<header>{}</header>", '<div id="menu">{}</div>']).format(menu(rng.randint(2, 8)))
@@ -345,12 +360,12 @@ def _extract_batches(weights: tuple[float, ...]) -> Callable[[Iterator[pa.Record
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars (code points).
 
-    Null and empty pages, and those without content, give an empty text; null ids
-    and urls stay null; repeated rows each give a row.  Extra columns are ignored.
+    Null and empty pages, and those without content, give an empty text; ids keep
+    their type, null ids and urls stay null; repeated rows each give a row.  Extra columns are ignored.
     """
     python_ready(pages.sparkSession)
     rows = columns_of(pages, id_col, url_col, html_col).select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html")
     )
-    done = rows.mapInArrow(_extract_batches(classifier()), "id long, url string, text string, n_chars long")
+    done = rows.mapInArrow(_extract_batches(classifier()), f"id {id_type(pages, id_col)}, url string, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
