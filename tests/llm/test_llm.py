@@ -129,6 +129,42 @@ def test_decontamination_finds_whole_items(spark, docs):
     assert want <= got
 
 
+def test_decontamination_of_long_items_and_many_hits(spark):
+    rng = np.random.default_rng(3)
+    item = [f"w{x}" for x in rng.integers(0, 3000, 6000)]
+    changed = [("other" if i % 9 == 4 else w) for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(changed)), (2, "x " * 500), (3, " ".join(item[1000:1040])), (3, "short"), (None, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, "x y z")], "item_id long, text string")
+    for how in ({}, {"block_seeds": 5000}, {"broadcast_rows": 0}):
+        got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(docs, bench, **how).collect()}
+        assert got == {(1, 7): sum(a == b for a, b in zip(item, changed, strict=True)), (3, 7): 40}
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Every alignment that a seed hits and that meets the rule, and no other, on the whole of a small table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    tokens = lambda t: re.findall(r"[^\W_]+", t.lower())
+    items = {r.item_id: tokens(r.text) for r in bench.collect()}
+    index = defaultdict(set)
+    for i, words in items.items():
+        for m in decontaminate.MASKS:
+            for at in range(len(words) - len(m) + 1):
+                index[m, tuple(words[at + k] for k, c in enumerate(m) if c == "1")].add((i, at))
+    want = set()
+    for r in docs.collect():
+        words, seen = tokens(r.text or ""), set()
+        for m in decontaminate.MASKS:
+            for at in range(len(words) - len(m) + 1):
+                seen |= {(i, at - place) for i, place in index.get((m, tuple(words[at + k] for k, c in enumerate(m) if c == "1")), ())}
+        for i, shift in seen:
+            hits = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(items[i])]
+            sums = np.concatenate([[0], np.cumsum(hits)])
+            if any(sums[b] - sums[a] >= min(13, len(hits)) and 5 * (sums[b] - sums[a]) >= 4 * (b - a) for a in range(len(hits)) for b in range(a + 1, len(hits) + 1)):
+                want.add((r.doc_id, i))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()} == want and want
+
+
 def test_token_counts_and_cache(spark, docs, tmp_path):
     import sentencepiece
 
@@ -239,6 +275,68 @@ def test_pii_base_and_added_spans(spark, docs):
     assert sum(r.n_added for i, r in got.items() if i < 10**6) <= 2
 
 
+def test_pii_many_matches_in_a_text(spark):
+    texts = [" ".join(f"user{i}@mail.example" for i in range(6000)), "1.2.3.4 " * 500, "a" * 300, None]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base_spans(t or "")).encode()).hexdigest()
+    numbers = spark.createDataFrame([([],), ([5],), (list(range(300)),)], "n array<int>").select("n", pii._sums_before(F.col("n"), 7).alias("s")).collect()
+    assert all(r.s == [sum(r.n[:i]) for i in range(len(r.n))] for r in numbers)
+
+
+def test_pii_added_spans_in_running_text(spark, docs):
+    """Unseen proposals put into the corpus's own prose: the personal ones are found, the others left alone."""
+    trees = pii.fitted(spark)
+    made = [r for r in pii.sample_spans(spark, 1520, first=10**6).collect() if r.kind != "card" or r.label in (0, 1)]
+    prose = [" ".join(re.findall(r"[^\W\d_]+", r.text))[:400] for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(40).collect()]
+    prose = [p for p in prose if len(p) > 100]
+    texts = [(i, f"{prose[i % len(prose)]} {r.before}", r.s, f"{r.after} {prose[(i + 7) % len(prose)]}") for i, r in enumerate(made)]
+    rows = spark.createDataFrame([(i, a + s + z) for i, a, s, z in texts], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(rows).collect()}
+    hit = total = false = clean = 0
+    for (i, a, s, _), r in zip(texts, made, strict=True):
+        spans = [x.split(":") for x in found[i].spans.split(",") if x]
+        there = any(k == r.kind and int(b) < len(a) + len(s) and len(a) < int(e) for k, b, e in spans)
+        if r.label == 1:
+            total, hit = total + 1, hit + there
+        else:
+            clean, false = clean + 1, false + there
+    assert trees.thresholds.keys() == set(pii.KINDS) and total > 300 and hit / total >= 0.85 and hit / (hit + false) >= 0.95
+
+
+def test_html_keeps_formulas_and_linked_blocks():
+    w = html_text.classifier()
+    story = "".join(f"<p>Paragraph {i} of the story has some more words in it, as one does.</p>" for i in range(4))
+    page = f"<body><nav><a href=/>Home</a> <a href=/x>News</a></nav><article><h1>Title</h1>{story}<p>The area is <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup></math> in total, they said.</p></article><footer>Imprint</footer></body>"
+    text = html_text.main_text(page, w)
+    assert "The area is a=r2 in total, they said." in text and "Home" not in text and "Imprint" not in text
+    linked = html_text.blocks_of("<a href=x><div>One two</div><div>three</div></a><div>four</div><section><a href=y>five<p>six</section><p>seven</p>")
+    assert [(b.text(), b.linked > 0) for b in linked] == [("One two", True), ("three", True), ("four", False), ("five", True), ("six", True), ("seven", False)]
+    long = "When the council met again in the autumn, it heard from many of those who live by the river, and it decided to wait until the water had gone down. " * 3
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1>{story}<div class='share-header'><p>{long}</p></div>{story}</article></body>"
+    assert long.strip() in html_text.main_text(page, w)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=wrap><div class=topbar><a href=/>Start</a> <a href=/a>A</a></div><table><tr><td class=menu><a href=1>One</a><br><a href=2>Two</a></td><td class=content>{}</td></tr></table><div class=footer>All rights reserved</div></div>",
+        "<header><nav><ul><li><a href=/>Start</a></ul></nav></header><main>{}<section class=comments><h2>Comments</h2><div class=comment><p>All rights reserved, I think.</p></div></section></main>",
+        "<body><div role=banner><a href=/>Start</a></div>{}<aside><h3>More</h3><ul><li><a href=r>All rights reserved</a></li></ul></aside><form><p>Start your search</p><input></form></body>",
+    ],
+)
+def test_html_layouts(page):
+    said = ["The first paragraph tells what happened on the market square last night.", "A second one, with &quot;words&quot; that somebody said, goes on for a while.", "And the last paragraph says how it all came to an end."]
+    text = html_text.main_text(page.format("".join(f"<p>{p}</p>" for p in said)), html_text.classifier())
+    assert text.split("\n") == [p.replace("&quot;", '"') for p in said]
+
+
+def test_html_of_very_many_blocks():
+    page = "<div>" + "<p>Some words of a story that does not end.</p><div class=menu><a href=x>go</a></div>" * 8000 + "</div>"
+    text = html_text.main_text(page, html_text.classifier())
+    assert text.count("Some words") == 8000 and "go" not in text.split()
+
+
 def test_html_text():
     w = html_text.classifier()
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=x>One</a></li></ul></nav>
