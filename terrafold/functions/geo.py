@@ -122,45 +122,6 @@ def from_utm(x: Column, y: Column, zone: int = 53) -> tuple[Column, Column]:
     return F.degrees(F.atan2(F.sinh(east), F.cos(north))) + (6 * zone - 183), F.degrees(phi)
 
 
-def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = 6) -> Column:
-    """Length of the geodesic on WGS84 by Vincenty's inverse formula with a fixed number of steps; for points that are not antipodal."""
-    a, f = WGS84_A, WGS84_F
-    b = a * (1 - f)
-    u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
-    start = F.radians(lon2 - lon1)
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    # One step as a fold, so that the expression does not double with each step.
-    def terms(lam: Column) -> Column:
-        sin_s = F.sqrt((c2 * F.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * F.cos(lam)) ** 2)
-        cos_s = s1 * s2 + c1 * c2 * F.cos(lam)
-        sin_a = F.when(sin_s == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / sin_s)
-        cos2_a = 1 - sin_a * sin_a
-        cos_m = F.when(cos2_a == 0, 0.0).otherwise(cos_s - 2 * s1 * s2 / cos2_a)
-        return F.struct(sin_s.alias("sin_s"), cos_s.alias("cos_s"), sin_a.alias("sin_a"), cos2_a.alias("cos2_a"), cos_m.alias("cos_m"))
-
-    def step(lam: Column, _: Column) -> Column:
-        def advanced(t: Column) -> Column:
-            c = f / 16 * t["cos2_a"] * (4 + f * (4 - 3 * t["cos2_a"]))
-            sigma = F.atan2(t["sin_s"], t["cos_s"])
-            inner = t["cos_m"] + c * t["cos_s"] * (-1 + 2 * t["cos_m"] ** 2)
-            return start + (1 - c) * f * t["sin_a"] * (sigma + c * t["sin_s"] * inner)
-
-        return F.transform(F.array(terms(lam)), advanced)[0]
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-
-    def length(t: Column) -> Column:
-        u = t["cos2_a"] * (a * a - b * b) / (b * b)
-        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        sigma = F.atan2(t["sin_s"], t["cos_s"])
-        inner = t["cos_s"] * (-1 + 2 * t["cos_m"] ** 2) - big_b / 6 * t["cos_m"] * (-3 + 4 * t["sin_s"] ** 2) * (-3 + 4 * t["cos_m"] ** 2)
-        return b * big_a * (sigma - big_b * t["sin_s"] * (t["cos_m"] + big_b / 4 * inner))
-
-    return F.transform(F.transform(F.array(lam), terms), length)[0]
-
-
 def _sides(ring: Column) -> Column:
     n = F.size(ring)
     return F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -91,6 +91,16 @@ def route_status(gap: Column, candidates: Column, snapped: Column, reached: Colu
     )
 
 
+def snap_outlier(status: Column) -> Column:
+    """Whether a snap is to be looked at: far, very far or a gap."""
+    return F.coalesce(status.isin("warning", "critical", "network_coverage_gap"), F.lit(False))
+
+
+def data_quality(inconsistent: Column, missing: Column) -> Column:
+    """``partial`` where ages are missing or contradict each other, else ``complete``."""
+    return F.when(F.coalesce(inconsistent, F.lit(False)) | missing, "partial").otherwise("complete")
+
+
 def score_status(ready: Column, core: Column, full: Column) -> Column:
     return ladder((~ready, "route_unavailable"), (core.isNull(), "core_data_incomplete"), (full.isNull(), "core_only_missing_capacity"), default="complete")
 
@@ -169,14 +179,24 @@ def _nfkc(c: Column) -> Column:
     return _normalize(c)
 
 
+# The characters that a join key leaves out.
+KEY_SKIPS = r"[\s　,，、。．・()（）「」『』\-‐‑‒–—ー_/／]+"
+#: White space as Unicode has it, and the four separators that count as such in text.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
 def norm_text(c: Column) -> Column:
     """NFKC and trimmed; null is empty."""
-    return F.trim(_nfkc(F.coalesce(c.cast("string"), F.lit(""))))
+    return _stripped(_nfkc(F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def norm_key_ascii(c: Column) -> Column:
-    """The join key of a text in ASCII: spaces and punctuation out, lower case."""
-    return F.lower(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s　・･.,，、。()（）「」\-－ー―‐_/／]", ""))
+    """The join key of a text that needs no NFKC: spaces and the fixed signs out, lower case; null is empty."""
+    return F.lower(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "(?U)" + KEY_SKIPS.replace("\\s", "\\s\\x1c-\\x1f"), ""))
 
 
 def norm_key(c: Column) -> Column:
@@ -184,16 +204,16 @@ def norm_key(c: Column) -> Column:
 
 
 def identity_key(ident: Column, name: Column) -> Column:
-    return F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit("||"), F.coalesce(name.cast("string"), F.lit("")))
+    """Both parts normalised and trimmed, so that full-width or padded forms are one identity."""
+    return F.concat(norm_text(ident), F.lit("||"), norm_text(name))
 
 
 def parse_capacity(c: Column) -> Column:
-    """struct<value, status>: null missing; no leading number unparseable; not above zero nonpositive; else numeric or numeric_prefix."""
-    text = F.trim(c.cast("string"))
-    prefix = F.nullif(F.regexp_extract(F.regexp_replace(text, ",", ""), r"^([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))
-    value = prefix.try_cast("double")
-    whole = F.regexp_replace(text, ",", "").rlike(r"^[0-9]+(?:\.[0-9]+)?$")
-    status = ladder((c.isNull(), "missing"), (value.isNull(), "unparseable"), (value <= 0, "nonpositive"), (whole, "numeric"), default="numeric_prefix")
+    """struct<value, status> of the normalised text: null missing; no leading number unparseable; not above zero nonpositive; else numeric or numeric_prefix."""
+    text = norm_text(c)
+    prefix = F.nullif(F.regexp_extract(text, r"^([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(""))
+    value = F.regexp_replace(prefix, ",", "").try_cast("double")
+    status = ladder((c.isNull(), "missing"), (value.isNull(), "unparseable"), (value <= 0, "nonpositive"), (text == prefix, "numeric"), default="numeric_prefix")
     return F.struct(F.when(value > 0, value).alias("value"), status.alias("status"))
 
 
@@ -202,11 +222,30 @@ def id_set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")))
 
 
+def json_or_empty(c: Column) -> Column:
+    """JSON text as it is, ``[]`` for null, blank or malformed text."""
+    text = F.trim(c.cast("string"))
+    # Every JSON value parses as a variant; what does not is null.
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise("[]")
+
+
+def tri_state(c: Column) -> Column:
+    """``true``, ``1`` and ``yes`` are true, other text false; null stays null."""
+    return F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes")
+
+
+def first_coordinates(new: Column, old: Column) -> Column:
+    """Coordinates of the new column, or, where it is null or empty text, of the old one."""
+    return parse_coordinates(F.coalesce(F.nullif(new, F.lit("")), old))
+
+
 def parse_coordinates(c: Column) -> Column:
-    """A JSON array of [lon, lat]; anything malformed or not finite anywhere makes it empty."""
+    """A JSON array of [lon, lat, ...], as pairs; anything malformed or not finite anywhere makes it empty."""
     parsed = F.from_json(c, "array<array<double>>")
-    good = F.forall(parsed, lambda p: (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    return F.when(F.coalesce(good, F.lit(False)), parsed).otherwise(F.expr("CAST(array() AS array<array<double>>)"))
+    finite_pair = lambda p: F.forall(F.slice(p, 1, 2), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    good = F.forall(parsed, lambda p: (F.size(p) >= 2) & finite_pair(p))
+    pairs = F.transform(parsed, lambda p: F.slice(p, 1, 2))
+    return F.when(F.coalesce(good, F.lit(False)), pairs).otherwise(F.expr("CAST(array() AS array<array<double>>)"))
 
 
 def reasons(components: Mapping[str, Column], weights: Mapping[str, float] = FULL_WEIGHTS) -> Column:
@@ -234,13 +273,13 @@ def reasons(components: Mapping[str, Column], weights: Mapping[str, float] = FUL
 
 
 def demand_units(c: Column, scale: int = 10) -> Column:
-    """Fixed-point units, half to even, not below zero."""
-    return F.greatest(F.lit(0), F.bround(c * scale, 0)).cast("long")
+    """Fixed-point units, half to even, not below zero; a missing demand stays missing."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0), F.bround(c * scale, 0)).cast("long"))
 
 
 def capacity_units(c: Column, scale: int = 10) -> Column:
-    """Whole units, with a billionth of slack for what floats lose."""
-    return F.greatest(F.lit(0), F.floor(c * scale + 1e-9)).cast("long")
+    """Whole units, with a billionth of slack for what floats lose; a missing capacity stays missing."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0), F.floor(c * scale + 1e-9)).cast("long"))
 
 
 def walk_cost(distance: Column, rank: Column, scale: int = 10, ties: int = 100) -> Column:

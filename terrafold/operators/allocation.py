@@ -11,13 +11,16 @@ import heapq
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.functions import values as V
+from terrafold.operators.gates import Gate, require, unique_key
 from terrafold.operators.relational import keep_best
 from terrafold.session import workers_import
 
+# What unserved demand costs in metres, units of demand and distance, room for ranks below a unit of distance.
 UNSERVED_M = 1_000_000.0
 SCALE, TIES = 10, 100
 FLOW = "run_id string, mesh_id string, shelter_key string, units long, added boolean"
@@ -120,27 +123,64 @@ def solve_run(arcs: pd.DataFrame, budget: int, cap_each: int | None) -> list[tup
     return used + [("", s, net.room[e ^ 1], True) for s, e in added if net.room[e ^ 1]]
 
 
+def usable_candidates(candidates: DataFrame, limit: int = 10) -> DataFrame:
+    """Candidates of rank 1..limit with a known distance of at least zero and a key."""
+    distance = F.col("total_walking_distance_m")
+    return candidates.where(F.col("candidate_rank").between(1, limit) & (distance >= 0) & ~F.isnan(distance) & (F.col("shelter_key").cast("string") != ""))
+
+
+def candidate_gates(candidates: DataFrame, capacities: DataFrame, limit: int = 10) -> list[Gate]:
+    """What an allocation needs: pairs and capacities unique, ranks 1..n in each mesh."""
+    good = usable_candidates(candidates, limit)
+    ranks = good.groupBy("mesh_id").agg(F.max("candidate_rank").alias("last"), F.count_distinct("candidate_rank").alias("ranks"), F.count(F.lit(1)).alias("n"))
+    return [
+        Gate("duplicate mesh and shelter", unique_key(good, ["mesh_id", "shelter_key"])),
+        Gate("ranks are not 1..n", ranks.where("last <> n OR ranks <> n")),
+        Gate("duplicate capacity", unique_key(capacities, ["shelter_key"])),
+    ]
+
+
 def prepare_candidates(candidates: DataFrame, capacities: DataFrame, limit: int = 10) -> DataFrame:
-    """Candidates of rank 1..limit with a known distance of at least zero, with their capacity and whether it is known."""
-    good = candidates.where(F.col("candidate_rank").between(1, limit) & (F.col("total_walking_distance_m") >= 0) & (F.col("shelter_key").cast("string") != ""))
-    joined = good.join(capacities.select("shelter_key", F.col("capacity").alias("shelter_capacity")), "shelter_key", "left")
+    """Usable candidates with their capacity, whether it is known, and its status (that of the capacity table where it has one)."""
+    kept = ["shelter_key", F.col("capacity").alias("shelter_capacity")]
+    said = "capacity_status" in capacities.columns
+    joined = usable_candidates(candidates, limit).join(capacities.select(*kept, *(["capacity_status"] if said else [])), "shelter_key", "left")
     known = F.coalesce(F.col("shelter_capacity") > 0, F.lit(False))
-    return joined.withColumn("capacity_known", known).withColumn("capacity_status", F.when(known, "available").otherwise("missing"))
+    status = F.coalesce("capacity_status", F.lit("missing")) if said else V.capacity_status(F.col("shelter_capacity"))
+    return joined.withColumn("capacity_known", known).withColumn("capacity_status", F.when(known, "available").otherwise(status))
 
 
-def allocate(candidates: DataFrame, mesh: DataFrame, capacities: DataFrame, runs: Sequence[tuple[str, str, int, float]], each_most: float | None = None) -> DataFrame:
+def allocate(
+    candidates: DataFrame,
+    mesh: DataFrame,
+    capacities: DataFrame,
+    runs: Sequence[tuple[str, str, int, float]],
+    each_most: float | None = None,
+    check: bool = True,
+) -> DataFrame:
     """(run_id, mesh_id, shelter_key, units, added) for runs (run_id, demand column, candidate limit, budget).
 
     Units are tenths.  A null shelter is unserved demand; rows with ``added`` are
     capacity from the budget.  Served demand comes first, then distance, then rank,
-    then added capacity; of several optima any may be given.
+    then added capacity; of several optima any may be given.  Candidates that are
+    not usable are left out; repeated pairs, gaps in ranks, repeated meshes and
+    missing or negative demand are errors (``check`` runs a job for them).
     """
+    most_rank = max(r[2] for r in runs)
+    if check:
+        columns = sorted({r[1] for r in runs})
+        wrong = F.lit(False)
+        for c in columns:
+            wrong = wrong | F.col(c).isNull() | (F.col(c) < 0) | F.isnan(F.col(c).cast("double"))
+        own = [Gate("demand is missing or negative", mesh, wrong), Gate("duplicate mesh", unique_key(mesh, ["mesh_id"]))]
+        require([*candidate_gates(candidates, capacities, most_rank), *own])
+    candidates = usable_candidates(candidates, most_rank)
     spark = mesh.sparkSession
     workers_import(spark)
     plan = spark.createDataFrame([(r, c, k, int(round(b * SCALE))) for r, c, k, b in runs], "run_id string, demand string, k int, budget long")
     columns = sorted({r[1] for r in runs})
     demand = mesh.select(F.col("mesh_id").cast("string").alias("mesh_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("demand"), V.demand_units(F.col(c)).alias("units")) for c in columns])))
-    arcs = candidates.where("candidate_rank >= 1").select(
+    arcs = candidates.select(
         F.col("mesh_id").cast("string").alias("mesh_id"),
         F.col("shelter_key").cast("string").alias("shelter_key"),
         "candidate_rank",
@@ -159,47 +199,157 @@ def allocate(candidates: DataFrame, mesh: DataFrame, capacities: DataFrame, runs
     return full.select("run_id", "budget", "mesh_id", "units", "shelter_key", "cost", "capacity").groupBy("run_id").applyInPandas(solve, FLOW)
 
 
-def allocation_summary(flow: DataFrame) -> DataFrame:
-    """Per run: served and unserved demand, split meshes, added capacity."""
-    served = ~F.col("added") & F.col("shelter_key").isNotNull()
-    people = lambda c: F.coalesce(F.sum(F.when(c, F.col("units"))), F.lit(0)) / float(SCALE)
-    return flow.groupBy("run_id").agg(
-        people(served).alias("served_demand"),
-        people(~F.col("added") & F.col("shelter_key").isNull()).alias("unserved_demand"),
-        people(F.col("added")).alias("added_capacity_used"),
-        F.count_distinct(F.when(served, F.col("shelter_key"))).alias("used_shelters"),
+def _people(units: Column) -> Column:
+    return units / float(SCALE)
+
+
+def flow_rows(flow: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Served demand by (run_id, mesh_id, shelter_key) with the candidate's rank, distance and ``cross_border`` and its share of the mesh's demand."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    cross = F.coalesce("cross_border", F.lit(False)) if "cross_border" in prepared.columns else F.lit(False)
+    cand = prepared.select(text("mesh_id"), text("shelter_key"), "candidate_rank", "total_walking_distance_m", cross.alias("cross_border"))
+    own = flow.where("NOT added")
+    demand = own.groupBy("run_id", "mesh_id").agg(F.sum("units").alias("demand_units"))
+    met = own.where("shelter_key IS NOT NULL").join(cand, ["mesh_id", "shelter_key"]).join(demand, ["run_id", "mesh_id"])
+    return met.select(
+        "run_id",
+        "mesh_id",
+        "shelter_key",
+        "candidate_rank",
+        "cross_border",
+        "total_walking_distance_m",
+        _people(F.col("units")).alias("allocated_demand"),
+        (F.col("units") / F.col("demand_units")).alias("allocation_share"),
     )
 
 
 def mesh_results(flow: DataFrame, prepared: DataFrame) -> DataFrame:
-    """(run_id, mesh_id, ...): allocated, unserved, mean distance, dominant shelter (most units, then nearest, then key) and status."""
+    """(run_id, mesh_id, ...): allocated, unserved, mean and additional distance, dominant shelter (most units, then nearest, then key) and status."""
     own = flow.where("NOT added")
-    cand = prepared.select(F.col("mesh_id").cast("string").alias("mesh_id"), F.col("shelter_key").cast("string").alias("shelter_key"), "total_walking_distance_m", "candidate_rank", "capacity_known")
-    met = own.join(cand, ["mesh_id", "shelter_key"], "left")
-    per = met.groupBy("run_id", "mesh_id").agg(
-        (F.coalesce(F.sum(F.when(F.col("shelter_key").isNotNull(), F.col("units"))), F.lit(0)) / 10.0).alias("allocated_demand"),
-        (F.coalesce(F.sum(F.when(F.col("shelter_key").isNull(), F.col("units"))), F.lit(0)) / 10.0).alias("unserved_demand"),
+    text = lambda c: F.col(c).cast("string").alias(c)
+    cand = prepared.select(text("mesh_id"), text("shelter_key"), "total_walking_distance_m", "candidate_rank", "capacity_known")
+    served, units = F.col("shelter_key").isNotNull(), F.col("units")
+    total = lambda c: F.coalesce(F.sum(F.when(c, units)), F.lit(0))
+    best = F.struct(-units, F.col("total_walking_distance_m"), F.col("shelter_key").alias("key"))
+    per = own.join(cand, ["mesh_id", "shelter_key"], "left").groupBy("run_id", "mesh_id").agg(
+        _people(total(served)).alias("allocated_demand"),
+        _people(total(~served)).alias("unserved_demand"),
         F.count("shelter_key").alias("shelters"),
-        V.safe_ratio(F.sum(F.col("units") * F.col("total_walking_distance_m")), F.sum(F.when(F.col("shelter_key").isNotNull(), F.col("units")))).alias("mean_distance_m"),
-        F.min(F.when(F.col("shelter_key").isNotNull(), F.struct(-F.col("units"), F.col("total_walking_distance_m"), F.col("shelter_key").alias("key")))).getField("key").alias("dominant_shelter"),
+        V.safe_ratio(F.sum(units * F.col("total_walking_distance_m")), F.sum(F.when(served, units))).alias("mean_distance_m"),
+        F.min(F.when(served, best)).getField("key").alias("dominant_shelter"),
     )
-    first = keep_best(cand, ["mesh_id"], [F.col("candidate_rank")]).select("mesh_id", F.col("shelter_key").alias("nearest_shelter"))
+    first = keep_best(cand, ["mesh_id"], [F.col("candidate_rank")])
+    first = first.select("mesh_id", F.col("shelter_key").alias("nearest_shelter"), F.col("total_walking_distance_m").alias("nearest_distance_m"))
     counts = cand.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("capacity_known").alias("known"))
     out = per.join(first, "mesh_id", "left").join(counts, "mesh_id", "left").fillna(0, ["candidates", "known"])
+    allocated, unserved = F.col("allocated_demand"), F.col("unserved_demand")
     status = V.ladder(
-        ((F.col("allocated_demand") == 0) & (F.col("unserved_demand") == 0), "zero_demand"),
+        ((allocated == 0) & (unserved == 0), "zero_demand"),
         (F.col("candidates") == 0, "route_unavailable_or_no_candidate"),
         (F.col("known") == 0, "unknown_capacity_only"),
-        ((F.col("unserved_demand") > 0) & (F.col("allocated_demand") > 0), "capacity_constrained_partial"),
-        (F.col("unserved_demand") > 0, "capacity_constrained_unserved"),
+        ((unserved > 0) & (allocated > 0), "capacity_constrained_partial"),
+        (unserved > 0, "capacity_constrained_unserved"),
         (F.col("shelters") > 1, "capacity_constrained_split"),
         (F.col("dominant_shelter") != F.col("nearest_shelter"), "capacity_constrained_rerouted"),
         default="nearest_known_capacity",
     )
-    return out.withColumn("allocation_status", status)
+    return out.withColumn("additional_distance_m", F.col("mean_distance_m") - F.col("nearest_distance_m")).withColumn("allocation_status", status)
+
+
+def shelter_results(flow: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(run_id, shelter_key, ...) of every candidate shelter of known capacity: added and effective capacity, allocated demand, utilisation, saturated."""
+    known = prepared.where("capacity_known").select(F.col("shelter_key").cast("string").alias("shelter_key"), "shelter_capacity").distinct()
+    runs = flow.select("run_id").distinct()
+    used = flow.where("shelter_key IS NOT NULL").groupBy("run_id", "shelter_key").agg(
+        F.sum(F.when(F.col("added"), F.col("units"))).alias("extra"), F.sum(F.when(~F.col("added"), F.col("units"))).alias("given")
+    )
+    rows = known.crossJoin(F.broadcast(runs)).join(used, ["run_id", "shelter_key"], "left")  # runs: a row for each scenario
+    extra, given = F.coalesce("extra", F.lit(0)), F.coalesce("given", F.lit(0))
+    room = V.capacity_units(F.col("shelter_capacity")) + extra
+    return rows.select(
+        "run_id",
+        "shelter_key",
+        "shelter_capacity",
+        _people(extra).alias("added_capacity_used"),
+        _people(room).alias("effective_capacity"),
+        _people(given).alias("allocated_demand"),
+        V.safe_ratio(given.cast("double"), room).alias("utilization"),
+        ((room > 0) & (given >= room)).alias("saturated"),
+    )
+
+
+def allocation_summary(flow: DataFrame, prepared: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """One row per run: demand served and not, meshes by what became of them, person-metres, demand beyond rank 1 and across borders, capacity added, cost.
+
+    ``baseline`` (mesh_id, baseline_shelter): the fixed assignment that destinations are compared with; by default the nearest candidate.
+    """
+    mesh, rows, shelters = mesh_results(flow, prepared), flow_rows(flow, prepared), shelter_results(flow, prepared)
+    if baseline is not None:
+        mesh = mesh.join(baseline.select(F.col("mesh_id").cast("string").alias("mesh_id"), F.col("baseline_shelter").cast("string")), "mesh_id", "left")
+    compared = F.col("baseline_shelter" if baseline is not None else "nearest_shelter")
+    status = F.col("allocation_status")
+    unserved = ("capacity_constrained_unserved", "unknown_capacity_only", "route_unavailable_or_no_candidate")
+    by_mesh = mesh.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("target_meshes"),
+        F.sum("allocated_demand").alias("served_demand"),
+        F.sum("unserved_demand").alias("unserved_demand"),
+        F.count_if(F.col("candidates") == 0).alias("meshes_with_no_candidate"),
+        F.count_if(status == "unknown_capacity_only").alias("meshes_with_unknown_capacity_only"),
+        F.count_if(status == "capacity_constrained_partial").alias("meshes_partially_unserved"),
+        F.count_if(status.isin(*unserved)).alias("meshes_fully_unserved"),
+        F.count_if(F.col("shelters") > 1).alias("meshes_split_across_shelters"),
+        F.count_if(F.col("dominant_shelter").isNotNull() & ~F.col("dominant_shelter").eqNullSafe(compared)).alias("meshes_dominant_destination_changed"),
+    )
+    far = F.greatest(F.lit(0.0), F.col("total_walking_distance_m") - F.coalesce("nearest_distance_m", "total_walking_distance_m"))
+    amount = F.col("allocated_demand")
+    nearest = mesh.select("run_id", "mesh_id", "nearest_distance_m")
+    by_flow = rows.join(nearest, ["run_id", "mesh_id"], "left").groupBy("run_id").agg(
+        F.sum(amount * F.col("total_walking_distance_m")).alias("total_allocated_person_metres"),
+        F.sum(amount * far).alias("additional_person_metres"),
+        F.sum(F.when(F.col("candidate_rank") > 1, amount).otherwise(0.0)).alias("demand_beyond_rank_1"),
+        F.sum(F.when(F.col("cross_border"), amount).otherwise(0.0)).alias("cross_border_demand"),
+        F.sum(amount * SCALE * V.walk_cost(F.col("total_walking_distance_m"), F.col("candidate_rank"))).alias("walk_cost"),
+    )
+    by_shelter = shelters.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("known_capacity_shelters"),
+        F.count_if("saturated").alias("saturated_shelters"),
+        F.count_if(F.col("allocated_demand") > F.col("effective_capacity") + 1e-9).alias("overfilled_shelters"),
+        F.sum("added_capacity_used").alias("added_capacity_used"),
+    )
+    zero = ["total_allocated_person_metres", "additional_person_metres", "demand_beyond_rank_1", "cross_border_demand", "walk_cost", "added_capacity_used"]
+    out = by_mesh.join(by_flow, "run_id", "left").join(by_shelter, "run_id", "left").fillna(0, [*zero, "known_capacity_shelters", "saturated_shelters", "overfilled_shelters"])
+    total = F.col("served_demand") + F.col("unserved_demand")
+    cost = F.col("walk_cost") + F.col("unserved_demand") * SCALE * (UNSERVED_M * SCALE * TIES) + F.col("added_capacity_used") * SCALE
+    return out.select(
+        "*",
+        F.when(total > 0, F.col("served_demand") / total).otherwise(1.0).alias("served_share"),
+        F.coalesce(V.safe_ratio(F.col("additional_person_metres"), F.col("served_demand")), F.lit(0.0)).alias("mean_additional_distance_m"),
+        F.round(cost).cast("decimal(38,0)").alias("objective_cost"),
+    ).drop("walk_cost")
+
+
+def investment_plan(flow: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(run_id, plan_rank, shelter_key, added_capacity_used, allocated_demand): by added capacity, then allocated demand, both falling, then key."""
+    plan = shelter_results(flow, prepared).where("added_capacity_used > 0")
+    order = W.partitionBy("run_id").orderBy(F.desc("added_capacity_used"), F.desc("allocated_demand"), "shelter_key")
+    return plan.select("run_id", F.row_number().over(order).alias("plan_rank"), "shelter_key", "added_capacity_used", "allocated_demand")
+
+
+def allocation_gates(summary: DataFrame, expected_meshes: int, budget_col: str | None = None) -> list[Gate]:
+    """Contract of summaries: every mesh is there, no shelter takes more than it has, and no more capacity is added than the budget (none without one)."""
+    most = F.col(budget_col) if budget_col else F.lit(0.0)
+    return [
+        Gate("target meshes", summary, F.col("target_meshes") != expected_meshes),
+        Gate("capacity exceeded", summary, F.col("overfilled_shelters") > 0),
+        Gate("added capacity over budget", summary, F.col("added_capacity_used") > most + 1e-9),
+    ]
 
 
-def investment_plan(flow: DataFrame) -> DataFrame:
-    """(run_id, plan_rank, shelter_key, added_capacity_used) by added capacity, then key."""
-    plan = flow.where("added").select("run_id", "shelter_key", (F.col("units") / 10.0).alias("added_capacity_used"))
-    return plan.selectExpr("run_id", "row_number() OVER (PARTITION BY run_id ORDER BY added_capacity_used DESC, shelter_key) AS plan_rank", "shelter_key", "added_capacity_used")
+def dominance_gates(summary: DataFrame, keys: Sequence[str], order: str) -> list[Gate]:
+    """Of summaries with ``keys`` and a number that grants more as it rises (candidates or budget): unserved demand and cost may not rise with it."""
+    w = W.partitionBy(*keys).orderBy(order)
+    seen = summary.withColumn("_unserved", F.lag("unserved_demand").over(w)).withColumn("_cost", F.lag("objective_cost").over(w))
+    return [
+        Gate("unserved demand rises", seen, F.col("unserved_demand") > F.col("_unserved") + 1e-9),
+        Gate("cost rises", seen, F.col("objective_cost") > F.col("_cost")),
+    ]

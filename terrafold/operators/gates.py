@@ -40,6 +40,32 @@ def evaluate(gates: Sequence[Gate]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def require(gates: Sequence[Gate]) -> None:
+    """Evaluate the gates, now; an error names the failing ones that are not warnings."""
+    failed = evaluate(gates).where("NOT passed AND severity = 'failure'").orderBy("gate").collect()
+    if failed:
+        raise ValueError("; ".join(f"{r['gate']}: {r['failures']}" for r in failed))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row for results of :func:`evaluate`: status (failure if any gate failed), failures and warnings."""
+    failed = lambda severity: F.count_if(~F.col("passed") & (F.col("severity") == severity))
+    return results.agg(
+        F.when(failed("failure") > 0, "failure").otherwise("pass").alias("status"), failed("failure").alias("failure_count"), failed("warning").alias("warning_count")
+    )
+
+
+def expected_count(name: str, df: DataFrame, n: int) -> Gate:
+    """A gate that fails unless ``df`` has ``n`` rows."""
+    return Gate(name, df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != n))
+
+
+def set_equality(name: str, left: DataFrame, right: DataFrame, key: str) -> Gate:
+    """A gate whose failures are the keys that only one side has."""
+    one, other = left.select(key).distinct(), right.select(key).distinct()
+    return Gate(name, one.join(other, key, "left_anti").unionByName(other.join(one, key, "left_anti")))
+
+
 def unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.relational import keep_best, top_k
-from terrafold.session import workers_import
+from terrafold.session import shared_dir, workers_import
 
 LABELS = "context string, node string, source string, cost double, next string"
 
@@ -91,7 +91,9 @@ def nearest_sources(edges: DataFrame, seeds: DataFrame, k: int = 1) -> DataFrame
 
     workers_import(edges.sparkSession)
     good = seeds.where("cost >= 0").select("context", "node", "source", F.col("cost").cast("double").alias("cost"))
-    return edges.select("context", "u", "v", "length").groupBy("context").cogroup(good.groupBy("context")).applyInPandas(search, LABELS)
+    # Attributes of their own on either side: seeds are often made from the edges.
+    rows, starts = edges.select("context", "u", "v", "length").toDF("context", "u", "v", "length"), good.toDF("context", "node", "source", "cost")
+    return rows.groupBy("context").cogroup(starts.groupBy("context")).applyInPandas(search, LABELS)
 
 
 def node_paths(labels: DataFrame, origins: DataFrame) -> DataFrame:
@@ -104,12 +106,13 @@ def node_paths(labels: DataFrame, origins: DataFrame) -> DataFrame:
         for node in right["node"]:
             if node not in onward:
                 continue
-            path, at = [node], node
+            path, passed, at = [node], {node}, node
             while isinstance(onward[at], str):
                 at = onward[at]
-                if at in path or owner[at] != owner[node]:
+                if at in passed or owner[at] != owner[node]:
                     raise ValueError(f"path from {node} is circular or changes its source at {at}")
                 path.append(at)
+                passed.add(at)
             rows.append((key[0], node, path))
         return pd.DataFrame(rows, columns=["context", "node", "path"])
 
@@ -151,11 +154,7 @@ def dedupe_by_node(snapped: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(context, node, component): component is the smallest node of the connected part.  Minimum labels spread by joins, with shortcuts, until nothing changes."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="terrafold-"))
+    shared_dir(edges.sparkSession)  # checkpoints go there
     both = edges.select("context", "u", "v").unionByName(edges.select("context", F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = both.groupBy("context", F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")).checkpoint()
     for _ in range(rounds):
@@ -179,5 +178,3 @@ def component_sizes(labels: DataFrame, first: int = 10) -> DataFrame:
         (F.max("n") / F.sum("n")).alias("largest_share"),
         F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, first).alias("largest"),
     )
-
-

@@ -69,9 +69,11 @@ def resolver(df: DataFrame, reference: DataFrame, value: str, steps: Sequence[Se
 
 
 def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each key in ascending ``order``, nulls first: a minimum, taken on the map side before rows are shuffled."""
+    rest = [c for c in df.columns if c not in keys]
+    by = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.`{c}`") for c in df.columns])
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -86,11 +88,6 @@ def missing_extra(expected: DataFrame, actual: DataFrame, key: str) -> tuple[Dat
     return a.join(b, key, "left_anti"), b.join(a, key, "left_anti")
 
 
-def rank_desc(c: Column, *partition: str) -> Column:
-    """Min-rank, largest first; null has no rank."""
-    return F.when(c.isNotNull(), F.rank().over(W.partitionBy(*partition).orderBy(c.desc_nulls_last())))
-
-
 def rank_within(df: DataFrame, keys: Sequence[str], value: str, bucket: Column, tie: Column) -> DataFrame:
     """Adds ``rank`` (min-rank, largest value first) and ``place`` (ties by ``tie``) within each key.
 
@@ -110,13 +107,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str, bucket: Column,
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], buckets: int = 4096, gather: int = 10_000) -> list[float | None]:
-    """Interpolated quantiles of the known values; None when there are none.  Runs jobs.
+    """Interpolated quantiles of the known finite values; None when there are none.  Runs jobs.
 
     Values are counted in equal steps between their extremes; the steps that hold
     a wanted place are counted again, until one holds ``gather`` values at most or
     only equal ones.  The driver gets that many numbers, however many rows there are.
     """
-    known = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").persist()
+    known = df.select(F.col(column).cast("double").alias("v")).where("abs(v) < double('infinity')").persist()
     try:
         span = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
         if not span["n"]:

@@ -143,6 +143,7 @@ def what_if_capacity(risk: DataFrame, pressure: DataFrame, deltas: Sequence[floa
     """(delta, shelter_key, ...): pressure and score reductions when every known capacity grows by ``delta``.
 
     ``risk`` has complete rows' components and full_score; routes and demand stay.
+    More capacity cannot raise a score: a reduction below -1e-8 is an error.
     """
     known = pressure.where((F.col("capacity") > 0) & (F.col("assigned_demand_area_weighted") >= 0))
     runs = known.select("*", F.explode(F.array(*[F.lit(float(d)) for d in deltas])).alias("delta"))
@@ -151,11 +152,13 @@ def what_if_capacity(risk: DataFrame, pressure: DataFrame, deltas: Sequence[floa
     at = {k: F.col(c) for k, c in COMPONENTS.items()} | {"shelter_capacity_pressure": component}
     cols = [c for k, c in COMPONENTS.items() if k != "shelter_capacity_pressure"]
     complete = risk.where("score_status = 'complete'").select("shelter_key", "full_score", *cols)
-    joined = runs.join(complete, "shelter_key", "left").withColumn("reduction", F.greatest(F.lit(0.0), F.col("full_score") - V.weighted_score(at, V.FULL_WEIGHTS)))
-    joined = joined.withColumn("reduction", F.when(F.col("full_score").isNotNull(), F.col("reduction")))
+    joined = runs.join(complete, "shelter_key", "left").withColumn("reduction", F.col("full_score") - V.weighted_score(at, V.FULL_WEIGHTS))
+    wrong = F.raise_error(F.concat(F.lit("more capacity raised a score at shelter "), F.col("shelter_key").cast("string"))).cast("double")
+    joined = joined.withColumn("reduction", F.when(F.col("reduction") < -1e-8, wrong).when(F.col("reduction").isNotNull(), F.greatest(F.lit(0.0), F.col("reduction"))))
     out = joined.groupBy("delta", "shelter_key", "capacity", "assigned_demand_area_weighted", "capacity_pressure_area_weighted", "simulated_pressure").agg(
         F.count("reduction").alias("affected_complete_meshes"),
         F.coalesce(F.sum("reduction"), F.lit(0.0)).alias("total_score_reduction"),
+        F.coalesce(F.avg("reduction"), F.lit(0.0)).alias("mean_score_reduction"),
         F.coalesce(F.max("reduction"), F.lit(0.0)).alias("max_score_reduction"),
     )
     return out.select(

@@ -144,9 +144,10 @@ CAPACITY_TEXT = """CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THE
 
 
 @query(f"""WITH t AS (SELECT s_suppkey, {CAPACITY_TEXT} AS raw FROM supplier),
-    p AS (SELECT *, nullif(regexp_extract(replace(trim(raw), ',', ''), '^([0-9]+(?:\\.[0-9]+)?)', 1), '')::DOUBLE AS v FROM t)
+    q AS (SELECT *, nullif(regexp_extract(trim(raw), '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '') AS prefix FROM t),
+    p AS (SELECT *, replace(prefix, ',', '')::DOUBLE AS v FROM q)
     SELECT s_suppkey, CASE WHEN v > 0 THEN v END AS value, CASE WHEN raw IS NULL THEN 'missing' WHEN v IS NULL THEN 'unparseable' WHEN v <= 0 THEN 'nonpositive'
-      WHEN regexp_full_match(replace(trim(raw), ',', ''), '[0-9]+(\\.[0-9]+)?') THEN 'numeric' ELSE 'numeric_prefix' END AS status FROM p""")
+      WHEN trim(raw) = prefix THEN 'numeric' ELSE 'numeric_prefix' END AS status FROM p""")
 def capacity_parse(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     long = F.concat(F.lit("1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" persons"))
@@ -154,11 +155,11 @@ def capacity_parse(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "supplier").select("s_suppkey", V.parse_capacity(raw).alias("p")).select("s_suppkey", "p.value", "p.status")
 
 
-@query("""SELECT s_suppkey, lower(regexp_replace(coalesce(s_name, ''), '[ .,_/#-]', '', 'g')) AS name_key,
-    s_suppkey || '||' || coalesce(s_name, '') AS identity_key FROM supplier""")
+@query("""WITH t AS (SELECT s_suppkey, ' ' || coalesce(s_name, '') || ' (No.' || s_suppkey % 7 || ') /a_b-c ' AS name FROM supplier)
+    SELECT s_suppkey, lower(regexp_replace(name, '[ ()/_-]', '', 'g')) AS name_key, s_suppkey || '||' || trim(name) AS identity_key FROM t""")
 def identity_key_norm(spark: SparkSession, d: str) -> DataFrame:
-    named = F.regexp_replace("s_name", "#", "")
-    return S.table(spark, d, "supplier").select("s_suppkey", V.norm_key_ascii(named).alias("name_key"), V.identity_key(F.col("s_suppkey"), F.col("s_name")).alias("identity_key"))
+    name = F.concat(F.lit(" "), F.coalesce("s_name", F.lit("")), F.lit(" (No."), F.col("s_suppkey") % 7, F.lit(") /a_b-c "))
+    return S.table(spark, d, "supplier").select("s_suppkey", V.norm_key_ascii(name).alias("name_key"), V.identity_key(F.col("s_suppkey"), name).alias("identity_key"))
 
 
 @query()
@@ -536,19 +537,6 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return spatial.covered_by(points, diamonds, 0.05, first_match=True)
 
 
-@query()
-def utm_projection(spark: SparkSession, d: str) -> DataFrame:
-    x, y = geo.to_utm(F.col("lon"), F.col("lat"))
-    p = lonlat(spark, d).select("vec_id", "lon", "lat", x.alias("x"), y.alias("y"))
-    lon, lat = geo.from_utm(F.col("x"), F.col("y"))
-    return p.select("vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), (F.abs(lon - F.col("lon")) + F.abs(lat - F.col("lat")) < 1e-9).alias("round_trip"))
-
-
-@query()
-def geodesic_length(spark: SparkSession, d: str) -> DataFrame:
-    return lonlat(spark, d).select("vec_id", F.round(geo.geodesic_m(F.col("lon"), F.col("lat"), F.col("lon") + 0.01, F.col("lat") + 0.01), 3).alias("length_m"))
-
-
 # --- graph and allocation
 
 
@@ -577,22 +565,40 @@ def bounded_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return labels.select("node", r6("cost"))
 
 
+# The network of a municipality is one context: the edges of its shelters.
+CONTEXTS = S.with_views("t_edge").replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT s_nationkey::VARCHAR AS context, u, v, length FROM t_edge JOIN supplier ON u = 's' || s_suppkey),
+    b AS (SELECT context, u AS x, v AS y, length FROM c UNION ALL SELECT context, v, u, length FROM c),
+    seed AS (SELECT DISTINCT context, u AS node, u AS source, 5.0::DOUBLE AS cost FROM c WHERE u[2:]::INT % 3 = 0),
+    far(context, node, source, cost) USING KEY (context, node, source) AS (SELECT context, node, source, cost FROM seed
+      UNION (SELECT s.context, s.y, s.source, s.cost FROM (SELECT far.context, b.y, far.source, min(far.cost + b.length) AS cost FROM far JOIN b ON b.context = far.context AND b.x = far.node GROUP BY ALL) s
+        LEFT JOIN recurring.far r ON r.context = s.context AND r.node = s.y AND r.source = s.source WHERE r.cost IS NULL OR s.cost < r.cost - 1e-9))"""
+
+
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    s = S.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("u"), F.col("s_nationkey").cast("string").alias("context"))
+    return S.edges(spark, d).join(s, "u")
+
+
 def _seeds(edges: DataFrame) -> DataFrame:
-    return edges.select("context", F.col("u").alias("node")).distinct().select("context", "node", F.col("node").alias("source"), F.lit(5.0).alias("cost"))
+    nodes = edges.where("CAST(substring(u, 2) AS INT) % 3 = 0").select("context", F.col("u").alias("node")).distinct()
+    return nodes.select("context", "node", F.col("node").alias("source"), F.lit(5.0).alias("cost"))
 
 
-@query()
+@query(CONTEXTS + """ SELECT context, node, arg_min(source, (round(cost, 9), source)) AS source, round(min(cost), 6) AS cost FROM far GROUP BY 1, 2""")
 def dijkstra_nearest_owner(spark: SparkSession, d: str) -> DataFrame:
-    e = one_graph(spark, d)
-    return graph.nearest_sources(graph.collapse_graph(e), _seeds(e)).select("node", "source", r6("cost"), "next")
+    e = contexts(spark, d)
+    return graph.nearest_sources(graph.collapse_graph(e), _seeds(e)).select("context", "node", "source", r6("cost"))
 
 
-@query()
+@query(CONTEXTS + """, t AS (SELECT far.context, node AS mesh_id, source, cost + 1 AS total, row_number() OVER (PARTITION BY far.context, node ORDER BY round(cost, 9), source) AS k FROM far WHERE node[1] = 'p')
+    SELECT context, mesh_id, source, k::INT AS candidate_rank, round(total, 6) AS total FROM t WHERE k <= 3""")
 def k_label_candidates(spark: SparkSession, d: str) -> DataFrame:
-    e = one_graph(spark, d)
+    e = contexts(spark, d)
     labels = graph.nearest_sources(graph.collapse_graph(e), _seeds(e), k=3)
-    seeds = e.select(F.col("v").alias("mesh_id"), "context", F.col("v").alias("node"), F.lit(1.0).alias("access")).distinct()
-    return graph.rank_candidates(seeds, labels, 3).select("mesh_id", "source", "candidate_rank", r6("total"))
+    # A part may be in several networks: its origin is one for each.
+    seeds = e.select(F.concat_ws(" ", "context", "v").alias("mesh_id"), "context", F.col("v").alias("node"), F.lit(1.0).alias("access")).distinct()
+    ranked = graph.rank_candidates(seeds, labels, 3)
+    return ranked.select(F.split("mesh_id", " ")[0].alias("context"), F.split("mesh_id", " ")[1].alias("mesh_id"), "source", "candidate_rank", r6("total"))
 
 
 @query(GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT DISTINCT x AS node, x AS other FROM b UNION SELECT reach.node, b.y FROM reach JOIN b ON b.x = reach.other)
@@ -601,29 +607,48 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(one_graph(spark, d)).select("node", "component")
 
 
-def _allocation(spark: SparkSession, d: str, runs: list[tuple[str, str, int, float]]) -> DataFrame:
+def _target_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     base = scoring.demand(scoring.targets(S.meshes(spark, d)))
-    return allocation.allocate(S.candidates(spark, d).join(base.select("mesh_id"), "mesh_id", "left_semi"), base, S.shelters(spark, d), runs)
+    return S.candidates(spark, d).join(base.select("mesh_id"), "mesh_id", "left_semi"), base
+
+
+def _allocation(spark: SparkSession, d: str, runs: list[tuple[str, str, int, float]]) -> DataFrame:
+    candidates, base = _target_candidates(spark, d)
+    return allocation.allocate(candidates, base, S.shelters(spark, d), runs)
 
 
-RUNS = [("area_k10", "demand_area_weighted", 10, 0.0), ("area_k5", "demand_area_weighted", 5, 0.0), ("full_k10", "demand_full_mesh", 10, 0.0), ("full_k5", "demand_full_mesh", 5, 0.0)]
+RUNS = [
+    ("area_k10", "demand_area_weighted", 10, 0.0),
+    ("area_k5", "demand_area_weighted", 5, 0.0),
+    ("full_k10", "demand_full_mesh", 10, 0.0),
+    ("full_k5", "demand_full_mesh", 5, 0.0),
+]
 BUDGETS = [0.0, 100.0, 500.0, 1000.0, 2000.0, 5000.0]
+SWEEP = [(f"{name}_{b:05.0f}", column, 10, b) for name, column in (("area", "demand_area_weighted"), ("full", "demand_full_mesh")) for b in BUDGETS]
 
 
 @query()
 def allocation_summary(spark: SparkSession, d: str) -> DataFrame:
-    return allocation.allocation_summary(_allocation(spark, d, RUNS))
+    prepared = allocation.prepare_candidates(_target_candidates(spark, d)[0], S.shelters(spark, d))
+    return allocation.allocation_summary(_allocation(spark, d, RUNS), prepared)
 
 
 @query()
 def allocation_flow(spark: SparkSession, d: str) -> DataFrame:
-    flow = _allocation(spark, d, RUNS[:1])
-    return allocation.mesh_results(flow, allocation.prepare_candidates(S.candidates(spark, d), S.shelters(spark, d)))
+    prepared = allocation.prepare_candidates(_target_candidates(spark, d)[0], S.shelters(spark, d))
+    return allocation.mesh_results(_allocation(spark, d, RUNS), prepared)
 
 
 @query()
 def investment_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return allocation.allocation_summary(_allocation(spark, d, [(f"full_{b:05.0f}", "demand_full_mesh", 10, b) for b in BUDGETS]))
+    prepared = allocation.prepare_candidates(_target_candidates(spark, d)[0], S.shelters(spark, d))
+    return allocation.allocation_summary(_allocation(spark, d, SWEEP), prepared)
+
+
+@query()
+def investment_plans(spark: SparkSession, d: str) -> DataFrame:
+    prepared = allocation.prepare_candidates(_target_candidates(spark, d)[0], S.shelters(spark, d))
+    return allocation.investment_plan(_allocation(spark, d, SWEEP), prepared)
 
 
 @query(S.with_views("t_shelter") + """, a AS (SELECT shelter_key, capacity FROM t_shelter WHERE municipality_code < 15 AND capacity > 0), b AS (SELECT shelter_key, capacity / 2 AS c2 FROM t_shelter WHERE municipality_code > 8 AND capacity > 0),
@@ -642,10 +667,16 @@ def plan_overlap(spark: SparkSession, d: str) -> DataFrame:
 # --- explorer
 
 
-@query("SELECT o_orderstatus AS municipality, 'municipality=' || o_orderstatus AS file, count(*) AS feature_count FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus AS municipality, 'municipality=' || o_orderstatus AS file, count(*) AS feature_count, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS place FROM orders GROUP BY o_orderstatus")
 def export_shards_index(spark: SparkSession, d: str) -> DataFrame:
-    o = S.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("municipality")).agg(F.count(F.lit(1)).alias("feature_count"))
-    return o.select("municipality", F.concat(F.lit("municipality="), "municipality").alias("file"), "feature_count")
+    """Shards and their index as they are written, in a fixed order of keys."""
+    from uuid import uuid4
+
+    from terrafold.session import shared_dir
+    from terrafold.sources.files import write_shards
+
+    o = S.table(spark, d, "orders").select(F.col("o_orderstatus").alias("municipality"), "o_orderkey")
+    return write_shards(o, f"{shared_dir(spark)}/terrafold/shards-{uuid4().hex}", "municipality", ["P", "O", "F"]).select("municipality", "file", "feature_count", "place")
 
 
 @query()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,6 +25,24 @@ def build_session(master: str = "local[8]", app: str = "terrafold", **conf: str)
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where it is unset and the executors are threads of the driver, as in tests, a
+    temporary folder is made and set; on a cluster that would be another folder on
+    each machine, so there it is an error.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="terrafold-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[1])

@@ -21,6 +21,41 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
     return df.select("*", F.col("_metadata.file_path").alias(source_col)) if source_col else df
 
 
+def read_many(spark: SparkSession, root: str, pattern: str, schema: T.StructType | str, source_col: str = "_source_file") -> DataFrame:
+    """All delimited files below ``root`` that match, columns taken by name, tagged with their file.
+
+    Files whose header differs in order or lacks columns of the schema are read by
+    their own header; empty files give nothing; that no file matches is an error.
+    """
+    wanted = spark.createDataFrame([], schema).schema
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).where("length > 0")
+    heads = listed.select("path", F.regexp_replace(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n", 2)[0], "^\ufeff", "").alias("head"))
+    by_head: dict[str, list[str]] = {}
+    for r in heads.collect():  # a row for each file
+        by_head.setdefault(r["head"], []).append(r["path"])
+    if not by_head:
+        raise FileNotFoundError(f"no file that is not empty matches {pattern} under {root}")
+    parts = []
+    for head, paths in sorted(by_head.items()):
+        names = [h.strip().strip('"') for h in head.split(",")]
+        own = T.StructType([wanted[n] if n in wanted.names else T.StructField(n, T.StringType()) for n in names])
+        df = read_csv(spark, paths, own, source_col=source_col)
+        parts.append(df.select(*[F.col(f"`{n}`") for n in names if n in wanted.names], source_col))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields if f.name not in out.columns]
+    return out.select("*", *lacking).select(*wanted.names, source_col)
+
+
+def prefecture_rows(raw: DataFrame, names: Sequence[str], place: str, skip: int = 4) -> DataFrame:
+    """Rows of an official sheet (columns in order, ``place`` from 0) as a named table: the first ``skip`` rows and those without a name (second column) left out, address parts joined."""
+    cells = [c for c in raw.columns if c != place]
+    named = raw.where((F.col(place) >= skip) & F.col(cells[1]).isNotNull()).select(place, *[F.col(c).alias(n) for c, n in zip(cells, names, strict=True)])
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("address_pref", "address_city", "address_detail")]
+    return named.withColumn("address", F.concat(*parts)).withColumn("common_id", F.trim(F.col("common_id").cast("string")))
+
+
 def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], encoding: str = "cp932") -> DataFrame:
     """The first member of each archive, every column as text.  An archive is decoded by one task; lines then spread."""
     import io
@@ -39,8 +74,13 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], enco
     return raw.mapInPandas(lines, ", ".join(f"`{c}` string" for c in columns))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, *, bom: bool = False) -> None:
+    """Delimited files with a header; ``bom`` begins each with a byte-order mark, as spreadsheets want it."""
+    if not bom:
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return
+    first, *rest = df.columns
+    df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_feature_collection(spark: SparkSession, path: str, code_field: str) -> DataFrame:
@@ -58,13 +98,34 @@ def read_feature_collection(spark: SparkSession, path: str, code_field: str) ->
     return gathered.select("code", F.flatten(F.transform("p", lambda x: x["parts"])).alias("parts"))
 
 
-def feature(geometry: Column, properties: Column) -> Column:
-    """A GeoJSON feature as text; NaN has no place in JSON and fails here."""
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
+def _checked(c: Column, kind: T.DataType) -> Column:
+    """``c`` with an error in place of any number within it that is not finite."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("a number that is not finite has no place in JSON")).cast(kind)).otherwise(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _checked(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_checked(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def features(df: DataFrame, geometry: Column, properties: Column, *keys: str) -> DataFrame:
+    """(keys, feature): GeoJSON features as text; a number that is not finite is an error, not text."""
+    parts = df.select(*keys, geometry.alias("_g"), properties.alias("_p"))
+    checked = {n: _checked(F.col(n), parts.schema[n].dataType) for n in ("_g", "_p")}
+    return parts.select(*keys, F.to_json(F.struct(F.lit("Feature").alias("type"), checked["_g"].alias("geometry"), checked["_p"].alias("properties"))).alias("feature"))
+
+
+def feature_collections(df: DataFrame, key: str, order: str, geometry: Column, properties: Column) -> DataFrame:
+    """(key, document): one GeoJSON document for each key, its features by ``order``; a key's features must fit into one row."""
+    rows = features(df, geometry, properties, key, order).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "feature"))).alias("f"))
+    text = F.array_join(F.transform("f", lambda x: x["feature"]), ",")
+    return rows.select(key, F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")).alias("document"))
 
 
 def write_features(df: DataFrame, path: str, geometry: Column, properties: Column) -> None:
-    df.select(feature(geometry, properties).alias("value")).write.mode("overwrite").text(path)
+    """One feature a line."""
+    features(df, geometry, properties).write.mode("overwrite").text(path)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -76,13 +137,42 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select(F.col("_id").alias("node"), to_map("data").alias("data")), edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), to_map("data").alias("data"))
 
 
-def write_shards(df: DataFrame, root: str, key: str) -> DataFrame:
-    """One folder of JSON for each key, and the index (key, file, feature_count), which is written beside them and returned."""
+def write_shards(df: DataFrame, root: str, key: str, order: Sequence[object] | None = None) -> DataFrame:
+    """One folder of JSON for each key, and the index (key, file, feature_count, place), which is written beside them and returned.
+
+    ``order`` fixes which keys there are and in what order: one without rows, or rows of another key, are an error.
+    """
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("feature_count"))
+    if order is not None:
+        places = df.sparkSession.createDataFrame(list(enumerate(order)), T.StructType([T.StructField("place", T.IntegerType()), T.StructField(key, df.schema[key].dataType)]))
+        off = F.broadcast(places).join(counted, key, "full").where("place IS NULL OR feature_count IS NULL").select(key).collect()
+        if off:
+            raise ValueError(f"no public rows for, or no place for: {sorted(str(r[0]) for r in off)}")
+        counted = counted.join(F.broadcast(places), key)
+    else:
+        counted = counted.withColumn("place", F.lit(None).cast("int"))
     df.write.mode("overwrite").partitionBy(key).json(f"{root}/shards")
-    index = df.groupBy(key).agg(F.count(F.lit(1)).alias("feature_count"))
-    index = index.select(key, F.concat(F.lit(f"{key}="), F.col(key)).alias("file"), "feature_count").orderBy(key)
-    index.coalesce(1).write.mode("overwrite").json(f"{root}/index")
-    return df.sparkSession.read.json(f"{root}/index")
+    index = counted.select(F.col(key).cast("string").alias(key), F.concat(F.lit(f"{key}="), F.col(key)).alias("file"), "feature_count", "place")
+    index.orderBy("place", key).coalesce(1).write.mode("overwrite").json(f"{root}/index")
+    return df.sparkSession.read.schema(index.schema).json(f"{root}/index")
+
+
+def export_scenarios(tables: dict[str, DataFrame], root: str, canonical_sha: str, provenance: dict[str, tuple[str, str]]) -> None:
+    """Tables added beside the canonical ones; refused unless every stage's (release gate, canonical source) is PASS and the same source.  All are checked before any is written."""
+    for stage, (gate, sha) in provenance.items():
+        if gate != "PASS":
+            raise ValueError(f"{stage}: release gate is not PASS")
+        if sha != canonical_sha:
+            raise ValueError(f"{stage}: provenance does not match the canonical source")
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{root}/{name}")
+
+
+def network_summary(records: DataFrame) -> DataFrame:
+    """One row for records (municipality, status): how many, and which municipalities are complete and which are not."""
+    done = F.coalesce(F.col("status") == "complete", F.lit(False))
+    named = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("municipality"))))
+    return records.agg(F.count(F.lit(1)).alias("qa_records"), named(done).alias("complete_municipalities"), named(~done).alias("failed_municipalities"))
 
 
 def read_shards(spark: SparkSession, root: str, schema: T.StructType | str, key: str, *, check_counts: bool = True) -> DataFrame:
@@ -112,6 +202,35 @@ def manifest_diff(before: DataFrame, after: DataFrame, outside: str | None = Non
     return diff.where(~F.contains("path", F.lit(outside))) if outside else diff
 
 
+def tile_store(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(x, y, content, status) of wanted tiles (x, y) against fetched ones (x, y, content, code): ``present``, or ``absent`` where the server said 404; any other answer, or none, is an error."""
+    rows = wanted.select("x", "y").distinct().join(fetched, ["x", "y"], "left")
+    said = F.concat(F.lit("tile "), F.col("x"), F.lit("/"), F.col("y"), F.lit(" was not fetched: "), F.coalesce(F.col("code").cast("string"), F.lit("no answer")))
+    status = F.when(F.col("content").isNotNull() & (F.col("code") == 200), "present").when(F.col("code") == 404, "absent").otherwise(F.raise_error(said))
+    return rows.select("x", "y", F.when(F.col("code") == 200, F.col("content")).alias("content"), status.alias("status"))
+
+
+def fetch_tiles(wanted: DataFrame, get, retries: int = 3) -> DataFrame:
+    """(x, y, content, code) by ``get(x, y) -> (code, bytes)`` in the workers, each tile once, tried ``retries`` times where it raises; the last failure has code -1."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                code, content = -1, None
+                for _ in range(retries):
+                    try:
+                        code, content = get(int(x), int(y))
+                        break
+                    except OSError:
+                        continue
+                rows.append((x, y, content if code == 200 else None, code))
+            yield pd.DataFrame(rows, columns=["x", "y", "content", "code"])
+
+    return wanted.select("x", "y").distinct().mapInPandas(run, "x int, y int, content binary, code int")
+
+
 def tile_pixels(tiles: DataFrame, decode) -> DataFrame:
     """(x, y, px, py, r, g, b, a) of tiles (x, y, content); ``decode`` turns bytes into an array (height, width, 4), None means absent."""
     import numpy as np

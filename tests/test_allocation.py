@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pandas as pd
+import pytest
 
 from terrafold.operators import allocation as A
 
@@ -16,7 +17,8 @@ def tables(spark, b=10.0):
 
 
 def summary(spark, runs, **k):
-    return {r.run_id: r for r in A.allocation_summary(A.allocate(*tables(spark, **k), runs)).collect()}
+    cands, mesh, caps = tables(spark, **k)
+    return {r.run_id: r for r in A.allocation_summary(A.allocate(cands, mesh, caps, runs), A.prepare_candidates(cands, caps)).collect()}
 
 
 def test_reference_cases(spark):
@@ -24,7 +26,7 @@ def test_reference_cases(spark):
     assert (got["r"].served_demand, got["r"].unserved_demand) == (16.0, 0.0)
     assert (got["w"].served_demand, got["w"].unserved_demand) == (20.0, 2.0)
     got = summary(spark, [("r", "area", 10, 0.0), ("p", "area", 10, 6.0)], b=None)
-    assert (got["r"].served_demand, got["r"].unserved_demand, got["r"].used_shelters) == (10.0, 6.0, 1)
+    assert (got["r"].served_demand, got["r"].unserved_demand, got["r"].known_capacity_shelters) == (10.0, 6.0, 1)
     assert (got["p"].unserved_demand, got["p"].added_capacity_used) == (0.0, 6.0)
 
 
@@ -37,6 +39,46 @@ def test_budgets_are_monotone_and_statuses(spark):
     assert rows["m1"] == "nearest_known_capacity" and rows["m2"] == "capacity_constrained_partial"
 
 
+def test_bad_input_is_an_error(spark):
+    cands, mesh, caps = tables(spark)
+    run = [("r", "area", 10, 0.0)]
+    more = lambda *rows: cands.unionByName(spark.createDataFrame(list(rows), cands.schema))
+    lacking = spark.createDataFrame([("m1", None, 1.0)], mesh.schema)
+    cases = [
+        (more(("m1", 3, "A", 5.0)), mesh, "duplicate mesh and shelter"),
+        (more(("m1", 4, "C", 5.0)), mesh, "ranks are not 1..n"),
+        (cands, lacking, "demand is missing or negative"),
+        (cands, mesh.withColumn("area", -mesh["area"]), "demand is missing or negative"),
+        (cands, mesh.unionByName(mesh), "duplicate mesh"),
+    ]
+    for c, m, said in cases:
+        with pytest.raises(ValueError, match=said):
+            A.allocate(c, m, caps, run)
+    with pytest.raises(ValueError, match="duplicate capacity"):
+        A.allocate(cands, mesh, caps.unionByName(caps), run)
+    # A candidate without a distance, or below zero, is not usable; the rest must still be 1..n.
+    unusable = more(("m1", 3, "C", None), ("m2", 3, "C", -1.0))
+    assert A.allocate(unusable, mesh, caps, run).where("shelter_key = 'C'").count() == 0
+
+
+def test_statuses_shelters_and_plan(spark):
+    cands, mesh, caps = tables(spark)
+    prepared = A.prepare_candidates(cands, caps)
+    flow = spark.createDataFrame([("r", "m1", "B", 80, False), ("r", "m2", "A", 50, False), ("r", "m2", "B", 30, False), ("r", "", "A", 20, True), ("r", "", "B", 20, True)], A.FLOW)
+    rows = {r.mesh_id: r for r in A.mesh_results(flow, prepared).collect()}
+    assert rows["m1"].allocation_status == "capacity_constrained_rerouted" and rows["m1"].additional_distance_m == 200.0
+    assert rows["m2"].allocation_status == "capacity_constrained_split" and rows["m2"].dominant_shelter == "A"
+    shelters = {r.shelter_key: r for r in A.shelter_results(flow, prepared).collect()}
+    assert (shelters["B"].effective_capacity, shelters["B"].allocated_demand, shelters["B"].saturated) == (12.0, 11.0, False)
+    assert [(r.plan_rank, r.shelter_key) for r in A.investment_plan(flow, prepared).orderBy("plan_rank").collect()] == [(1, "B"), (2, "A")]
+    status = lambda units, shelter: next(r for r in A.mesh_results(spark.createDataFrame([("r", "m1", shelter, units, False)], A.FLOW), prepared).collect()).allocation_status
+    assert status(0, None) == "zero_demand" and status(5, None) == "capacity_constrained_unserved" and status(5, "A") == "nearest_known_capacity"
+    none = A.prepare_candidates(cands.where("false"), caps)
+    assert A.mesh_results(spark.createDataFrame([("r", "m1", None, 5, False)], A.FLOW), none).first().allocation_status == "route_unavailable_or_no_candidate"
+    unknown = A.prepare_candidates(cands, caps.where("false"))
+    assert A.mesh_results(spark.createDataFrame([("r", "m1", None, 5, False)], A.FLOW), unknown).first().allocation_status == "unknown_capacity_only"
+
+
 def cost(pairs, units, dist):
     unserved = int(A.UNSERVED_M * A.SCALE) * A.TIES
     return sum(n * (dist[p] if p[1] else unserved) for p, n in pairs.items())

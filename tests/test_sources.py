@@ -53,3 +53,76 @@ def test_gates(spark):
         require_columns(df, ["id", "b"])
     assert subset_diff({"a": {"b": 1.0}}, {"a": {"b": 1.0000001, "c": 2}}) == []
     assert subset_diff({"a": [1, 2], "d": True}, {"a": [1, 3], "d": 1}) == ["$.a[1]: 2 != 3", "$.d: True != 1"]
+
+
+def test_read_many(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "r1.csv").write_text("\ufeffcode,n\n01201,3\n", encoding="utf-8")
+    (tmp_path / "r2.csv").write_text("n,code,other\n4,00001,x\n")
+    (tmp_path / "r3.csv").write_text("code\n00002\n")
+    (tmp_path / "r4.csv").write_text("")
+    df = files.read_many(spark, str(tmp_path), "r*.csv", "code string, n int")
+    assert sorted((r.code, r.n) for r in df.collect()) == [("00001", 4), ("00002", None), ("01201", 3)]
+    assert df.columns == ["code", "n", "_source_file"]
+    with pytest.raises(FileNotFoundError):
+        files.read_many(spark, str(tmp_path), "z*.csv", "code string")
+
+
+def test_prefecture_rows(spark):
+    names = ["common_id", "name", "address_pref", "address_city", "address_detail"]
+    raw = spark.createDataFrame([(i, f" {i} ", None if i == 5 else "n", "p", None, "d") for i in range(7)], "place int, _0 string, _1 string, _2 string, _3 string, _4 string")
+    rows = files.prefecture_rows(raw, names, "place").orderBy("place").collect()
+    assert [(r.common_id, r.address) for r in rows] == [("4", "pd"), ("6", "pd")]
+
+
+def test_csv_with_mark(spark, tmp_path):
+    files.write_csv(spark.createDataFrame([("01", 1)], "code string, n int").coalesce(1), str(tmp_path / "c"), bom=True)
+    (part,) = (tmp_path / "c").glob("*.csv")
+    assert part.read_bytes().startswith("\ufeffcode,n".encode())
+
+
+def test_features_refuse_what_is_not_finite(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 0, None), ("b", 2, 1.0)], "code string, place int, v double")
+    geometry, properties = F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates")), F.struct("v")
+    docs = {r.code: json.loads(r.document) for r in files.feature_collections(df, "code", "place", geometry, properties).collect()}
+    assert docs["a"]["type"] == "FeatureCollection" and [f["properties"] for f in docs["a"]["features"]] == [{}, {"v": 2.0}]
+    for bad in ("NaN", "Infinity"):
+        with pytest.raises(Exception, match="not finite"):
+            files.features(df.withColumn("v", F.lit(float(bad))), geometry, properties).collect()
+
+
+def test_shards_need_every_key(spark, tmp_path):
+    df = spark.createDataFrame([("01", 1), ("02", 3)], "code string, v int")
+    assert [r.code for r in files.write_shards(df, str(tmp_path / "s"), "code", ["02", "01"]).orderBy("place").collect()] == ["02", "01"]
+    for order in (["01"], ["01", "02", "03"]):
+        with pytest.raises(ValueError, match="no public rows"):
+            files.write_shards(df, str(tmp_path / "t"), "code", order)
+    assert not (tmp_path / "t").exists()
+
+
+def test_scenarios_are_refused(spark, tmp_path):
+    tables = {"x": spark.range(3)}
+    for gate, sha in (("FAIL", "s"), ("PASS", "other")):
+        with pytest.raises(ValueError):
+            files.export_scenarios(tables, str(tmp_path / "o"), "s", {"step8": ("PASS", "s"), "step9": (gate, sha)})
+    assert not (tmp_path / "o").exists()
+    files.export_scenarios(tables, str(tmp_path / "o"), "s", {"step8": ("PASS", "s"), "step9": ("PASS", "s")})
+    assert spark.read.json(str(tmp_path / "o" / "x")).count() == 3
+
+
+def test_tiles(spark):
+    wanted = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 1)], "x int, y int")
+
+    def get(x, y):
+        if x == 3:
+            raise OSError("no network")
+        return (404, None) if x == 2 else (200, b"tile")
+
+    fetched = files.fetch_tiles(wanted, get)
+    assert sorted((r.x, r.code, r.content) for r in fetched.collect()) == [(1, 200, bytearray(b"tile")), (2, 404, None), (3, -1, None)]
+    stored = files.tile_store(wanted.where("x < 3"), fetched)
+    assert sorted((r.x, r.status) for r in stored.collect()) == [(1, "present"), (2, "absent")]
+    with pytest.raises(Exception, match="was not fetched"):
+        files.tile_store(wanted, fetched).collect()
