@@ -568,21 +568,60 @@ def test_chain_is_longest():
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    rows = toxicity.score(docs.where("lang = 'en'"), labels).join(labels, "doc_id").where("held_out").collect()
-    bad, called = [r for r in rows if r.toxic == 1], [r for r in rows if r.predicted == 1]
-    assert sum(r.predicted for r in bad) / len(bad) > 0.85 and sum(r.toxic for r in called) / len(called) > 0.85
+    rows = toxicity.score(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert all(r.predicted == (r.score >= 0.3) for r in rows)
-
-
-def test_subsequence_kernel_tolerates_insertions():
-    k = toxicity.kernel(["idiot", "idxiot", "the"], ["idiot"])[:, 0]
-    assert abs(k[0] - 1) < 0.05 and k[1] > 0.3 > k[2]
+    for lang in ("en", "de", "fr", "es"):
+        bad = [r for r in rows if r.toxic == 1 and r.lang == lang]
+        assert sum(r.predicted for r in bad) / len(bad) >= 0.85, lang
+    called = [r for r in rows if r.predicted == 1]
+    assert sum(r.toxic for r in called) / len(called) >= 0.85
+
+
+def test_subsequence_kernel_matches_counting():
+    words, marks = ["idiot", "idxiot", "i__d__i__o__t", "the", "a"], ["idiot", "moron"]
+    weighed = defaultdict(lambda: defaultdict(float))
+    for w in {*words, *marks}:
+        chars = f"^{w}$"
+        for gaps in toxicity.GAPS:
+            for at in range(len(chars) - sum(gaps)):
+                places = np.cumsum([at, *gaps])
+                weighed[w][len(gaps), "".join(chars[p] for p in places)] += toxicity.DECAY ** (sum(gaps) - len(gaps))
+    norm = lambda w: math.sqrt(max(1.0, sum(toxicity.DECAY ** (2 * (sum(g) - len(g))) * max(0, len(w) + 2 - sum(g)) for g in toxicity.GAPS)))
+    got = toxicity.kernel(words, marks)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            assert got[i, j] == pytest.approx(sum(x * weighed[m][s] for s, x in weighed[w].items()) / norm(w) / norm(m), abs=1e-4)
+    assert got[1, 0] > 0.3 > got[3, 0] and got[2, 0] > got[3, 0]
     weights = np.zeros(1 << toxicity.BITS)
     for owner, feature, weight in toxicity._subsequences(["idiot"]):
         np.add.at(weights, feature, weight / toxicity._norms(["idiot"])[owner])
     assert np.allclose(toxicity.word_margins(["idxiot", "moron"], weights), toxicity.kernel(["idxiot", "moron"], ["idiot"])[:, 0], atol=1e-6)
 
 
+def test_toxicity_finds_gapped_insults():
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprst")) + rng.choice(list("aeiou")) for _ in range(rng.integers(1, 4)))
+    texts, labels = [], []
+    for i in range(600):
+        sentences = [" ".join(word() for _ in range(rng.integers(4, 12))) for _ in range(5)]
+        labels.append(int(i % 6 == 0))
+        if labels[-1]:
+            sentences[rng.integers(0, 5)] += " " + rng.choice(["zwickel", "quaddle", "xerfuzz"])
+        texts.append(". ".join(sentences) + ".")
+    model = toxicity.train(texts, labels, (5 / 6, 1 / 6))
+    clean = " ".join(word() for _ in range(40))
+    forms = ["zwickel", "Zwickel!", "z w i c k e l", "z.w.i.c.k.e.l", "z__w__i__c__k__e__l", "zwicxkel", "quad-dle", "xerrfuzz"]
+    scores = model.scores([*(f"{clean}. and so {f} it is" for f in forms), clean, ""])
+    assert (scores[:-2] >= 0.3).all() and (scores[-2:] < 0.3).all()
+
+
+def test_toxicity_of_twice_labelled_rows(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
+    both = labels.unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0).cast(labels.schema["toxic"].dataType)))
+    one, two = (toxicity.score(docs, x.repartition(3)).orderBy("doc_id").collect() for x in (labels, both))
+    assert one == two
+
+
 def test_lm_base_and_model(spark, docs):
     rows = {r.doc_id: r for r in lm_score.score(docs, tokenizer("byte_bpe_50k.tiktoken"), frequent_words=50).collect()}
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
@@ -690,16 +729,110 @@ def test_sql_oracles(spark):
         assert {tuple(r) for r in df.collect()} == {tuple(r[i] for i in order) for r in cur.fetchall()}
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """The small tables with planted documents: (folder, text of each planted id)."""
+    rng = np.random.default_rng(21)
+    d = tmp_path_factory.mktemp("planted")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    word = lambda: "".join(rng.choice(list("bdfgklmnprst")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    base, passage = prose(240), next(r.text for r in bench.orderBy("item_id").collect() if len(r.text.split()) > 20)
+    swapped = " ".join(("other" if i % 8 == 5 else w) for i, w in enumerate(passage.split()))
+    near = " ".join((word() if i % 13 == 4 else w) for i, w in enumerate(base.split()))
+    insults = Counter(w.strip(".,!?").lower() for r in docs.join(labels.where("toxic = 1"), "doc_id").collect() for w in (r.text or "").split())
+    mild = {w.strip(".,!?").lower() for r in docs.join(labels.where("toxic = 0"), "doc_id").collect() for w in (r.text or "").split()}
+    worst = [w for w, _ in sorted(insults.items(), key=lambda x: -x[1]) if w not in mild and len(w) > 4][:5]
+    texts = {
+        10**6: base,
+        10**6 + 1: base.upper(),
+        10**6 + 2: near,
+        10**6 + 3: f"{prose(60)} {swapped} {prose(40)}",
+        10**6 + 4: f"{prose(30)}. {' '.join(worst)}. {prose(30)}",
+        10**6 + 5: prose(150),
+        10**6 + 6: None,
+        10**6 + 7: "",
+        10**6 + 8: "word " * 30000,
+        10**6 + 9: "one two three four five six seven eight nine ten",
+        10**6 + 10: "one two three four five six seven eight nine eleven",
+    }
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], docs.schema)
+    docs.unionByName(rows).unionByName(rows.where("doc_id = 1000005")).write.parquet(f"{d}/documents.parquet")
+    bench.write.parquet(f"{d}/benchmark.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    return str(d), texts
+
+
+def test_pipeline_stages_match_brute_force(spark, planted):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    d, texts = planted
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = [docs]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept[-1], DATA).cache()
+        out = stage(spark, kept[-1], d).cache()
         assert out.columns == docs.columns and out.exceptAll(kept[-1]).count() == 0
         kept.append(out)
-    folded = kept[1].select(F.lower("text")).distinct().count()
-    assert kept[2].count() >= folded
-    assert kept[4].count() > 0.5 * kept[0].count()
-    assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == {r.doc_id for r in kept[4].collect()}
+    ids = [{r.doc_id for r in k.collect()} for k in kept]
+    gone = lambda i: next((n for n, there in enumerate(ids) if i not in there), None)
+    m = 10**6
+    assert {i - m: gone(i) for i in texts} == {0: 2, 1: None, 2: 3, 3: 4, 4: 1, 5: None, 6: 2, 7: None, 8: None, 9: None, 10: 3}
+    rows = [{r.doc_id: r.text for r in k.collect()} for k in kept]
+    # Toxicity: what the scores say, and most of what is labelled.
+    scores = {r.doc_id: r.predicted for r in toxicity.score(kept[0], spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert ids[1] == {i for i in ids[0] if not scores[i]}
+    # Exact copies: of equal texts the largest id.
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    best = {}
+    for i, t in rows[1].items():
+        best[fold(t)] = max(i, best.get(fold(t), i))
+    assert ids[2] == set(best.values())
+    # Near copies: of each class by the edit distance of all pairs the smallest id.
+    order = sorted(ids[2])
+    classes = classes_by_force([rows[2][i] or "" for i in order])
+    assert ids[3] == {order[c] for c in set(classes)}
+    # Benchmark: no document is left that holds an item's whole text.
+    items = [" ".join(re.findall(r"[^\W_]+", r.text.lower())) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    holds = lambda t: any(f" {x} " in f" {' '.join(re.findall(r'[^\W_]+', (t or '').lower()))} " for x in items)
+    assert {i for i in ids[3] if holds(rows[3][i])} <= ids[3] - ids[4]
+    pieces = corpus_pipeline.run(spark, d).collect()
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    assert {r.doc_id for r in pieces} == ids[4]
+    many = Counter(r.doc_id for r in kept[4].collect())
+    assert sum(r.length for r in pieces) == sum((len(tok.encode(t or "", add_special_tokens=False).ids) + 1) * many[i] for i, t in rows[4].items())
+
+
+def test_pipeline_takes_awkward_and_empty_tables(spark, planted):
+    import corpus_pipeline
+
+    d, _ = planted
+    odd = awkward(spark)
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == odd.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+        assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(pieces.columns)
+        assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_empty_tables_have_the_same_columns_and_types(spark, docs, tmp_path):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    some, none = docs.limit(20), docs.limit(0)
+    ops = [
+        lambda d: decontaminate.overlaps(d, bench),
+        lambda d: token_counts.count_tokens(d, tokenizer("piece_bpe_32k.model"), str(tmp_path / "cache")),
+        exact_dedup.exact_dedup,
+        pii.find,
+        lambda d: packing.pack(d, tokenizer("byte_bpe_50k.json")),
+        language.identify,
+        near_dup.classes,
+        lambda d: toxicity.score(d, labels),
+    ]
+    for op in ops:
+        empty = op(none)
+        assert empty.count() == 0 and [(f.name, f.dataType) for f in empty.schema] == [(f.name, f.dataType) for f in op(some).schema]
