@@ -53,18 +53,35 @@ def quantile_bounds(df: DataFrame, column: str, low: float = 0.05, high: float =
     return lo, hi if hi > lo else lo + 1.0
 
 
-def composite(mesh: DataFrame, nearest: DataFrame, shelters: DataFrame) -> DataFrame:
+def bounds_in_plan(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """What :func:`quantile_bounds` gives, as one row (low, high) of the plan itself.
+
+    One task holds the distinct values: right for the meshes of a country, while
+    :func:`quantile_bounds` holds a bounded number of them whatever the table.
+    """
+    q = F.percentile(V.finite(F.col(column)), F.array(F.lit(low), F.lit(high)))
+    found = df.agg(q.alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    lo = F.coalesce("lo", F.lit(0.0))
+    return found.select(lo.alias("low"), F.when(F.col("lo").isNull(), 1.0).when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(lo + 1.0).alias("high"))
+
+
+def composite(mesh: DataFrame, nearest: DataFrame, shelters: DataFrame, in_plan: bool = True) -> DataFrame:
     """Target meshes with demand, the selected shelter's pressure, components, scores with bounds, completeness and status.
 
     ``mesh``: mesh_id, total_population, tsunami_inundation_ratio, aging_rate_65plus;
     ``nearest``: mesh_id, shelter_key, total_walking_distance_m, inundation_ratio,
     unknown_ratio, classified_ratio (one row per mesh with a route);
-    ``shelters``: shelter_key, capacity.  The walking bounds are two numbers, found first.
+    ``shelters``: shelter_key, capacity.  The walking bounds are a row of the plan, or,
+    not ``in_plan``, two numbers that jobs find first, for more meshes than a task can hold.
     """
     base = demand(targets(mesh)).join(nearest, "mesh_id", "left").withColumn("ready", F.col("shelter_key").isNotNull())
     pressure = shelter_pressure(base.where("ready"), shelters)
-    low, high = map(F.lit, quantile_bounds(base.where("ready"), "total_walking_distance_m"))
     full = base.join(pressure, "shelter_key", "left")
+    if in_plan:
+        full = full.crossJoin(F.broadcast(bounds_in_plan(base.where("ready"), "total_walking_distance_m")))  # one row
+        low, high = F.col("low"), F.col("high")
+    else:
+        low, high = map(F.lit, quantile_bounds(base.where("ready"), "total_walking_distance_m"))
     when_ready = lambda c: F.when(F.col("ready"), c)
     hundred = lambda c: V.clip_keep_null(c * 100.0, 0.0, 100.0)
     full = full.select(
@@ -86,7 +103,7 @@ def composite(mesh: DataFrame, nearest: DataFrame, shelters: DataFrame) -> DataF
         at["shelter_capacity_pressure"] = F.col(f"shelter_capacity_pressure_component_{pressure}")
         return when_ready(V.weighted_score(at, weights))
 
-    scored = full.select(
+    scored = full.drop("low", "high").select(
         "*",
         *[score(V.CORE_WEIGHTS, b).alias(f"core_score{b}") for b in ("", "_lower", "_upper")],
         *[score(V.FULL_WEIGHTS, b).alias(f"full_score{b}") for b in ("", "_lower", "_upper")],

@@ -326,6 +326,12 @@ def walking_bounds(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(r6("low", F.lit(low)), r6("high", F.lit(high)))
 
 
+@query(RISK + " SELECT round(low, 6) AS low, round(high, 6) AS high FROM bounds")
+def walking_bounds_in_plan(spark: SparkSession, d: str) -> DataFrame:
+    base = scoring.targets(S.meshes(spark, d)).join(first_candidates(spark, d), "mesh_id")
+    return scoring.bounds_in_plan(base, "total_walking_distance_m").select(r6("low"), r6("high"))
+
+
 SCORES = ["core_score", "core_score_lower", "core_score_upper", "full_score", "full_score_lower", "full_score_upper", "full_score_full_mesh"]
 
 
