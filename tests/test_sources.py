@@ -126,3 +126,14 @@ def test_tiles(spark):
     assert sorted((r.x, r.status) for r in stored.collect()) == [(1, "present"), (2, "absent")]
     with pytest.raises(Exception, match="was not fetched"):
         files.tile_store(wanted, fetched).collect()
+
+
+def test_stream_drives_a_batch_function(spark, tmp_path):
+    from terrafold.streaming import rerun
+
+    source, seen = str(tmp_path / "in"), []
+    for n in (3, 4):  # the second time only what is new
+        spark.range(n).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source)
+        assert rerun(stream, lambda df: seen.append(df.count()), str(tmp_path / "at")).awaitTermination(120)
+        assert seen[-1] == n
