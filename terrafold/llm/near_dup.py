@@ -10,14 +10,16 @@ key.  Texts with equal keys are candidates: equal keys need the same k-mers in t
 same order, which follows edit similarity, not just set similarity.
 
 Links are found without forming all pairs of a bucket: every text is first held
-against the smallest id of its buckets, and components of those links are formed.
-What is left are buckets with several components.  Their texts, and all texts of
-fewer than ``few`` words (and those long enough to be like one), whose keys seldom
-agree, are then joined exactly, by the rarest of their labelled pairs of words: of
+against the smallest id of its buckets, components of those links are formed, and
+in buckets that still have several, two more members are held against the rest.
+Members of buckets that are mixed even then are compared inside the tasks, blocks
+with blocks: counts of hashed words rule out most pairs many at a time, the others
+are aligned.
+
+Texts of fewer than ``few`` words (and those long enough to be like one), whose keys
+seldom agree, are joined exactly, by the rarest of their labelled pairs of words: of
 two texts with n words at most that are alike, at least 0.6 n - 1 pairs are common,
-so in one order of all pairs the first ones of both have one in common.  Texts that
-share such a pair and are in different components are aligned block by block inside
-the tasks.
+so in one order of all pairs the first ones of both have one in common.
 
 Classes are the connected components of all links, found by hooking to smaller
 ids and written to the shared folder between rounds.
@@ -213,28 +215,46 @@ def _pair_batches(batches: Batches) -> Batches:
 
 
 def _code_batches(batches: Batches) -> Batches:
+    """Texts as four-byte hashes of their words: enough to say which are not alike; links are verified on the words themselves."""
     for batch in batches:
-        codes = [codes_of(t).view(np.int64) for t in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
+        codes = [codes_of(t).astype(np.uint32).view(np.int32) for t in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.list_(pa.int32()))], names=["id", "codes"])
+
+
+def _texts(t: pa.Table, k: int) -> list[Text]:
+    return [Text(np.array(x, np.int32).view(np.uint32).astype(np.uint64), k) for x in t.column("codes").to_pylist()]
+
+
+def _counts(texts: list[Text], cells: int = 256) -> np.ndarray:
+    """How many words of each text fall into each of ``cells``: the least of two texts' counts, added up, is no less than the words they have in common."""
+    out = np.zeros((len(texts), cells), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        row[:] = np.bincount((text.codes % np.uint64(cells)).astype(np.int64), minlength=cells)
+    return out
 
 
 def _block_links(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Links of the asking texts to those of a block, one for each other component of the block: enough to join them."""
 
-    def rows(t: pa.Table) -> list[tuple[int, int, Text]]:
-        texts = [Text(np.array(x, np.int64).view(np.uint64), k) for x in t.column("codes").to_pylist()]
-        return list(zip(t.column("id").to_pylist(), t.column("root").to_pylist(), texts, strict=True))
-
     def run(base: pa.Table, asking: pa.Table) -> pa.Table:
         a, b = [], []
-        there = rows(base) if len(asking) else []
-        for own, root, text in rows(asking):
-            done = {root}
-            for other, other_root, other_text in there:
-                if other_root not in done and alike(text, other_text, threshold):
-                    a.append(other)
-                    b.append(own)
-                    done.add(other_root)
+        there, ask = (_texts(t, k) if len(base) and len(asking) else [] for t in (base, asking))
+        if there and ask:
+            cells, ones = _counts(there), np.ones(256, np.float32)
+            sizes, roots = np.array([len(t.codes) for t in there]), base.column("root").to_numpy()
+            ids = base.column("id").to_pylist()
+            for own, root, text, row in zip(asking.column("id").to_pylist(), asking.column("root").to_pylist(), ask, _counts(ask), strict=True):
+                longer = np.maximum(sizes, len(text.codes))
+                limit = ((1 - threshold) * longer + 1e-9).astype(np.int64)
+                near = (roots != root) & (longer - np.minimum(sizes, len(text.codes)) <= limit)
+                some = np.flatnonzero(near)
+                some = some[longer[some] - np.minimum(cells[some], row) @ ones <= limit[some]]
+                done = {root}
+                for j in some.tolist():
+                    if int(roots[j]) not in done and alike(text, there[j], threshold):
+                        a.append(ids[j])
+                        b.append(own)
+                        done.add(int(roots[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -314,7 +334,7 @@ def classes(
     k: int = 5,
     bands: int = 32,
     picked: int = 3,
-    block: int = 256,
+    block: int = 512,
     few: int = 50,
 ) -> DataFrame:
     """One row per input row: id, class_id, class_size, kept.
@@ -362,36 +382,51 @@ def classes(
     second = written(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
     roots = merged(roots, verified(second, "second-links"))
 
-    # Texts of buckets that still have several components, and short ones, by their rarest pairs of words.
-    rooted = _with_root(members.select("band", F.col("id").alias("a")), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
+    # In a bucket that still has several components its leader is done; two more members take its place in turn.
+    rest = leading.select("band", "id")
+    for turn in range(3):
+        rooted = _with_root(rest.withColumnRenamed("id", "a"), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root"))
+        mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.struct("id", "root")).alias("head")).where("least <> most")
+        mixed = rooted.join(mixed.select("band", F.col("head.id").alias("head"), F.col("head.root").alias("head_root")), "band")
+        mixed = written(mixed, "mixed-buckets")
+        if turn < 2:
+            asked = mixed.where("root <> head_root").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+            roots = merged(roots, verified(asked, "next-links"))
+            rest = mixed.where("id <> head").select("band", "id")
+
+    # Short texts by their rarest pairs of words: each such pair is a bucket, too.
     short = firsts.where(F.col("words").between(2, int((few - 1) / threshold + 1e-9))).select(F.col("rep").alias("id"), "words")
-    held = written(members.join(mixed, "band").select("id", "words").union(short).distinct(), "held")
-    pairs = near.join(held, "id").mapInArrow(_pair_batches, "id long, words int, pairs array<long>")
-    # An id may have several texts: all of their pairs.
-    shared = written(rarest(pairs, threshold).distinct(), "shared-pairs")
-    shared = _with_root(shared.withColumnRenamed("id", "a"), roots, "a").select("pair", F.col("a").alias("id"), F.col("a_root").alias("root"))
-    shared = written(shared, "rooted-pairs")
-    parts = shared.groupBy("pair", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("pair")
+    pairs = near.join(short, "id").mapInArrow(_pair_batches, "id long, words int, pairs array<long>")
+    shared = written(rarest(pairs, threshold).distinct(), "shared-pairs")  # an id may have several texts: all of their pairs
+    buckets = mixed.select("band", "id").unionByName(shared.select(F.xxhash64(F.lit("pair"), "pair").alias("band"), "id"))
+    rooted = _with_root(buckets.withColumnRenamed("id", "a"), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root"))
+    rooted = written(rooted, "rooted")
+    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
     parts = parts.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
-    # Those outside the largest component of a pair are aligned with all of it, blocks with blocks.
+    # Those outside the largest component of a bucket are held against all of it, blocks with blocks.
     blocks = lambda n: F.ceil(n / block).cast("int")
-    parts = written(parts.select("pair", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("others")), "mixed-pairs")
-    apart = written(shared.join(parts, "pair"), "apart")
-    codes = near.join(apart.select("id").distinct(), "id").mapInArrow(_code_batches, "id long, codes array<long>")
+    parts = written(parts.select("band", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("others")), "parts")
+    apart = written(rooted.join(parts, "band"), "apart")
+    codes = near.join(apart.select("id").distinct(), "id").mapInArrow(_code_batches, "id long, codes array<int>")
     codes = written(codes, "codes")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = apart.select("pair", "id", "root", own(F.col("blocks")).alias("block"), every(F.col("others")).alias("other")).join(codes, "id")
-    asking = apart.where("root <> major").select("pair", "id", "root", own(F.col("others")).alias("other"), every(F.col("blocks")).alias("block")).join(codes, "id")
+    base = apart.select("band", "id", "root", own(F.col("blocks")).alias("block"), every(F.col("others")).alias("other")).join(codes, "id")
+    asking = apart.where("root <> major").select("band", "id", "root", own(F.col("others")).alias("other"), every(F.col("blocks")).alias("block")).join(codes, "id")
     base, asking = base.toDF(*base.columns), asking.toDF(*asking.columns)  # attributes of their own
-    by = ["pair", "block", "other"]
+    by = ["band", "block", "other"]
     third = base.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(_block_links(k, threshold), "a long, b long")
+    wanted = written(third.distinct(), "third-pairs")  # by short hashes; few, and verified on the texts
+    both = wanted.join(near.select(F.col("id").alias("a"), F.col("content").alias("a_text")), "a").join(near.select(F.col("id").alias("b"), F.col("content").alias("b_text")), "b")
+    third = both.mapInArrow(_verify_batches(k, threshold), "a long, b long")
     # An id with several texts joins their classes.
     least = of_copy.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
     several = of_copy.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    wanted = written(third.distinct(), "third-pairs")  # by short hashes; few, and verified on the texts
+    both = wanted.join(near.select(F.col("id").alias("a"), F.col("content").alias("a_text")), "a").join(near.select(F.col("id").alias("b"), F.col("content").alias("b_text")), "b")
+    third = both.mapInArrow(_verify_batches(k, threshold), "a long, b long")
     roots = merged(roots, written(third.unionByName(several), "third-links"))
-    for spent in (members, first, second, held, shared, apart, codes, parts):
+    for spent in (members, first, second, mixed, shared, rooted, apart, codes, parts, wanted):
         dropped(spent)
 
     named = of_copy.groupBy("id").agg(F.min("rep").alias("rep"))
