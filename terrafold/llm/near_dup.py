@@ -305,7 +305,9 @@ def tree_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after ``links`` (a, b) have joined some of them: components of the roots alone, which are few."""
-    over = _with_root(_with_root(links, roots, "a"), roots, "b").where("a_root <> b_root")
+    over = written(_with_root(_with_root(links, roots, "a"), roots, "b").where("a_root <> b_root"), "over")
+    if over.isEmpty():
+        return roots
     over = components(over.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     moved = roots.join(over.select(F.col("id").alias("root"), F.col("root").alias("over")), "root", "left")
     moved = moved.select("id", F.coalesce("over", "root").alias("root"))
