@@ -535,12 +535,13 @@ def allocation_flow_rows(spark: SparkSession, d: str) -> DataFrame:
     return allocation.flow_rows(*_given_flow(spark, d)).select("run_id", "mesh_id", "shelter_key", "candidate_rank", "allocated_demand", r6("allocation_share"))
 
 
-@query(FLOW + """ SELECT mesh_id::VARCHAR AS mesh_id, a / 10.0::DOUBLE AS allocated_demand, u / 10.0::DOUBLE AS unserved_demand, shelters, round(mean_m, 6) AS mean_distance_m, dominant AS dominant_shelter, nearest AS nearest_shelter, candidates, known,
-      round(mean_m - nearest_m, 6) AS additional_distance_m, st AS allocation_status FROM res""")
+@query(FLOW + """ SELECT mesh_id::VARCHAR AS mesh_id, a / 10.0::DOUBLE AS allocated_demand, u / 10.0::DOUBLE AS unserved_demand, shelters, round(mean_m + 1e-8, 6) AS mean_distance_m, dominant AS dominant_shelter, nearest AS nearest_shelter, candidates, known,
+      round(mean_m - nearest_m + 1e-8, 6) AS additional_distance_m, st AS allocation_status FROM res""")
 def allocation_mesh_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = allocation.mesh_results(*_given_flow(spark, d))
     return rows.select(
-        "mesh_id", "allocated_demand", "unserved_demand", "shelters", r6("mean_distance_m"), "dominant_shelter", "nearest_shelter", "candidates", "known", r6("additional_distance_m"), "allocation_status"
+        "mesh_id", "allocated_demand", "unserved_demand", "shelters", r6("mean_distance_m", F.col("mean_distance_m") + 1e-8), "dominant_shelter", "nearest_shelter", "candidates", "known",
+        r6("additional_distance_m", F.col("additional_distance_m") + 1e-8), "allocation_status"
     )
 
 
