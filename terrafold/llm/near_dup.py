@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from terrafold.llm.common import columns_of, dropped, python_ready, without_ids, written
 
 SKETCH = "id long, key string, words int, bands array<long>"
+#: Cells that words are counted in: several times the words of a common text, so that few meet by chance.
+CELLS = 1024
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -225,7 +227,7 @@ def _texts(t: pa.Table, k: int) -> list[Text]:
     return [Text(np.array(x, np.int32).view(np.uint32).astype(np.uint64), k) for x in t.column("codes").to_pylist()]
 
 
-def _counts(texts: list[Text], cells: int = 256) -> np.ndarray:
+def _counts(texts: list[Text], cells: int = CELLS) -> np.ndarray:
     """How many words of each text fall into each of ``cells``: the least of two texts' counts, added up, is no less than the words they have in common."""
     out = np.zeros((len(texts), cells), np.float32)
     for row, text in zip(out, texts, strict=True):
@@ -240,7 +242,7 @@ def _block_links(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.
         a, b = [], []
         there, ask = (_texts(t, k) if len(base) and len(asking) else [] for t in (base, asking))
         if there and ask:
-            cells, ones = _counts(there), np.ones(256, np.float32)
+            cells, ones = _counts(there), np.ones(CELLS, np.float32)
             sizes, roots = np.array([len(t.codes) for t in there]), base.column("root").to_numpy()
             ids = base.column("id").to_pylist()
             for own, root, text, row in zip(asking.column("id").to_pylist(), asking.column("root").to_pylist(), ask, _counts(ask), strict=True):
