@@ -29,7 +29,7 @@ def read_many(spark: SparkSession, root: str, pattern: str, schema: T.StructType
     """
     wanted = spark.createDataFrame([], schema).schema
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).where("length > 0")
-    heads = listed.select("path", F.regexp_replace(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n", 2)[0], "^\ufeff", "").alias("head"))
+    heads = listed.select("path", F.regexp_replace(F.split(F.decode("content", "UTF-8"), r"\r?\n", 2)[0], "^\ufeff", "").alias("head"))
     by_head: dict[str, list[str]] = {}
     for r in heads.collect():  # a row for each file
         by_head.setdefault(r["head"], []).append(r["path"])
