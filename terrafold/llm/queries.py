@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import bpe
-from terrafold.llm.common import scratch
+from terrafold.llm import bpe, sql, trie
+from terrafold.llm.common import crc_mod, scratch
 from terrafold.llm.decontaminate import overlaps
 from terrafold.llm.exact_dedup import exact_dedup
 from terrafold.llm.html_text import extract
 from terrafold.llm.language import identify
 from terrafold.llm.lm_score import score as lm_score
+from terrafold.llm.manifest import manifest
 from terrafold.llm.near_dup import classes
 from terrafold.llm.packing import pack
 from terrafold.llm.pii import find
@@ -73,6 +74,28 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def tampered(fields: dict[str, Column]) -> dict[str, Column]:
+    """The fields with one more in ``n_chars`` where 7 divides the id's crc32."""
+    hit = crc_mod(fields["doc_id"], 7) == 0
+    return fields | {"n_chars": F.when(hit, fields["n_chars"] + 1).otherwise(fields["n_chars"])}
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and what tampered ones lead to."""
+    proved = manifest(table(spark, sf_dir, "documents"), claimed=tampered)
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def conversation_nodes(rows: DataFrame, **how) -> DataFrame:
+    convs = trie.rebuilt(trie.turns(rows), crc_mod(F.col("conv_id"), 4))
+    return trie.nodes(convs, **how).withColumn("ends", F.coalesce("ends", F.sha2(F.lit("").cast("binary"), 256))).withColumnRenamed("ends", "ends_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what every text encodes to and of what that decodes to."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -90,15 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
     "op10_lm_score": op10_lm_score,
+    "op11_manifest": op11_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op4_exact_dedup": """
-        WITH n AS (
-          SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
-          FROM documents)
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
-        FROM n WINDOW g AS (PARTITION BY t)""",
-}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": sql.OP4, "op11_manifest": sql.OP11, "op12_prefix_trie": sql.OP12}
