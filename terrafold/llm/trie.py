@@ -104,7 +104,7 @@ def build(lengths: np.ndarray, labels: np.ndarray, words: np.ndarray) -> tuple[L
 def rolled_up(parents: np.ndarray, levels: np.ndarray, values: np.ndarray, still: np.ndarray | None = None) -> np.ndarray:
     """``values`` with those of all nodes below; what nodes in ``still`` have goes no further up."""
     out = values.copy()
-    for a, b in zip(levels[-2:0:-1], levels[:0:-1], strict=True):
+    for a, b in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
         moved = out[a:b] if still is None else np.where(still[a:b], 0, out[a:b])
         np.add.at(out, parents[a:b], moved)
     return out
@@ -112,7 +112,7 @@ def rolled_up(parents: np.ndarray, levels: np.ndarray, values: np.ndarray, still
 
 def least(parents: np.ndarray, levels: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = values.copy()
-    for a, b in zip(levels[-2:0:-1], levels[:0:-1], strict=True):
+    for a, b in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
         np.minimum.at(out, parents[a:b], out[a:b])
     return out
 
