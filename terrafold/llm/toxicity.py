@@ -20,9 +20,9 @@ trained there.  The sum over landmarks is linear in the subsequences of a string
 it is collapsed to one weight per (hashed) subsequence for scoring, which changes
 no result.
 
-A document's margin is that of its strongest windows; a logistic curve, fitted to
-the training documents weighted to the shares in the whole training fold, turns
-it into the score.
+A document's margin is that of its strongest window; a logistic curve over it, the
+number of windows over the border and that of all windows, fitted to the training
+documents weighted to the shares in the whole training fold, gives the score.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ BITS = 18
 GAPS = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 2))
 DECAY = 0.6
 LONGEST = 32
+#: Parts of spaced letters: as long, and half as long.
+SPACED = 12
 #: Margin of a string that is like no landmark: clearly clean.
 OFFSET = -1.0
 EDGES = ".,;:!?\"'()[]{}<>|*_-~`#$%&+=/\\@^"
@@ -57,16 +59,28 @@ INNER = re.compile(r"[\W_]+")
 STEMS = range(4, 10)
 
 
+def _parts(word: str, longest: int, step: int) -> list[str]:
+    """The word, or overlapping parts of ``longest`` characters that cover all of an over-long one."""
+    if len(word) <= longest:
+        return [word]
+    return [word[i : i + longest] for i in range(0, len(word) - longest + step, step)]
+
+
 def windows_of(text: str) -> list[str]:
-    """Lower-cased words without punctuation at their edges, over-long ones as overlapping parts; words without signs inside; runs of single characters, and of very short words, joined."""
+    """Lower-cased words without punctuation at their edges; words without signs inside; runs of single characters, and of very short words, joined.
+
+    What is over-long comes as overlapping parts, spaced letters as short ones: an
+    insult is to fill most of a part, wherever in the run it lies.
+    """
     out: list[str] = []
     run: list[str] = []
 
     def close() -> None:
         letters = "".join(w if len(w) == 1 else " " for w in run).split()
-        out.extend(x[:LONGEST] for x in letters if len(x) > 2)
+        out.extend(p for x in letters if len(x) > 2 for p in _parts(x, SPACED, SPACED // 4))
+        out.extend(p for x in letters if len(x) > SPACED for p in _parts(x, SPACED // 2, SPACED // 6))
         if len(run) > 2 and 2 * sum(len(w) == 1 for w in run) >= len(run) and len(letters[0]) < len(run):
-            out.append("".join(run)[:LONGEST])
+            out.extend(_parts("".join(run), LONGEST, LONGEST // 2))
         run.clear()
 
     for w in text.lower().split():
@@ -74,14 +88,11 @@ def windows_of(text: str) -> list[str]:
         if len(w) > 2:
             if run:
                 close()
-            if len(w) <= LONGEST:
-                out.append(w)
-            else:
-                out += [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+            out += _parts(w, LONGEST, LONGEST // 2)
             if not w.isalnum():
                 bare = INNER.sub("", w)
-                if 2 < len(bare) <= LONGEST and bare != w:
-                    out.append(bare)
+                if len(bare) > 2 and bare != w:
+                    out += _parts(bare, LONGEST, LONGEST // 2)
         elif w:
             out.append(w)
             run.append(w)
@@ -140,7 +151,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights by subsequence; logistic curve over (strongest window, number of clear windows)."""
+    """Weights by subsequence; logistic curve over (strongest window, log number of windows over the border, log number of windows)."""
 
     weights: np.ndarray
     curve: np.ndarray
@@ -148,21 +159,22 @@ class Model:
 
     def features(self, texts: list[str]) -> np.ndarray:
         distinct, codes, bounds = word_table([windows_of(t) for t in texts])
-        out = np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 3))
         out[:, 0] = -2.0
+        out[:, 2] = np.log1p(np.diff(bounds))
         if len(codes):
             margin = np.clip(word_margins(distinct, self.weights) + OFFSET, -2, 2)[codes]
             full = np.flatnonzero(np.diff(bounds))
             out[full, 0] = np.maximum.reduceat(margin, bounds[full])
-            # Some windows of a long text may be near the border by chance; only clear ones add up.
-            out[full, 1] = np.log1p(np.add.reduceat((margin > 0.3).astype(float), bounds[full]))
+            # One window over the border may be so by chance, the more so in a long text.
+            out[full, 1] = np.log1p(np.add.reduceat((margin > 0).astype(float), bounds[full]))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not len(self.curve):
             return np.full(len(texts), self.prior)
         x = self.features(texts)
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:2] + self.curve[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> np.ndarray:
@@ -332,15 +344,16 @@ def _weights(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, negat
 
 
 def train(
-    texts: list[str], labels: list[int], shares: tuple[float, float], landmarks: int = 240, rounds: int = 4, negatives: int = 12_000, seed: int = 7
+    texts: list[str], labels: list[int], shares: tuple[float, float], landmarks: int = 240, rounds: int = 4, negatives: int = 12_000, seed: int = 7, folds: int = 2
 ) -> Model:
     """A model from labelled texts; ``shares`` are those of label 0 and 1 where it will be used.
 
     Copies among the texts are one example: they would lend weight to any word they
     hold.  Of the clean sentences' windows ``negatives`` drawn at random and the
     ``negatives`` strongest of each round come in as examples, of which the strongest
-    2 * ``negatives`` stay.  The curve is fitted to one half of the documents, with
-    the weights that the other half gives: those of all fit their own documents too well.
+    2 * ``negatives`` stay.  The curve is fitted to all documents, each seen with the
+    weights that the other ``folds`` - 1 parts of the documents give: weights fit
+    their own documents too well.
     """
     prior = float(shares[1])
     if len(set(labels)) < 2:
@@ -348,16 +361,20 @@ def train(
     kept = _without_copies(windows_of(t) for t in texts)
     texts, y = [texts[i] for i in kept], np.array([labels[i] for i in kept])
     how = (landmarks, rounds, negatives, seed)
-    half = np.zeros(len(y), bool)
+    fold = np.zeros(len(y), np.int64)
     for label in (0, 1):
-        half[np.flatnonzero(y == label)[::2]] = True
-    if len(set(y[half])) < 2 or len(set(y[~half])) < 2:
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % folds
+    if any(len(set(y[fold != k])) < 2 for k in range(folds)):
         return Model(np.zeros(0), np.zeros(0), prior)
-    model = Model(_weights([texts[i] for i in np.flatnonzero(half)], y[half], *how), np.zeros(0), prior)
-    rest, own = [texts[i] for i in np.flatnonzero(~half)], y[~half]
-    x = np.concatenate([model.features(rest[at : at + 256]) for at in range(0, len(rest), 256)])
-    n = np.bincount(own, minlength=2)
-    model.curve = _logistic(x, own, np.where(own == 1, shares[1] / n[1], shares[0] / n[0]) * len(own))
+    x = np.zeros((len(y), 3))
+    for k in range(folds):
+        model = Model(_weights([texts[i] for i in np.flatnonzero(fold != k)], y[fold != k], *how), np.zeros(0), prior)
+        apart = np.flatnonzero(fold == k)
+        for at in range(0, len(apart), 256):
+            x[apart[at : at + 256]] = model.features([texts[i] for i in apart[at : at + 256]])
+    n = np.bincount(y, minlength=2)
+    model.curve = _logistic(x, y, np.where(y == 1, shares[1] / n[1], shares[0] / n[0]) * len(y))
     model.weights = _weights(texts, y, *how)
     return model
 

@@ -615,6 +615,30 @@ def test_toxicity_finds_gapped_insults():
     assert (scores[:-2] >= 0.3).all() and (scores[-2:] < 0.3).all()
 
 
+def test_toxicity_windows_cover_whole_runs():
+    spaced = " ".join(chr(97 + i % 7) for i in range(40))
+    for text in (f"{spaced} i d i o t", f"i d i o t {spaced}", f"{spaced} i d i o t {spaced}"):
+        assert any("idiot" in w and len(w) <= toxicity.SPACED for w in toxicity.windows_of(text))
+    for n in (31, 32, 33, 47, 48, 49, 64, 65, 200):  # every stretch of half a window is in a window
+        run = "".join(chr(0x61 + i % 26) + chr(0x4E00 + i) for i in range(n))
+        for text, size, most in ((run, 16, toxicity.LONGEST), (run[:5] + "-" + run[5:], 16, toxicity.LONGEST), (" ".join(run), 9, toxicity.SPACED)):
+            seen = [w for w in toxicity.windows_of(text) if len(w) <= most]
+            assert all(any(run[a : a + size] in w for w in seen) for a in range(len(run) - size + 1))
+
+
+def test_toxicity_finds_insults_after_many_spaced_letters():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprst")) + rng.choice(list("aeou")) for _ in range(rng.integers(1, 4)))
+    texts, labels = [], []
+    for i in range(600):
+        texts.append(" ".join(word() for _ in range(30)) + (" " + str(rng.choice(["idiot", "zwickel"])) if i % 6 == 0 else "") + ".")
+        labels.append(int(i % 6 == 0))
+    model = toxicity.train(texts, labels, (5 / 6, 1 / 6))
+    spaced = " ".join("bdfgklmnp"[i % 9] for i in range(40))
+    assert (model.scores([f"{spaced} i d i o t", f"{spaced} z w i c k e l {spaced}"]) >= 0.3).all()
+    assert model.scores([f"{spaced} {spaced}"])[0] < 0.3
+
+
 def test_toxicity_of_twice_labelled_rows(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     both = labels.unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0).cast(labels.schema["toxic"].dataType)))
