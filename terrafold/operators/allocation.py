@@ -1,14 +1,23 @@
-"""Capacity-constrained allocation: candidates prepared by joins, each run solved as a min-cost flow.
-
-A run - a demand scenario, a candidate limit and a budget - is one group of a
-grouped map; runs are solved in parallel.  The flow is exact: successive shortest
-paths with potentials on integers, many units to a path.
+"""Capacity-constrained allocation: candidates prepared by joins, runs solved as min-cost flows of their parts.
+
+A run is a demand scenario, a candidate limit and a budget.  Meshes and shelters that no
+candidate links do not compete, but for the budget: a run falls into the
+connected parts of its candidates, and each is a group of its own.  A part's least
+cost is convex and piecewise linear in the capacity that is added to it; its
+pieces (what one more unit saves, for how many units) come from the same search that
+finds the flow.  The pieces of all parts, by what they save, share the budget:
+no part could use a unit better than the one that has it.
+
+The flow of a part is exact: successive shortest paths with potentials on
+integers, many units to a path; added capacity follows as shortest paths from the sink
+back to the pool of added capacity.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,12 +26,15 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import values as V
 from terrafold.operators.gates import Gate, require, unique_key
+from terrafold.operators.graph import components
+from terrafold.operators.ordered import running_total
 from terrafold.operators.relational import keep_best
-from terrafold.session import workers_import
+from terrafold.session import stored, workers_import
 
 # What unserved demand costs in metres, units of demand and distance, room for ranks below a unit of distance.
 UNSERVED_M = 1_000_000.0
 SCALE, TIES = 10, 100
+UNSERVED_COST = int(UNSERVED_M * SCALE) * TIES
 FLOW = "run_id string, mesh_id string, shelter_key string, units long, added boolean"
 
 
@@ -47,80 +59,115 @@ class MinCostFlow:
             self.cost.append(c)
         return len(self.to) - 2
 
+    def _search(self, start: int, goal: int) -> tuple[int, list[int]] | None:
+        """(true cost, last arc into each node) of a shortest path; potentials move so that costs along it are zero."""
+        p, n = self.potential, len(self.out)
+        far: list[int | None] = [None] * n
+        via = [-1] * n
+        far[start] = 0
+        heap = [(0, start)]
+        done = [False] * n
+        while heap:
+            d, u = heapq.heappop(heap)
+            if done[u]:
+                continue
+            done[u] = True
+            if u == goal:
+                break
+            for e in self.out[u]:
+                v = self.to[e]
+                if self.room[e] and not done[v]:
+                    nd = d + self.cost[e] + p[u] - p[v]
+                    if far[v] is None or nd < far[v]:
+                        far[v], via[v] = nd, e
+                        heapq.heappush(heap, (nd, v))
+        limit = far[goal]
+        if limit is None:
+            return None
+        true = limit - p[start] + p[goal]
+        for v in range(n):  # nodes beyond the goal keep its distance, so reduced costs stay at least zero
+            p[v] += far[v] if done[v] else limit
+        return true, via
+
+    def _push(self, start: int, goal: int, via: list[int], most: int | None = None) -> int:
+        push, v = most, goal
+        while v != start:
+            e = via[v]
+            push = self.room[e] if push is None else min(push, self.room[e])
+            v = self.to[e ^ 1]
+        v = goal
+        while v != start:
+            e = via[v]
+            self.room[e] -= push
+            self.room[e ^ 1] += push
+            v = self.to[e ^ 1]
+        return push
+
     def solve(self, source: int, sink: int) -> int:
         """The least cost of the largest flow; all first costs are at least zero."""
-        n, total = len(self.out), 0
-        potential = [0] * n
-        while True:
-            far = [None] * n
-            via = [-1] * n
-            far[source] = 0
-            heap = [(0, source)]
-            done = [False] * n
-            while heap:
-                d, u = heapq.heappop(heap)
-                if done[u]:
-                    continue
-                done[u] = True
-                if u == sink:
-                    break
-                for e in self.out[u]:
-                    v = self.to[e]
-                    if self.room[e] and not done[v]:
-                        nd = d + self.cost[e] + potential[u] - potential[v]
-                        if far[v] is None or nd < far[v]:
-                            far[v], via[v] = nd, e
-                            heapq.heappush(heap, (nd, v))
-            if far[sink] is None:
-                return total
-            limit = far[sink]
-            for v in range(n):  # nodes beyond the sink keep its distance, so reduced costs stay at least zero
-                potential[v] += far[v] if done[v] else limit
-            push, v = None, sink
-            while v != source:
-                e = via[v]
-                push = self.room[e] if push is None else min(push, self.room[e])
-                v = self.to[e ^ 1]
-            v = sink
-            while v != source:
-                e = via[v]
-                self.room[e] -= push
-                self.room[e ^ 1] += push
-                total += push * self.cost[e]
-                v = self.to[e ^ 1]
-
-
-def solve_run(arcs: pd.DataFrame, budget: int, cap_each: int | None) -> list[tuple[str, str | None, int, bool]]:
-    """Flows (mesh, shelter or None for unserved, units, False) and added capacity ('', shelter, units, True).
+        self.potential, total = [0] * len(self.out), 0
+        while found := self._search(source, sink):
+            total += found[0] * self._push(source, sink, found[1])
+        return total
+
+    def widen(self, gate: int, sink: int, pool: int, most: int) -> tuple[int, int] | None:
+        """After :meth:`solve`: (saving a unit, units), at most ``most``, of the best use of more room on the arc ``gate`` from pool to sink; None if nothing is saved."""
+        found = self._search(sink, pool) if most else None
+        if not found or found[0] >= 0:
+            return None
+        units = self._push(sink, pool, found[1], most)
+        self.room[gate ^ 1] += units  # the room that was made is in use at once
+        return -found[0], units
+
+
+class PartFlow:
+    """The flow of one part: solved without a budget, then widened step by step.
 
     ``arcs``: mesh_id, units, shelter_key, cost, capacity (units; null shelters only state the mesh's demand).
     """
-    net = MinCostFlow()
-    source, sink, unserved = net.node(), net.node(), net.node()
-    pool = net.node()
-    meshes, shelters, flows, added = {}, {}, [], []
-    net.arc(unserved, sink, int(arcs.drop_duplicates("mesh_id")["units"].sum()), 0)
-    if budget:
-        net.arc(pool, sink, budget, 0)
-    for r in arcs.sort_values(["mesh_id", "cost", "shelter_key"], na_position="last").itertuples(index=False):
-        units = int(r.units)
-        if not units:
-            continue
-        if r.mesh_id not in meshes:
-            meshes[r.mesh_id] = net.node()
-            net.arc(source, meshes[r.mesh_id], units, 0)
-            flows.append((r.mesh_id, None, net.arc(meshes[r.mesh_id], unserved, units, int(UNSERVED_M * SCALE) * TIES)))
-        if r.shelter_key is None or pd.isna(r.capacity) or r.capacity <= 0:
-            continue
-        if r.shelter_key not in shelters:
-            s = shelters[r.shelter_key] = net.node()
-            net.arc(s, sink, int(r.capacity), 0)
-            if budget:
-                added.append((r.shelter_key, net.arc(s, pool, budget if cap_each is None else min(budget, cap_each), 1)))
-        flows.append((r.mesh_id, r.shelter_key, net.arc(meshes[r.mesh_id], shelters[r.shelter_key], units, int(r.cost))))
-    net.solve(source, sink)
-    used = [(m, s, net.room[e ^ 1], False) for m, s, e in flows if net.room[e ^ 1]]
-    return used + [("", s, net.room[e ^ 1], True) for s, e in added if net.room[e ^ 1]]
+
+    def __init__(self, arcs: pd.DataFrame, cap_each: int | None = None) -> None:
+        net = self.net = MinCostFlow()
+        source, self.sink, self.unserved, self.pool = (net.node() for _ in range(4))
+        meshes, shelters = {}, {}
+        self.flows: list[tuple[str, str | None, int]] = []
+        self.added: list[tuple[str, int]] = []
+        self.lost = net.arc(self.unserved, self.sink, int(arcs.drop_duplicates("mesh_id")["units"].sum()), 0)
+        self.gate = net.arc(self.pool, self.sink, 0, 0)
+        for r in arcs.sort_values(["mesh_id", "cost", "shelter_key"], na_position="last").itertuples(index=False):
+            units = int(r.units)
+            if not units:
+                continue
+            if r.mesh_id not in meshes:
+                meshes[r.mesh_id] = net.node()
+                net.arc(source, meshes[r.mesh_id], units, 0)
+                self.flows.append((r.mesh_id, None, net.arc(meshes[r.mesh_id], self.unserved, units, UNSERVED_COST)))
+            if r.shelter_key is None or pd.isna(r.capacity) or r.capacity <= 0:
+                continue
+            if r.shelter_key not in shelters:
+                s = shelters[r.shelter_key] = net.node()
+                net.arc(s, self.sink, int(r.capacity), 0)
+                self.added.append((r.shelter_key, net.arc(s, self.pool, 1 << 62 if cap_each is None else cap_each, 1)))
+            self.flows.append((r.mesh_id, r.shelter_key, net.arc(meshes[r.mesh_id], shelters[r.shelter_key], units, int(r.cost))))
+        self.cost = net.solve(source, self.sink)
+
+    def lost_units(self) -> int:
+        return self.net.room[self.lost ^ 1]
+
+    def widen(self, most: int) -> tuple[int, int, int] | None:
+        """(saving a unit, units, units newly served) of the next step."""
+        before = self.lost_units()
+        step = self.net.widen(self.gate, self.sink, self.pool, most)
+        if step:
+            self.cost -= step[0] * step[1]
+            return *step, before - self.lost_units()
+        return None
+
+    def rows(self) -> list[tuple[str, str | None, int, bool]]:
+        """Flows (mesh, shelter or None for unserved, units, False) and added capacity ('', shelter, units, True)."""
+        room = self.net.room
+        used = [(m, s, room[e ^ 1], False) for m, s, e in self.flows if room[e ^ 1]]
+        return used + [("", s, room[e ^ 1], True) for s, e in self.added if room[e ^ 1]]
 
 
 def usable_candidates(candidates: DataFrame, limit: int = 10) -> DataFrame:
@@ -164,7 +211,8 @@ def allocate(
     capacity from the budget.  Served demand comes first, then distance, then rank,
     then added capacity; of several optima any may be given.  Candidates that are
     not usable are left out; repeated pairs, gaps in ranks, repeated meshes and
-    missing or negative demand are errors (``check`` runs a job for them).
+    missing or negative demand are errors (``check`` runs a job for them).  The flow is
+    solved and written once, as what is read out of it reads it several times.
     """
     most_rank = max(r[2] for r in runs)
     if check:
@@ -174,29 +222,128 @@ def allocate(
             wrong = wrong | F.col(c).isNull() | (F.col(c) < 0) | F.isnan(F.col(c).cast("double"))
         own = [Gate("demand is missing or negative", mesh, wrong), Gate("duplicate mesh", unique_key(mesh, ["mesh_id"]))]
         require([*candidate_gates(candidates, capacities, most_rank), *own])
-    candidates = usable_candidates(candidates, most_rank)
+    parts, plan, most = _parts(candidates, mesh, capacities, runs, each_most)
+    spark = mesh.sparkSession
+    free = plan.where("budget = 0").select("run_id", "demand", "k", F.lit(0).cast("long").alias("share")).join(parts.select("demand", "k", "part").distinct(), ["demand", "k"])
+    shares = free.unionByName(budget_shares(_curves(parts, plan, most), plan, parts)) if any(r[3] > 0 for r in runs) else free
+
+    def solve(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        flow, given, out = PartFlow(_keyed(rows), most), 0, []
+        for run_id, share in sorted(zip(wanted["run_id"], wanted["share"], strict=True), key=lambda r: (r[1], r[0])):
+            while given < share and (step := flow.widen(int(share) - given)):
+                given += step[1]
+            out += [(run_id, *r) for r in flow.rows()]
+        return pd.DataFrame(out, columns=["run_id", "mesh_id", "shelter_key", "units", "added"])
+
+    keys = ["demand", "k", "part"]
+    solved = parts.where("part IS NOT NULL").groupBy(*keys).cogroup(shares.select("run_id", "share", *keys).toDF("run_id", "share", *keys).groupBy(*keys)).applyInPandas(solve, FLOW)
+    # Meshes without a shelter that could take anybody need no search.
+    alone = parts.where("part IS NULL AND units > 0").join(F.broadcast(plan), ["demand", "k"])  # plan: a row for each run
+    none = F.lit(None).cast("string").alias("shelter_key")
+    return stored(solved.unionByName(alone.select("run_id", "mesh_id", none, "units", F.lit(False).alias("added"))), "flow")
+
+
+def _keyed(rows: pd.DataFrame) -> pd.DataFrame:
+    rows["shelter_key"] = rows["shelter_key"].astype(object).where(rows["shelter_key"].notna(), None)
+    return rows
+
+
+def _parts(candidates: DataFrame, mesh: DataFrame, capacities: DataFrame, runs: Sequence[tuple[str, str, int, float]], each_most: float | None) -> tuple[DataFrame, DataFrame, int | None]:
+    """((demand, k, part, mesh_id, units, shelter_key, cost, capacity), runs as a table, most units a shelter may be given).
+
+    ``part`` is the smallest node of the connected part of meshes and shelters of
+    known capacity among the first ``k`` candidates, null for a mesh without any.
+    """
     spark = mesh.sparkSession
     workers_import(spark)
     plan = spark.createDataFrame([(r, c, k, int(round(b * SCALE))) for r, c, k, b in runs], "run_id string, demand string, k int, budget long")
-    columns = sorted({r[1] for r in runs})
+    columns, limits = sorted({r[1] for r in runs}), sorted({r[2] for r in runs})
     demand = mesh.select(F.col("mesh_id").cast("string").alias("mesh_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("demand"), V.demand_units(F.col(c)).alias("units")) for c in columns])))
-    arcs = candidates.select(
+    arcs = usable_candidates(candidates, max(limits)).select(
         F.col("mesh_id").cast("string").alias("mesh_id"),
         F.col("shelter_key").cast("string").alias("shelter_key"),
         "candidate_rank",
         V.walk_cost(F.col("total_walking_distance_m"), F.col("candidate_rank")).alias("cost"),
-    ).join(capacities.select(F.col("shelter_key").cast("string").alias("shelter_key"), V.capacity_units(F.col("capacity")).alias("capacity")), "shelter_key", "left")
-    wanted = F.broadcast(plan).join(demand, "demand")
-    full = wanted.join(arcs, "mesh_id", "left")
-    full = full.withColumn("shelter_key", F.when(F.col("candidate_rank") <= F.col("k"), F.col("shelter_key")))
+    ).join(capacities.select(F.col("shelter_key").cast("string").alias("shelter_key"), V.capacity_units(F.col("capacity")).alias("capacity")), "shelter_key")
+    within = F.explode(F.array(*[F.lit(k) for k in limits]))
+    arcs = stored(arcs.where("capacity > 0").withColumn("k", within).where("candidate_rank <= k"), "flow-arcs")
+    linked = components(arcs.select(F.col("k").cast("string").alias("context"), F.concat(F.lit("m"), "mesh_id").alias("u"), F.concat(F.lit("s"), "shelter_key").alias("v")))
+    part = linked.where("node LIKE 'm%'").select(F.col("context").cast("int").alias("k"), F.expr("substring(node, 2)").alias("mesh_id"), F.col("component").alias("part"))
+    wanted = F.broadcast(plan.select("demand", "k").distinct()).join(demand, "demand")
+    full = wanted.join(part, ["k", "mesh_id"], "left").join(arcs.select("k", "mesh_id", "shelter_key", "cost", "capacity"), ["k", "mesh_id"], "left")
     most = None if each_most is None else int(round(each_most * SCALE))
+    return stored(full.select("demand", "k", "part", "mesh_id", "units", "shelter_key", "cost", "capacity"), "flow-parts"), plan, most
+
+
+CURVE = "demand string, k int, part string, step long, saving long, units long, served long, lost long, cost decimal(38,0)"
+
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows["shelter_key"] = rows["shelter_key"].astype(object).where(rows["shelter_key"].notna(), None)
-        got = solve_run(rows, int(rows["budget"].iloc[0]), most)
-        return pd.DataFrame([(key[0], *g) for g in got], columns=["run_id", "mesh_id", "shelter_key", "units", "added"])
+def _curves(parts: DataFrame, plan: DataFrame, most: int | None) -> DataFrame:
+    """(demand, k, part, step, saving, units, served, lost, cost): what added units save in each part.
 
-    return full.select("run_id", "budget", "mesh_id", "units", "shelter_key", "cost", "capacity").groupBy("run_id").applyInPandas(solve, FLOW)
+    Step 0 holds the demand that is lost and the cost without any; each further one
+    how many units save ``saving`` each, and how many more are served.
+    """
+    budgets = plan.groupBy("demand", "k").agg(F.max("budget").alias("budget"))
+
+    def curve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        flow, left = PartFlow(_keyed(rows), most), int(rows["budget"].iloc[0])
+        out = [(*key, 0, 0, 0, 0, flow.lost_units(), Decimal(flow.cost))]
+        while left and (step := flow.widen(left)):
+            out.append((*key, len(out), *step, 0, Decimal(0)))
+            left -= step[1]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CURVE.split(", ")])
+
+    rows = parts.where("part IS NOT NULL").join(F.broadcast(budgets), ["demand", "k"])  # a row for each scenario
+    return rows.groupBy("demand", "k", "part").applyInPandas(curve, CURVE)
+
+
+def capacity_curves(candidates: DataFrame, mesh: DataFrame, capacities: DataFrame, runs: Sequence[tuple[str, str, int, float]], each_most: float | None = None) -> DataFrame:
+    """The curves of all parts of the runs' demands and candidate limits, up to the largest budget of each; meshes alone are parts of their own."""
+    parts, plan, most = _parts(candidates, mesh, capacities, runs, each_most)
+    alone = parts.where("part IS NULL").groupBy("demand", "k").agg(F.sum("units").alias("lost"))
+    zero = F.lit(0).cast("long")
+    rest = alone.select(
+        "demand", "k", F.lit("").alias("part"), zero.alias("step"), zero.alias("saving"), zero.alias("units"), zero.alias("served"), "lost",
+        (F.col("lost").cast("decimal(20,0)") * F.lit(UNSERVED_COST).cast("decimal(17,0)")).cast("decimal(38,0)").alias("cost"),
+    )
+    return _curves(parts, plan, most).unionByName(rest)
+
+
+def _taken(curves: DataFrame, plan: DataFrame) -> DataFrame:
+    """(run_id, ..., taken): units of each step that a run's budget pays for: what saves most first."""
+    # One number for the order: the saving, then part of a hash, so that steps that save the same are dealt over slices.
+    order = (-F.col("saving") * F.lit(1 << 20) + F.pmod(F.xxhash64("part"), F.lit(1 << 20))).alias("_order")
+    steps = curves.where("step > 0").select("*", order)
+    ahead = running_total(steps, ["demand", "k"], "_order", ["part", "step"], "units").drop("_order")
+    with_runs = ahead.join(F.broadcast(plan.where("budget > 0")), ["demand", "k"])  # plan: a row for each run
+    return with_runs.withColumn("taken", F.least("units", F.greatest(F.lit(0), F.col("budget") - F.col("before")))).where("taken > 0")
+
+
+def budget_shares(curves: DataFrame, plan: DataFrame, parts: DataFrame) -> DataFrame:
+    """(run_id, demand, k, share, part): what each part gets of the budget of each run that has one."""
+    got = _taken(curves, plan).groupBy("run_id", "part").agg(F.sum("taken").alias("share"))
+    every = F.broadcast(plan.where("budget > 0")).join(parts.where("part IS NOT NULL").select("demand", "k", "part").distinct(), ["demand", "k"])
+    return every.join(got, ["run_id", "part"], "left").select("run_id", "demand", "k", F.coalesce("share", F.lit(0)).alias("share"), "part")
+
+
+def merged_curves(curves: DataFrame, runs: Sequence[tuple[str, str, int, float]]) -> DataFrame:
+    """(run_id, added_units, unserved_units, objective_cost) of runs from the parts' curves alone, without their flows."""
+    spark = curves.sparkSession
+    plan = spark.createDataFrame([(r, c, k, int(round(b * SCALE))) for r, c, k, b in runs], "run_id string, demand string, k int, budget long")
+    base = curves.where("step = 0").groupBy("demand", "k").agg(F.sum("lost").alias("lost"), F.sum("cost").alias("cost"))
+    # A step is either all taken or, the last one, in part; its units are all of one kind, so a share of it serves that share.
+    taken = _taken(curves, plan).withColumn("more", F.col("taken") * F.col("served") / F.col("units"))
+    gained = taken.groupBy("run_id").agg(
+        F.sum("taken").alias("added"), F.sum("more").cast("long").alias("more"), F.sum(F.col("taken").cast("decimal(19,0)") * F.col("saving").cast("decimal(19,0)")).alias("saved")
+    )
+    out = F.broadcast(plan).join(base, ["demand", "k"]).join(gained, "run_id", "left")
+    return out.select(
+        "run_id",
+        F.coalesce("added", F.lit(0)).cast("long").alias("added_units"),
+        (F.col("lost") - F.coalesce("more", F.lit(0))).cast("long").alias("unserved_units"),
+        (F.col("cost") - F.coalesce("saved", F.lit(0))).cast("decimal(38,0)").alias("objective_cost"),
+    )
 
 
 def _people(units: Column) -> Column:
@@ -308,7 +455,6 @@ def allocation_summary(flow: DataFrame, prepared: DataFrame, baseline: DataFrame
         F.sum(amount * far).alias("additional_person_metres"),
         F.sum(F.when(F.col("candidate_rank") > 1, amount).otherwise(0.0)).alias("demand_beyond_rank_1"),
         F.sum(F.when(F.col("cross_border"), amount).otherwise(0.0)).alias("cross_border_demand"),
-        F.sum(amount * SCALE * V.walk_cost(F.col("total_walking_distance_m"), F.col("candidate_rank"))).alias("walk_cost"),
     )
     by_shelter = shelters.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("known_capacity_shelters"),
@@ -316,16 +462,25 @@ def allocation_summary(flow: DataFrame, prepared: DataFrame, baseline: DataFrame
         F.count_if(F.col("allocated_demand") > F.col("effective_capacity") + 1e-9).alias("overfilled_shelters"),
         F.sum("added_capacity_used").alias("added_capacity_used"),
     )
-    zero = ["total_allocated_person_metres", "additional_person_metres", "demand_beyond_rank_1", "cross_border_demand", "walk_cost", "added_capacity_used"]
-    out = by_mesh.join(by_flow, "run_id", "left").join(by_shelter, "run_id", "left").fillna(0, [*zero, "known_capacity_shelters", "saturated_shelters", "overfilled_shelters"])
+    zero = ["total_allocated_person_metres", "additional_person_metres", "demand_beyond_rank_1", "cross_border_demand", "added_capacity_used"]
+    out = by_mesh.join(by_flow, "run_id", "left").join(by_shelter, "run_id", "left").join(objective_costs(flow, prepared), "run_id", "left")
+    out = out.fillna(0, [*zero, "known_capacity_shelters", "saturated_shelters", "overfilled_shelters"])
     total = F.col("served_demand") + F.col("unserved_demand")
-    cost = F.col("walk_cost") + F.col("unserved_demand") * SCALE * (UNSERVED_M * SCALE * TIES) + F.col("added_capacity_used") * SCALE
     return out.select(
         "*",
         F.when(total > 0, F.col("served_demand") / total).otherwise(1.0).alias("served_share"),
         F.coalesce(V.safe_ratio(F.col("additional_person_metres"), F.col("served_demand")), F.lit(0.0)).alias("mean_additional_distance_m"),
-        F.round(cost).cast("decimal(38,0)").alias("objective_cost"),
-    ).drop("walk_cost")
+    )
+
+
+def objective_costs(flow: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(run_id, objective_cost): the flow's cost in whole units, which no sum of floating numbers could hold."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    cand = prepared.select(text("mesh_id"), text("shelter_key"), V.walk_cost(F.col("total_walking_distance_m"), F.col("candidate_rank")).alias("walk"))
+    each = F.when(F.col("added"), F.lit(1)).when(F.col("shelter_key").isNull(), F.lit(UNSERVED_COST)).otherwise(F.col("walk"))
+    whole = lambda c: c.cast("decimal(19,0)")
+    joined = flow.join(cand, ["mesh_id", "shelter_key"], "left")
+    return joined.groupBy("run_id").agg(F.sum(whole(F.col("units")) * whole(each)).cast("decimal(38,0)").alias("objective_cost"))
 
 
 def investment_plan(flow: DataFrame, prepared: DataFrame) -> DataFrame:

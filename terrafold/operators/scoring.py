@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import values as V
+from terrafold.operators.ordered import quantiles
 from terrafold.operators.relational import exact_quantiles, rank_within, top_k
 
 COMPONENTS = {
@@ -54,13 +55,8 @@ def quantile_bounds(df: DataFrame, column: str, low: float = 0.05, high: float =
 
 
 def bounds_in_plan(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """What :func:`quantile_bounds` gives, as one row (low, high) of the plan itself.
-
-    One task holds the distinct values: right for the meshes of a country, while
-    :func:`quantile_bounds` holds a bounded number of them whatever the table.
-    """
-    q = F.percentile(V.finite(F.col(column)), F.array(F.lit(low), F.lit(high)))
-    found = df.agg(q.alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    """What :func:`quantile_bounds` gives, as one row (low, high) of the plan itself: no job runs, and no task holds more than a slice of the values."""
+    found = quantiles(df, [], column, (low, high)).toDF("lo", "hi")
     lo = F.coalesce("lo", F.lit(0.0))
     return found.select(lo.alias("low"), F.when(F.col("lo").isNull(), 1.0).when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(lo + 1.0).alias("high"))
 

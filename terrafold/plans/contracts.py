@@ -632,25 +632,49 @@ def allocation_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(allocation.allocation_gates(allocation.allocation_summary(*_given_flow(spark, d)), 7))
 
 
-@query("SELECT 0::BIGINT AS failures")
-def sweep_gates(spark: SparkSession, d: str) -> DataFrame:
-    """The optimised budget sweep of both demand scenarios itself: unserved demand and cost may not rise with the budget, nor capacity be exceeded."""
+FAULTY_CURVES = R.FIRST_SQL + """, s AS (SELECT s AS scenario, b AS budget, unserved_units / 10.0 + CASE WHEN b = 1000 THEN 1e6 ELSE 0 END AS unserved_demand,
+    objective_cost::HUGEINT + CASE WHEN b IN (500, 5000) THEN 1000000000000000000 ELSE 0 END AS objective_cost FROM curve),
+    w AS (SELECT *, lag(unserved_demand) OVER (PARTITION BY scenario ORDER BY budget) AS u0, lag(objective_cost) OVER (PARTITION BY scenario ORDER BY budget) AS o0 FROM s)"""
+
+
+@query(gate_sql(FAULTY_CURVES, [("unserved demand rises", "failure", of("w", "unserved_demand > u0 + 1e-9")), ("cost rises", "failure", of("w", "objective_cost > o0"))]))
+def curve_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Merged curves of the budget sweep, some of them made worse: more budget may neither leave more demand nor cost more."""
+    budgets = spark.createDataFrame([(r, r.split("_")[0], b) for r, _, _, b in R.CURVES], "run_id string, scenario string, budget double")
+    s = R.first_candidate_curves(spark, d).join(F.broadcast(budgets), "run_id").selectExpr(
+        "scenario", "budget", "unserved_units / 10.0D + IF(budget = 1000, 1e6D, 0.0D) AS unserved_demand",
+        "objective_cost + CAST(IF(budget IN (500, 5000), 1000000000000000000, 0) AS DECIMAL(38,0)) AS objective_cost",
+    )
+    return evaluate(allocation.dominance_gates(s, ["scenario"], "budget"))
+
+
+def _run_checks(spark: SparkSession, d: str, runs: list[tuple[str, str, int, float]], order: str, more: bool) -> DataFrame:
+    """Per run: target meshes and demand as the solver saw them, and on how many gates of all runs it failed."""
     targets, _ = R._target_candidates(spark, d)
     prepared = allocation.prepare_candidates(targets, S.shelters(spark, d))
-    budgets = spark.createDataFrame([(r, r.split("_")[0], b) for r, _, _, b in R.SWEEP], "run_id string, scenario string, budget double")
-    s = allocation.allocation_summary(R._allocation(spark, d, R.SWEEP), prepared).join(F.broadcast(budgets), "run_id")
-    gates = [*allocation.dominance_gates(s, ["scenario"], "budget"), *allocation.allocation_gates(s, 0, "budget")[1:]]
-    return evaluate([Gate(g.name, g.frame, g.failing) for g in gates]).agg(F.sum("failures").alias("failures"))
+    named = spark.createDataFrame([(r, r.split("_")[0], k, b) for r, _, k, b in runs], "run_id string, scenario string, k int, budget double")
+    s = allocation.allocation_summary(R._allocation(spark, d, runs), prepared).join(F.broadcast(named), "run_id")
+    gates = [*allocation.dominance_gates(s, ["scenario"], order), *(allocation.allocation_gates(s, 0, "budget")[1:] if more else [])]
+    failed = evaluate(gates).agg(F.sum("failures").alias("failures"))
+    return s.select("run_id", "target_meshes", F.round(F.col("served_demand") + F.col("unserved_demand"), 1).alias("demand")).crossJoin(F.broadcast(failed))  # one row
 
 
-@query("SELECT 0::BIGINT AS failures")
+def _run_sql(runs: list[tuple[str, str, int, float]]) -> str:
+    rows = ", ".join(f"('{r}', '{r.split('_')[0]}')" for r, *_ in runs)
+    return R.FIRST_SQL + f""" SELECT run_id, count(*) FILTER (WHERE units > 0) AS target_meshes, sum(units) / 10.0 AS demand, 0::BIGINT AS failures
+    FROM (VALUES {rows}) r(run_id, s) JOIN demand USING (s) GROUP BY run_id"""
+
+
+@query(_run_sql(R.SWEEP))
+def sweep_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The optimised budget sweep of both demand scenarios: no demand is lost, unserved demand and cost do not rise with the budget, nor is capacity exceeded."""
+    return _run_checks(spark, d, R.SWEEP, "budget", more=True)
+
+
+@query(_run_sql(R.RUNS))
 def candidate_limit_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Ten candidates a mesh may serve no less, at no higher cost, than five."""
-    targets, _ = R._target_candidates(spark, d)
-    prepared = allocation.prepare_candidates(targets, S.shelters(spark, d))
-    named = spark.createDataFrame([(r, r.split("_")[0], k) for r, _, k, _ in R.RUNS], "run_id string, scenario string, k int")
-    s = allocation.allocation_summary(R._allocation(spark, d, R.RUNS), prepared).join(F.broadcast(named), "run_id")
-    return evaluate(allocation.dominance_gates(s, ["scenario"], "k")).agg(F.sum("failures").alias("failures"))
+    """Ten candidates a mesh serve no less, at no higher cost, than five."""
+    return _run_checks(spark, d, R.RUNS, "k", more=False)
 
 
 @query(gate_sql(R.RISK, [("same_meshes", "failure", "0"), ("mesh_unique", "failure", "0"), ("target_has_status", "failure", "0"), ("score_only_where_complete", "failure", "0"), ("score_0_100", "failure", "0")]))

@@ -516,6 +516,19 @@ def route_samples_exposure(spark: SparkSession, d: str) -> DataFrame:
 def inundated_segments(spark: SparkSession, d: str) -> DataFrame:
     return spatial.inundated_segments(S.samples(spark, d)).select("route_id", "run", "depth_class", "samples", r6("run_length"))
 
+@query(
+    S.with_views("t_sample")
+    + """, m AS (SELECT *, coalesce(depth_class, -1) AS c FROM t_sample),
+      f AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER w THEN 1 ELSE 0 END AS change FROM m WINDOW w AS (ORDER BY ts, event_id)),
+      g AS (SELECT *, sum(change) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+    SELECT run::BIGINT AS run, c::INT AS depth_class, count(*) AS samples, round(sum(sample_length_m), 6) AS run_length FROM g WHERE c > 0 GROUP BY run, c"""
+)
+def segments_of_one_route(spark: SparkSession, d: str) -> DataFrame:
+    """All samples as one route, which is dealt over slices of time."""
+    one = S.samples(spark, d).withColumn("route_id", F.lit("all"))
+    return spatial.inundated_segments(one, large=1000).select("run", "depth_class", "samples", r6("run_length"))
+
+
 
 @query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS tx, embedding[4]::DOUBLE AS ty FROM embeddings),
       q AS (SELECT a.vec_id AS point_id, b.vec_id AS target_id, sqrt((a.x - b.tx) ** 2 + (a.y - b.ty) ** 2) AS dist FROM p a CROSS JOIN p b),
@@ -657,6 +670,36 @@ def investment_plans(spark: SparkSession, d: str) -> DataFrame:
     return allocation.investment_plan(_allocation(spark, d, SWEEP), prepared)
 
 
+# With the first candidate alone a shelter takes its nearest meshes first, and a budget the nearest of all that are left.
+CURVES = [(name.replace("_", "_first_"), column, 1, b) for name, column, _, b in SWEEP]
+FIRST_SQL = S.with_views("t_mesh", "t_candidate", "t_shelter") + """,
+    target AS (SELECT mesh_id, total_population AS p, tsunami_inundation_ratio AS w FROM t_mesh WHERE tsunami_inundation_ratio > 0),
+    demand AS (SELECT mesh_id, 'area' AS s, round_even(p * w * 10, 0)::BIGINT AS units FROM target UNION ALL SELECT mesh_id, 'full', (p * 10)::BIGINT FROM target),
+    first AS (SELECT mesh_id, shelter_key, floor(capacity * 10 + 1e-9)::BIGINT AS cap, round_even(total_walking_distance_m * 10, 0)::BIGINT * 100 + 1 AS cost
+      FROM t_candidate JOIN t_shelter USING (shelter_key) WHERE candidate_rank = 1 AND capacity > 0),
+    queue AS (SELECT *, coalesce(sum(units) OVER (PARTITION BY s, shelter_key ORDER BY cost, mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM demand JOIN first USING (mesh_id)),
+    fit AS (SELECT *, greatest(0, least(units, cap - before)) AS served FROM queue),
+    rest AS (SELECT *, units - served AS r, coalesce(sum(units - served) OVER (PARTITION BY s ORDER BY cost, mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM fit),
+    base AS (SELECT s, sum(units) AS units FROM demand GROUP BY s),
+    run AS (SELECT s, b, s || '_first_' || lpad(b::VARCHAR, 5, '0') AS run_id FROM base, (VALUES (0), (100), (500), (1000), (2000), (5000)) v(b)),
+    paid AS (SELECT run_id, any_value(b) AS b, s, sum(served) AS served, sum(greatest(0, least(r, b * 10 - ahead))) AS added,
+      sum(served * cost::HUGEINT) AS walked, sum(greatest(0, least(r, b * 10 - ahead)) * (cost + 1)::HUGEINT) AS more FROM run JOIN rest USING (s) GROUP BY run_id, s),
+    curve AS (SELECT run_id, s, b, added::BIGINT AS added_units, (units - served - added)::BIGINT AS unserved_units,
+      ((units - served - added) * 1000000000::HUGEINT + walked + more)::BIGINT AS objective_cost FROM paid JOIN base USING (s))"""
+
+
+def first_candidate_curves(spark: SparkSession, d: str) -> DataFrame:
+    candidates, base = _target_candidates(spark, d)
+    return allocation.merged_curves(allocation.capacity_curves(candidates, base, S.shelters(spark, d), CURVES), CURVES)
+
+
+@query(FIRST_SQL + " SELECT run_id, added_units, unserved_units, objective_cost FROM curve")
+def investment_curves(spark: SparkSession, d: str) -> DataFrame:
+    """What budgets buy, from the parts' curves merged by what a unit saves."""
+    return first_candidate_curves(spark, d).withColumn("objective_cost", F.col("objective_cost").cast("long"))
+
+
 @query(S.with_views("t_shelter") + """, a AS (SELECT shelter_key, capacity FROM t_shelter WHERE municipality_code < 15 AND capacity > 0), b AS (SELECT shelter_key, capacity / 2 AS c2 FROM t_shelter WHERE municipality_code > 8 AND capacity > 0),
     j AS (SELECT a.capacity AS x, b.c2 AS y FROM a FULL JOIN b USING (shelter_key))
     SELECT count(x) AS left_shelters, count(y) AS right_shelters, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS shared_shelters,

@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.operators import allocation as A
 
@@ -92,14 +93,89 @@ def test_flow_is_optimal_by_enumeration():
         caps = {s: rng.randint(1, 4) for s in shelters}
         dist = {(m, s): rng.randint(1, 50) for m in meshes for s in shelters}
         rows = [(f"m{m}", units[m], s, dist[m, s], caps[s]) for m in meshes for s in shelters]
-        got = A.solve_run(pd.DataFrame(rows, columns=["mesh_id", "units", "shelter_key", "cost", "capacity"]), 0, None)
-        total = cost({(int(m[1:]), s): n for m, s, n, _ in got}, units, dist)
-        best = None
-        options = [[(x, y) for x in range(u + 1) for y in range(u + 1 - x)] for u in units.values()]
-        for choice in itertools.product(*options):
-            if sum(c[0] for c in choice) <= caps["X"] and sum(c[1] for c in choice) <= caps["Y"]:
-                pairs = {(m, s): c for m, ch in zip(meshes, choice, strict=True) for s, c in zip(shelters, ch, strict=True)}
-                pairs |= {(m, None): units[m] - sum(ch) for m, ch in zip(meshes, choice, strict=True)}
-                value = cost(pairs, units, dist)
-                best = value if best is None else min(best, value)
-        assert total == best
+        flow = A.PartFlow(pd.DataFrame(rows, columns=["mesh_id", "units", "shelter_key", "cost", "capacity"]))
+        for extra in range(4):  # each unit of added capacity in turn, at a cost of 1
+            given = sum(n for *_, n, added in flow.rows() if added)
+            total = cost({(int(m[1:]), s): n for m, s, n, added in flow.rows() if not added}, units, dist) + given
+            best = None
+            options = [[(x, y) for x in range(u + 1) for y in range(u + 1 - x)] for u in units.values()]
+            for choice in itertools.product(*options):
+                over = sum(max(0, sum(c[i] for c in choice) - caps[s]) for i, s in enumerate(shelters))
+                if over <= extra:
+                    pairs = {(m, s): c for m, ch in zip(meshes, choice, strict=True) for s, c in zip(shelters, ch, strict=True)}
+                    pairs |= {(m, None): units[m] - sum(ch) for m, ch in zip(meshes, choice, strict=True)}
+                    value = cost(pairs, units, dist) + over
+                    best = value if best is None else min(best, value)
+            assert total == best == flow.cost and given <= extra
+            flow.widen(1)
+
+
+def one_solve(units, arcs, caps, budget, each):
+    """Least cost of a whole run in one network with a pool of added capacity."""
+    net = A.MinCostFlow()
+    source, sink, lost, pool = (net.node() for _ in range(4))
+    net.arc(lost, sink, sum(units.values()), 0)
+    net.arc(pool, sink, budget, 0)
+    m, s = {k: net.node() for k in units}, {k: net.node() for k in caps}
+    for k, n in units.items():
+        net.arc(source, m[k], n, 0)
+        net.arc(m[k], lost, n, A.UNSERVED_COST)
+    for k, n in caps.items():
+        net.arc(s[k], sink, n, 0)
+        net.arc(s[k], pool, budget if each is None else min(budget, each), 1)
+    for (mesh, shelter), c in arcs.items():
+        net.arc(m[mesh], s[shelter], units[mesh], c)
+    return net.solve(source, sink)
+
+
+@pytest.mark.parametrize(("seed", "each"), [(1, None), (2, 0.7), (3, None)])
+def test_parts_share_the_budget_as_one_solve_does(spark, seed, each):
+    rng = random.Random(seed)
+    meshes, shelters = [f"m{i}" for i in range(40)], [f"s{i}" for i in range(14)]
+    demand = {m: rng.choice([0.0, 0.3, 1.2, 2.5]) for m in meshes}
+    caps = {s: rng.choice([0.4, 1.0, 2.0]) for s in shelters}
+    caps["s3"], caps["s5"] = None, 0.0
+    rows = []
+    for i, m in enumerate(meshes[:-3]):  # the last have no candidate; the others choose among neighbours, so there are several parts
+        near = rng.sample([s for j, s in enumerate(shelters) if j // 4 == i % 4], rng.randint(1, 2))
+        rows += [(m, k + 1, s, float(rng.choice([10, 20, 30, 45])) + 5 * k) for k, s in enumerate(near)]
+    cands = spark.createDataFrame(rows, "mesh_id string, candidate_rank int, shelter_key string, total_walking_distance_m double")
+    mesh = spark.createDataFrame(list(demand.items()), "mesh_id string, d double")
+    capacities = spark.createDataFrame(list(caps.items()), "shelter_key string, capacity double")
+    runs = [(f"k{k}b{b}", "d", k, b) for k in (1, 2) for b in (0.0, 0.1, 1.0, 3.3, 50.0)]
+    flow = A.allocate(cands, mesh, capacities, runs, each)
+    got = {r.run_id: r for r in A.allocation_summary(flow, A.prepare_candidates(cands, capacities)).collect()}
+    curves = A.capacity_curves(cands, mesh, capacities, runs, each)
+    merged = {r.run_id: r for r in A.merged_curves(curves, runs).collect()}
+    assert curves.select("k", "part").distinct().count() > 6
+    units = {m: round(d * 10) for m, d in demand.items()}
+    for run, _, k, b in runs:
+        arcs = {(m, s): round(x * 10) * 100 + r for m, r, s, x in rows if r <= k and caps[s]}
+        want = one_solve(units, arcs, {s: round(c * 10) for s, c in caps.items() if c}, round(b * 10), None if each is None else round(each * 10))
+        assert int(got[run].objective_cost) == want == int(merged[run].objective_cost), run
+        assert round(got[run].unserved_demand * 10) == merged[run].unserved_units and round(got[run].added_capacity_used * 10) == merged[run].added_units <= round(b * 10)
+        assert got[run].overfilled_shelters == 0 and round((got[run].served_demand + got[run].unserved_demand) * 10) == sum(units.values())
+
+
+def test_ordered_operators_match_sorting(spark):
+    from terrafold.operators import ordered, relational
+
+    rng = random.Random(7)
+    rows = [(g, i, float(rng.choice([1, 1, 1, 1, 2, 3, rng.random() * 9, None or -4.5])), rng.randint(0, 5)) for g in "ab" for i in range(400)] + [("c", 0, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g string, i int, v double, n int")
+    got = {(r.g, r.i): r.before for r in ordered.running_total(df, ["g"], "v", ["i"], "n", 8).collect()}
+    for g in "abc":
+        total = 0
+        for _, i, v, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            assert got[g, i] == total
+            total += n
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.05, 0.5, 0.951, 1.0)])).alias("q")).collect()}
+    found = {r.g: list(r)[1:] for r in ordered.quantiles(df, ["g"], "v", [0.0, 0.05, 0.5, 0.951, 1.0], 8).collect()}
+    assert found.keys() == want.keys() and all(found[g] == pytest.approx(want[g], abs=1e-12) for g in want)
+    one = ordered.quantiles(df.where("g = 'a'"), [], "v", [0.3], 16).first()
+    assert one.q0 == pytest.approx(df.where("g = 'a'").agg(F.percentile("v", 0.3)).first()[0], abs=1e-12)
+    assert ordered.quantiles(df.where("false"), [], "v", [0.3]).first().q0 is None and ordered.quantiles(df.where("false"), ["g"], "v", [0.3]).count() == 0
+    samples = spark.createDataFrame([("r", i, rng.choice([None, 1, 1, 2]) if i % 50 > 9 else 7, 1.5) for i in range(500)] + [("s", i, 3, 1.0) for i in range(30)], "k string, i int, v int, m double")
+    want = {tuple(r) for r in relational.merge_runs(samples, ["k"], ["i"], "v", "m").collect()}
+    for large, slices in ((0, 64), (40, 7), (40, 500), (1000, 64)):
+        assert {tuple(r) for r in ordered.runs_in_slices(samples, ["k"], ["i"], F.col("i"), "v", "m", large, slices).collect()} == want
