@@ -1,20 +1,23 @@
 """Walking graphs: collapse, nearest sources with paths, k nearest sources, components.
 
 A context - a municipality's network - is one group of a grouped map and is
-searched there with a heap; contexts run in parallel.  Components, which may span
-everything, are found by joins.
+searched there with a heap; contexts run in parallel.  A network larger than a task is
+searched by joins instead: labels within a step of the nearest unsettled one are
+relaxed together, round by round (delta-stepping).  Components, which may span
+everything, are found by joins, too.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.operators.relational import keep_best, top_k
-from terrafold.session import shared_dir, workers_import
+from terrafold.session import forget, shared_dir, stored, workers_import
 
 LABELS = "context string, node string, source string, cost double, next string"
 
@@ -96,6 +99,69 @@ def nearest_sources(edges: DataFrame, seeds: DataFrame, k: int = 1) -> DataFrame
     return rows.groupBy("context").cogroup(starts.groupBy("context")).applyInPandas(search, LABELS)
 
 
+def _ordered_cost(cost: Column) -> Column:
+    """Costs that differ by less than a billionth are equal, so that the smaller source decides."""
+    return F.round(cost, 9)
+
+
+def nearest_by_joins(edges: DataFrame, seeds: DataFrame, k: int = 1, delta: float | None = None, rounds: int = 10_000) -> DataFrame:
+    """What :func:`nearest_sources` gives, for networks of any size: (context, node, source, cost, next).
+
+    A label is (context, node, source) with its cost; a node keeps the ``k`` least by
+    (cost, source).  Each round takes the labels that changed and lie within the
+    current step of ``delta`` (by default four mean edge lengths), offers their cost plus the edge to the
+    neighbours, and keeps what is better; a step ends when none in it changes.  Labels are
+    written between rounds, so a round's lineage is one join.  An edge is joined
+    only with labels that changed; a node with very many edges is dealt out by the
+    adaptive join, and offers are combined before they are shuffled.
+
+    ``next`` is the neighbour that the label came from, of several the least by
+    (cost, node); over edges of no length it is the one that was there first, so that
+    no path is circular; null at the source's seed.  Lengths are at least zero.
+    """
+    ways = stored(edges.select("context", F.col("u").alias("node"), F.col("v").alias("other"), F.col("length").cast("double").alias("length")), "ways")
+    if delta is None:
+        mean = ways.agg(F.avg("length")).first()[0]
+        delta = 4 * mean if mean else 1.0
+    start = seeds.where("cost >= 0").groupBy("context", "node", "source").agg(F.min(F.col("cost").cast("double")).alias("cost"))
+    start = stored(start, "seeds")
+    best = Window.partitionBy("context", "node").orderBy(_ordered_cost(F.col("cost")), "source")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("_place")
+
+    labels = stored(kept(start.select("*", F.lit(True).alias("fresh"), F.lit(None).cast("string").alias("via"))), "labels")
+    for _ in range(rounds):
+        nearest = labels.where("fresh").agg(F.min("cost")).first()[0]
+        if nearest is None:
+            break
+        edge = (math.floor(nearest / delta) + 1) * delta
+        now = F.col("fresh") & (F.col("cost") < edge)
+        offers = labels.where(now).drop("fresh", "via").join(ways, ["context", "node"]).select("context", F.col("other").alias("node"), "source", (F.col("cost") + F.col("length")).alias("cost"), F.lit(True).alias("fresh"), F.col("node").alias("via"))
+        known = labels.select("context", "node", "source", "cost", (F.col("fresh") & ~now).alias("fresh"), "via")
+        # Of equal costs the label that is known already stays, so that nothing is relaxed twice.
+        by = F.struct(_ordered_cost(F.col("cost")), F.col("fresh"), F.col("cost"), F.col("via"))
+        merged = known.unionByName(offers).groupBy("context", "node", "source").agg(F.min_by(F.struct("cost", "fresh", "via"), by).alias("l"))
+        new = stored(kept(merged.select("context", "node", "source", "l.cost", "l.fresh", "l.via")), "labels")
+        forget(labels)
+        labels = new
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+    done = labels.select("context", "node", "source", "cost", "via")
+    there = done.select("context", F.col("node").alias("other"), "source", F.col("cost").alias("_onward"))
+    at_seed = start.select("context", "node", "source", F.col("cost").alias("_seed"))
+    steps = done.join(ways, ["context", "node"]).join(there, ["context", "other", "source"])
+    fits = (_ordered_cost(F.col("_onward") + F.col("length")) == _ordered_cost(F.col("cost"))) & (_ordered_cost(F.col("_onward")) < _ordered_cost(F.col("cost")))
+    onward = steps.where(fits).groupBy("context", "node", "source").agg(F.min_by("other", F.struct("_onward", "other")).alias("_next"))
+    out = done.join(onward, ["context", "node", "source"], "left").join(at_seed, ["context", "node", "source"], "left")
+    seeded = F.coalesce(_ordered_cost(F.col("_seed")) == _ordered_cost(F.col("cost")), F.lit(False))
+    result = stored(out.select("context", "node", "source", "cost", F.when(~seeded, F.coalesce("_next", "via")).alias("next")), "nearest")
+    for scratch in (labels, ways, start):
+        forget(scratch)
+    return result
+
+
 def node_paths(labels: DataFrame, origins: DataFrame) -> DataFrame:
     """(context, node, path): nodes from each origin (context, node) to its source by ``next``; a broken or circular trail is an error."""
 

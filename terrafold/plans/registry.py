@@ -609,6 +609,34 @@ def dijkstra_nearest_owner(spark: SparkSession, d: str) -> DataFrame:
     return graph.nearest_sources(graph.collapse_graph(e), _seeds(e)).select("context", "node", "source", r6("cost"))
 
 
+# All edges as one context, which no task holds.
+ONE_CONTEXT = S.with_views("t_edge").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT u AS x, v AS y, length FROM t_edge UNION ALL SELECT v, u, length FROM t_edge),
+    seed AS (SELECT DISTINCT u AS node, u AS source, 5.0::DOUBLE AS cost FROM t_edge WHERE u[2:]::INT % 3 = 0),
+    far(node, source, cost) USING KEY (node, source) AS (SELECT node, source, cost FROM seed
+      UNION (SELECT s.y, s.source, s.cost FROM (SELECT b.y, far.source, min(far.cost + b.length) AS cost FROM far JOIN b ON b.x = far.node GROUP BY ALL) s
+        LEFT JOIN recurring.far r ON r.node = s.y AND r.source = s.source WHERE r.cost IS NULL OR s.cost < r.cost - 1e-9)),
+    best AS (SELECT node, arg_min(source, (round(cost, 9), source)) AS source, min(cost) AS cost FROM far GROUP BY node),
+    onward AS (SELECT a.node, arg_min(o.node, (o.cost, o.node)) AS next FROM best a JOIN b ON b.x = a.node JOIN best o ON o.node = b.y AND o.source = a.source
+      WHERE round(o.cost + b.length, 9) = round(a.cost, 9) GROUP BY a.node)"""
+
+
+def _one_context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = one_graph(spark, d)
+    return graph.collapse_graph(e), _seeds(e)
+
+
+@query(ONE_CONTEXT + """ SELECT best.node, source, round(cost, 6) AS cost, CASE WHEN best.node <> source THEN next END AS next FROM best LEFT JOIN onward USING (node)""")
+def delta_nearest_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest source of every node of one large network, with the next node on the way, by joins."""
+    return graph.nearest_by_joins(*_one_context(spark, d)).select("node", "source", r6("cost"), "next")
+
+
+@query(ONE_CONTEXT + """, k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(cost, 9), source) AS r FROM far)
+    SELECT node, source, round(cost, 6) AS cost FROM k WHERE r <= 3""")
+def delta_three_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nearest_by_joins(*_one_context(spark, d), k=3).select("node", "source", r6("cost"))
+
+
 @query(CONTEXTS + """, t AS (SELECT far.context, node AS mesh_id, source, cost + 1 AS total, row_number() OVER (PARTITION BY far.context, node ORDER BY round(cost, 9), source) AS k FROM far WHERE node[1] = 'p')
     SELECT context, mesh_id, source, k::INT AS candidate_rank, round(total, 6) AS total FROM t WHERE k <= 3""")
 def k_label_candidates(spark: SparkSession, d: str) -> DataFrame:

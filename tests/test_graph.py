@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from terrafold.operators import graph
 
 EDGES = "context string, u string, v string, length string"
@@ -62,3 +64,35 @@ def test_origin_choice(spark):
     labels = spark.createDataFrame([("c", "u", "S1", 500.0, None), ("c", "v", "S2", 100.0, None)], graph.LABELS)
     rows = graph.choose_origin(graph.origin_seeds(origins), labels).collect()
     assert [(r.mesh_id, r.node, r.source, r.access, r.total) for r in rows] == [("m1", "v", "S2", 70.0, 170.0)]
+
+
+@pytest.mark.parametrize(("seed", "k", "delta"), [(1, 1, None), (2, 3, 4.0), (3, 1, 1000.0), (4, 2, 0.5)])
+def test_search_by_joins_gives_what_the_heap_gives(spark, seed, k, delta):
+    rng = random.Random(seed)
+    edges, seeds = [], []
+    for c in "xy":
+        for _ in range(90):
+            u, v = rng.sample([f"n{i:02}" for i in range(40)], 2)
+            edges.append((c, u, v, rng.choice([0.0, 1.0, 1.0, 2.0, 2.5])))
+        edges.append((c, "far", "away", 1.0))  # reached by none
+        seeds += [(c, n, f"s{i}", rng.choice([0.0, 1.0, 3.0])) for i, n in enumerate(rng.sample([f"n{i:02}" for i in range(40)], 6))]
+        seeds += [(c, seeds[-1][1], "s0b", seeds[-1][3]), (c, "n01", "bad", -1.0)]
+    net = graph.collapse_graph(spark.createDataFrame(edges, "context string, u string, v string, length double"))
+    starts = spark.createDataFrame(seeds, "context string, node string, source string, cost double")
+    heap = {(r.context, r.node, r.source): r for r in graph.nearest_sources(net, starts, k).collect()}
+    joins = {(r.context, r.node, r.source): r for r in graph.nearest_by_joins(net, starts, k, delta).collect()}
+    assert heap.keys() == joins.keys() and len(heap) > 70
+    length = {(r.context, r.u, r.v): r.length for r in net.collect()}
+    for key, r in joins.items():
+        assert r.cost == pytest.approx(heap[key].cost, abs=1e-9)
+        assert (r.next is None) == (heap[key].next is None)
+        if r.next is not None:  # of several ways that are as short each search may give its own
+            assert joins[key[0], r.next, key[2]].cost + length[key[0], key[1], r.next] == pytest.approx(r.cost, abs=1e-9)
+    for (c, node, source), r in joins.items():  # each trail ends at a seed
+        passed = [node]
+        while joins[c, passed[-1], source].next is not None:
+            passed.append(joins[c, passed[-1], source].next)
+            assert len(passed) == len(set(passed))
+    alone = graph.nearest_by_joins(net.where("false"), starts, k, delta).collect()
+    assert {(r.context, r.node) for r in alone} == {(c, n) for c, n, _, cost in seeds if cost >= 0} and all(r.next is None for r in alone)
+    assert graph.nearest_by_joins(net, starts.where("false"), k, delta).count() == 0
