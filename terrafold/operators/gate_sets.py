@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import values as V
+from terrafold.operators.areas import ring_faults
 from terrafold.operators.gates import Gate, expected_count, set_equality, unique_key
 from terrafold.operators.relational import rank_gaps
 
@@ -22,15 +23,16 @@ def _known(c: str) -> Column:
     return V.finite(F.col(c))
 
 
-def _all_missing(names: Sequence[str]) -> Column:
+def _any_missing(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in names))
 
 
 def source_gates(population: DataFrame, shelters: DataFrame, exposure: DataFrame, rings: DataFrame) -> list[Gate]:
     """Source data: population (mesh_id, total_population, population_65plus, population_75plus), shelters (common_id, latitude, longitude, tsunami, capacity),
-    exposure (mesh_id, tsunami_inundation_ratio, tsunami_exposure_score, tsunami_sample_count, tsunami_inundated_sample_count), rings (mesh_id, ring).
+    exposure (mesh_id, tsunami_inundation_ratio, tsunami_exposure_score, tsunami_sample_count, tsunami_inundated_sample_count), rings (mesh_id, ring of points x, y).
 
-    What may be missing by nature is a warning, what contradicts itself a failure.
+    What may be missing by nature is a warning, what contradicts itself a failure.  A mesh's
+    ring must be a valid polygon: closed, its sides meeting at corners only.
     """
     total, old = _known("total_population"), _known("population_65plus")
     ratio, score = _known("tsunami_inundation_ratio"), _known("tsunami_exposure_score")
@@ -38,15 +40,16 @@ def source_gates(population: DataFrame, shelters: DataFrame, exposure: DataFrame
     flag = V.to_number(F.col("tsunami"))
     capacity = V.parse_capacity(F.col("capacity"))["value"]
     bad_samples = samples.isNull() | wet.isNull() | (samples <= 0) | (wet < 0) | (wet > samples)
-    open_ring = F.col("ring").isNull() | (F.size("ring") < 4) | ~F.element_at("ring", 1).eqNullSafe(F.element_at("ring", -1))
+    shapes = rings.select(F.col("mesh_id").alias("shape"), F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"))
     features = rings.agg(F.count(F.lit(1)).alias("n")).crossJoin(population.agg(F.count(F.lit(1)).alias("rows")))  # one row each
+    # The names of the checks, as a published report has them.
     return [
         Gate("mesh_id_unique", unique_key(population, ["mesh_id"])),
         Gate("population_total_null", population, total.isNull()),
         Gate("population_65plus_not_over_total", population, old > total),
-        Gate("age_missing_preserved", population, _all_missing(["population_65plus", "population_75plus"]), "warning"),
+        Gate("age_missing_preserved", population, _any_missing(["population_65plus", "population_75plus"]), "warning"),
         Gate("shelter_common_id_duplicates", unique_key(shelters.where("common_id IS NOT NULL"), ["common_id"]), None, "warning"),
-        Gate("shelter_coordinate_missing", shelters, _all_missing(["latitude", "longitude"]), "warning"),
+        Gate("shelter_coordinate_missing", shelters, _any_missing(["latitude", "longitude"]), "warning"),
         Gate("shelter_tsunami_flag_values", shelters, ~flag.isin(0, 1)),
         Gate("tsunami_shelter_capacity_missing", shelters, (flag == 1) & capacity.isNull(), "warning"),
         Gate("tsunami_mesh_id_unique", unique_key(exposure, ["mesh_id"])),
@@ -54,7 +57,7 @@ def source_gates(population: DataFrame, shelters: DataFrame, exposure: DataFrame
         Gate("tsunami_inundation_ratio_0_1", exposure, ratio.isNull() | (ratio < 0) | (ratio > 1)),
         Gate("tsunami_exposure_score_formula", exposure, F.abs(score - ratio * 100) > 1e-8),
         Gate("tsunami_sample_counts", exposure, bad_samples),
-        Gate("mesh_geometry_valid", rings, open_ring),
+        Gate("mesh_geometry_valid", ring_faults(shapes).select("shape").distinct()),
         Gate("mesh_geojson_feature_count", features.where("n <> rows")),
     ]
 
@@ -91,7 +94,7 @@ def route_gates(routes: DataFrame, targets: DataFrame, gap_ids: DataFrame, expec
         Gate("missing_targets", targets.join(routes.select("mesh_id"), "mesh_id", "left_anti")),
         Gate("unexpected_meshes", routes.join(targets.select("mesh_id"), "mesh_id", "left_anti")),
         Gate("known_statuses", routes, F.col("route_status").isNotNull() & ~F.col("route_status").isin(*ROUTE_STATUSES)),
-        Gate("complete_routes_have_all_fields", routes, complete & _all_missing(needed)),
+        Gate("complete_routes_have_all_fields", routes, complete & _any_missing(needed)),
         Gate("distance_formula", routes, complete & (F.abs(formula - _known(parts[3])) > 1e-6)),
         Gate("connector_length", routes, complete & (_known(parts[2]) > LONGEST_CONNECTOR_M + 1e-9)),
         Gate("complete_route_geometry", routes, complete & (F.coalesce(F.size(points), F.lit(0)) < 1)),

@@ -43,31 +43,32 @@ SOURCES = S.with_views("t_mesh") + """,
       CASE s_suppkey % 7 WHEN 0 THEN 'x' WHEN 1 THEN '2' ELSE '1' END AS tsunami, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey::VARCHAR END AS capacity FROM supplier),
     expo AS (SELECT mesh_id + CASE WHEN mesh_id % 101 = 0 THEN 10000000 ELSE 0 END AS mesh_id, tsunami_inundation_ratio AS r, tsunami_inundation_ratio * 100 + (mesh_id % 29 = 0)::INT AS s,
       CASE WHEN mesh_id % 31 = 0 THEN 170 ELSE 100 END AS wet FROM t_mesh WHERE mesh_id % 3 > 0),
-    ring AS (SELECT mesh_id, mesh_id % 37 > 0 AS closed FROM t_mesh WHERE mesh_id % 41 > 0)"""
+    ring AS (SELECT mesh_id, mesh_id % 37 > 0 AND mesh_id % 43 > 0 AS valid FROM t_mesh WHERE mesh_id % 41 > 0)"""
+
+
+SOURCE_GATES = gate_sql(
+    SOURCES,
+    [
+        ("mesh_id_unique", "failure", repeated("pop", "mesh_id")),
+        ("population_total_null", "failure", of("pop", "total IS NULL")),
+        ("population_65plus_not_over_total", "failure", of("pop", "p65 > total")),
+        ("age_missing_preserved", "warning", of("pop", "p65 IS NULL OR p75 IS NULL")),
+        ("shelter_common_id_duplicates", "warning", repeated("shel", "common_id")),
+        ("shelter_coordinate_missing", "warning", of("shel", "latitude IS NULL OR longitude IS NULL")),
+        ("shelter_tsunami_flag_values", "failure", of("shel", "tsunami = '2'")),
+        ("tsunami_shelter_capacity_missing", "warning", of("shel", "tsunami = '1' AND capacity IS NULL")),
+        ("tsunami_mesh_id_unique", "failure", repeated("expo", "mesh_id")),
+        ("tsunami_mesh_in_population", "failure", of("expo", "mesh_id NOT IN (SELECT mesh_id FROM pop)")),
+        ("tsunami_inundation_ratio_0_1", "failure", of("expo", "r IS NULL OR r < 0 OR r > 1")),
+        ("tsunami_exposure_score_formula", "failure", of("expo", "abs(s - r * 100) > 1e-8")),
+        ("tsunami_sample_counts", "failure", of("expo", "wet > 169")),
+        ("mesh_geometry_valid", "failure", of("ring", "NOT valid")),
+        ("mesh_geojson_feature_count", "failure", "SELECT ((SELECT count(*) FROM ring) <> (SELECT count(*) FROM pop))::INT"),
+    ],
+)
 
 
-@query(
-    gate_sql(
-        SOURCES,
-        [
-            ("mesh_id_unique", "failure", repeated("pop", "mesh_id")),
-            ("population_total_null", "failure", of("pop", "total IS NULL")),
-            ("population_65plus_not_over_total", "failure", of("pop", "p65 > total")),
-            ("age_missing_preserved", "warning", of("pop", "p65 IS NULL OR p75 IS NULL")),
-            ("shelter_common_id_duplicates", "warning", repeated("shel", "common_id")),
-            ("shelter_coordinate_missing", "warning", of("shel", "latitude IS NULL OR longitude IS NULL")),
-            ("shelter_tsunami_flag_values", "failure", of("shel", "tsunami = '2'")),
-            ("tsunami_shelter_capacity_missing", "warning", of("shel", "tsunami = '1' AND capacity IS NULL")),
-            ("tsunami_mesh_id_unique", "failure", repeated("expo", "mesh_id")),
-            ("tsunami_mesh_in_population", "failure", of("expo", "mesh_id NOT IN (SELECT mesh_id FROM pop)")),
-            ("tsunami_inundation_ratio_0_1", "failure", of("expo", "r IS NULL OR r < 0 OR r > 1")),
-            ("tsunami_exposure_score_formula", "failure", of("expo", "abs(s - r * 100) > 1e-8")),
-            ("tsunami_sample_counts", "failure", of("expo", "wet > 169")),
-            ("mesh_geometry_valid", "failure", of("ring", "NOT closed")),
-            ("mesh_geojson_feature_count", "failure", "SELECT ((SELECT count(*) FROM ring) <> (SELECT count(*) FROM pop))::INT"),
-        ],
-    )
-)
+@query(SOURCE_GATES)
 def source_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.source_gates(*_sources(spark, d)))
 
@@ -94,11 +95,17 @@ def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
         "169 AS tsunami_sample_count",
         "CASE WHEN mesh_id % 31 = 0 THEN 170 ELSE 100 END AS tsunami_inundated_sample_count",
     )
-    rings = m.where("mesh_id % 41 > 0").selectExpr("mesh_id", "CASE WHEN mesh_id % 37 > 0 THEN array(1, 2, 3, 1) ELSE array(1, 2, 3, 4) END AS ring")
+    # Squares, some of them open, some with two corners changed for each other.
+    corner = lambda x, y: f"named_struct('x', mesh_id + {x}, 'y', {y})"
+    square = [corner("0.0D", "0.0D"), corner("0.5D", "0.0D"), corner("0.5D", "0.5D"), corner("0.0D", "0.5D"), corner("0.0D", "0.0D")]
+    bow = [square[0], square[2], square[1], square[3], square[0]]
+    ring = f"CASE WHEN mesh_id % 37 = 0 THEN array({', '.join(square[:4])}) WHEN mesh_id % 43 = 0 THEN array({', '.join(bow)}) ELSE array({', '.join(square)}) END AS ring"
+    rings = m.where("mesh_id % 41 > 0").selectExpr("mesh_id", ring)
     return population, shelters, exposure, rings
 
 
-@query("""SELECT 'failure' AS status, 8::BIGINT AS failure_count, 4::BIGINT AS warning_count""")
+@query(f"""SELECT CASE WHEN bool_or(NOT passed AND severity = 'failure') THEN 'failure' ELSE 'pass' END AS status, count(*) FILTER (WHERE NOT passed AND severity = 'failure') AS failure_count,
+    count(*) FILTER (WHERE NOT passed AND severity = 'warning') AS warning_count FROM ({SOURCE_GATES})""")
 def source_summary(spark: SparkSession, d: str) -> DataFrame:
     """Of the 15 source gates, those that the surrogate rows are made to fail."""
     return summary(evaluate(G.source_gates(*_sources(spark, d))))
