@@ -307,19 +307,24 @@ def tree_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after ``links`` (a, b) have joined some of them: components of the roots alone, which are few."""
-    over = written(_with_root(_with_root(links, roots, "a"), roots, "b").where("a_root <> b_root"), "over")
-    if over.isEmpty():
+    linked = written(_with_root(_with_root(links, roots, "a"), roots, "b").where("a_root <> b_root"), "over")
+    if linked.isEmpty():
+        dropped(linked)
         return roots
-    over = components(over.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    over = components(linked.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    dropped(linked)
     moved = roots.join(over.select(F.col("id").alias("root"), F.col("root").alias("over")), "root", "left")
     moved = moved.select("id", F.coalesce("over", "root").alias("root"))
     tops = over.where("id <> root").join(roots.select("id"), "id", "left_anti")  # roots that now have one above them
-    return written(moved.unionByName(tops.select("id", "root")), "roots")
+    new = written(moved.unionByName(tops.select("id", "root")), "roots")
+    dropped(roots)
+    return new
 
 
-def rarest(texts: DataFrame, threshold: float) -> DataFrame:
-    """(pair, id) for texts (id, words, pairs): each one's rarest pairs, as many as make texts that are alike share one."""
+def rarest(texts: DataFrame, threshold: float, scratch: list[DataFrame]) -> DataFrame:
+    """(pair, id) for texts (id, words, pairs): each one's rarest pairs, as many as make texts that are alike share one.  ``scratch`` gets what is written for it."""
     each = written(texts.select("id", "words", F.explode("pairs").alias("pair")), "pairs")
+    scratch.append(each)
     times = each.groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
     # A pair of one text alone comes first and joins nothing.
     ranked = each.join(times.where("times > 1"), "pair").groupBy("id", "words").agg(F.sort_array(F.collect_list(F.struct("times", "pair"))).alias("ranked"))
@@ -371,19 +376,25 @@ def classes(
     sizes = members.select("id", "words").distinct()
     close = F.least("words", "b_words") >= threshold * F.greatest("words", "b_words")
 
+    spent: list[DataFrame] = [members]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        spent.append(written(df, name))
+        return spent[-1]
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.join(sizes.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
         wanted = wanted.join(sizes.withColumnRenamed("id", "a"), "a").where(close).select("a", "b")
         both = wanted.join(near.select(F.col("id").alias("a"), F.col("content").alias("a_text")), "a")
         both = both.join(near.select(F.col("id").alias("b"), F.col("content").alias("b_text")), "b")
-        return written(both.mapInArrow(_verify_batches(k, threshold), "a long, b long"), name)
+        return kept(both.mapInArrow(_verify_batches(k, threshold), "a long, b long"), name)
 
     leading = members.where("leader <> id")
-    first = written(leading.groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b")), "first-pairs")
+    first = kept(leading.groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b")), "first-pairs")
     roots = tree_roots(verified(first, "first-links"))
 
     apart = _with_root(_with_root(leading.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), roots, "a"), roots, "b")
-    second = written(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
+    second = kept(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
     roots = merged(roots, verified(second, "second-links"))
 
     # In a bucket that still has several components its leader is done; two more members take its place in turn.
@@ -392,7 +403,7 @@ def classes(
         rooted = _with_root(rest.withColumnRenamed("id", "a"), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root"))
         mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.struct("id", "root")).alias("head")).where("least <> most")
         mixed = rooted.join(mixed.select("band", F.col("head.id").alias("head"), F.col("head.root").alias("head_root")), "band")
-        mixed = written(mixed, "mixed-buckets")
+        mixed = kept(mixed, "mixed-buckets")
         if turn < 2:
             asked = mixed.where("root <> head_root").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
             roots = merged(roots, verified(asked, "next-links"))
@@ -401,18 +412,18 @@ def classes(
     # Short texts by their rarest pairs of words: each such pair is a bucket, too.
     short = firsts.where(F.col("words").between(2, int((few - 1) / threshold + 1e-9))).select(F.col("rep").alias("id"), "words")
     pairs = near.join(short, "id").mapInArrow(_pair_batches, "id long, words int, pairs array<long>")
-    shared = written(rarest(pairs, threshold).distinct(), "shared-pairs")  # an id may have several texts: all of their pairs
+    shared = kept(rarest(pairs, threshold, spent).distinct(), "shared-pairs")  # an id may have several texts: all of their pairs
     buckets = mixed.select("band", "id").unionByName(shared.select(F.xxhash64(F.lit("pair"), "pair").alias("band"), "id"))
     rooted = _with_root(buckets.withColumnRenamed("id", "a"), roots, "a").select("band", F.col("a").alias("id"), F.col("a_root").alias("root"))
-    rooted = written(rooted, "rooted")
+    rooted = kept(rooted, "rooted")
     parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
     parts = parts.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
     # Those outside the largest component of a bucket are held against all of it, blocks with blocks.
     blocks = lambda n: F.ceil(n / block).cast("int")
-    parts = written(parts.select("band", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("others")), "parts")
-    apart = written(rooted.join(parts, "band"), "apart")
+    parts = kept(parts.select("band", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("others")), "parts")
+    apart = kept(rooted.join(parts, "band"), "apart")
     codes = near.join(apart.select("id").distinct(), "id").mapInArrow(_code_batches, "id long, codes array<int>")
-    codes = written(codes, "codes")
+    codes = kept(codes, "codes")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     base = apart.select("band", "id", "root", own(F.col("blocks")).alias("block"), every(F.col("others")).alias("other")).join(codes, "id")
@@ -420,24 +431,21 @@ def classes(
     base, asking = base.toDF(*base.columns), asking.toDF(*asking.columns)  # attributes of their own
     by = ["band", "block", "other"]
     third = base.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(_block_links(k, threshold), "a long, b long")
-    wanted = written(third.distinct(), "third-pairs")  # by short hashes; few, and verified on the texts
+    wanted = kept(third.distinct(), "third-pairs")  # by short hashes; few, and verified on the texts
     both = wanted.join(near.select(F.col("id").alias("a"), F.col("content").alias("a_text")), "a").join(near.select(F.col("id").alias("b"), F.col("content").alias("b_text")), "b")
     third = both.mapInArrow(_verify_batches(k, threshold), "a long, b long")
     # An id with several texts joins their classes.
     least = of_copy.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
     several = of_copy.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    wanted = written(third.distinct(), "third-pairs")  # by short hashes; few, and verified on the texts
-    both = wanted.join(near.select(F.col("id").alias("a"), F.col("content").alias("a_text")), "a").join(near.select(F.col("id").alias("b"), F.col("content").alias("b_text")), "b")
-    third = both.mapInArrow(_verify_batches(k, threshold), "a long, b long")
-    roots = merged(roots, written(third.unionByName(several), "third-links"))
-    for spent in (members, first, second, mixed, shared, rooted, apart, codes, parts, wanted):
-        dropped(spent)
+    roots = merged(roots, kept(third.unionByName(several), "third-links"))
+    for scratch in spent:
+        dropped(scratch)
 
     named = of_copy.groupBy("id").agg(F.min("rep").alias("rep"))
     named = named.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     named = written(named, "classes")
-    for spent in (firsts, of_copy, roots):
-        dropped(spent)
+    for scratch in (firsts, of_copy, roots):
+        dropped(scratch)
     of = named.join(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
     out = rows.select("id").join(of, "id", "left")
     root = F.coalesce(F.col("root"), F.col("id"))
