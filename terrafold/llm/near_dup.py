@@ -341,8 +341,8 @@ def classes(
     text_col: str = "text",
     threshold: float = 0.8,
     k: int = 5,
-    bands: int = 32,
-    picked: int = 3,
+    bands: int = 60,
+    picked: int = 2,
     block: int = 512,
     few: int = 50,
 ) -> DataFrame:

@@ -537,6 +537,22 @@ def test_near_duplicates_are_caught(spark):
     assert all(g in (w, w + 1) for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("share", [0.10, 0.14, 0.18, 0.195])
+def test_near_duplicates_are_caught_up_to_the_limit(spark, share):
+    """Pairs of long texts with so many of the words changed, each in a place of its own; the rule's limit is 0.2."""
+    rng = np.random.default_rng(int(1000 * share))
+    texts = []
+    for group in range(100):
+        words = [f"w{group}x{x}" for x in rng.integers(0, 400, int(rng.choice([60, 150, 300, 900])))]
+        other = list(words)
+        for i in rng.choice(len(words), int(share * len(words)), replace=False):
+            other[i] = f"n{group}x{i}"
+        texts += [" ".join(words), " ".join(other)]
+    got = near_classes(spark, texts)
+    assert np.mean([got[2 * g + 1] == 2 * g for g in range(100)]) >= 0.9
+    assert all(got[i] // 2 == i // 2 for i in range(200))
+
+
 def test_alignment_decides_as_the_edit_distance():
     rng = np.random.default_rng(5)
     for _ in range(300):
