@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from terrafold.functions import values as V
 from terrafold.operators.areas import ring_faults
 from terrafold.operators.gates import Gate, expected_count, set_equality, unique_key
 from terrafold.operators.relational import rank_gaps
+from terrafold.operators.scoring import COMPONENTS
 
 # What a route may be, the longest connector, and what makes a modeled length an outlier.
 ROUTE_STATUSES = ("complete", "no_network_path", "network_coverage_gap", "no_candidate_shelter_in_aoi", "all_candidate_shelters_snap_excluded")
@@ -196,3 +198,95 @@ def explorer_gates(meshes: DataFrame, shown: DataFrame) -> list[Gate]:
         Gate("score_only_where_complete", shown, F.col("full_score").isNotNull() != complete),
         Gate("score_0_100", shown, (F.col("full_score") < 0) | (F.col("full_score") > 100)),
     ]
+
+
+def demand_gates(scored: DataFrame, pressure: DataFrame, shelters: DataFrame) -> list[Gate]:
+    """Demand and capacity pressure: ``scored`` rows (mesh_id, ready, shelter_key, demand_area_weighted, demand_full_mesh, capacity, capacity_pressure_area_weighted),
+    ``pressure`` of the shelters they were sent to (shelter_key, assigned demands, capacity, pressures), ``shelters`` that there are (shelter_key).
+
+    Demand is neither lost nor doubled on its way to shelters; a capacity that is not known never becomes a pressure.
+    """
+    ready, of = F.coalesce(F.col("ready"), F.lit(False)), lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    known = F.coalesce(_known("capacity") > 0, F.lit(False))
+    names = {"area": "area_weighted", "full": "full_mesh"}
+    sums = scored.agg(*[of(F.col(f"demand_{n}")).alias(f"all_{n}") for n in names.values()], *[of(F.when(~ready, F.col(f"demand_{n}"))).alias(f"left_{n}") for n in names.values()])
+    given = pressure.agg(*[of(F.col(f"assigned_demand_{n}")).alias(f"given_{n}") for n in names.values()])
+    both = sums.crossJoin(given)  # one row each
+    off = F.abs(_known("assigned_demand_area_weighted") / F.col("capacity") - _known("capacity_pressure_area_weighted"))
+    return [
+        Gate("selected_shelter_exists", scored.where(ready).join(shelters.select("shelter_key").distinct(), "shelter_key", "left_anti")),
+        Gate("no_pressure_without_route", scored, ~ready & F.col("capacity_pressure_area_weighted").isNotNull()),
+        Gate("no_pressure_without_capacity", scored, ready & ~known & F.col("capacity_pressure_area_weighted").isNotNull()),
+        Gate("pressure_is_demand_over_capacity", pressure, known & F.coalesce(off > 1e-9, F.lit(True))),
+        *[Gate(f"{short}_demand_conserved", both, F.abs(F.col(f"all_{n}") - F.col(f"left_{n}") - F.col(f"given_{n}")) > 1e-6) for short, n in names.items()],
+        Gate("area_demand_within_full", scored, F.col("demand_area_weighted") - F.col("demand_full_mesh") > 1e-9),
+    ]
+
+
+def simulation_gates(before: DataFrame, after: DataFrame, simulated: DataFrame, expected: Mapping[str, int], score: str = "full_score") -> list[Gate]:
+    """More capacity: ``before`` and ``after`` are the scored rows as they were and are, ``simulated`` rows of a what-if by delta and shelter.
+
+    ``expected`` counts ``complete`` and ``noncomplete`` rows, ``known_shelters`` and
+    ``overloaded`` ones.  On complete rows the capacity component is the clipped pressure and gives the
+    score again, within 1e-8; no delta makes more shelters overloaded than were, a larger one not more than
+    a smaller, nor does it save less; and no score has changed.
+    """
+    complete = F.col("score_status") == "complete"
+    pressure, component, own = _known("capacity_pressure_area_weighted"), _known(COMPONENTS["shelter_capacity_pressure"]), _known(score)
+    again = V.weighted_score({k: F.col(c) for k, c in COMPONENTS.items()}, V.FULL_WEIGHTS)
+    broken = (F.abs(component - V.clip_keep_null(pressure * 100.0, 0.0, 100.0)) > 1e-8) | (F.abs(again - own) > 1e-8)
+    per = simulated.groupBy("delta").agg(
+        F.count(F.lit(1)).alias("known"),
+        F.count_if("baseline_over_capacity").alias("was_over"),
+        F.count_if("simulated_over_capacity").alias("is_over"),
+        F.sum("affected_complete_meshes").alias("affected"),
+        F.sum("total_score_reduction").alias("saved"),
+    )
+    w = Window.orderBy("delta")  # a row for each delta
+    steps = per.withColumn("over_before", F.lag("is_over").over(w)).withColumn("saved_before", F.lag("saved").over(w))
+    was, now = before.select("mesh_id", F.col(score).alias("_was")), after.select("mesh_id", F.col(score).alias("_now"), F.lit(True).alias("_there"))
+    changed = was.withColumn("_here", F.lit(True)).join(now, "mesh_id", "full").where("NOT (_was <=> _now) OR _here IS NULL OR _there IS NULL")
+    return [
+        expected_count("complete_rows", before.where(complete), expected["complete"]),
+        expected_count("noncomplete_rows", before.where(~complete), expected["noncomplete"]),
+        Gate("component_contract", before, complete & F.coalesce(broken, F.lit(True))),
+        Gate("known_shelters", per, F.col("known") != expected["known_shelters"]),
+        Gate("overloaded_before", per, F.col("was_over") != expected["overloaded"]),
+        Gate("no_new_overload", per, F.col("is_over") > expected["overloaded"]),
+        Gate("affected_rows", per, F.col("affected") != expected["complete"]),
+        Gate("reduction_not_negative", per, F.col("saved") < -1e-9),
+        Gate("overload_does_not_rise", steps, F.col("is_over") > F.col("over_before")),
+        Gate("reduction_does_not_fall", steps, F.col("saved") + 1e-8 < F.col("saved_before")),
+        Gate("scores_unchanged", changed),
+    ]
+
+
+def export_gates(rows: DataFrame, pressure: DataFrame, expected: Mapping[str, int], statuses: Mapping[str, int], places: Sequence[object], score: str = "full_score") -> list[Gate]:
+    """What is to be published: ``rows`` (mesh_id, municipality_code, route_status, score_status, cross_border, shelter_municipality_code, route_coordinates, route_segments as JSON, the score), ``pressure`` of shelters.
+
+    ``expected`` counts ``rows``, ``complete`` routes, ``cross_border`` ones and ``overloaded`` shelters; ``statuses`` rows by
+    status; ``places`` are the municipalities that there must be, and no other.
+    """
+    complete = F.coalesce(F.col("route_status") == "complete", F.lit(False))
+    scored = F.coalesce(F.col("score_status") == "complete", F.lit(False))
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame(sorted(statuses.items()), "score_status string, wanted long")
+    counted = rows.groupBy("score_status").agg(F.count(F.lit(1)).alias("n")).join(wanted, "score_status", "full").where("NOT n <=> wanted")
+    there = spark.createDataFrame([(p,) for p in places], StructType([StructField("municipality_code", rows.schema["municipality_code"].dataType)]))
+    points, segments = (F.from_json(c, "array<string>") for c in ("route_coordinates", "route_segments"))
+    return [
+        expected_count("row_count", rows, expected["rows"]),
+        Gate("mesh_unique", unique_key(rows, ["mesh_id"])),
+        set_equality("municipalities", rows, there, "municipality_code"),
+        expected_count("complete_routes", rows.where(complete), expected["complete"]),
+        expected_count("unavailable_routes", rows.where(~complete), expected["rows"] - expected["complete"]),
+        Gate("shelter_municipality_known", rows, complete & F.col("shelter_municipality_code").isNull()),
+        expected_count("cross_border_routes", rows.where(complete & F.col("cross_border")), expected["cross_border"]),
+        Gate("status_counts", counted),
+        Gate("complete_has_score", rows, scored & _known(score).isNull()),
+        Gate("score_only_where_complete", rows, ~scored & _known(score).isNotNull()),
+        Gate("no_score_without_route", rows, ~complete & _known(score).isNotNull()),
+        expected_count("overloaded_shelters", pressure.where(_known("capacity_pressure_area_weighted") > 1), expected["overloaded"]),
+        Gate("route_geometry", rows, complete & (F.coalesce(F.size(points), F.lit(0)) < 1)),
+        Gate("route_segments", rows, complete & segments.isNull()),
+    ]

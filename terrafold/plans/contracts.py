@@ -298,6 +298,123 @@ def whatif_means(spark: SparkSession, d: str) -> DataFrame:
     return w.select("delta", "shelter_key", r6("mean_score_reduction", F.col("mean_score_reduction") + 1e-8))
 
 
+SCORED_FAULTS = R.RISK + """, scored AS (SELECT mesh_id, ready, CASE WHEN mesh_id % 61 = 0 THEN shelter_key + 1000000 ELSE shelter_key END AS shelter_key,
+      demand_area_weighted + CASE WHEN mesh_id % 59 = 0 THEN 1e6 ELSE 0 END AS area, demand_full_mesh AS whole, capacity,
+      CASE WHEN mesh_id % 47 = 0 THEN 1.0 ELSE capacity_pressure_area_weighted END AS p FROM risk),
+    given AS (SELECT shelter_key, assigned_demand_area_weighted AS area, assigned_demand_full_mesh AS whole, capacity, capacity_pressure_area_weighted + CASE WHEN shelter_key % 7 = 0 THEN 0.5 ELSE 0 END AS p FROM pressure)"""
+
+
+@query(
+    gate_sql(
+        SCORED_FAULTS,
+        [
+            ("selected_shelter_exists", "failure", "SELECT count(*) FROM scored WHERE ready AND shelter_key NOT IN (SELECT shelter_key FROM t_shelter)"),
+            ("no_pressure_without_route", "failure", of("scored", "NOT ready AND p IS NOT NULL")),
+            ("no_pressure_without_capacity", "failure", of("scored", "ready AND NOT coalesce(capacity > 0, false) AND p IS NOT NULL")),
+            ("pressure_is_demand_over_capacity", "failure", of("given", "capacity > 0 AND coalesce(abs(area / capacity - p) > 1e-9, true)")),
+            ("area_demand_conserved", "failure", "SELECT (abs((SELECT sum(area) FROM scored WHERE ready) - (SELECT sum(area) FROM given)) > 1e-6)::INT"),
+            ("full_demand_conserved", "failure", "SELECT (abs((SELECT sum(whole) FROM scored WHERE ready) - (SELECT sum(whole) FROM given)) > 1e-6)::INT"),
+            ("area_demand_within_full", "failure", of("scored", "area - whole > 1e-9")),
+        ],
+    )
+)
+def demand_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Scored rows and pressures, some of them made wrong."""
+    change = lambda df, **c: df.withColumns({n: F.expr(e) for n, e in c.items()})
+    scored = change(
+        R.risk(spark, d),
+        shelter_key="CASE WHEN mesh_id % 61 = 0 THEN shelter_key + 1000000 ELSE shelter_key END",
+        demand_area_weighted="demand_area_weighted + IF(mesh_id % 59 = 0, 1e6D, 0D)",
+        capacity_pressure_area_weighted="CASE WHEN mesh_id % 47 = 0 THEN 1.0D ELSE capacity_pressure_area_weighted END",
+    )
+    given = change(R.pressures(spark, d), capacity_pressure_area_weighted="capacity_pressure_area_weighted + IF(shelter_key % 7 = 0, 0.5D, 0D)")
+    return evaluate(G.demand_gates(scored, given, S.shelters(spark, d)))
+
+
+SIMULATED = R.WHATIF + f""", was AS (SELECT mesh_id, score_status, capacity_pressure_area_weighted AS p, pa + CASE WHEN mesh_id % 41 = 0 THEN 1 ELSE 0 END AS component, full_score,
+      {R.clip("(te * 25.0 + vp * 20.0 + wa * 25.0 + rp * 15.0 + (pa + CASE WHEN mesh_id % 41 = 0 THEN 1 ELSE 0 END) * 15.0) / 100.0")} AS again FROM risk),
+    sim2 AS (SELECT delta, shelter_key, capacity_pressure_area_weighted > 1 AS was_over, simulated_pressure > 1 OR delta = 500 AND shelter_key % 2 = 0 AS is_over, affected_complete_meshes AS n,
+      CASE WHEN delta = 1000 THEN total_score_reduction / 1000 ELSE total_score_reduction END AS saved FROM whatif),
+    per AS (SELECT delta, count(*) AS known, count(*) FILTER (WHERE was_over) AS was_over, count(*) FILTER (WHERE is_over) AS is_over, sum(n) AS affected, sum(saved) AS saved FROM sim2 GROUP BY delta),
+    steps AS (SELECT *, lag(is_over) OVER (ORDER BY delta) AS o0, lag(saved) OVER (ORDER BY delta) AS s0 FROM per)"""
+
+
+@query(
+    gate_sql(
+        SIMULATED,
+        [
+            ("complete_rows", "failure", "SELECT (count(*) <> 10)::INT FROM was WHERE score_status = 'complete'"),
+            ("noncomplete_rows", "failure", "SELECT (count(*) <> 10)::INT FROM was WHERE score_status <> 'complete'"),
+            ("component_contract", "failure", of("was", f"score_status = 'complete' AND coalesce(abs(component - ({R.clip('p * 100')})) > 1e-8 OR abs(again - full_score) > 1e-8, true)")),
+            ("known_shelters", "failure", of("per", "known <> 10")),
+            ("overloaded_before", "failure", of("per", "was_over <> 10")),
+            ("no_new_overload", "failure", of("per", "is_over > 10")),
+            ("affected_rows", "failure", of("per", "affected <> 10")),
+            ("reduction_not_negative", "failure", of("per", "saved < -1e-9")),
+            ("overload_does_not_rise", "failure", of("steps", "is_over > o0")),
+            ("reduction_does_not_fall", "failure", of("steps", "saved + 1e-8 < s0")),
+            ("scores_unchanged", "failure", of("was", "mesh_id % 43 = 0 AND full_score IS NOT NULL")),
+        ],
+    )
+)
+def simulation_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and what-if rows, some of them made wrong: a component, an overload that comes with more capacity, a reduction that falls, scores that changed."""
+    r = R.risk(spark, d)
+    component = "shelter_capacity_pressure_component_area_weighted"
+    before = r.withColumn(component, F.col(component) + F.expr("IF(mesh_id % 41 = 0, 1D, 0D)"))
+    after = r.withColumn("full_score", F.col("full_score") + F.expr("IF(mesh_id % 43 = 0, 1D, 0D)"))
+    w = scoring.what_if_capacity(r, R.pressures(spark, d), R.DELTAS)
+    w = w.withColumn("simulated_over_capacity", F.expr("simulated_over_capacity OR delta = 500 AND shelter_key % 2 = 0"))
+    w = w.withColumn("total_score_reduction", F.expr("IF(delta = 1000, total_score_reduction / 1000, total_score_reduction)"))
+    return evaluate(G.simulation_gates(before, after, w, {"complete": 10, "noncomplete": 10, "known_shelters": 10, "overloaded": 10}))
+
+
+PUBLIC = R.RISK + """, pub AS (SELECT mesh_id, municipality_code, CASE WHEN ready THEN 'complete' ELSE 'no_network_path' END AS route_status, score_status, mesh_id % 5 = 0 AS crossing,
+      CASE WHEN mesh_id % 19 > 0 THEN 1 END AS shelter_place, CASE mesh_id % 23 WHEN 0 THEN '[]' WHEN 1 THEN 'x' ELSE '[[1,2]]' END AS points, CASE mesh_id % 29 WHEN 0 THEN '{"a"' ELSE '[]' END AS segments,
+      CASE WHEN mesh_id % 31 = 0 THEN 1.0 WHEN mesh_id % 37 = 0 THEN NULL ELSE full_score END AS score FROM risk),
+    off AS (SELECT municipality_code FROM pub GROUP BY 1 HAVING municipality_code > 13)"""
+
+
+@query(
+    gate_sql(
+        PUBLIC,
+        [
+            ("row_count", "failure", "SELECT (count(*) <> 1090)::INT FROM pub"),
+            ("mesh_unique", "failure", repeated("pub", "mesh_id")),
+            ("municipalities", "failure", "SELECT count(*) FROM off"),
+            ("complete_routes", "failure", "SELECT (count(*) <> 1062)::INT FROM pub WHERE route_status = 'complete'"),
+            ("unavailable_routes", "failure", "SELECT (count(*) <> 28)::INT FROM pub WHERE route_status <> 'complete'"),
+            ("shelter_municipality_known", "failure", of("pub", "route_status = 'complete' AND shelter_place IS NULL")),
+            ("cross_border_routes", "failure", "SELECT (count(*) <> 13)::INT FROM pub WHERE route_status = 'complete' AND crossing"),
+            ("status_counts", "failure", """SELECT count(*) FROM (SELECT score_status, count(*) AS n FROM pub GROUP BY 1) FULL JOIN
+              (VALUES ('complete', 813), ('core_only_missing_capacity', 128), ('core_data_incomplete', 121), ('route_unavailable', 28)) w(score_status, wanted) USING (score_status) WHERE n IS DISTINCT FROM wanted"""),
+            ("complete_has_score", "failure", of("pub", "score_status = 'complete' AND score IS NULL")),
+            ("score_only_where_complete", "failure", of("pub", "score_status <> 'complete' AND score IS NOT NULL")),
+            ("no_score_without_route", "failure", of("pub", "route_status <> 'complete' AND score IS NOT NULL")),
+            ("overloaded_shelters", "failure", "SELECT (count(*) <> 35)::INT FROM pressure WHERE capacity_pressure_area_weighted > 1"),
+            ("route_geometry", "failure", of("pub", "route_status = 'complete' AND points <> '[[1,2]]'")),
+            ("route_segments", "failure", of("pub", "route_status = 'complete' AND segments <> '[]'")),
+        ],
+    )
+)
+def export_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The gates of a public export over scored rows that are made to fail some of them."""
+    return evaluate(G.export_gates(_public(spark, d), R.pressures(spark, d), EXPORTED, EXPORTED_STATUSES, range(14)))
+
+
+# What the published export holds.
+EXPORTED = {"rows": 1090, "complete": 1062, "cross_border": 13, "overloaded": 35}
+EXPORTED_STATUSES = {"complete": 813, "core_only_missing_capacity": 128, "core_data_incomplete": 121, "route_unavailable": 28}
+
+
+def _public(spark: SparkSession, d: str) -> DataFrame:
+    return R.risk(spark, d).selectExpr(
+        "mesh_id", "municipality_code", "IF(ready, 'complete', 'no_network_path') AS route_status", "score_status", "mesh_id % 5 = 0 AS cross_border",
+        "IF(mesh_id % 19 > 0, 1, NULL) AS shelter_municipality_code", "CASE mesh_id % 23 WHEN 0 THEN '[]' WHEN 1 THEN 'x' ELSE '[[1,2]]' END AS route_coordinates",
+        """CASE mesh_id % 29 WHEN 0 THEN '{"a"' ELSE '[]' END AS route_segments""", "CASE WHEN mesh_id % 31 = 0 THEN 1.0D WHEN mesh_id % 37 = 0 THEN NULL ELSE full_score END AS full_score",
+    )
+
+
 # --- candidates
 
 PARITY = S.with_views("t_mesh", "t_candidate") + """, cand AS (SELECT mesh_id, candidate_rank, shelter_key, total_walking_distance_m + CASE WHEN mesh_id % 40 = 0 AND candidate_rank = 2 THEN 1e6 ELSE 0 END AS m FROM t_candidate),
