@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import values as V
-from terrafold.operators import allocation, candidates as C, gate_sets as G, relational, scoring
+from terrafold.operators import allocation, candidates as C, gate_sets as G, nested, relational, scoring
 from terrafold.operators.gates import Gate, evaluate, set_equality, summary, unique_key
 from terrafold.plans import registry as R
 from terrafold.plans import surrogates as S
@@ -415,6 +415,24 @@ def _public(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_acctbal AS bal FROM customer)
+    SELECT k AS doc, '$.at.balance' AS path, 'value' AS problem FROM c WHERE k % 7 = 0 UNION ALL SELECT k, '$.tags', 'length' FROM c WHERE k % 11 = 0
+    UNION ALL SELECT k, '$.tags[1].n', 'value' FROM c WHERE k % 13 = 0 AND k % 11 > 0 UNION ALL SELECT k, '$.name', 'missing' FROM c WHERE k % 17 = 0
+    UNION ALL SELECT k, '$.name', 'kind' FROM c WHERE k % 19 = 0 AND k % 17 > 0""")
+def nested_regression(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each customer against one with some of its values changed, within and beyond the tolerance."""
+    c = S.table(spark, d, "customer")
+    body = lambda name, balance, tags: c.selectExpr("c_custkey AS doc", f"to_json(named_struct('name', {name}, 'at', named_struct('balance', {balance}, 'nation', c_nationkey), 'tags', {tags})) AS body")
+    tag = lambda n: f"named_struct('n', {n}, 'yes', c_acctbal > 0)"
+    plain = body("c_name", "c_acctbal", f"array({tag('c_nationkey')}, {tag('c_custkey')})")
+    changed = body(
+        "CASE WHEN c_custkey % 17 > 0 AND c_custkey % 19 > 0 THEN c_name END", "c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 0.5D ELSE 1e-8D END",
+        f"IF(c_custkey % 11 = 0, array({tag('c_nationkey')}), array({tag('c_nationkey')}, {tag('c_custkey + IF(c_custkey % 13 = 0, 1, 0)')}))",
+    )
+    wrong = F.when((F.col("doc") % 19 == 0) & (F.col("doc") % 17 > 0), F.regexp_replace("body", r"^\{", '{"name":5,')).otherwise(F.col("body"))
+    return nested.differences(plain, changed.withColumn("body", wrong), depth=4)
+
+
 # --- candidates
 
 PARITY = S.with_views("t_mesh", "t_candidate") + """, cand AS (SELECT mesh_id, candidate_rank, shelter_key, total_walking_distance_m + CASE WHEN mesh_id % 40 = 0 AND candidate_rank = 2 THEN 1e6 ELSE 0 END AS m FROM t_candidate),
