@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import values as V
-from terrafold.operators.gates import Gate
+from terrafold.operators.gates import Gate, evaluate
+from terrafold.operators.graph import nearest_by_joins
 from terrafold.operators.relational import keep_best
 
 
@@ -106,6 +107,31 @@ def border_gains(everywhere: DataFrame, at_home: DataFrame, meshes: DataFrame, w
     return rows.where(abroad & (F.col("home_distance_m").isNull() | (gain > better))).withColumn("improvement_m", gain)
 
 
+def border_comparison(edges: DataFrame, seeds: DataFrame, meshes: DataFrame, within: float, better: float = 1.0, delta: float | None = None) -> DataFrame:
+    """:func:`border_gains` by two searches of one network (context, u, v, length): from all sources, and from those of each municipality alone.
+
+    ``seeds``: context, node, source, cost, municipality; ``meshes``: mesh_id, node,
+    municipality, boundary_m.  The second search is one, too: each municipality is a
+    context, of those whose meshes lie near enough to the border.
+    """
+    near = meshes.where(F.col("boundary_m") <= within)
+    owners = seeds.select("source", F.col("municipality").alias("_of")).distinct()
+    everywhere = nearest_by_joins(edges, seeds.drop("municipality"), delta=delta).join(owners, "source")
+    everywhere = near.select("mesh_id", "node").join(everywhere, "node").select("mesh_id", F.col("cost").alias("distance"), F.col("_of").alias("municipality"))
+    places = near.select(F.col("municipality").cast("string").alias("place")).distinct()
+    own = edges.drop("context").crossJoin(F.broadcast(places)).withColumnRenamed("place", "context")  # a row for each municipality
+    starts = seeds.select(F.col("municipality").cast("string").alias("context"), "node", "source", "cost").join(places, F.col("context") == F.col("place"), "left_semi")
+    at_home = nearest_by_joins(own, starts, delta=delta).select(F.col("context").alias("_home"), "node", F.col("cost").alias("distance"))
+    home = near.select("mesh_id", "node", F.col("municipality").cast("string").alias("_home")).join(at_home, ["_home", "node"]).select("mesh_id", "distance")
+    return border_gains(everywhere, home, near, within, better)
+
+
+def anchored_if(candidates: DataFrame, canonical: DataFrame, columns: Sequence[str], gates: Sequence[Gate]) -> DataFrame:
+    """:func:`anchored` where all the gates pass, found in the plan: one that fails leaves every candidate as it is."""
+    verdict = evaluate(gates).agg(F.bool_and("passed").alias("_passed"))
+    return anchored(candidates.crossJoin(F.broadcast(verdict)), canonical, columns, F.col("_passed")).drop("_passed")  # one row
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
     """The row of each key that comes last in the source."""
     return keep_best(df, keys, [-F.col(place)])

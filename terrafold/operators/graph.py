@@ -183,7 +183,9 @@ def node_paths(labels: DataFrame, origins: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["context", "node", "path"])
 
     workers_import(labels.sparkSession)
-    return labels.groupBy("context").cogroup(origins.groupBy("context")).applyInPandas(walk, "context string, node string, path array<string>")
+    # Attributes of their own on either side: origins are often made from the labels.
+    there, asked = labels.select("context", "node", "source", "next").toDF("context", "node", "source", "next"), origins.select("context", "node").toDF("context", "node")
+    return there.groupBy("context").cogroup(asked.groupBy("context")).applyInPandas(walk, "context string, node string, path array<string>")
 
 
 def origin_seeds(origins: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrafold.operators.gates import Gate, unique_key
+from terrafold.operators.gates import Gate, require, unique_key
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", validate: str = "m:1") -> tuple[DataFrame, list[Gate]]:
@@ -26,6 +26,18 @@ def replace_columns(left: DataFrame, right: DataFrame, on: Sequence[str], how: s
     return left.drop(*[c for c in right.columns if c not in on]).join(right, list(on), how)
 
 
+def join_renamed(left: DataFrame, right: DataFrame, keys: dict[str, str], suffix: str, how: str = "left", validate: str | None = None) -> DataFrame:
+    """Join on keys that have other names on the right, ``keys``: left to right; the right's other columns get ``suffix`` where the left has their name, its keys go.
+
+    ``validate`` m:1 makes a right key that occurs more than once an error, now.
+    """
+    if validate == "m:1":
+        require([Gate(f"unique right {','.join(keys.values())}", unique_key(right, list(keys.values())))])
+    back = {b: a for a, b in keys.items()}
+    side = right.select(*[F.col(c).alias(back[c] if c in back else f"{c}{suffix}" if c in left.columns else c) for c in right.columns])
+    return left.join(side, list(keys), how)
+
+
 def unique_only(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs once and has no null: those that occur more often go altogether."""
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
@@ -152,13 +164,6 @@ def rank_gaps(df: DataFrame, keys: Sequence[str], rank: str, value: str) -> Data
     return checked.where("max_rank <> rows OR ranks <> rows OR falls > 0")
 
 
-def not_monotone(df: DataFrame, keys: Sequence[str], order: str, value: str, rising: bool) -> DataFrame:
-    """Rows that break the direction against the row before them."""
-    w = W.partitionBy(*keys).orderBy(order)
-    before = F.lag(value).over(w)
-    return df.withColumn("before", before).where(F.col(value) < F.col("before") if rising else F.col(value) > F.col("before"))
-
-
 def merge_runs(samples: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, length: str) -> DataFrame:
     """Gaps and islands: consecutive rows of one non-null value as one row: keys, run, value, samples, length."""
     w = W.partitionBy(*keys).orderBy(*order)
