@@ -343,7 +343,7 @@ def classes(
     k: int = 5,
     bands: int = 60,
     picked: int = 2,
-    block: int = 512,
+    block: int = 1024,
     few: int = 50,
 ) -> DataFrame:
     """One row per input row: id, class_id, class_size, kept.
