@@ -761,7 +761,8 @@ def test_sql_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, DATA)
         cur = con.execute(sql)
