@@ -28,8 +28,10 @@ def read_many(spark: SparkSession, root: str, pattern: str, schema: T.StructType
     their own header; empty files give nothing; that no file matches is an error.
     """
     wanted = spark.createDataFrame([], schema).schema
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).where("length > 0")
-    heads = listed.select("path", F.regexp_replace(F.split(F.decode("content", "UTF-8"), r"\r?\n", 2)[0], "^\ufeff", "").alias("head"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    begun = lines.select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_block_start").alias("at"))
+    first = begun.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("head"))  # the first block of a file is one task's, in order
+    heads = first.select("path", F.regexp_replace("head", "^\ufeff", "").alias("head"))
     by_head: dict[str, list[str]] = {}
     for r in heads.collect():  # a row for each file
         by_head.setdefault(r["head"], []).append(r["path"])

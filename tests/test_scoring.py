@@ -57,3 +57,13 @@ def test_plan_overlap(spark):
     assert (r.shared_shelters, round(r.shelter_jaccard, 9), r.shared_capacity, r.shared_capacity_share) == (1, round(1 / 3, 9), 50.0, 0.5)
     none = relational.plan_overlap(a.where("added > 99"), b.where("added > 99"), "shelter_key", "added", 100.0).first()
     assert none.shelter_jaccard == 1.0 and none.shared_capacity == 0.0
+
+
+def test_renamed_join_and_its_contract(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "mesh int, wanted string, n int")
+    right = spark.createDataFrame([("a", 50, True)], "key string, n int, known boolean")
+    got = relational.join_renamed(left, right, {"wanted": "key"}, "_r", validate="m:1")
+    assert got.columns == ["wanted", "mesh", "n", "n_r", "known"]
+    assert sorted(tuple(r) for r in got.select("mesh", "n", "n_r", "known").collect()) == [(1, 5, 50, True), (2, 6, None, None), (3, 7, None, None)]
+    with pytest.raises(ValueError, match="unique right key: 1"):
+        relational.join_renamed(left, right.unionByName(right), {"wanted": "key"}, "_r", validate="m:1")
