@@ -157,12 +157,6 @@ def ring_area(ring: Column) -> Column:
     return F.abs(twice) / 2.0
 
 
-def line_length(line: Column) -> Column:
-    return F.aggregate(
-        _sides(line), F.lit(0.0), lambda acc, s: acc + F.sqrt((s["b"]["x"] - s["a"]["x"]) ** 2 + (s["b"]["y"] - s["a"]["y"]) ** 2)
-    )
-
-
 def project_on_line(x: Column, y: Column, line: Column) -> Column:
     """struct<offset, along, rest>: distance to the nearest place of a line, and the lengths along it to there and from there."""
     zero = F.struct(F.lit(float("inf")).alias("offset"), F.lit(0.0).alias("along"), F.lit(0.0).alias("walked"))

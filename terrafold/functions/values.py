@@ -119,11 +119,6 @@ def completeness(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, (c.isNotNull().cast("int") for c in columns)) / float(len(columns))
 
 
-def sum_if_any(c: Column) -> Column:
-    """Sum of what is known; null if nothing is (Spark's own sum)."""
-    return F.sum(c)
-
-
 def sum_all_or_null(c: Column) -> Column:
     """Sum over a group; null if any value of it is missing or it is empty."""
     return F.when((F.count(F.lit(1)) > 0) & (F.count(F.lit(1)) == F.count(c)), F.sum(c))

@@ -182,13 +182,16 @@ def what_if_capacity(risk: DataFrame, pressure: DataFrame, deltas: Sequence[floa
     )
 
 
-def what_if_ranking(simulated: DataFrame, n: int = 12, order: str = "text") -> DataFrame:
+def what_if_ranking(simulated: DataFrame, n: int = 12, order: str = "text", name: str = "shelter_key", collation: str | None = None) -> DataFrame:
     """The first ``n`` shelters of each delta, which Spark cuts off before the exchange.
 
     ``order`` ``text``: reduction, resolved, pressure, key; ``demand``: reduction,
-    pressure reduction, demand, key.
+    pressure reduction, demand, key.  The last is the column ``name``, ordered bytewise or by
+    a ``collation`` (``ja``, ``UNICODE``), as a reader's language has it.
     """
-    key = F.col("shelter_key").cast("string")
+    key = F.col(name).cast("string")
+    if collation:
+        key = F.collate(key, collation)
     if order == "demand":
         by = [F.desc("total_score_reduction"), (F.col("capacity_pressure_area_weighted") - F.col("simulated_pressure")).desc(), F.desc("assigned_demand_area_weighted"), key]
     else:

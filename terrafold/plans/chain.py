@@ -18,17 +18,23 @@ from terrafold.sources import files
 
 # --- origins in a plane: nodes, straight edges between neighbours by id, meshes
 
-PLANE = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, embedding[3]::DOUBLE * 1000 AS mx, embedding[4]::DOUBLE * 1000 AS my FROM embeddings),
+PLANE = """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, embedding[3]::DOUBLE * 1000 AS mx, embedding[4]::DOUBLE
+        * 1000 AS my FROM embeddings),
     node AS (SELECT vec_id AS node, x, y FROM p WHERE vec_id % 3 > 0),
-    edge AS (SELECT a.vec_id AS edge_id, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 4 = 0),
+    edge AS (SELECT a.vec_id AS edge_id, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 4
+        = 0),
     mesh AS (SELECT vec_id AS mesh_id, mx AS x, my AS y FROM p),
     near AS (SELECT *, greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / nullif(dx * dx + dy * dy, 0))) AS t FROM mesh, edge),
-    edged AS (SELECT mesh_id, edge_id, sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2) AS d, t * sqrt(dx * dx + dy * dy) AS along, (1 - t) * sqrt(dx * dx + dy * dy) AS rest,
-      greatest(least((x - 6 - ax) / dx, (x + 6 - ax) / dx), least((y - 6 - ay) / dy, (y + 6 - ay) / dy), 0) <= least(greatest((x - 6 - ax) / dx, (x + 6 - ax) / dx), greatest((y - 6 - ay) / dy, (y + 6 - ay) / dy), 1) AS meets FROM near),
-    choice AS (SELECT mesh_id, 1 AS k, sqrt((node.x - mesh.x) ** 2 + (node.y - mesh.y) ** 2) AS d, node::VARCHAR AS target, NULL::DOUBLE AS along, NULL::DOUBLE AS rest FROM mesh JOIN node ON abs(node.x - mesh.x) <= 6 AND abs(node.y - mesh.y) <= 6
+    edged AS (SELECT mesh_id, edge_id, sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2) AS d, t * sqrt(dx * dx + dy * dy) AS along, (1 - t) * sqrt(dx * dx
+        + dy * dy) AS rest,
+      greatest(least((x - 6 - ax) / dx, (x + 6 - ax) / dx), least((y - 6 - ay) / dy, (y + 6 - ay) / dy), 0) <= least(greatest((x - 6 - ax) / dx, (x + 6 - ax) /
+        dx), greatest((y - 6 - ay) / dy, (y + 6 - ay) / dy), 1) AS meets FROM near),
+    choice AS (SELECT mesh_id, 1 AS k, sqrt((node.x - mesh.x) ** 2 + (node.y - mesh.y) ** 2) AS d, node::VARCHAR AS target, NULL::DOUBLE AS along, NULL::DOUBLE
+        AS rest FROM mesh JOIN node ON abs(node.x - mesh.x) <= 6 AND abs(node.y - mesh.y) <= 6
       UNION ALL SELECT mesh_id, CASE WHEN meets THEN 2 ELSE 3 END, d, edge_id::VARCHAR, along, rest FROM edged WHERE meets OR d <= 20),
     best AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY k, d, target) AS r FROM choice),
-    origin AS (SELECT mesh_id, CASE k WHEN 1 THEN 'walk_node_within_mesh' WHEN 2 THEN 'walk_edge_intersects_mesh' WHEN 3 THEN 'nearest_walk_edge_fallback' ELSE 'network_coverage_gap' END AS origin_method,
+    origin AS (SELECT mesh_id, CASE k WHEN 1 THEN 'walk_node_within_mesh' WHEN 2 THEN 'walk_edge_intersects_mesh' WHEN 3 THEN 'nearest_walk_edge_fallback' ELSE
+        'network_coverage_gap' END AS origin_method,
       target, d AS connector_m, along, rest FROM mesh LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (mesh_id))"""
 
 
@@ -48,7 +54,8 @@ def origin_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(PLANE + """ SELECT mesh_id, target AS node, round(connector_m, 6) AS access FROM origin WHERE origin_method = 'walk_node_within_mesh'
-    UNION ALL SELECT mesh_id, target, round(connector_m + along, 6) FROM origin WHERE along IS NOT NULL UNION ALL SELECT mesh_id, (target::BIGINT + 1)::VARCHAR, round(connector_m + rest, 6) FROM origin WHERE rest IS NOT NULL""")
+    UNION ALL SELECT mesh_id, target, round(connector_m + along, 6) FROM origin WHERE along IS NOT NULL UNION ALL SELECT mesh_id, (target::BIGINT + 1)::VARCHAR,
+        round(connector_m + rest, 6) FROM origin WHERE rest IS NOT NULL""")
 def origin_seed_rows(spark: SparkSession, d: str) -> DataFrame:
     """What a search starts from: one node, or both ends of an edge with the walk along it; a gap has none."""
     o = _origins(spark, d).select("*", F.lit("all").alias("context"), F.col("target").alias("node"), F.col("target").alias("edge_u"), (F.col("target").cast("long") + 1).cast("string").alias("edge_v"))
@@ -60,7 +67,8 @@ def origin_seed_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(R.CONTEXTS + """, best AS (SELECT context, node, arg_min(source, (round(cost, 9), source)) AS source, min(cost) AS cost FROM far GROUP BY 1, 2),
     seeds AS (SELECT context, u || ' ' || v AS mesh_id, unnest([u, v]) AS node, unnest([length / 4, length * 3 / 4]) AS access FROM c),
-    total AS (SELECT s.*, b.source, b.cost, row_number() OVER (PARTITION BY mesh_id, context ORDER BY round(access + cost, 9), b.source, s.node) AS r FROM seeds s JOIN best b USING (context, node))
+    total AS (SELECT s.*, b.source, b.cost, row_number() OVER (PARTITION BY mesh_id, context ORDER BY round(access + cost, 9), b.source, s.node) AS r FROM seeds
+        s JOIN best b USING (context, node))
     SELECT mesh_id, context, node, source, round(access + cost, 6) AS total FROM total WHERE r = 1""")
 def chosen_origins(spark: SparkSession, d: str) -> DataFrame:
     """Of the two ends of an edge on which a mesh starts, the one from which a source is nearer."""
@@ -74,7 +82,8 @@ def chosen_origins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(R.ONE_CONTEXT + """, walk(origin, here, hops, trail) AS (SELECT node, node, 0, node FROM best WHERE node[1] = 'p'
-      UNION ALL SELECT t.origin, o.next, t.hops + 1, t.trail || ' ' || o.next FROM walk t JOIN best b ON b.node = t.here AND b.node <> b.source JOIN onward o ON o.node = t.here)
+      UNION ALL SELECT t.origin, o.next, t.hops + 1, t.trail || ' ' || o.next FROM walk t JOIN best b ON b.node = t.here AND b.node <> b.source JOIN onward o ON
+        o.node = t.here)
     SELECT origin AS node, hops::INT AS hops, trail FROM walk JOIN best ON best.node = here AND best.node = best.source""")
 def walked_paths(spark: SparkSession, d: str) -> DataFrame:
     """The nodes from each part to the source that is nearest to it."""
@@ -83,19 +92,23 @@ def walked_paths(spark: SparkSession, d: str) -> DataFrame:
     return paths.select("node", (F.size("path") - 1).alias("hops"), F.array_join("path", " ").alias("trail"))
 
 
-@query(R.CONTEXTS.split(",\n    seed AS")[0] + """, reach AS (SELECT DISTINCT context, x AS node, x AS other FROM b UNION SELECT reach.context, reach.node, b.y FROM reach JOIN b ON b.context = reach.context AND b.x = reach.other),
+@query(R.CONTEXTS.split(",\n    seed AS")[0] + """, reach AS (SELECT DISTINCT context, x AS node, x AS other FROM b UNION SELECT reach.context, reach.node, b.y
+        FROM reach JOIN b ON b.context = reach.context AND b.x = reach.other),
     part AS (SELECT context, node, min(other) AS component FROM reach GROUP BY ALL), n AS (SELECT context, component, count(*) AS n FROM part GROUP BY ALL)
-    SELECT context, count(*) AS components, sum(n)::BIGINT AS nodes, round(max(n) / sum(n), 6) AS largest_share, array_to_string(list(n ORDER BY n DESC)[:10], ' ') AS largest FROM n GROUP BY context""")
+    SELECT context, count(*) AS components, sum(n)::BIGINT AS nodes, round(max(n) / sum(n), 6) AS largest_share, array_to_string(list(n ORDER BY n DESC)[:10],
+        ' ') AS largest FROM n GROUP BY context""")
 def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     """How many connected parts each network has, and the largest of them."""
     sizes = graph.component_sizes(graph.components(R.contexts(spark, d).select("context", "u", "v")))
     return sizes.select("context", "components", "nodes", r6("largest_share"), F.array_join(F.transform("largest", lambda n: n.cast("string")), " ").alias("largest"))
 
 
-BORDER = R.ONE_CONTEXT + """, mesh AS (SELECT DISTINCT node AS mesh_id, node[2:]::BIGINT % 5 AS municipality, node[2:]::BIGINT % 10 AS boundary_m FROM far WHERE node[1] = 'p'),
+BORDER = R.ONE_CONTEXT + """, mesh AS (SELECT DISTINCT node AS mesh_id, node[2:]::BIGINT % 5 AS municipality, node[2:]::BIGINT % 10 AS boundary_m FROM far WHERE
+        node[1] = 'p'),
     away AS (SELECT node AS mesh_id, arg_min(source[2:]::BIGINT % 5, (round(cost, 9), source)) AS abroad, min(cost) AS all_m FROM far GROUP BY 1),
     home AS (SELECT f.node AS mesh_id, min(cost) AS home_m FROM far f JOIN mesh m ON m.mesh_id = f.node AND source[2:]::BIGINT % 5 = m.municipality GROUP BY 1)
-    SELECT mesh_id, abroad AS external_municipality, round(all_m, 6) AS all_distance_m, round(home_m - all_m, 6) AS improvement_m FROM mesh JOIN away USING (mesh_id) LEFT JOIN home USING (mesh_id)
+    SELECT mesh_id, abroad AS external_municipality, round(all_m, 6) AS all_distance_m, round(home_m - all_m, 6) AS improvement_m FROM mesh JOIN away USING
+        (mesh_id) LEFT JOIN home USING (mesh_id)
     WHERE boundary_m <= 6 AND abroad <> municipality AND (home_m IS NULL OR home_m - all_m > 1.0)"""
 
 
@@ -110,8 +123,10 @@ def border_searches(spark: SparkSession, d: str) -> DataFrame:
     return got.select("mesh_id", "external_municipality", r6("all_distance_m"), r6("improvement_m"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS cx, embedding[4]::DOUBLE AS cy FROM embeddings),
-      near AS (SELECT a.vec_id AS point_id, b.vec_id AS polygon_id, abs(a.x - b.cx) AS u, abs(a.y - b.cy) AS v FROM p a JOIN p b ON abs(a.x - b.cx) <= 0.04 AND abs(a.y - b.cy) <= 0.04),
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS cx, embedding[4]::DOUBLE AS cy FROM
+        embeddings),
+      near AS (SELECT a.vec_id AS point_id, b.vec_id AS polygon_id, abs(a.x - b.cx) AS u, abs(a.y - b.cy) AS v FROM p a JOIN p b ON abs(a.x - b.cx) <= 0.04 AND
+        abs(a.y - b.cy) <= 0.04),
       t AS (SELECT *, greatest(0, least(1, (0.02 - u + v) / 0.04)) AS t FROM near)
     SELECT point_id, polygon_id FROM t WHERE u + v <= 0.02 OR sqrt((u - 0.02 * (1 - t)) ** 2 + (v - 0.02 * t) ** 2) <= 0.015""")
 def buffered_cover(spark: SparkSession, d: str) -> DataFrame:
@@ -127,11 +142,13 @@ def buffered_cover(spark: SparkSession, d: str) -> DataFrame:
 # --- mesh exposure: samples, pixels, classes
 
 SAMPLES = f"""WITH t AS (SELECT DISTINCT {R.MESH_CODE} AS code FROM customer),
-    corner AS (SELECT code, code[1:2]::INT / 1.5 + code[5]::INT / 12.0 + code[7]::INT / 120.0 + CASE WHEN code[9]::INT IN (2, 4) THEN 1 / 240.0 ELSE 0 END AS south,
+    corner AS (SELECT code, code[1:2]::INT / 1.5 + code[5]::INT / 12.0 + code[7]::INT / 120.0 + CASE WHEN code[9]::INT IN (2, 4) THEN 1 / 240.0 ELSE 0 END AS
+        south,
       100 + code[3:4]::INT + code[6]::INT / 8.0 + code[8]::INT / 80.0 + CASE WHEN code[9]::INT IN (3, 4) THEN 1 / 160.0 ELSE 0 END AS west FROM t),
     sample AS (SELECT code AS mesh_id, west + (i + 0.5) / 13 / 160.0 AS lon, south + (j + 0.5) / 13 / 240.0 AS lat FROM corner, range(13) a(i), range(13) b(j)),
     place AS (SELECT mesh_id, (lon + 180) / 360 * 4096 AS xf, (1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096 AS yf FROM sample),
-    spot AS (SELECT mesh_id, floor(xf)::INT AS x, floor(yf)::INT AS y, floor((xf - floor(xf)) * 256)::INT AS px, floor((yf - floor(yf)) * 256)::INT AS py FROM place),
+    spot AS (SELECT mesh_id, floor(xf)::INT AS x, floor(yf)::INT AS y, floor((xf - floor(xf)) * 256)::INT AS px, floor((yf - floor(yf)) * 256)::INT AS py FROM
+        place),
     seen AS (SELECT *, CASE WHEN (px * 31 + py * 17) % 5 < 3 THEN CASE (px + py) % 4 WHEN 0 THEN 1 WHEN 1 THEN 6 END END AS depth FROM spot)"""
 
 
@@ -148,7 +165,8 @@ def mesh_samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(SAMPLES + """ SELECT mesh_id, count(*) AS sample_count, count(depth) AS inundated_sample_count, round(count(depth) / count(*)::DOUBLE, 6) AS inundation_ratio, max(depth)::INT AS max_depth_class,
+@query(SAMPLES + """ SELECT mesh_id, count(*) AS sample_count, count(depth) AS inundated_sample_count, round(count(depth) / count(*)::DOUBLE, 6) AS
+        inundation_ratio, max(depth)::INT AS max_depth_class,
     round(count(depth) / count(*)::DOUBLE * 100, 6) AS exposure_score FROM seen GROUP BY 1""")
 def mesh_exposure(spark: SparkSession, d: str) -> DataFrame:
     """Zonal statistics of meshes over pixels: two of the palette's colours, one that is none of it, transparent ones, and pixels that are not there."""
@@ -173,7 +191,8 @@ def _raw_image(content: bytes) -> np.ndarray | None:
 
 
 @query("""WITH t AS (SELECT c_custkey AS x, c_custkey % 7 AS y, CASE WHEN c_custkey % 5 > 0 THEN sha256(c_custkey::VARCHAR) END AS h FROM customer),
-    p AS (SELECT x, y, h, unnest(range(8)) AS k FROM t WHERE h IS NOT NULL), hex AS (SELECT *, ('0x' || h[8 * k + 1:8 * k + 2])::INT AS r, ('0x' || h[8 * k + 3:8 * k + 4])::INT AS g, ('0x' || h[8 * k + 5:8 * k + 6])::INT AS b, ('0x' || h[8 * k + 7:8 * k + 8])::INT AS a FROM p)
+    p AS (SELECT x, y, h, unnest(range(8)) AS k FROM t WHERE h IS NOT NULL), hex AS (SELECT *, ('0x' || h[8 * k + 1:8 * k + 2])::INT AS r, ('0x' || h[8 * k +
+        3:8 * k + 4])::INT AS g, ('0x' || h[8 * k + 5:8 * k + 6])::INT AS b, ('0x' || h[8 * k + 7:8 * k + 8])::INT AS a FROM p)
     SELECT x::INT AS x, y::INT AS y, (k % 4)::INT AS px, (k // 4)::INT AS py, r, g, b, a FROM hex""")
 def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of tiles whose bytes are digests; a tile without content has none."""
@@ -184,8 +203,10 @@ def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
 # --- shares across borders, several parts of an area, two baselines, the gate before the overlay
 
 
-@query(contracts.FLOW + """ SELECT 'r' AS run_id, round(sum(CASE WHEN (mesh_id + shelter_key) % 2 = 0 THEN n / 10.0 ELSE 0 END), 6)::DOUBLE AS cross_border_demand,
-    round(sum(n / 10.0 * greatest(0, m - nearest_m)) / sum(n / 10.0), 6)::DOUBLE AS mean_additional_distance_m, (sum(n * (round_even(m * 10, 0)::BIGINT * 100 + candidate_rank)::HUGEINT)
+@query(contracts.FLOW + """ SELECT 'r' AS run_id, round(sum(CASE WHEN (mesh_id + shelter_key) % 2 = 0 THEN n / 10.0 ELSE 0 END), 6)::DOUBLE AS
+        cross_border_demand,
+    round(sum(n / 10.0 * greatest(0, m - nearest_m)) / sum(n / 10.0), 6)::DOUBLE AS mean_additional_distance_m, (sum(n * (round_even(m * 10, 0)::BIGINT * 100 +
+        candidate_rank)::HUGEINT)
       + (SELECT sum(n) FROM lost) * 1000000000::HUGEINT + (SELECT sum(x) FROM extra))::BIGINT AS objective_cost FROM fr JOIN near USING (mesh_id)""")
 def allocation_borders(spark: SparkSession, d: str) -> DataFrame:
     """Of the given flow: demand that crosses a border, what its ways are longer than the nearest, and its cost in whole units."""
@@ -196,8 +217,10 @@ def allocation_borders(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k, (1 + s_suppkey % 5)::DOUBLE AS w, (1 + s_suppkey % 3)::DOUBLE AS h, s_nationkey::DOUBLE AS x FROM supplier)
-    SELECT k, CASE WHEN k % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS type, CASE WHEN k % 4 = 3 THEN w * h * 0.75 ELSE w * h END + CASE WHEN k % 2 = 0 THEN 4 ELSE 0 END AS area,
-      x AS west, 0.0::DOUBLE AS south, CASE WHEN k % 2 = 0 THEN x + 12 ELSE x + w END AS east, CASE WHEN k % 2 = 0 THEN greatest(h, 2) ELSE h END AS north FROM s""")
+    SELECT k, CASE WHEN k % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS type, CASE WHEN k % 4 = 3 THEN w * h * 0.75 ELSE w * h END + CASE WHEN k % 2 = 0
+        THEN 4 ELSE 0 END AS area,
+      x AS west, 0.0::DOUBLE AS south, CASE WHEN k % 2 = 0 THEN x + 12 ELSE x + w END AS east, CASE WHEN k % 2 = 0 THEN greatest(h, 2) ELSE h END AS north FROM
+        s""")
 def area_measures(spark: SparkSession, d: str) -> DataFrame:
     """Type, area less holes, and bounds of areas of one part or two."""
     s = S.table(spark, d, "supplier").selectExpr("s_suppkey AS k", "CAST(1 + s_suppkey % 5 AS DOUBLE) AS w", "CAST(1 + s_suppkey % 3 AS DOUBLE) AS h", "CAST(s_nationkey AS DOUBLE) AS x")
@@ -213,8 +236,10 @@ def area_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Routes of the same network, which agree but for some meshes, and canonical ones, which agree but for others.
-TWO = S.with_views("t_mesh", "t_candidate") + """, status AS (SELECT mesh_id, CASE WHEN mesh_id IN (SELECT mesh_id FROM t_candidate) THEN 'complete' ELSE 'no_network_path' END AS s FROM t_mesh),
-    one AS (SELECT status.mesh_id, s, shelter_key, total_walking_distance_m AS m FROM status LEFT JOIN t_candidate c ON c.mesh_id = status.mesh_id AND candidate_rank = 1),
+TWO = S.with_views("t_mesh", "t_candidate") + """, status AS (SELECT mesh_id, CASE WHEN mesh_id IN (SELECT mesh_id FROM t_candidate) THEN 'complete' ELSE
+        'no_network_path' END AS s FROM t_mesh),
+    one AS (SELECT status.mesh_id, s, shelter_key, total_walking_distance_m AS m FROM status LEFT JOIN t_candidate c ON c.mesh_id = status.mesh_id AND
+        candidate_rank = 1),
     canon AS (SELECT mesh_id, s, shelter_key, m + CASE WHEN mesh_id % 400 = 1 THEN 0.01 ELSE 0 END AS m FROM one WHERE mesh_id % 500 <> 2),
     off AS (SELECT count(*) AS n FROM canon WHERE s = 'complete' AND mesh_id % 400 = 1)"""
 
@@ -248,8 +273,10 @@ def double_parity_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.candidate_parity_gates(*_baselines(spark, d), 10, 1e-6))
 
 
-@query(TWO + """ SELECT 'same' AS against, c.mesh_id, c.candidate_rank::INT AS candidate_rank, CASE WHEN c.candidate_rank = 1 THEN c.mesh_id * 10 ELSE c.shelter_key END AS code FROM t_candidate c
-    UNION ALL SELECT 'both', c.mesh_id, c.candidate_rank::INT, CASE WHEN c.candidate_rank = 1 AND (SELECT n FROM off) = 0 AND NOT EXISTS (SELECT 1 FROM status WHERE mesh_id % 500 = 2) THEN c.mesh_id * 10 ELSE c.shelter_key END FROM t_candidate c""")
+@query(TWO + """ SELECT 'same' AS against, c.mesh_id, c.candidate_rank::INT AS candidate_rank, CASE WHEN c.candidate_rank = 1 THEN c.mesh_id * 10 ELSE
+        c.shelter_key END AS code FROM t_candidate c
+    UNION ALL SELECT 'both', c.mesh_id, c.candidate_rank::INT, CASE WHEN c.candidate_rank = 1 AND (SELECT n FROM off) = 0 AND NOT EXISTS (SELECT 1 FROM status
+        WHERE mesh_id % 500 = 2) THEN c.mesh_id * 10 ELSE c.shelter_key END FROM t_candidate c""")
 def gated_anchor(spark: SparkSession, d: str) -> DataFrame:
     """Canonical codes on rank-1 candidates, only where the parity gates pass: against the same network they do, against the canonical one, too, only on data without its faults."""
     cand, status, baselines = _baselines(spark, d)
@@ -264,7 +291,8 @@ def gated_anchor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT s_suppkey AS shelter_key, s_nationkey AS place, s_acctbal AS total FROM supplier WHERE s_suppkey % 3 > 0)
-    SELECT o.c_custkey AS mesh_id, o.c_nationkey AS place, o.c_acctbal AS total, d.place AS place_of_shelter, d.total AS total_of_shelter FROM customer o LEFT JOIN d ON d.shelter_key = o.c_custkey % 40""")
+    SELECT o.c_custkey AS mesh_id, o.c_nationkey AS place, o.c_acctbal AS total, d.place AS place_of_shelter, d.total AS total_of_shelter FROM customer o LEFT
+        JOIN d ON d.shelter_key = o.c_custkey % 40""")
 def renamed_join(spark: SparkSession, d: str) -> DataFrame:
     """A left join of keys by different names whose other columns share theirs."""
     from terrafold.operators.relational import join_renamed

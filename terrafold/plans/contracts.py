@@ -37,11 +37,14 @@ def only_in(left: str, right: str, key: str = "mesh_id") -> str:
 # --- source data (gate set of the inputs)
 
 SOURCES = S.with_views("t_mesh") + """,
-    pop AS (SELECT mesh_id, CASE WHEN mesh_id % 53 > 0 THEN total_population END AS total, CASE WHEN mesh_id % 17 = 0 THEN total_population + 1.0 ELSE total_population * aging_rate_65plus END AS p65,
+    pop AS (SELECT mesh_id, CASE WHEN mesh_id % 53 > 0 THEN total_population END AS total, CASE WHEN mesh_id % 17 = 0 THEN total_population + 1.0 ELSE
+        total_population * aging_rate_65plus END AS p65,
       CASE WHEN mesh_id % 13 > 0 THEN total_population * aging_rate_65plus / 2 END AS p75 FROM t_mesh),
     shel AS (SELECT 'id' || s_suppkey // 2 AS common_id, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END AS latitude, s_acctbal AS longitude,
-      CASE s_suppkey % 7 WHEN 0 THEN 'x' WHEN 1 THEN '2' ELSE '1' END AS tsunami, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey::VARCHAR END AS capacity FROM supplier),
-    expo AS (SELECT mesh_id + CASE WHEN mesh_id % 101 = 0 THEN 10000000 ELSE 0 END AS mesh_id, tsunami_inundation_ratio AS r, tsunami_inundation_ratio * 100 + (mesh_id % 29 = 0)::INT AS s,
+      CASE s_suppkey % 7 WHEN 0 THEN 'x' WHEN 1 THEN '2' ELSE '1' END AS tsunami, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey::VARCHAR END AS capacity FROM
+        supplier),
+    expo AS (SELECT mesh_id + CASE WHEN mesh_id % 101 = 0 THEN 10000000 ELSE 0 END AS mesh_id, tsunami_inundation_ratio AS r, tsunami_inundation_ratio * 100 +
+        (mesh_id % 29 = 0)::INT AS s,
       CASE WHEN mesh_id % 31 = 0 THEN 170 ELSE 100 END AS wet FROM t_mesh WHERE mesh_id % 3 > 0),
     ring AS (SELECT mesh_id, mesh_id % 37 > 0 AND mesh_id % 43 > 0 AS valid FROM t_mesh WHERE mesh_id % 41 > 0)"""
 
@@ -104,15 +107,18 @@ def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return population, shelters, exposure, rings
 
 
-@query(f"""SELECT CASE WHEN bool_or(NOT passed AND severity = 'failure') THEN 'failure' ELSE 'pass' END AS status, count(*) FILTER (WHERE NOT passed AND severity = 'failure') AS failure_count,
+@query(f"""SELECT CASE WHEN bool_or(NOT passed AND severity = 'failure') THEN 'failure' ELSE 'pass' END AS status, count(*) FILTER (WHERE NOT passed AND
+        severity = 'failure') AS failure_count,
     count(*) FILTER (WHERE NOT passed AND severity = 'warning') AS warning_count FROM ({SOURCE_GATES})""")
 def source_summary(spark: SparkSession, d: str) -> DataFrame:
     """Of the 15 source gates, those that the surrogate rows are made to fail."""
     return summary(evaluate(G.source_gates(*_sources(spark, d))))
 
 
-@query("""WITH f AS (SELECT bool_and(n_regionkey < 5) AS a, count(*) = 25 AS b FROM nation), o AS (SELECT true AS c, count(*) FILTER (WHERE n_nationkey = 24) = 0 AS d, count(*) > 30 AS x FROM nation)
-    SELECT unnest(['network_aoi_is_boundary_based', 'all_meshes_snap_checked', 'all_meshes_checked', 'all_analysis_targets_classified', 'network_coverage_gaps_are_explicit', 'unresolved_targets']) AS gate,
+@query("""WITH f AS (SELECT bool_and(n_regionkey < 5) AS a, count(*) = 25 AS b FROM nation), o AS (SELECT true AS c, count(*) FILTER (WHERE n_nationkey = 24) =
+        0 AS d, count(*) > 30 AS x FROM nation)
+    SELECT unnest(['network_aoi_is_boundary_based', 'all_meshes_snap_checked', 'all_meshes_checked', 'all_analysis_targets_classified',
+        'network_coverage_gaps_are_explicit', 'unresolved_targets']) AS gate,
       'failure' AS severity, unnest([(NOT a)::BIGINT, (NOT b)::BIGINT, (NOT c)::BIGINT, (NOT d)::BIGINT, 1::BIGINT, x::BIGINT]) AS failures,
       unnest([a, b, c, d, false, NOT x]) AS passed FROM f, o""")
 def foundation_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +137,12 @@ def foundation_gates(spark: SparkSession, d: str) -> DataFrame:
 
 ROUTES = S.with_views("t_mesh", "t_candidate") + """,
     target AS (SELECT mesh_id FROM t_mesh WHERE tsunami_inundation_ratio > 0),
-    route AS (SELECT t.mesh_id, CASE WHEN c.mesh_id IS NULL THEN 'no_network_path' WHEN t.mesh_id % 61 = 0 THEN 'network_coverage_gap' WHEN t.mesh_id % 59 = 0 THEN 'lost' ELSE 'complete' END AS status,
-        c.shelter_key, total_walking_distance_m AS total, total_walking_distance_m * 0.1 AS access, CASE WHEN t.mesh_id % 43 > 0 THEN total_walking_distance_m * 0.6 END AS path,
-        total_walking_distance_m * 0.3 + (t.mesh_id % 47 = 0)::INT AS connector, CASE WHEN t.mesh_id % 23 = 0 THEN '[]' WHEN t.mesh_id % 19 = 0 THEN 'x' ELSE '[[1,2]]' END AS line,
+    route AS (SELECT t.mesh_id, CASE WHEN c.mesh_id IS NULL THEN 'no_network_path' WHEN t.mesh_id % 61 = 0 THEN 'network_coverage_gap' WHEN t.mesh_id % 59 = 0
+        THEN 'lost' ELSE 'complete' END AS status,
+        c.shelter_key, total_walking_distance_m AS total, total_walking_distance_m * 0.1 AS access, CASE WHEN t.mesh_id % 43 > 0 THEN total_walking_distance_m *
+        0.6 END AS path,
+        total_walking_distance_m * 0.3 + (t.mesh_id % 47 = 0)::INT AS connector, CASE WHEN t.mesh_id % 23 = 0 THEN '[]' WHEN t.mesh_id % 19 = 0 THEN 'x' ELSE
+        '[[1,2]]' END AS line,
         inundation_ratio AS ratio, unknown_ratio AS unknown
       FROM target t LEFT JOIN t_candidate c ON c.mesh_id = t.mesh_id AND c.candidate_rank = 1)"""
 
@@ -184,8 +193,10 @@ def route_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.route_gates(_routes(spark, d), targets, targets.where("mesh_id % 122 = 0"), 10))
 
 
-EXPOSED = ROUTES + """, e AS (SELECT *, CASE WHEN status = 'complete' AND mesh_id % 71 = 0 THEN 'error:KeyError' WHEN status = 'complete' THEN 'complete' WHEN mesh_id % 2 = 0 THEN 'route_unavailable' ELSE 'none' END AS exposed,
-      total * CASE WHEN mesh_id % 67 = 0 THEN 1.2 ELSE 1.01 END AS modeled, CASE WHEN mesh_id % 73 = 0 THEN ratio + 1 ELSE ratio END AS share, 1 - unknown + CASE WHEN mesh_id % 79 = 0 THEN 0.1 ELSE 0 END AS coverage,
+EXPOSED = ROUTES + """, e AS (SELECT *, CASE WHEN status = 'complete' AND mesh_id % 71 = 0 THEN 'error:KeyError' WHEN status = 'complete' THEN 'complete' WHEN
+        mesh_id % 2 = 0 THEN 'route_unavailable' ELSE 'none' END AS exposed,
+      total * CASE WHEN mesh_id % 67 = 0 THEN 1.2 ELSE 1.01 END AS modeled, CASE WHEN mesh_id % 73 = 0 THEN ratio + 1 ELSE ratio END AS share, 1 - unknown +
+        CASE WHEN mesh_id % 79 = 0 THEN 0.1 ELSE 0 END AS coverage,
       mesh_id % 83 AS samples FROM route)"""
 SHOWN = "exposed = 'complete'"
 
@@ -229,7 +240,8 @@ def exposure_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.exposure_gates(rows, 10, 10))
 
 
-@query(ROUTES + """ SELECT mesh_id, round(abs(access + path + connector - total), 6) AS residual_m, coalesce(abs(access + path + connector - total) > 1e-6, false) AS off FROM route""")
+@query(ROUTES + """ SELECT mesh_id, round(abs(access + path + connector - total), 6) AS residual_m, coalesce(abs(access + path + connector - total) > 1e-6,
+        false) AS off FROM route""")
 def distance_accounting(spark: SparkSession, d: str) -> DataFrame:
     rows, gate = C.account(_routes(spark, d))
     return rows.select("mesh_id", r6("residual_m"), F.coalesce(gate.failing, F.lit(False)).alias("off"))
@@ -256,7 +268,7 @@ COUNTS = {"complete": 10, "core_data_incomplete": 10, "core_only_missing_capacit
     gate_sql(
         R.RANKS,
         [
-            ("mesh_unique", "failure", "0"),
+            ("mesh_unique", "failure", repeated("risk", "mesh_id")),
             ("status_counts", "failure", "SELECT count(*) FROM (SELECT score_status FROM risk GROUP BY 1 HAVING count(*) <> 10)"),
             ("complete_has_score", "failure", of("risk", "score_status = 'complete' AND full_score IS NULL")),
             ("score_only_where_complete", "failure", of("risk", "score_status <> 'complete' AND full_score IS NOT NULL")),
@@ -269,10 +281,12 @@ def sensitivity_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.sensitivity_gates(R.risk(spark, d), R.ranks(spark, d), COUNTS))
 
 
-@query(R.RANKS + """, k AS (SELECT count(*) AS target_meshes, count(*) FILTER (WHERE score_status = 'complete') AS complete_scores, count(*) FILTER (WHERE NOT ready) AS route_unavailable,
+@query(R.RANKS + """, k AS (SELECT count(*) AS target_meshes, count(*) FILTER (WHERE score_status = 'complete') AS complete_scores, count(*) FILTER (WHERE NOT
+        ready) AS route_unavailable,
       (SELECT count(DISTINCT scenario) FROM ranks) AS scenario_count FROM risk)
     SELECT kpi, expected, actual, coalesce(abs(actual - expected) <= CASE kpi WHEN 'complete_scores' THEN 1e9 ELSE 0 END, false) AS passed FROM (
-      SELECT 'target_meshes' AS kpi, 100.0::DOUBLE AS expected, target_meshes::DOUBLE AS actual FROM k UNION ALL SELECT 'complete_scores', 50, complete_scores FROM k
+      SELECT 'target_meshes' AS kpi, 100.0::DOUBLE AS expected, target_meshes::DOUBLE AS actual FROM k UNION ALL SELECT 'complete_scores', 50, complete_scores
+        FROM k
       UNION ALL SELECT 'scenario_count', 12, scenario_count FROM k UNION ALL SELECT 'cross_border_routes', 13, NULL)""")
 def kpi_regression(spark: SparkSession, d: str) -> DataFrame:
     r = R.risk(spark, d)
@@ -281,7 +295,8 @@ def kpi_regression(spark: SparkSession, d: str) -> DataFrame:
     return G.regression(kpis, {"target_meshes": 100, "complete_scores": 50, "scenario_count": 12, "cross_border_routes": 13}, {"complete_scores": 1e9})
 
 
-@query(R.WHATIF + """, o AS (SELECT *, row_number() OVER (PARTITION BY delta ORDER BY round(total_score_reduction, 9) DESC, round(capacity_pressure_area_weighted - simulated_pressure, 9) DESC, assigned DESC, shelter_key::VARCHAR) AS place
+@query(R.WHATIF + """, o AS (SELECT *, row_number() OVER (PARTITION BY delta ORDER BY round(total_score_reduction, 9) DESC,
+        round(capacity_pressure_area_weighted - simulated_pressure, 9) DESC, assigned DESC, shelter_key::VARCHAR) AS place
       FROM (SELECT w.*, round(p.assigned_demand_area_weighted, 9) AS assigned FROM whatif w JOIN pressure p USING (shelter_key)))
     SELECT delta, place::INT AS place, round(total_score_reduction + 1e-8, 6) AS total_score_reduction FROM o WHERE place <= 12""")
 def whatif_ranking_demand(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +307,8 @@ def whatif_ranking_demand(spark: SparkSession, d: str) -> DataFrame:
     return top.select("delta", "place", r6("total_score_reduction", F.col("total_score_reduction") + 1e-8))
 
 
-@query(R.WHATIF + """ SELECT delta, shelter_key, round(CASE WHEN affected_complete_meshes > 0 THEN total_score_reduction / affected_complete_meshes ELSE 0 END + 1e-8, 6) AS mean_score_reduction FROM whatif""")
+@query(R.WHATIF + """ SELECT delta, shelter_key, round(CASE WHEN affected_complete_meshes > 0 THEN total_score_reduction / affected_complete_meshes ELSE 0 END +
+        1e-8, 6) AS mean_score_reduction FROM whatif""")
 def whatif_means(spark: SparkSession, d: str) -> DataFrame:
     w = scoring.what_if_capacity(R.risk(spark, d), R.pressures(spark, d), R.DELTAS)
     return w.select("delta", "shelter_key", r6("mean_score_reduction", F.col("mean_score_reduction") + 1e-8))
@@ -301,7 +317,8 @@ def whatif_means(spark: SparkSession, d: str) -> DataFrame:
 SCORED_FAULTS = R.RISK + """, scored AS (SELECT mesh_id, ready, CASE WHEN mesh_id % 61 = 0 THEN shelter_key + 1000000 ELSE shelter_key END AS shelter_key,
       demand_area_weighted + CASE WHEN mesh_id % 59 = 0 THEN 1e6 ELSE 0 END AS area, demand_full_mesh AS whole, capacity,
       CASE WHEN mesh_id % 47 = 0 THEN 1.0 ELSE capacity_pressure_area_weighted END AS p FROM risk),
-    given AS (SELECT shelter_key, assigned_demand_area_weighted AS area, assigned_demand_full_mesh AS whole, capacity, capacity_pressure_area_weighted + CASE WHEN shelter_key % 7 = 0 THEN 0.5 ELSE 0 END AS p FROM pressure)"""
+    given AS (SELECT shelter_key, assigned_demand_area_weighted AS area, assigned_demand_full_mesh AS whole, capacity, capacity_pressure_area_weighted + CASE
+        WHEN shelter_key % 7 = 0 THEN 0.5 ELSE 0 END AS p FROM pressure)"""
 
 
 @query(
@@ -331,11 +348,14 @@ def demand_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.demand_gates(scored, given, S.shelters(spark, d)))
 
 
-SIMULATED = R.WHATIF + f""", was AS (SELECT mesh_id, score_status, capacity_pressure_area_weighted AS p, pa + CASE WHEN mesh_id % 41 = 0 THEN 1 ELSE 0 END AS component, full_score,
+SIMULATED = R.WHATIF + f""", was AS (SELECT mesh_id, score_status, capacity_pressure_area_weighted AS p, pa + CASE WHEN mesh_id % 41 = 0 THEN 1 ELSE 0 END AS
+        component, full_score,
       {R.clip("(te * 25.0 + vp * 20.0 + wa * 25.0 + rp * 15.0 + (pa + CASE WHEN mesh_id % 41 = 0 THEN 1 ELSE 0 END) * 15.0) / 100.0")} AS again FROM risk),
-    sim2 AS (SELECT delta, shelter_key, capacity_pressure_area_weighted > 1 AS was_over, simulated_pressure > 1 OR delta = 500 AND shelter_key % 2 = 0 AS is_over, affected_complete_meshes AS n,
+    sim2 AS (SELECT delta, shelter_key, capacity_pressure_area_weighted > 1 AS was_over, simulated_pressure > 1 OR delta = 500 AND shelter_key % 2 = 0 AS
+        is_over, affected_complete_meshes AS n,
       CASE WHEN delta = 1000 THEN total_score_reduction / 1000 ELSE total_score_reduction END AS saved FROM whatif),
-    per AS (SELECT delta, count(*) AS known, count(*) FILTER (WHERE was_over) AS was_over, count(*) FILTER (WHERE is_over) AS is_over, sum(n) AS affected, sum(saved) AS saved FROM sim2 GROUP BY delta),
+    per AS (SELECT delta, count(*) AS known, count(*) FILTER (WHERE was_over) AS was_over, count(*) FILTER (WHERE is_over) AS is_over, sum(n) AS affected,
+        sum(saved) AS saved FROM sim2 GROUP BY delta),
     steps AS (SELECT *, lag(is_over) OVER (ORDER BY delta) AS o0, lag(saved) OVER (ORDER BY delta) AS s0 FROM per)"""
 
 
@@ -369,8 +389,10 @@ def simulation_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.simulation_gates(before, after, w, {"complete": 10, "noncomplete": 10, "known_shelters": 10, "overloaded": 10}))
 
 
-PUBLIC = R.RISK + """, pub AS (SELECT mesh_id, municipality_code, CASE WHEN ready THEN 'complete' ELSE 'no_network_path' END AS route_status, score_status, mesh_id % 5 = 0 AS crossing,
-      CASE WHEN mesh_id % 19 > 0 THEN 1 END AS shelter_place, CASE mesh_id % 23 WHEN 0 THEN '[]' WHEN 1 THEN 'x' ELSE '[[1,2]]' END AS points, CASE mesh_id % 29 WHEN 0 THEN '{"a"' ELSE '[]' END AS segments,
+PUBLIC = R.RISK + """, pub AS (SELECT mesh_id, municipality_code, CASE WHEN ready THEN 'complete' ELSE 'no_network_path' END AS route_status, score_status,
+        mesh_id % 5 = 0 AS crossing,
+      CASE WHEN mesh_id % 19 > 0 THEN 1 END AS shelter_place, CASE mesh_id % 23 WHEN 0 THEN '[]' WHEN 1 THEN 'x' ELSE '[[1,2]]' END AS points, CASE mesh_id % 29
+        WHEN 0 THEN '{"a"' ELSE '[]' END AS segments,
       CASE WHEN mesh_id % 31 = 0 THEN 1.0 WHEN mesh_id % 37 = 0 THEN NULL ELSE full_score END AS score FROM risk),
     off AS (SELECT municipality_code FROM pub GROUP BY 1 HAVING municipality_code > 13)"""
 
@@ -387,7 +409,8 @@ PUBLIC = R.RISK + """, pub AS (SELECT mesh_id, municipality_code, CASE WHEN read
             ("shelter_municipality_known", "failure", of("pub", "route_status = 'complete' AND shelter_place IS NULL")),
             ("cross_border_routes", "failure", "SELECT (count(*) <> 13)::INT FROM pub WHERE route_status = 'complete' AND crossing"),
             ("status_counts", "failure", """SELECT count(*) FROM (SELECT score_status, count(*) AS n FROM pub GROUP BY 1) FULL JOIN
-              (VALUES ('complete', 813), ('core_only_missing_capacity', 128), ('core_data_incomplete', 121), ('route_unavailable', 28)) w(score_status, wanted) USING (score_status) WHERE n IS DISTINCT FROM wanted"""),
+              (VALUES ('complete', 813), ('core_only_missing_capacity', 128), ('core_data_incomplete', 121), ('route_unavailable', 28)) w(score_status, wanted)
+        USING (score_status) WHERE n IS DISTINCT FROM wanted"""),
             ("complete_has_score", "failure", of("pub", "score_status = 'complete' AND score IS NULL")),
             ("score_only_where_complete", "failure", of("pub", "score_status <> 'complete' AND score IS NOT NULL")),
             ("no_score_without_route", "failure", of("pub", "route_status <> 'complete' AND score IS NOT NULL")),
@@ -435,11 +458,14 @@ def nested_regression(spark: SparkSession, d: str) -> DataFrame:
 
 # --- candidates
 
-PARITY = S.with_views("t_mesh", "t_candidate") + """, cand AS (SELECT mesh_id, candidate_rank, shelter_key, total_walking_distance_m + CASE WHEN mesh_id % 40 = 0 AND candidate_rank = 2 THEN 1e6 ELSE 0 END AS m FROM t_candidate),
+PARITY = S.with_views("t_mesh", "t_candidate") + """, cand AS (SELECT mesh_id, candidate_rank, shelter_key, total_walking_distance_m + CASE WHEN mesh_id % 40 =
+        0 AND candidate_rank = 2 THEN 1e6 ELSE 0 END AS m FROM t_candidate),
     status AS (SELECT mesh_id, CASE WHEN mesh_id IN (SELECT mesh_id FROM t_candidate) THEN 'complete' ELSE 'no_network_path' END AS s FROM t_mesh),
-    base AS (SELECT status.mesh_id, CASE WHEN status.mesh_id % 33 = 0 THEN 'no_network_path' ELSE s END AS s, shelter_key + (status.mesh_id % 35 = 0)::INT AS shelter_key, m + CASE WHEN status.mesh_id % 39 = 0 THEN 0.01 ELSE 0 END AS m
+    base AS (SELECT status.mesh_id, CASE WHEN status.mesh_id % 33 = 0 THEN 'no_network_path' ELSE s END AS s, shelter_key + (status.mesh_id % 35 = 0)::INT AS
+        shelter_key, m + CASE WHEN status.mesh_id % 39 = 0 THEN 0.01 ELSE 0 END AS m
       FROM status LEFT JOIN cand ON cand.mesh_id = status.mesh_id AND candidate_rank = 1 WHERE status.mesh_id % 97 > 0),
-    pair2 AS (SELECT base.*, c.shelter_key AS k2, c.m AS m2 FROM base LEFT JOIN cand c ON c.mesh_id = base.mesh_id AND c.candidate_rank = 1 WHERE s = 'complete')"""
+    pair2 AS (SELECT base.*, c.shelter_key AS k2, c.m AS m2 FROM base LEFT JOIN cand c ON c.mesh_id = base.mesh_id AND c.candidate_rank = 1 WHERE s =
+        'complete')"""
 
 
 @query(
@@ -473,7 +499,8 @@ def candidate_parity_gates(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(G.candidate_parity_gates(cand, status, {"same": base}, 9, 1e-6))
 
 
-@query(S.with_views("t_candidate") + """ SELECT mesh_id, shelter_key, candidate_rank::INT AS candidate_rank, CASE WHEN candidate_rank = 1 AND mesh_id % 2 = 0 THEN mesh_id * 10 ELSE shelter_key END AS code,
+@query(S.with_views("t_candidate") + """ SELECT mesh_id, shelter_key, candidate_rank::INT AS candidate_rank, CASE WHEN candidate_rank = 1 AND mesh_id % 2 = 0
+        THEN mesh_id * 10 ELSE shelter_key END AS code,
       CASE WHEN candidate_rank = 1 AND mesh_id % 2 = 0 THEN mesh_id % 4 = 0 END AS cross_border FROM t_candidate""")
 def anchor_overlay(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).select("mesh_id", "shelter_key", "candidate_rank", F.col("shelter_key").alias("code"), F.lit(None).cast("boolean").alias("cross_border"))
@@ -481,8 +508,10 @@ def anchor_overlay(spark: SparkSession, d: str) -> DataFrame:
     return C.anchored(c, canonical, ["code", "cross_border"], F.lit(True))
 
 
-RAW_SHELTERS = """raw AS (SELECT s_suppkey AS place, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE ' E3820' || s_suppkey // 3 % 9 || 'x ' END AS id, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE 'n' || s_suppkey // 6 END AS nm,
-    CASE s_suppkey % 5 WHEN 0 THEN '0' WHEN 1 THEN 'x' ELSE '1' END AS flag, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE (s_suppkey * 3)::VARCHAR END AS cap, CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE ' c' || s_suppkey % 2 END AS city,
+RAW_SHELTERS = """raw AS (SELECT s_suppkey AS place, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE ' E3820' || s_suppkey // 3 % 9 || 'x ' END AS id, CASE WHEN
+        s_suppkey % 11 = 0 THEN NULL ELSE 'n' || s_suppkey // 6 END AS nm,
+    CASE s_suppkey % 5 WHEN 0 THEN '0' WHEN 1 THEN 'x' ELSE '1' END AS flag, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE (s_suppkey * 3)::VARCHAR END AS cap, CASE
+        WHEN s_suppkey % 3 = 0 THEN ' ' ELSE ' c' || s_suppkey % 2 END AS city,
     CASE WHEN s_suppkey % 8 = 0 THEN '-' ELSE '33.5' END AS lat, '132.25' AS lon FROM supplier),
     ok AS (SELECT *, trim(id) || '||' || nm AS key FROM raw WHERE flag = '1' AND trim(id) <> '' AND nm IS NOT NULL)"""
 
@@ -510,9 +539,11 @@ def candidate_shelter_filter(spark: SparkSession, d: str) -> DataFrame:
     return C.candidate_shelters(_raw_shelters(spark, d)).select("place", "latitude", "longitude")
 
 
-@query(f"""WITH {RAW_SHELTERS}, g AS (SELECT key, sum(CASE WHEN cap <> '' THEN cap::DOUBLE END) AS c, count(*) AS n, string_agg(DISTINCT CASE WHEN cap = '' THEN 'unparseable' ELSE 'numeric' END, ';' ORDER BY CASE WHEN cap = '' THEN 'unparseable' ELSE 'numeric' END) AS st,
+@query(f"""WITH {RAW_SHELTERS}, g AS (SELECT key, sum(CASE WHEN cap <> '' THEN cap::DOUBLE END) AS c, count(*) AS n, string_agg(DISTINCT CASE WHEN cap = '' THEN
+        'unparseable' ELSE 'numeric' END, ';' ORDER BY CASE WHEN cap = '' THEN 'unparseable' ELSE 'numeric' END) AS st,
       arg_min(trim(city), place) FILTER (WHERE trim(city) <> '') AS city, count(DISTINCT trim(city) || '|' || lat) AS sigs FROM ok GROUP BY key)
-    SELECT key AS shelter_key, c AS shelter_capacity, n AS capacity_record_count, st AS capacity_parse_status, city AS shelter_city, sigs AS facility_signature_count,
+    SELECT key AS shelter_key, c AS shelter_capacity, n AS capacity_record_count, st AS capacity_parse_status, city AS shelter_city, sigs AS
+        facility_signature_count,
       CASE WHEN c IS NULL THEN 'missing' WHEN c > 0 THEN 'available' ELSE 'invalid' END AS capacity_status, sigs > 1 AS ambiguous FROM g""")
 def shelter_identities(spark: SparkSession, d: str) -> DataFrame:
     return C.collapse_shelters(C.eligible_shelters(_raw_shelters(spark, d)), "place")
@@ -533,7 +564,8 @@ def _snapped(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {SNAPPED} SELECT shelter, CASE WHEN common_id <> 'none' THEN common_id[2:6] END AS shelter_municipality_code, CASE WHEN common_id <> 'none' THEN common_id[2:6] <> '38201' END AS cross_border,
+@query(f"""WITH {SNAPPED} SELECT shelter, CASE WHEN common_id <> 'none' THEN common_id[2:6] END AS shelter_municipality_code, CASE WHEN common_id <> 'none' THEN
+        common_id[2:6] <> '38201' END AS cross_border,
     CASE WHEN connector_m > 500 THEN 'shelter_connector_over_500m' END AS exclusion_reason FROM snapped""")
 def snap_cross_border(spark: SparkSession, d: str) -> DataFrame:
     accepted, excluded = C.snap_shelters(_snapped(spark, d), F.lit("38201"))
@@ -578,11 +610,14 @@ def ferry_edges(spark: SparkSession, d: str) -> DataFrame:
     return _raw_edges(spark, d).agg(F.count(F.lit(1)).alias("edges"), C.ferry_edges().alias("ferry_tagged_edges"))
 
 
-BORDER = S.with_views("t_pair", "t_mesh") + """, near AS (SELECT p.mesh_id, s_nationkey AS municipality, total_walking_distance_m AS m, row_number() OVER (PARTITION BY p.mesh_id ORDER BY total_walking_distance_m, shelter_key) AS rn FROM t_pair p JOIN supplier ON s_suppkey = shelter_key),
-    home AS (SELECT p.mesh_id, min(total_walking_distance_m) AS m FROM t_pair p JOIN t_mesh t USING (mesh_id) JOIN supplier ON s_suppkey = shelter_key WHERE s_nationkey // 5 = municipality_code // 5 GROUP BY 1)"""
+BORDER = S.with_views("t_pair", "t_mesh") + """, near AS (SELECT p.mesh_id, s_nationkey AS municipality, total_walking_distance_m AS m, row_number() OVER
+        (PARTITION BY p.mesh_id ORDER BY total_walking_distance_m, shelter_key) AS rn FROM t_pair p JOIN supplier ON s_suppkey = shelter_key),
+    home AS (SELECT p.mesh_id, min(total_walking_distance_m) AS m FROM t_pair p JOIN t_mesh t USING (mesh_id) JOIN supplier ON s_suppkey = shelter_key WHERE
+        s_nationkey // 5 = municipality_code // 5 GROUP BY 1)"""
 
 
-@query(BORDER + """ SELECT t.mesh_id, near.municipality // 5 AS external_municipality, round(near.m, 6) AS all_distance_m, round(home.m - near.m, 6) AS improvement_m FROM t_mesh t JOIN near ON near.mesh_id = t.mesh_id AND rn = 1 LEFT JOIN home ON home.mesh_id = t.mesh_id
+@query(BORDER + """ SELECT t.mesh_id, near.municipality // 5 AS external_municipality, round(near.m, 6) AS all_distance_m, round(home.m - near.m, 6) AS
+        improvement_m FROM t_mesh t JOIN near ON near.mesh_id = t.mesh_id AND rn = 1 LEFT JOIN home ON home.mesh_id = t.mesh_id
     WHERE t.mesh_id % 10 <= 6 AND near.municipality // 5 <> t.municipality_code // 5 AND (home.m IS NULL OR home.m - near.m > 1)""")
 def border_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Municipalities are nations by five; the distance to the border is the id's last digit."""
@@ -602,7 +637,8 @@ def last_wins_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- joins and sets
 
 
-@query("""SELECT 'unique right o_orderkey' AS gate, 'failure' AS severity, 0::BIGINT AS failures, true AS passed UNION ALL SELECT 'unique left o_orderkey', 'failure', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)),
+@query("""SELECT 'unique right o_orderkey' AS gate, 'failure' AS severity, 0::BIGINT AS failures, true AS passed UNION ALL SELECT 'unique left o_orderkey',
+        'failure', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)),
       (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)) = 0""")
 def join_contracts(spark: SparkSession, d: str) -> DataFrame:
     """A join that says one to one over tables that are many to one."""
@@ -610,7 +646,8 @@ def join_contracts(spark: SparkSession, d: str) -> DataFrame:
     return evaluate(relational.checked_join(lines, orders, ["o_orderkey"], "inner", "1:1")[1])
 
 
-@query("""SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS quantity, any_value(o_totalprice) AS price, count(*) AS rows FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON o_orderkey = l_orderkey GROUP BY 1""")
+@query("""SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS quantity, any_value(o_totalprice) AS price, count(*) AS rows FROM lineitem LEFT JOIN (SELECT *
+        FROM orders WHERE o_orderkey % 2 = 0) ON o_orderkey = l_orderkey GROUP BY 1""")
 def many_to_one_join(spark: SparkSession, d: str) -> DataFrame:
     lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
     orders = S.table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice")
@@ -626,7 +663,8 @@ def column_overlay(spark: SparkSession, d: str) -> DataFrame:
     return relational.replace_columns(left, right, ["k"]).select("c_custkey", "c_name", r6("c_acctbal"))
 
 
-@query("""SELECT 'customers_with_orders' AS gate, 'failure' AS severity, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS failures,
+@query("""SELECT 'customers_with_orders' AS gate, 'failure' AS severity, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))
+        AS failures,
     (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) = 0 AS passed""")
 def key_set_equality(spark: SparkSession, d: str) -> DataFrame:
     left, right = S.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), S.table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
@@ -637,23 +675,32 @@ def key_set_equality(spark: SparkSession, d: str) -> DataFrame:
 
 FLOW = R.RISK.split(",\n    base AS")[0] + """,
     mesh AS (SELECT mesh_id, round_even(total_population * tsunami_inundation_ratio * 10, 0)::BIGINT AS units FROM t_mesh WHERE tsunami_inundation_ratio > 0),
-    cand AS (SELECT c.mesh_id, c.shelter_key, c.candidate_rank, c.total_walking_distance_m AS m, s.capacity AS cap, coalesce(s.capacity > 0, false) AS known FROM t_candidate c JOIN mesh USING (mesh_id) LEFT JOIN t_shelter s USING (shelter_key)),
+    cand AS (SELECT c.mesh_id, c.shelter_key, c.candidate_rank, c.total_walking_distance_m AS m, s.capacity AS cap, coalesce(s.capacity > 0, false) AS known
+        FROM t_candidate c JOIN mesh USING (mesh_id) LEFT JOIN t_shelter s USING (shelter_key)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY candidate_rank) AS kr FROM cand WHERE known),
-    flow AS (SELECT mesh.mesh_id, shelter_key, CASE WHEN kr = 1 THEN units - units // 4 - (CASE WHEN mesh.mesh_id % 3 = 0 THEN units // 5 ELSE 0 END) ELSE units // 4 END AS n FROM mesh JOIN ranked USING (mesh_id)
+    flow AS (SELECT mesh.mesh_id, shelter_key, CASE WHEN kr = 1 THEN units - units // 4 - (CASE WHEN mesh.mesh_id % 3 = 0 THEN units // 5 ELSE 0 END) ELSE units
+        // 4 END AS n FROM mesh JOIN ranked USING (mesh_id)
         WHERE kr = 1 OR kr = 2 AND units // 4 > 0),
     given AS (SELECT * FROM flow WHERE n > 0),
     lost AS (SELECT mesh.mesh_id, units - coalesce((SELECT sum(n) FROM given WHERE given.mesh_id = mesh.mesh_id), 0) AS n FROM mesh),
     fr AS (SELECT g.*, c.candidate_rank, c.m FROM given g JOIN cand c USING (mesh_id, shelter_key)),
     near AS (SELECT mesh_id, shelter_key::VARCHAR AS nearest, m AS nearest_m FROM cand WHERE candidate_rank = 1),
-    mr AS (SELECT mesh.mesh_id, mesh.units, coalesce(sum(fr.n), 0) AS a, any_value(lost.n) AS u, count(fr.n) AS shelters, sum(fr.n * fr.m) / nullif(sum(fr.n), 0) AS mean_m,
-        arg_min(fr.shelter_key::VARCHAR, (-fr.n, fr.m, fr.shelter_key::VARCHAR)) AS dominant FROM mesh LEFT JOIN fr USING (mesh_id) JOIN lost ON lost.mesh_id = mesh.mesh_id GROUP BY ALL),
+    mr AS (SELECT mesh.mesh_id, mesh.units, coalesce(sum(fr.n), 0) AS a, any_value(lost.n) AS u, count(fr.n) AS shelters, sum(fr.n * fr.m) / nullif(sum(fr.n),
+        0) AS mean_m,
+        arg_min(fr.shelter_key::VARCHAR, (-fr.n, fr.m, fr.shelter_key::VARCHAR)) AS dominant FROM mesh LEFT JOIN fr USING (mesh_id) JOIN lost ON lost.mesh_id =
+        mesh.mesh_id GROUP BY ALL),
     cc AS (SELECT mesh_id, count(*) AS candidates, count(*) FILTER (WHERE known) AS known FROM cand GROUP BY 1),
-    res AS (SELECT mr.*, nearest, nearest_m, coalesce(candidates, 0) AS candidates, coalesce(cc.known, 0) AS known, CASE WHEN units = 0 THEN 'zero_demand' WHEN candidates IS NULL THEN 'route_unavailable_or_no_candidate'
-        WHEN cc.known = 0 THEN 'unknown_capacity_only' WHEN u > 0 AND a > 0 THEN 'capacity_constrained_partial' WHEN u > 0 THEN 'capacity_constrained_unserved' WHEN shelters > 1 THEN 'capacity_constrained_split'
-        WHEN dominant <> nearest THEN 'capacity_constrained_rerouted' ELSE 'nearest_known_capacity' END AS st FROM mr LEFT JOIN near USING (mesh_id) LEFT JOIN cc USING (mesh_id)),
+    res AS (SELECT mr.*, nearest, nearest_m, coalesce(candidates, 0) AS candidates, coalesce(cc.known, 0) AS known, CASE WHEN units = 0 THEN 'zero_demand' WHEN
+        candidates IS NULL THEN 'route_unavailable_or_no_candidate'
+        WHEN cc.known = 0 THEN 'unknown_capacity_only' WHEN u > 0 AND a > 0 THEN 'capacity_constrained_partial' WHEN u > 0 THEN 'capacity_constrained_unserved'
+        WHEN shelters > 1 THEN 'capacity_constrained_split'
+        WHEN dominant <> nearest THEN 'capacity_constrained_rerouted' ELSE 'nearest_known_capacity' END AS st FROM mr LEFT JOIN near USING (mesh_id) LEFT JOIN
+        cc USING (mesh_id)),
     extra AS (SELECT shelter_key, (shelter_key % 5 * 10)::BIGINT AS x FROM (SELECT DISTINCT shelter_key FROM cand WHERE known) WHERE shelter_key % 5 > 0),
-    sr AS (SELECT k.shelter_key, any_value(k.cap) AS cap, coalesce(any_value(x), 0) AS x, greatest(0, floor(any_value(k.cap) * 10 + 1e-9))::BIGINT + coalesce(any_value(x), 0) AS room, coalesce(any_value(g.n), 0) AS a
-        FROM (SELECT DISTINCT shelter_key, cap FROM cand WHERE known) k LEFT JOIN extra USING (shelter_key) LEFT JOIN (SELECT shelter_key, sum(n) AS n FROM given GROUP BY 1) g USING (shelter_key) GROUP BY 1)"""
+    sr AS (SELECT k.shelter_key, any_value(k.cap) AS cap, coalesce(any_value(x), 0) AS x, greatest(0, floor(any_value(k.cap) * 10 + 1e-9))::BIGINT +
+        coalesce(any_value(x), 0) AS room, coalesce(any_value(g.n), 0) AS a
+        FROM (SELECT DISTINCT shelter_key, cap FROM cand WHERE known) k LEFT JOIN extra USING (shelter_key) LEFT JOIN (SELECT shelter_key, sum(n) AS n FROM
+        given GROUP BY 1) g USING (shelter_key) GROUP BY 1)"""
 
 
 def _given_flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -672,12 +719,14 @@ def _given_flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return flow.select(F.lit("r").alias("run_id"), "mesh_id", "shelter_key", "units", "added"), prepared
 
 
-@query(FLOW + """ SELECT 'r' AS run_id, fr.mesh_id::VARCHAR AS mesh_id, fr.shelter_key::VARCHAR AS shelter_key, candidate_rank::INT AS candidate_rank, fr.n / 10.0::DOUBLE AS allocated_demand, round(fr.n / mesh.units::DOUBLE, 6) AS allocation_share FROM fr JOIN mesh USING (mesh_id)""")
+@query(FLOW + """ SELECT 'r' AS run_id, fr.mesh_id::VARCHAR AS mesh_id, fr.shelter_key::VARCHAR AS shelter_key, candidate_rank::INT AS candidate_rank, fr.n /
+        10.0::DOUBLE AS allocated_demand, round(fr.n / mesh.units::DOUBLE, 6) AS allocation_share FROM fr JOIN mesh USING (mesh_id)""")
 def allocation_flow_rows(spark: SparkSession, d: str) -> DataFrame:
     return allocation.flow_rows(*_given_flow(spark, d)).select("run_id", "mesh_id", "shelter_key", "candidate_rank", "allocated_demand", r6("allocation_share"))
 
 
-@query(FLOW + """ SELECT mesh_id::VARCHAR AS mesh_id, a / 10.0::DOUBLE AS allocated_demand, u / 10.0::DOUBLE AS unserved_demand, shelters, round(mean_m + 1e-8, 6) AS mean_distance_m, dominant AS dominant_shelter, nearest AS nearest_shelter, candidates, known,
+@query(FLOW + """ SELECT mesh_id::VARCHAR AS mesh_id, a / 10.0::DOUBLE AS allocated_demand, u / 10.0::DOUBLE AS unserved_demand, shelters, round(mean_m + 1e-8,
+        6) AS mean_distance_m, dominant AS dominant_shelter, nearest AS nearest_shelter, candidates, known,
       round(mean_m - nearest_m + 1e-8, 6) AS additional_distance_m, st AS allocation_status FROM res""")
 def allocation_mesh_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = allocation.mesh_results(*_given_flow(spark, d))
@@ -687,19 +736,25 @@ def allocation_mesh_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(FLOW + """ SELECT shelter_key::VARCHAR AS shelter_key, cap AS shelter_capacity, x / 10.0::DOUBLE AS added_capacity_used, room / 10.0::DOUBLE AS effective_capacity, a / 10.0::DOUBLE AS allocated_demand, round(CASE WHEN room > 0 THEN a / room::DOUBLE END, 6) AS utilization,
+@query(FLOW + """ SELECT shelter_key::VARCHAR AS shelter_key, cap AS shelter_capacity, x / 10.0::DOUBLE AS added_capacity_used, room / 10.0::DOUBLE AS
+        effective_capacity, a / 10.0::DOUBLE AS allocated_demand, round(CASE WHEN room > 0 THEN a / room::DOUBLE END, 6) AS utilization,
       room > 0 AND a >= room AS saturated FROM sr""")
 def allocation_shelter_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = allocation.shelter_results(*_given_flow(spark, d)).drop("run_id")
     return rows.withColumn("utilization", F.round("utilization", 6))
 
 
-@query(FLOW + """ SELECT 'r' AS run_id, count(*) AS target_meshes, round(sum(a) / 10.0, 6)::DOUBLE AS served_demand, round(sum(u) / 10.0, 6)::DOUBLE AS unserved_demand, count(*) FILTER (WHERE candidates = 0) AS meshes_with_no_candidate,
-      count(*) FILTER (WHERE st = 'unknown_capacity_only') AS meshes_with_unknown_capacity_only, count(*) FILTER (WHERE st = 'capacity_constrained_partial') AS meshes_partially_unserved,
-      count(*) FILTER (WHERE st IN ('capacity_constrained_unserved', 'unknown_capacity_only', 'route_unavailable_or_no_candidate')) AS meshes_fully_unserved, count(*) FILTER (WHERE shelters > 1) AS meshes_split_across_shelters,
+@query(FLOW + """ SELECT 'r' AS run_id, count(*) AS target_meshes, round(sum(a) / 10.0, 6)::DOUBLE AS served_demand, round(sum(u) / 10.0, 6)::DOUBLE AS
+        unserved_demand, count(*) FILTER (WHERE candidates = 0) AS meshes_with_no_candidate,
+      count(*) FILTER (WHERE st = 'unknown_capacity_only') AS meshes_with_unknown_capacity_only, count(*) FILTER (WHERE st = 'capacity_constrained_partial') AS
+        meshes_partially_unserved,
+      count(*) FILTER (WHERE st IN ('capacity_constrained_unserved', 'unknown_capacity_only', 'route_unavailable_or_no_candidate')) AS meshes_fully_unserved,
+        count(*) FILTER (WHERE shelters > 1) AS meshes_split_across_shelters,
       count(*) FILTER (WHERE dominant IS NOT NULL AND dominant IS DISTINCT FROM nearest) AS meshes_dominant_destination_changed,
-      (SELECT round(sum(n / 10.0 * m), 3) FROM fr)::DOUBLE AS total_allocated_person_metres, (SELECT round(sum(n / 10.0 * greatest(0, m - nearest_m)), 3) FROM fr JOIN near USING (mesh_id))::DOUBLE AS additional_person_metres,
-      (SELECT round(sum(n / 10.0) FILTER (WHERE candidate_rank > 1), 6) FROM fr)::DOUBLE AS demand_beyond_rank_1, (SELECT count(*) FROM sr) AS known_capacity_shelters, (SELECT count(*) FROM sr WHERE room > 0 AND a >= room) AS saturated_shelters,
+      (SELECT round(sum(n / 10.0 * m), 3) FROM fr)::DOUBLE AS total_allocated_person_metres, (SELECT round(sum(n / 10.0 * greatest(0, m - nearest_m)), 3) FROM
+        fr JOIN near USING (mesh_id))::DOUBLE AS additional_person_metres,
+      (SELECT round(sum(n / 10.0) FILTER (WHERE candidate_rank > 1), 6) FROM fr)::DOUBLE AS demand_beyond_rank_1, (SELECT count(*) FROM sr) AS
+        known_capacity_shelters, (SELECT count(*) FROM sr WHERE room > 0 AND a >= room) AS saturated_shelters,
       (SELECT sum(x) / 10.0 FROM sr)::DOUBLE AS added_capacity_used, round(sum(a)::DOUBLE / (sum(a) + sum(u)), 6) AS served_share FROM res""")
 def allocation_kpis(spark: SparkSession, d: str) -> DataFrame:
     """The summary's numbers over the given flow: person-metres, demand beyond the first candidate, meshes by what became of them."""
@@ -720,12 +775,14 @@ def allocation_kpis(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(FLOW + """ SELECT 'r' AS run_id, row_number() OVER (ORDER BY x DESC, a DESC, shelter_key::VARCHAR)::INT AS plan_rank, shelter_key::VARCHAR AS shelter_key, x / 10.0::DOUBLE AS added_capacity_used, a / 10.0::DOUBLE AS allocated_demand FROM sr WHERE x > 0""")
+@query(FLOW + """ SELECT 'r' AS run_id, row_number() OVER (ORDER BY x DESC, a DESC, shelter_key::VARCHAR)::INT AS plan_rank, shelter_key::VARCHAR AS
+        shelter_key, x / 10.0::DOUBLE AS added_capacity_used, a / 10.0::DOUBLE AS allocated_demand FROM sr WHERE x > 0""")
 def plan_order(spark: SparkSession, d: str) -> DataFrame:
     return allocation.investment_plan(*_given_flow(spark, d))
 
 
-@query(FLOW + """ SELECT plan_rank, shelter_key FROM (SELECT row_number() OVER (ORDER BY x DESC, a DESC, shelter_key::VARCHAR)::INT AS plan_rank, shelter_key::VARCHAR AS shelter_key FROM sr WHERE x > 0) WHERE plan_rank <= 12""")
+@query(FLOW + """ SELECT plan_rank, shelter_key FROM (SELECT row_number() OVER (ORDER BY x DESC, a DESC, shelter_key::VARCHAR)::INT AS plan_rank,
+        shelter_key::VARCHAR AS shelter_key FROM sr WHERE x > 0) WHERE plan_rank <= 12""")
 def plan_panel(spark: SparkSession, d: str) -> DataFrame:
     from terrafold.plans import ui
 
@@ -733,9 +790,12 @@ def plan_panel(spark: SparkSession, d: str) -> DataFrame:
     return ui.plan_panel(plan, "area_weighted", 100.0).select("plan_rank", "shelter_key")
 
 
-CANDIDATE_FAULTS = S.with_views("t_candidate") + """, c AS (SELECT mesh_id, CASE WHEN mesh_id % 45 = 0 AND candidate_rank = 2 THEN 1 ELSE shelter_key END AS shelter_key,
-    CASE WHEN mesh_id % 44 = 0 AND candidate_rank = 1 THEN 3 ELSE candidate_rank END AS rank, CASE WHEN mesh_id % 46 = 0 AND candidate_rank = 1 THEN -1 ELSE total_walking_distance_m END AS m FROM t_candidate),
-    good AS (SELECT * FROM c WHERE rank BETWEEN 1 AND 10 AND m >= 0)"""
+CANDIDATE_FAULTS = S.with_views("t_candidate") + """, c AS (SELECT mesh_id, CASE WHEN mesh_id % 45 = 0 AND candidate_rank = 2 THEN 1 ELSE shelter_key END AS
+        shelter_key,
+    CASE WHEN mesh_id % 44 = 0 AND candidate_rank = 1 THEN 3 ELSE candidate_rank END AS rank, CASE WHEN mesh_id % 46 = 0 AND candidate_rank = 1 THEN -1 ELSE
+        total_walking_distance_m END AS m FROM t_candidate),
+    good AS (SELECT * FROM c WHERE rank BETWEEN 1 AND 10 AND m >= 0),
+    cap AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS shelter_key FROM supplier)"""
 
 
 @query(
@@ -744,7 +804,7 @@ CANDIDATE_FAULTS = S.with_views("t_candidate") + """, c AS (SELECT mesh_id, CASE
         [
             ("duplicate mesh and shelter", "failure", repeated("good", "mesh_id", "shelter_key")),
             ("ranks are not 1..n", "failure", "SELECT count(*) FROM (SELECT mesh_id FROM good GROUP BY 1 HAVING max(rank) <> count(*) OR count(DISTINCT rank) <> count(*))"),
-            ("duplicate capacity", "failure", "0"),
+            ("duplicate capacity", "failure", repeated("cap", "shelter_key")),
         ],
     )
 )
@@ -755,11 +815,14 @@ def candidate_gates(spark: SparkSession, d: str) -> DataFrame:
         "CASE WHEN mesh_id % 44 = 0 AND candidate_rank = 1 THEN 3 ELSE candidate_rank END AS candidate_rank",
         "CASE WHEN mesh_id % 46 = 0 AND candidate_rank = 1 THEN -1.0D ELSE total_walking_distance_m END AS total_walking_distance_m",
     )
-    return evaluate(allocation.candidate_gates(c, S.shelters(spark, d)))
+    twice = S.shelters(spark, d).withColumn("shelter_key", F.expr("CASE WHEN shelter_key % 9 = 0 THEN shelter_key - 1 ELSE shelter_key END"))
+    return evaluate(allocation.candidate_gates(c, twice))
 
 
-SUMMARIES = """s AS (SELECT c_nationkey AS scenario, c_custkey AS budget, c_acctbal AS unserved_demand, round(c_acctbal * 100)::DECIMAL(38,0) AS objective_cost, c_mktsegment AS seg FROM customer),
-    w AS (SELECT *, lag(unserved_demand) OVER (PARTITION BY scenario ORDER BY budget) AS u0, lag(objective_cost) OVER (PARTITION BY scenario ORDER BY budget) AS o0 FROM s)"""
+SUMMARIES = """s AS (SELECT c_nationkey AS scenario, c_custkey AS budget, c_acctbal AS unserved_demand, round(c_acctbal * 100)::DECIMAL(38,0) AS objective_cost,
+        c_mktsegment AS seg FROM customer),
+    w AS (SELECT *, lag(unserved_demand) OVER (PARTITION BY scenario ORDER BY budget) AS u0, lag(objective_cost) OVER (PARTITION BY scenario ORDER BY budget) AS
+        o0 FROM s)"""
 
 
 @query(gate_sql(f"WITH {SUMMARIES}", [("unserved demand rises", "failure", of("w", "unserved_demand > u0 + 1e-9")), ("cost rises", "failure", of("w", "objective_cost > o0"))]))
@@ -776,7 +839,8 @@ def allocation_gates(spark: SparkSession, d: str) -> DataFrame:
 
 FAULTY_CURVES = R.FIRST_SQL + """, s AS (SELECT s AS scenario, b AS budget, unserved_units / 10.0 + CASE WHEN b = 1000 THEN 1e6 ELSE 0 END AS unserved_demand,
     objective_cost::HUGEINT + CASE WHEN b IN (500, 5000) THEN 1000000000000000000 ELSE 0 END AS objective_cost FROM curve),
-    w AS (SELECT *, lag(unserved_demand) OVER (PARTITION BY scenario ORDER BY budget) AS u0, lag(objective_cost) OVER (PARTITION BY scenario ORDER BY budget) AS o0 FROM s)"""
+    w AS (SELECT *, lag(unserved_demand) OVER (PARTITION BY scenario ORDER BY budget) AS u0, lag(objective_cost) OVER (PARTITION BY scenario ORDER BY budget) AS
+        o0 FROM s)"""
 
 
 @query(gate_sql(FAULTY_CURVES, [("unserved demand rises", "failure", of("w", "unserved_demand > u0 + 1e-9")), ("cost rises", "failure", of("w", "objective_cost > o0"))]))
@@ -819,13 +883,35 @@ def candidate_limit_gates(spark: SparkSession, d: str) -> DataFrame:
     return _run_checks(spark, d, R.RUNS, "k", more=False)
 
 
-@query(gate_sql(R.RISK, [("same_meshes", "failure", "0"), ("mesh_unique", "failure", "0"), ("target_has_status", "failure", "0"), ("score_only_where_complete", "failure", "0"), ("score_0_100", "failure", "0")]))
+SHOWN = R.RISK + """, map AS (SELECT m.mesh_id, CASE WHEN score_status IS NULL OR m.mesh_id % 83 > 0 THEN full_score END AS full_score, coalesce(score_status, 'not_target') AS score_status,
+      score_status IS NOT NULL AND m.mesh_id % 71 > 0 AS analysis_target FROM t_mesh m LEFT JOIN risk r USING (mesh_id)),
+    shown AS (SELECT mesh_id, full_score + CASE WHEN mesh_id % 79 = 0 THEN 200 ELSE 0 END AS full_score, score_status, analysis_target FROM map WHERE mesh_id % 89 > 0
+      UNION ALL SELECT mesh_id, full_score, score_status, analysis_target FROM map WHERE mesh_id % 97 = 0)"""
+
+
+@query(
+    gate_sql(
+        SHOWN,
+        [
+            ("same_meshes", "failure", f"({only_in('t_mesh', 'shown')}) + ({only_in('shown', 't_mesh')})"),
+            ("mesh_unique", "failure", repeated("shown", "mesh_id")),
+            ("target_has_status", "failure", of("shown", "analysis_target <> (score_status <> 'not_target')")),
+            ("score_only_where_complete", "failure", of("shown", "(full_score IS NOT NULL) <> (score_status = 'complete')")),
+            ("score_0_100", "failure", of("shown", "full_score < 0 OR full_score > 100")),
+        ],
+    )
+)
 def explorer_gates(spark: SparkSession, d: str) -> DataFrame:
-    """The contract of the map's rows, which the real projection keeps."""
+    """The contract of the map's rows over the real projection with faults: rows that lack or repeat, scores lost or out of range, targets that are none."""
     from terrafold.plans import ui
 
     m = S.meshes(spark, d)
-    return evaluate(G.explorer_gates(m, ui.ui_map(m, R.risk(spark, d))))
+    shown = ui.ui_map(m, R.risk(spark, d)).withColumns({
+        "full_score": F.expr("CASE WHEN NOT analysis_target OR mesh_id % 83 > 0 THEN full_score END"), "analysis_target": F.expr("analysis_target AND mesh_id % 71 > 0"),
+    })
+    again = shown.where("mesh_id % 97 = 0")
+    shown = shown.where("mesh_id % 89 > 0").withColumn("full_score", F.col("full_score") + F.expr("IF(mesh_id % 79 = 0, 200D, 0D)"))
+    return evaluate(G.explorer_gates(m, shown.unionByName(again)))
 
 
 @query("SELECT o_orderpriority, count(*) AS rows FROM orders GROUP BY 1 HAVING count(*) > 1")

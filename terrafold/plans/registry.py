@@ -73,7 +73,8 @@ RISK = (
         CASE WHEN ready THEN {clip('inundation_ratio * 100')} END AS rl, CASE WHEN ready THEN {clip('classified_ratio * 100')} END AS rp,
         CASE WHEN ready THEN {clip('(inundation_ratio + unknown_ratio) * 100')} END AS ru,
         coalesce(ready AND unknown_ratio > 0, false) AS uncertain,
-        CASE WHEN ready THEN {clip('capacity_pressure_area_weighted * 100')} END AS pa, CASE WHEN ready THEN {clip('capacity_pressure_full_mesh * 100')} END AS pf
+        CASE WHEN ready THEN {clip('capacity_pressure_area_weighted * 100')} END AS pa, CASE WHEN ready THEN {clip('capacity_pressure_full_mesh * 100')} END AS
+        pf
       FROM base b LEFT JOIN pressure p USING (shelter_key) CROSS JOIN bounds),
     risk AS (SELECT *, {weighted(p=None)} AS core_score, {weighted('rl', None)} AS core_score_lower, {weighted('ru', None)} AS core_score_upper,
         {weighted()} AS full_score, {weighted('rl')} AS full_score_lower, {weighted('ru')} AS full_score_upper, {weighted(p='pf')} AS full_score_full_mesh,
@@ -91,7 +92,8 @@ def target_filter(spark: SparkSession, d: str) -> DataFrame:
     return scoring.targets(S.meshes(spark, d)).select("mesh_id", "municipality_code", "total_population", r6("tsunami_inundation_ratio"))
 
 
-@query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '***' WHEN 1 THEN '-' WHEN 2 THEN 'NaN' WHEN 3 THEN 'x' || value ELSE value::VARCHAR END AS raw FROM events)
+@query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '***' WHEN 1 THEN '-' WHEN 2 THEN 'NaN' WHEN 3 THEN 'x' || value ELSE value::VARCHAR END AS
+        raw FROM events)
     SELECT event_id, CASE WHEN event_id % 6 >= 4 THEN round(raw::DOUBLE, 6) END AS number FROM t""")
 def null_scrub_numeric(spark: SparkSession, d: str) -> DataFrame:
     m, v = F.col("event_id") % 6, F.col("value").cast("string")
@@ -114,14 +116,17 @@ def age_consistency(spark: SparkSession, d: str) -> DataFrame:
     return t.select("o_orderkey", wrong.alias("inconsistent"), r6("rate65", V.safe_ratio(a, F.col("total"))), r6("all_three", V.row_sum_or_null([F.col("total"), a, b])))
 
 
-@query(S.with_views("t_pair") + """ SELECT status, count(*) AS n FROM (SELECT CASE WHEN d IS NULL THEN 'missing' WHEN d <= 100 THEN 'normal' WHEN d <= 250 THEN 'review'
-    WHEN d <= 500 THEN 'warning' ELSE 'critical' END AS status FROM (SELECT CASE WHEN shelter_key % 9 > 0 THEN total_walking_distance_m / 10 END AS d FROM t_pair)) GROUP BY status""")
+@query(S.with_views("t_pair") + """ SELECT status, count(*) AS n FROM (SELECT CASE WHEN d IS NULL THEN 'missing' WHEN d <= 100 THEN 'normal' WHEN d <= 250 THEN
+        'review'
+    WHEN d <= 500 THEN 'warning' ELSE 'critical' END AS status FROM (SELECT CASE WHEN shelter_key % 9 > 0 THEN total_walking_distance_m / 10 END AS d FROM
+        t_pair)) GROUP BY status""")
 def snap_status_classes(spark: SparkSession, d: str) -> DataFrame:
     distance = F.when(F.col("shelter_key") % 9 > 0, F.col("total_walking_distance_m") / 10)
     return S.pairs(spark, d).select(V.snap_status(distance).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(S.with_views("t_mesh", "t_candidate") + """, c AS (SELECT mesh_id, count(*) AS n, count(*) FILTER (WHERE total_walking_distance_m < 3000) AS near FROM t_candidate GROUP BY 1)
+@query(S.with_views("t_mesh", "t_candidate") + """, c AS (SELECT mesh_id, count(*) AS n, count(*) FILTER (WHERE total_walking_distance_m < 3000) AS near FROM
+        t_candidate GROUP BY 1)
     SELECT m.mesh_id, CASE WHEN total_population = 0 THEN 'network_coverage_gap' WHEN coalesce(n, 0) = 0 THEN 'no_candidate_in_aoi'
       WHEN near = 0 THEN 'all_candidates_snap_excluded' WHEN m.mesh_id % 50 = 0 THEN 'no_network_path' ELSE 'complete' END AS route_status
     FROM t_mesh m LEFT JOIN c USING (mesh_id)""")
@@ -133,7 +138,8 @@ def route_status_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(S.with_views("t_candidate") + """ SELECT mesh_id, shelter_key, round(total_walking_distance_m / 1.0 / 60, 6) AS walking_minutes_1_0,
-    round(total_walking_distance_m / 0.62 / 60, 6) AS walking_minutes_0_62, round(total_walking_distance_m / 0.5 / 60, 6) AS walking_minutes_0_5 FROM t_candidate""")
+    round(total_walking_distance_m / 0.62 / 60, 6) AS walking_minutes_0_62, round(total_walking_distance_m / 0.5 / 60, 6) AS walking_minutes_0_5 FROM
+        t_candidate""")
 def walking_minutes(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).select("mesh_id", "shelter_key", *V.walking_minutes(F.col("total_walking_distance_m")))
     return c.select("mesh_id", "shelter_key", *[r6(f"walking_minutes_{k}") for k in V.WALKING_SPEEDS])
@@ -169,7 +175,8 @@ def identity_key_nfkc(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'E' || lpad((c_custkey % 99999)::VARCHAR, 5, '0') || '0001' ELSE c_name END AS id,
       CASE WHEN c_custkey % 3 = 0 THEN c_nationkey || '.0' WHEN c_custkey % 3 = 1 THEN '  ' ELSE c_nationkey::VARCHAR END AS code FROM customer)
-    SELECT c_custkey, nullif(regexp_extract(id, '^E([0-9]{5})', 1), '') AS id_code, regexp_replace(nullif(trim(code), ''), '^([0-9]+)\\.0$', '\\1') AS clean_code FROM t""")
+    SELECT c_custkey, nullif(regexp_extract(id, '^E([0-9]{5})', 1), '') AS id_code, regexp_replace(nullif(trim(code), ''), '^([0-9]+)\\.0$', '\\1') AS
+        clean_code FROM t""")
 def municipality_code(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     ident = F.when(k % 4 > 0, F.concat(F.lit("E"), F.lpad((k % 99999).cast("string"), 5, "0"), F.lit("0001"))).otherwise(F.col("c_name"))
@@ -193,7 +200,8 @@ def fixed_point(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT user_id, len(list_distinct(list_filter(['a' || user_id % 3, '', 'b', 'b'], lambda x: x <> ''))) AS ids FROM (SELECT DISTINCT user_id FROM events)""")
+@query("""SELECT user_id, len(list_distinct(list_filter(['a' || user_id % 3, '', 'b', 'b'], lambda x: x <> ''))) AS ids FROM (SELECT DISTINCT user_id FROM
+        events)""")
 def id_list(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("a"), F.col("user_id") % 3, F.lit(", ,b,b"))
     return S.table(spark, d, "events").select("user_id").distinct().select("user_id", F.size(V.id_set(text)).cast("long").alias("ids"))
@@ -229,7 +237,8 @@ def shelter_join_cascade(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS value FROM orders),
       ab AS (SELECT a, b, min(value) AS v FROM t WHERE value IS NOT NULL GROUP BY a, b HAVING count(DISTINCT value) = 1),
       one AS (SELECT a, min(value) AS v FROM t WHERE value IS NOT NULL GROUP BY a HAVING count(DISTINCT value) = 1)
-    SELECT o_orderkey, coalesce(value, ab.v, one.v) AS value, CASE WHEN value IS NOT NULL THEN 'existing' WHEN ab.v IS NOT NULL THEN 'a+b' WHEN one.v IS NOT NULL THEN 'a' ELSE 'unresolved' END AS value_source
+    SELECT o_orderkey, coalesce(value, ab.v, one.v) AS value, CASE WHEN value IS NOT NULL THEN 'existing' WHEN ab.v IS NOT NULL THEN 'a+b' WHEN one.v IS NOT
+        NULL THEN 'a' ELSE 'unresolved' END AS value_source
     FROM t LEFT JOIN ab USING (a, b) LEFT JOIN one ON one.a = t.a""")
 def resolver_cascade(spark: SparkSession, d: str) -> DataFrame:
     t = S.table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS a", "o_orderstatus AS b", "CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS value")
@@ -237,7 +246,8 @@ def resolver_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT s_nationkey, sum(CASE WHEN s_acctbal >= 20 THEN floor(s_acctbal / 20) END)::DOUBLE AS capacity, count(*) AS records,
-    string_agg(DISTINCT CASE WHEN s_acctbal >= 20 THEN 'numeric' ELSE 'missing' END, ';' ORDER BY CASE WHEN s_acctbal >= 20 THEN 'numeric' ELSE 'missing' END) AS statuses,
+    string_agg(DISTINCT CASE WHEN s_acctbal >= 20 THEN 'numeric' ELSE 'missing' END, ';' ORDER BY CASE WHEN s_acctbal >= 20 THEN 'numeric' ELSE 'missing' END)
+        AS statuses,
     count(DISTINCT s_name) > 1 AS ambiguous FROM supplier GROUP BY s_nationkey""")
 def shelter_capacity_collapse(spark: SparkSession, d: str) -> DataFrame:
     s = S.table(spark, d, "supplier").selectExpr("s_nationkey", "CASE WHEN s_acctbal >= 20 THEN CAST(floor(s_acctbal / 20) AS DOUBLE) END AS c", "CASE WHEN s_acctbal >= 20 THEN 'numeric' ELSE 'missing' END AS st", "s_name")
@@ -257,7 +267,8 @@ def argmin_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(S.with_views("t_mesh", "t_candidate") + """ SELECT 'missing' AS side, mesh_id FROM t_mesh WHERE mesh_id NOT IN (SELECT mesh_id FROM t_candidate)
-    UNION ALL SELECT 'extra', shelter_key FROM (SELECT DISTINCT shelter_key FROM t_candidate) WHERE shelter_key NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 2000)""")
+    UNION ALL SELECT 'extra', shelter_key FROM (SELECT DISTINCT shelter_key FROM t_candidate) WHERE shelter_key NOT IN (SELECT s_suppkey FROM supplier WHERE
+        s_acctbal >= 2000)""")
 def missing_extra_ids(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d)
     missing, _ = relational.missing_extra(S.meshes(spark, d), c, "mesh_id")
@@ -265,9 +276,12 @@ def missing_extra_ids(spark: SparkSession, d: str) -> DataFrame:
     return missing.select(F.lit("missing").alias("side"), "mesh_id").unionByName(extra.select(F.lit("extra").alias("side"), F.col("shelter_key").alias("mesh_id")))
 
 
-@query(S.with_views("t_candidate") + """, a AS (SELECT * FROM t_candidate WHERE candidate_rank = 1), b AS (SELECT mesh_id, CASE WHEN mesh_id % 7 > 0 THEN shelter_key + (mesh_id % 20 = 0)::INT END AS shelter_key, CASE WHEN mesh_id % 7 > 0 THEN total_walking_distance_m + (mesh_id % 30 = 0)::INT END AS dist FROM a)
+@query(S.with_views("t_candidate") + """, a AS (SELECT * FROM t_candidate WHERE candidate_rank = 1), b AS (SELECT mesh_id, CASE WHEN mesh_id % 7 > 0 THEN
+        shelter_key + (mesh_id % 20 = 0)::INT END AS shelter_key, CASE WHEN mesh_id % 7 > 0 THEN total_walking_distance_m + (mesh_id % 30 = 0)::INT END AS dist
+        FROM a)
     SELECT a.mesh_id, a.shelter_key IS NOT DISTINCT FROM b.shelter_key AS identity_match, round(total_walking_distance_m - dist, 6) AS distance_delta,
-      coalesce(abs(total_walking_distance_m - dist) <= 1e-6, total_walking_distance_m IS NULL AND dist IS NULL) AS distance_match FROM a LEFT JOIN b USING (mesh_id)""")
+      coalesce(abs(total_walking_distance_m - dist) <= 1e-6, total_walking_distance_m IS NULL AND dist IS NULL) AS distance_match FROM a LEFT JOIN b USING
+        (mesh_id)""")
 def parity_check(spark: SparkSession, d: str) -> DataFrame:
     a = first_candidates(spark, d)
     b = a.selectExpr(
@@ -284,7 +298,8 @@ def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.candidates(spark, d).select("mesh_id", "shelter_key", "candidate_rank", r6("total_walking_distance_m"))
 
 
-@query(S.with_views("t_candidate") + """, t AS (SELECT mesh_id, candidate_rank + (mesh_id % 25 = 0)::INT AS candidate_rank, total_walking_distance_m FROM t_candidate)
+@query(S.with_views("t_candidate") + """, t AS (SELECT mesh_id, candidate_rank + (mesh_id % 25 = 0)::INT AS candidate_rank, total_walking_distance_m FROM
+        t_candidate)
     SELECT mesh_id, max(candidate_rank)::INT AS max_rank, count(*) AS rows FROM t GROUP BY mesh_id HAVING max(candidate_rank) <> count(*)""")
 def rank_validation(spark: SparkSession, d: str) -> DataFrame:
     t = S.candidates(spark, d).withColumn("candidate_rank", (F.col("candidate_rank") + (F.col("mesh_id") % 25 == 0).cast("int")).cast("int"))
@@ -303,8 +318,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelter_pressure(spark, sf_dir)
 
 
-@query(RISK + """ SELECT shelter_key, assigned_mesh_count, round(assigned_demand_area_weighted, 6) AS assigned_demand_area_weighted, round(assigned_demand_full_mesh, 6) AS assigned_demand_full_mesh,
-    capacity, round(capacity_pressure_area_weighted, 6) AS capacity_pressure_area_weighted, round(capacity_pressure_full_mesh, 6) AS capacity_pressure_full_mesh FROM pressure""")
+@query(RISK + """ SELECT shelter_key, assigned_mesh_count, round(assigned_demand_area_weighted, 6) AS assigned_demand_area_weighted,
+        round(assigned_demand_full_mesh, 6) AS assigned_demand_full_mesh,
+    capacity, round(capacity_pressure_area_weighted, 6) AS capacity_pressure_area_weighted, round(capacity_pressure_full_mesh, 6) AS capacity_pressure_full_mesh
+        FROM pressure""")
 def shelter_pressure(spark: SparkSession, d: str) -> DataFrame:
     p = pressures(spark, d)
     names = ["assigned_demand_area_weighted", "assigned_demand_full_mesh", "capacity_pressure_area_weighted", "capacity_pressure_full_mesh"]
@@ -335,13 +352,16 @@ def walking_bounds_in_plan(spark: SparkSession, d: str) -> DataFrame:
 SCORES = ["core_score", "core_score_lower", "core_score_upper", "full_score", "full_score_lower", "full_score_upper", "full_score_full_mesh"]
 
 
-@query(RISK + f""" SELECT mesh_id, score_status, uncertain AS route_exposure_uncertainty_flag, round(wa, 6) AS walking_accessibility_component, {', '.join(f'round({s}, 6) AS {s}' for s in SCORES)} FROM risk""")
+@query(RISK + f""" SELECT mesh_id, score_status, uncertain AS route_exposure_uncertainty_flag, round(wa, 6) AS walking_accessibility_component,
+        {', '.join(f'round({s}, 6) AS {s}' for s in SCORES)} FROM risk""")
 def composite_score(spark: SparkSession, d: str) -> DataFrame:
     return risk(spark, d).select("mesh_id", "score_status", "route_exposure_uncertainty_flag", r6("walking_accessibility_component"), *[r6(s) for s in SCORES])
 
 
-@query(RISK + """ SELECT mesh_id, ((te IS NOT NULL)::INT + (vp IS NOT NULL)::INT + (wa IS NOT NULL)::INT + (rp IS NOT NULL)::INT) / 4.0::DOUBLE AS core_data_completeness,
-    round(((te IS NOT NULL)::INT + (vp IS NOT NULL)::INT + (wa IS NOT NULL)::INT + (rp IS NOT NULL)::INT + (pa IS NOT NULL)::INT) / 5.0::DOUBLE, 6) AS data_completeness FROM risk""")
+@query(RISK + """ SELECT mesh_id, ((te IS NOT NULL)::INT + (vp IS NOT NULL)::INT + (wa IS NOT NULL)::INT + (rp IS NOT NULL)::INT) / 4.0::DOUBLE AS
+        core_data_completeness,
+    round(((te IS NOT NULL)::INT + (vp IS NOT NULL)::INT + (wa IS NOT NULL)::INT + (rp IS NOT NULL)::INT + (pa IS NOT NULL)::INT) / 5.0::DOUBLE, 6) AS
+        data_completeness FROM risk""")
 def completeness(spark: SparkSession, d: str) -> DataFrame:
     return risk(spark, d).select("mesh_id", "core_data_completeness", r6("data_completeness"))
 
@@ -384,27 +404,32 @@ def rank_range(spark: SparkSession, d: str) -> DataFrame:
     return scoring.rank_summary(ranks(spark, d))
 
 
-@query(RANKS + """, placed AS (SELECT mesh_id, row_number() OVER (PARTITION BY scenario ORDER BY rank, mesh_id::VARCHAR) AS p, count(*) OVER (PARTITION BY scenario) AS n FROM ranks)
+@query(RANKS + """, placed AS (SELECT mesh_id, row_number() OVER (PARTITION BY scenario ORDER BY rank, mesh_id::VARCHAR) AS p, count(*) OVER (PARTITION BY
+        scenario) AS n FROM ranks)
     SELECT mesh_id FROM placed GROUP BY mesh_id HAVING bool_and(p <= greatest(1, ceil(n * 0.1)))""")
 def robust_top(spark: SparkSession, d: str) -> DataFrame:
     return scoring.robust_top(ranks(spark, d), share=0.1)
 
 
-@query(RANKS + """, b AS (SELECT mesh_id, rank AS base FROM ranks WHERE scenario = 'baseline') SELECT scenario, round(corr(rank, base), 6) AS spearman FROM ranks JOIN b USING (mesh_id) GROUP BY scenario""")
+@query(RANKS + """, b AS (SELECT mesh_id, rank AS base FROM ranks WHERE scenario = 'baseline') SELECT scenario, round(corr(rank, base), 6) AS spearman FROM
+        ranks JOIN b USING (mesh_id) GROUP BY scenario""")
 def rank_corr(spark: SparkSession, d: str) -> DataFrame:
     return scoring.rank_corr(ranks(spark, d)).select("scenario", r6("spearman"))
 
 
 DELTAS = (100.0, 500.0, 1000.0)
-WHATIF = RISK + f""", runs AS (SELECT p.*, delta, assigned_demand_area_weighted / (capacity + delta) AS simulated_pressure FROM pressure p CROSS JOIN (SELECT unnest([100.0, 500.0, 1000.0])::DOUBLE AS delta) WHERE capacity > 0),
+WHATIF = RISK + f""", runs AS (SELECT p.*, delta, assigned_demand_area_weighted / (capacity + delta) AS simulated_pressure FROM pressure p CROSS JOIN (SELECT
+        unnest([100.0, 500.0, 1000.0])::DOUBLE AS delta) WHERE capacity > 0),
     sim AS (SELECT runs.delta, runs.shelter_key, runs.capacity_pressure_area_weighted, runs.simulated_pressure,
-      greatest(0.0, full_score - {clip(f"(te * 25.0 + vp * 20.0 + wa * 25.0 + rp * 15.0 + ({clip('runs.simulated_pressure * 100')}) * 15.0) / 100.0")}) AS reduction, full_score
+      greatest(0.0, full_score - {clip(f"(te * 25.0 + vp * 20.0 + wa * 25.0 + rp * 15.0 + ({clip('runs.simulated_pressure * 100')}) * 15.0) / 100.0")}) AS
+        reduction, full_score
       FROM runs LEFT JOIN risk r ON r.shelter_key = runs.shelter_key AND score_status = 'complete'),
     whatif AS (SELECT delta, shelter_key, capacity_pressure_area_weighted, simulated_pressure, count(full_score) AS affected_complete_meshes,
       coalesce(sum(reduction) FILTER (WHERE full_score IS NOT NULL), 0) AS total_score_reduction FROM sim GROUP BY ALL)"""
 
 
-@query(WHATIF + """ SELECT delta, shelter_key, round(simulated_pressure, 6) AS simulated_pressure, affected_complete_meshes, round(total_score_reduction + 1e-8, 6) AS total_score_reduction,
+@query(WHATIF + """ SELECT delta, shelter_key, round(simulated_pressure, 6) AS simulated_pressure, affected_complete_meshes, round(total_score_reduction + 1e-8,
+        6) AS total_score_reduction,
     capacity_pressure_area_weighted > 1 AND simulated_pressure <= 1 AS resolved_over_capacity FROM whatif""")
 def whatif_capacity(spark: SparkSession, d: str) -> DataFrame:
     r = risk(spark, d)
@@ -413,7 +438,8 @@ def whatif_capacity(spark: SparkSession, d: str) -> DataFrame:
     return w.select("delta", "shelter_key", r6("simulated_pressure"), "affected_complete_meshes", r6("total_score_reduction", F.col("total_score_reduction") + 1e-8), "resolved_over_capacity")
 
 
-@query(WHATIF + """, o AS (SELECT *, row_number() OVER (PARTITION BY delta ORDER BY round(total_score_reduction, 6) DESC, (capacity_pressure_area_weighted > 1 AND simulated_pressure <= 1)::INT DESC, simulated_pressure, shelter_key::VARCHAR) AS place FROM whatif)
+@query(WHATIF + """, o AS (SELECT *, row_number() OVER (PARTITION BY delta ORDER BY round(total_score_reduction, 6) DESC, (capacity_pressure_area_weighted > 1
+        AND simulated_pressure <= 1)::INT DESC, simulated_pressure, shelter_key::VARCHAR) AS place FROM whatif)
     SELECT delta, place::INT AS place, round(total_score_reduction + 1e-8, 6) AS total_score_reduction FROM o WHERE place <= 12""")
 def whatif_ranking(spark: SparkSession, d: str) -> DataFrame:
     r = risk(spark, d)
@@ -430,10 +456,13 @@ def whatif_monotone(spark: SparkSession, d: str) -> DataFrame:
     return per.selectExpr("delta", "overloaded", "coalesce(overloaded <= lag(overloaded) OVER (ORDER BY delta), true) AS monotone")
 
 
-@query(RISK + """ SELECT 'score_in_bounds' AS gate, 'failure' AS severity, count(*) FILTER (WHERE full_score < 0 OR full_score > 100) AS failures, true AS passed FROM risk
-    UNION ALL SELECT 'bounds_ordered', 'failure', count(*) FILTER (WHERE core_score_lower > core_score + 1e-9 OR core_score > core_score_upper + 1e-9), count(*) FILTER (WHERE core_score_lower > core_score + 1e-9 OR core_score > core_score_upper + 1e-9) <= 0 FROM risk
+@query(RISK + """ SELECT 'score_in_bounds' AS gate, 'failure' AS severity, count(*) FILTER (WHERE full_score < 0 OR full_score > 100) AS failures, true AS
+        passed FROM risk
+    UNION ALL SELECT 'bounds_ordered', 'failure', count(*) FILTER (WHERE core_score_lower > core_score + 1e-9 OR core_score > core_score_upper + 1e-9), count(*)
+        FILTER (WHERE core_score_lower > core_score + 1e-9 OR core_score > core_score_upper + 1e-9) <= 0 FROM risk
     UNION ALL SELECT 'no_score_without_route', 'failure', count(*) FILTER (WHERE NOT ready AND core_score IS NOT NULL), true FROM risk
-    UNION ALL SELECT 'capacity_known', 'warning', count(*) FILTER (WHERE score_status = 'core_only_missing_capacity'), count(*) FILTER (WHERE score_status = 'core_only_missing_capacity') <= 0 FROM risk""")
+    UNION ALL SELECT 'capacity_known', 'warning', count(*) FILTER (WHERE score_status = 'core_only_missing_capacity'), count(*) FILTER (WHERE score_status =
+        'core_only_missing_capacity') <= 0 FROM risk""")
 def score_gates(spark: SparkSession, d: str) -> DataFrame:
     r = risk(spark, d)
     c = F.col
@@ -461,8 +490,10 @@ def mesh_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT c_custkey, {MESH_CODE} AS code FROM customer), q AS (SELECT *, code[9]::INT AS quadrant FROM t)
-    SELECT c_custkey, round(code[1:2]::INT / 1.5 + code[5]::INT / 12.0 + code[7]::INT / 120.0 + CASE WHEN quadrant IN (2, 4) THEN 1 / 240.0 ELSE 0 END + 1 / 480.0, 9) AS lat,
-      round(100 + code[3:4]::INT + code[6]::INT / 8.0 + code[8]::INT / 80.0 + CASE WHEN quadrant IN (3, 4) THEN 1 / 160.0 ELSE 0 END + 1 / 320.0, 9) AS lon, true AS found_again FROM q""")
+    SELECT c_custkey, round(code[1:2]::INT / 1.5 + code[5]::INT / 12.0 + code[7]::INT / 120.0 + CASE WHEN quadrant IN (2, 4) THEN 1 / 240.0 ELSE 0 END + 1 /
+        480.0, 9) AS lat,
+      round(100 + code[3:4]::INT + code[6]::INT / 8.0 + code[8]::INT / 80.0 + CASE WHEN quadrant IN (3, 4) THEN 1 / 160.0 ELSE 0 END + 1 / 320.0, 9) AS lon,
+        true AS found_again FROM q""")
 def mesh_polygon_centroid(spark: SparkSession, d: str) -> DataFrame:
     lon, lat = geo.mesh_centroid(F.col("mesh_id"))
     m = mesh_codes(spark, d).select("c_custkey", "mesh_id", lat.alias("lat"), lon.alias("lon"))
@@ -494,15 +525,19 @@ def palette_class(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(S.with_views("t_sample") + """ SELECT route_id, count(*) AS sample_count, count(*) FILTER (WHERE depth_class > 0) AS inundated_sample_count, round(count(*) FILTER (WHERE depth_class > 0) / count(*)::DOUBLE, 6) AS inundation_ratio,
-    max(CASE WHEN depth_class > 0 THEN depth_class END)::INT AS max_depth_class, round(count(*) FILTER (WHERE depth_class > 0) / count(*)::DOUBLE * 100, 6) AS exposure_score FROM t_sample GROUP BY route_id""")
+@query(S.with_views("t_sample") + """ SELECT route_id, count(*) AS sample_count, count(*) FILTER (WHERE depth_class > 0) AS inundated_sample_count,
+        round(count(*) FILTER (WHERE depth_class > 0) / count(*)::DOUBLE, 6) AS inundation_ratio,
+    max(CASE WHEN depth_class > 0 THEN depth_class END)::INT AS max_depth_class, round(count(*) FILTER (WHERE depth_class > 0) / count(*)::DOUBLE * 100, 6) AS
+        exposure_score FROM t_sample GROUP BY route_id""")
 def zonal_stats(spark: SparkSession, d: str) -> DataFrame:
     z = spatial.zonal_stats(S.samples(spark, d), "route_id", "depth_class")
     return z.select("route_id", "sample_count", "inundated_sample_count", r6("inundation_ratio"), "max_depth_class", r6("exposure_score"))
 
 
-@query(S.with_views("t_sample") + """, s AS (SELECT route_id, sum(sample_length_m) AS t, count(*) AS n, coalesce(sum(sample_length_m) FILTER (WHERE depth_class IS NULL), 0) AS u,
-      coalesce(sum(sample_length_m) FILTER (WHERE depth_class > 0), 0) AS w, max(CASE WHEN depth_class > 0 THEN depth_class END)::INT AS m FROM t_sample GROUP BY route_id)
+@query(S.with_views("t_sample") + """, s AS (SELECT route_id, sum(sample_length_m) AS t, count(*) AS n, coalesce(sum(sample_length_m) FILTER (WHERE depth_class
+        IS NULL), 0) AS u,
+      coalesce(sum(sample_length_m) FILTER (WHERE depth_class > 0), 0) AS w, max(CASE WHEN depth_class > 0 THEN depth_class END)::INT AS m FROM t_sample GROUP
+        BY route_id)
     SELECT route_id, n AS samples, m AS max_depth_class, round(w / t, 6) AS route_inundation_ratio, round(u / t, 6) AS route_unknown_ratio,
       round(CASE WHEN t - u > 1e-9 THEN w / (t - u) END, 6) AS route_inundation_ratio_classified FROM s""")
 def route_samples_exposure(spark: SparkSession, d: str) -> DataFrame:
@@ -510,9 +545,11 @@ def route_samples_exposure(spark: SparkSession, d: str) -> DataFrame:
     return e.select("route_id", "samples", "max_depth_class", *[r6(c) for c in ("route_inundation_ratio", "route_unknown_ratio", "route_inundation_ratio_classified")])
 
 
-@query(S.with_views("t_sample") + """, m AS (SELECT *, coalesce(depth_class, -1) AS c FROM t_sample), f AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER w THEN 1 ELSE 0 END AS change FROM m WINDOW w AS (PARTITION BY route_id ORDER BY ts, event_id)),
+@query(S.with_views("t_sample") + """, m AS (SELECT *, coalesce(depth_class, -1) AS c FROM t_sample), f AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER w
+        THEN 1 ELSE 0 END AS change FROM m WINDOW w AS (PARTITION BY route_id ORDER BY ts, event_id)),
       g AS (SELECT *, sum(change) OVER (PARTITION BY route_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
-    SELECT route_id, run::BIGINT AS run, c::INT AS depth_class, count(*) AS samples, round(sum(sample_length_m), 6) AS run_length FROM g WHERE c > 0 GROUP BY route_id, run, c""")
+    SELECT route_id, run::BIGINT AS run, c::INT AS depth_class, count(*) AS samples, round(sum(sample_length_m), 6) AS run_length FROM g WHERE c > 0 GROUP BY
+        route_id, run, c""")
 def inundated_segments(spark: SparkSession, d: str) -> DataFrame:
     return spatial.inundated_segments(S.samples(spark, d)).select("route_id", "run", "depth_class", "samples", r6("run_length"))
 
@@ -530,7 +567,8 @@ def segments_of_one_route(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS tx, embedding[4]::DOUBLE AS ty FROM embeddings),
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS tx, embedding[4]::DOUBLE AS ty FROM
+        embeddings),
       q AS (SELECT a.vec_id AS point_id, b.vec_id AS target_id, sqrt((a.x - b.tx) ** 2 + (a.y - b.ty) ** 2) AS dist FROM p a CROSS JOIN p b),
       n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, target_id) AS rn FROM q WHERE dist <= 0.05)
     SELECT point_id, target_id, round(dist, 6) AS distance FROM n WHERE rn = 1""")
@@ -542,7 +580,8 @@ def nearest_snap(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest(points, targets, 0.05).select("point_id", "target_id", r6("distance"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS cx, embedding[4]::DOUBLE AS cy FROM embeddings)
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS cx, embedding[4]::DOUBLE AS cy FROM
+        embeddings)
     SELECT a.vec_id AS point_id, min(b.vec_id) AS polygon_id FROM p a JOIN p b ON abs(a.x - b.cx) + abs(a.y - b.cy) <= 0.02 GROUP BY 1""")
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     """Points are the first two elements of the vectors, the next two the middle of a diamond; the first diamond wins."""
@@ -572,7 +611,8 @@ def one_graph(spark: SparkSession, d: str) -> DataFrame:
     return S.edges(spark, d).withColumn("context", F.lit("all"))
 
 
-@query(GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (SELECT 's0' AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION ALL SELECT b.y, walk.cost + b.length, hops + 1 FROM walk JOIN b ON b.x = walk.node WHERE hops < 3)
+@query(GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (SELECT 's0' AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION ALL SELECT b.y, walk.cost +
+        b.length, hops + 1 FROM walk JOIN b ON b.x = walk.node WHERE hops < 3)
     SELECT node, round(min(cost), 6) AS cost FROM walk GROUP BY node""")
 def bounded_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """Least costs within three hops from one node: three rounds of relaxation, each a join and a minimum."""
@@ -585,11 +625,13 @@ def bounded_shortest_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The network of a municipality is one context: the edges of its shelters.
-CONTEXTS = S.with_views("t_edge").replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT s_nationkey::VARCHAR AS context, u, v, length FROM t_edge JOIN supplier ON u = 's' || s_suppkey),
+CONTEXTS = S.with_views("t_edge").replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT s_nationkey::VARCHAR AS context, u, v, length FROM t_edge JOIN
+        supplier ON u = 's' || s_suppkey),
     b AS (SELECT context, u AS x, v AS y, length FROM c UNION ALL SELECT context, v, u, length FROM c),
     seed AS (SELECT DISTINCT context, u AS node, u AS source, 5.0::DOUBLE AS cost FROM c WHERE u[2:]::INT % 3 = 0),
     far(context, node, source, cost) USING KEY (context, node, source) AS (SELECT context, node, source, cost FROM seed
-      UNION (SELECT s.context, s.y, s.source, s.cost FROM (SELECT far.context, b.y, far.source, min(far.cost + b.length) AS cost FROM far JOIN b ON b.context = far.context AND b.x = far.node GROUP BY ALL) s
+      UNION (SELECT s.context, s.y, s.source, s.cost FROM (SELECT far.context, b.y, far.source, min(far.cost + b.length) AS cost FROM far JOIN b ON b.context =
+        far.context AND b.x = far.node GROUP BY ALL) s
         LEFT JOIN recurring.far r ON r.context = s.context AND r.node = s.y AND r.source = s.source WHERE r.cost IS NULL OR s.cost < r.cost - 1e-9))"""
 
 
@@ -610,7 +652,8 @@ def dijkstra_nearest_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 # All edges as one context, which no task holds.
-ONE_CONTEXT = S.with_views("t_edge").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT u AS x, v AS y, length FROM t_edge UNION ALL SELECT v, u, length FROM t_edge),
+ONE_CONTEXT = S.with_views("t_edge").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT u AS x, v AS y, length FROM t_edge UNION ALL SELECT v, u, length
+        FROM t_edge),
     seed AS (SELECT DISTINCT u AS node, u AS source, 5.0::DOUBLE AS cost FROM t_edge WHERE u[2:]::INT % 3 = 0),
     far(node, source, cost) USING KEY (node, source) AS (SELECT node, source, cost FROM seed
       UNION (SELECT s.y, s.source, s.cost FROM (SELECT b.y, far.source, min(far.cost + b.length) AS cost FROM far JOIN b ON b.x = far.node GROUP BY ALL) s
@@ -625,7 +668,8 @@ def _one_context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return graph.collapse_graph(e), _seeds(e)
 
 
-@query(ONE_CONTEXT + """ SELECT best.node, source, round(cost, 6) AS cost, CASE WHEN best.node <> source THEN next END AS next FROM best LEFT JOIN onward USING (node)""")
+@query(ONE_CONTEXT + """ SELECT best.node, source, round(cost, 6) AS cost, CASE WHEN best.node <> source THEN next END AS next FROM best LEFT JOIN onward USING
+        (node)""")
 def delta_nearest_owner(spark: SparkSession, d: str) -> DataFrame:
     """Nearest source of every node of one large network, with the next node on the way, by joins."""
     return graph.nearest_by_joins(*_one_context(spark, d)).select("node", "source", r6("cost"), "next")
@@ -637,7 +681,8 @@ def delta_three_nearest(spark: SparkSession, d: str) -> DataFrame:
     return graph.nearest_by_joins(*_one_context(spark, d), k=3).select("node", "source", r6("cost"))
 
 
-@query(CONTEXTS + """, t AS (SELECT far.context, node AS mesh_id, source, cost + 1 AS total, row_number() OVER (PARTITION BY far.context, node ORDER BY round(cost, 9), source) AS k FROM far WHERE node[1] = 'p')
+@query(CONTEXTS + """, t AS (SELECT far.context, node AS mesh_id, source, cost + 1 AS total, row_number() OVER (PARTITION BY far.context, node ORDER BY
+        round(cost, 9), source) AS k FROM far WHERE node[1] = 'p')
     SELECT context, mesh_id, source, k::INT AS candidate_rank, round(total, 6) AS total FROM t WHERE k <= 3""")
 def k_label_candidates(spark: SparkSession, d: str) -> DataFrame:
     e = contexts(spark, d)
@@ -648,7 +693,8 @@ def k_label_candidates(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select(F.split("mesh_id", " ")[0].alias("context"), F.split("mesh_id", " ")[1].alias("mesh_id"), "source", "candidate_rank", r6("total"))
 
 
-@query(GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT DISTINCT x AS node, x AS other FROM b UNION SELECT reach.node, b.y FROM reach JOIN b ON b.x = reach.other)
+@query(GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT DISTINCT x AS node, x AS other FROM b UNION SELECT reach.node, b.y FROM reach JOIN b
+        ON b.x = reach.other)
     SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(one_graph(spark, d)).select("node", "component")
@@ -702,17 +748,21 @@ def investment_plans(spark: SparkSession, d: str) -> DataFrame:
 CURVES = [(name.replace("_", "_first_"), column, 1, b) for name, column, _, b in SWEEP]
 FIRST_SQL = S.with_views("t_mesh", "t_candidate", "t_shelter") + """,
     target AS (SELECT mesh_id, total_population AS p, tsunami_inundation_ratio AS w FROM t_mesh WHERE tsunami_inundation_ratio > 0),
-    demand AS (SELECT mesh_id, 'area' AS s, round_even(p * w * 10, 0)::BIGINT AS units FROM target UNION ALL SELECT mesh_id, 'full', (p * 10)::BIGINT FROM target),
+    demand AS (SELECT mesh_id, 'area' AS s, round_even(p * w * 10, 0)::BIGINT AS units FROM target UNION ALL SELECT mesh_id, 'full', (p * 10)::BIGINT FROM
+        target),
     first AS (SELECT mesh_id, shelter_key, floor(capacity * 10 + 1e-9)::BIGINT AS cap, round_even(total_walking_distance_m * 10, 0)::BIGINT * 100 + 1 AS cost
       FROM t_candidate JOIN t_shelter USING (shelter_key) WHERE candidate_rank = 1 AND capacity > 0),
-    queue AS (SELECT *, coalesce(sum(units) OVER (PARTITION BY s, shelter_key ORDER BY cost, mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    queue AS (SELECT *, coalesce(sum(units) OVER (PARTITION BY s, shelter_key ORDER BY cost, mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS
+        before
       FROM demand JOIN first USING (mesh_id)),
     fit AS (SELECT *, greatest(0, least(units, cap - before)) AS served FROM queue),
-    rest AS (SELECT *, units - served AS r, coalesce(sum(units - served) OVER (PARTITION BY s ORDER BY cost, mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM fit),
+    rest AS (SELECT *, units - served AS r, coalesce(sum(units - served) OVER (PARTITION BY s ORDER BY cost, mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+        PRECEDING), 0) AS ahead FROM fit),
     base AS (SELECT s, sum(units) AS units FROM demand GROUP BY s),
     run AS (SELECT s, b, s || '_first_' || lpad(b::VARCHAR, 5, '0') AS run_id FROM base, (VALUES (0), (100), (500), (1000), (2000), (5000)) v(b)),
     paid AS (SELECT run_id, any_value(b) AS b, s, sum(served) AS served, sum(greatest(0, least(r, b * 10 - ahead))) AS added,
-      sum(served * cost::HUGEINT) AS walked, sum(greatest(0, least(r, b * 10 - ahead)) * (cost + 1)::HUGEINT) AS more FROM run JOIN rest USING (s) GROUP BY run_id, s),
+      sum(served * cost::HUGEINT) AS walked, sum(greatest(0, least(r, b * 10 - ahead)) * (cost + 1)::HUGEINT) AS more FROM run JOIN rest USING (s) GROUP BY
+        run_id, s),
     curve AS (SELECT run_id, s, b, added::BIGINT AS added_units, (units - served - added)::BIGINT AS unserved_units,
       ((units - served - added) * 1000000000::HUGEINT + walked + more)::BIGINT AS objective_cost FROM paid JOIN base USING (s))"""
 
@@ -728,10 +778,12 @@ def investment_curves(spark: SparkSession, d: str) -> DataFrame:
     return first_candidate_curves(spark, d).withColumn("objective_cost", F.col("objective_cost").cast("long"))
 
 
-@query(S.with_views("t_shelter") + """, a AS (SELECT shelter_key, capacity FROM t_shelter WHERE municipality_code < 15 AND capacity > 0), b AS (SELECT shelter_key, capacity / 2 AS c2 FROM t_shelter WHERE municipality_code > 8 AND capacity > 0),
+@query(S.with_views("t_shelter") + """, a AS (SELECT shelter_key, capacity FROM t_shelter WHERE municipality_code < 15 AND capacity > 0), b AS (SELECT
+        shelter_key, capacity / 2 AS c2 FROM t_shelter WHERE municipality_code > 8 AND capacity > 0),
     j AS (SELECT a.capacity AS x, b.c2 AS y FROM a FULL JOIN b USING (shelter_key))
     SELECT count(x) AS left_shelters, count(y) AS right_shelters, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS shared_shelters,
-      round(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) / count(*)::DOUBLE, 6) AS shelter_jaccard, coalesce(sum(least(x, y)) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL), 0) AS shared_capacity,
+      round(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) / count(*)::DOUBLE, 6) AS shelter_jaccard, coalesce(sum(least(x, y)) FILTER (WHERE x IS NOT
+        NULL AND y IS NOT NULL), 0) AS shared_capacity,
       round(least(1.0, coalesce(sum(least(x, y)) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL), 0) / 5000.0)::DOUBLE, 6) AS shared_capacity_share FROM j""")
 def plan_overlap(spark: SparkSession, d: str) -> DataFrame:
     s = S.shelters(spark, d)
@@ -764,7 +816,8 @@ def manifest_sha(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(RISK + """ SELECT count(*) AS meshes, CASE WHEN count(*) > 0 AND count(*) = count(total_population) THEN sum(total_population)::BIGINT END AS population,
-    coalesce(sum(total_population) FILTER (WHERE total_walking_distance_m / 60 > 20), 0)::BIGINT AS population_over_20_min, coalesce(sum(total_population) FILTER (WHERE NOT ready), 0)::BIGINT AS population_without_route,
+    coalesce(sum(total_population) FILTER (WHERE total_walking_distance_m / 60 > 20), 0)::BIGINT AS population_over_20_min, coalesce(sum(total_population)
+        FILTER (WHERE NOT ready), 0)::BIGINT AS population_without_route,
     count(DISTINCT CASE WHEN capacity_pressure_area_weighted > 1 THEN shelter_key END) AS over_capacity_shelters FROM risk""")
 def ui_kpis(spark: SparkSession, d: str) -> DataFrame:
     return ui.ui_kpis(risk(spark, d))
@@ -775,7 +828,8 @@ def ui_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ui.ui_ranking(risk(spark, d), "capacity").select("mesh_id", r6("measure"))
 
 
-@query(RISK + """ SELECT m.mesh_id, m.municipality_code, round(full_score, 6) AS full_score, coalesce(score_status, 'not_target') AS score_status, score_status IS NOT NULL AS analysis_target FROM t_mesh m LEFT JOIN risk r USING (mesh_id)""")
+@query(RISK + """ SELECT m.mesh_id, m.municipality_code, round(full_score, 6) AS full_score, coalesce(score_status, 'not_target') AS score_status, score_status
+        IS NOT NULL AS analysis_target FROM t_mesh m LEFT JOIN risk r USING (mesh_id)""")
 def ui_map_projection(spark: SparkSession, d: str) -> DataFrame:
     return ui.ui_map(S.meshes(spark, d), risk(spark, d)).select("mesh_id", "municipality_code", r6("full_score"), "score_status", "analysis_target")
 

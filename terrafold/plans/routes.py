@@ -14,9 +14,11 @@ from terrafold.plans import ui
 from terrafold.plans.registry import query, r6
 
 # An edge of each part: from u by m to v, its line as text, missing, of another kind, or drawn backwards.
-EDGES = """e AS (SELECT p_partkey AS k, (p_partkey % 10)::DOUBLE AS ux, (p_partkey % 7)::DOUBLE AS uy, ux + 3 AS mx, uy + p_partkey % 5 AS my, ux + 6 AS vx, uy + 1 + p_partkey % 3 AS vy, p_partkey % 4 >= 2 AS drawn,
+EDGES = """e AS (SELECT p_partkey AS k, (p_partkey % 10)::DOUBLE AS ux, (p_partkey % 7)::DOUBLE AS uy, ux + 3 AS mx, uy + p_partkey % 5 AS my, ux + 6 AS vx, uy
+        + 1 + p_partkey % 3 AS vy, p_partkey % 4 >= 2 AS drawn,
       p_partkey % 4 = 3 AS backwards FROM part),
-    l AS (SELECT *, CASE WHEN drawn THEN sqrt((mx - ux) ** 2 + (my - uy) ** 2) END AS one, CASE WHEN drawn THEN sqrt((vx - mx) ** 2 + (vy - my) ** 2) END AS two, sqrt((vx - ux) ** 2 + (vy - uy) ** 2) AS straight,
+    l AS (SELECT *, CASE WHEN drawn THEN sqrt((mx - ux) ** 2 + (my - uy) ** 2) END AS one, CASE WHEN drawn THEN sqrt((vx - mx) ** 2 + (vy - my) ** 2) END AS
+        two, sqrt((vx - ux) ** 2 + (vy - uy) ** 2) AS straight,
       coalesce(one + two, straight) AS whole FROM e)"""
 
 
@@ -66,7 +68,8 @@ def edge_access(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("way", way).select("k", r6("access_m", lines.length(F.col("way"))), F.element_at("way", -1)["x"].alias("end_x"))
 
 
-@query(f"""WITH {EDGES} SELECT k, CASE WHEN k % 6 = 0 THEN 'error:KeyError' ELSE 'complete' END AS status, CASE WHEN k % 6 > 0 THEN CASE WHEN drawn THEN 3 ELSE 2 END + 2 - (k % 6 = 1)::INT END AS points,
+@query(f"""WITH {EDGES} SELECT k, CASE WHEN k % 6 = 0 THEN 'error:KeyError' ELSE 'complete' END AS status, CASE WHEN k % 6 > 0 THEN CASE WHEN drawn THEN 3 ELSE
+        2 END + 2 - (k % 6 = 1)::INT END AS points,
       CASE WHEN k % 6 > 0 THEN round(1 + whole + CASE WHEN k % 6 = 1 THEN 0 ELSE 2 END, 6) END AS length FROM l""")
 def modeled_route(spark: SparkSession, d: str) -> DataFrame:
     """From the middle, one to the left of u, to a shelter two above v, at v, or unknown."""
@@ -110,9 +113,11 @@ def _utm_sql() -> str:
     c = 2 * math.sqrt(n) / (1 + n)
     east = " + ".join(f"{forth[j - 1]!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j in (1, 2, 3))
     north = " + ".join(f"{forth[j - 1]!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j in (1, 2, 3))
-    return f"""WITH {LONLAT}, a AS (SELECT *, sinh(atanh(sin(radians(lat))) - {c!r} * atanh({c!r} * sin(radians(lat)))) AS tt, radians(lon - 135) AS lam FROM t),
+    return f"""WITH {LONLAT}, a AS (SELECT *, sinh(atanh(sin(radians(lat))) - {c!r} * atanh({c!r} * sin(radians(lat)))) AS tt, radians(lon - 135) AS lam FROM
+        t),
       b AS (SELECT *, atan2(tt, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tt * tt)) AS eta FROM a)
-      SELECT vec_id, round(500000 + {geo.UTM_SCALE * radius!r} * (eta + {east}), 3) AS x, round({geo.UTM_SCALE * radius!r} * (xi + {north}), 3) AS y, true AS round_trip FROM b"""
+      SELECT vec_id, round(500000 + {geo.UTM_SCALE * radius!r} * (eta + {east}), 3) AS x, round({geo.UTM_SCALE * radius!r} * (xi + {north}), 3) AS y, true AS
+        round_trip FROM b"""
 
 
 @query(_utm_sql())
@@ -124,7 +129,8 @@ def utm_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LONLAT}, {_vincenty('lon', 'lat', 'lon + 0.003', 'lat + 0.002', 't', 'vec_id')}
-    SELECT vec_id AS route_id, greatest(1, ceil(metres / 25))::BIGINT AS samples, round(metres, 4) AS length_m, round(metres / greatest(1, ceil(metres / 25)), 4) AS sample_length_m, true AS on_the_way FROM g""")
+    SELECT vec_id AS route_id, greatest(1, ceil(metres / 25))::BIGINT AS samples, round(metres, 4) AS length_m, round(metres / greatest(1, ceil(metres / 25)),
+        4) AS sample_length_m, true AS on_the_way FROM g""")
 def geodesic_samples(spark: SparkSession, d: str) -> DataFrame:
     """One segment a route, cut into equal parts of at most 25 m; every middle lies as far from the start as it should."""
     a, b = lines.point(F.col("lon"), F.col("lat")), lines.point(F.col("lon") + 0.003, F.col("lat") + 0.002)
@@ -138,7 +144,8 @@ def geodesic_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT n_nationkey AS k, (n_nationkey % 5)::DOUBLE AS w, (n_nationkey % 3 + 1)::DOUBLE AS h FROM nation)
-    SELECT k, w + h + 3 AS area, 0.0::DOUBLE AS west, w + 2 AS east, h AS north, round((0 + 2 + (w + 2) + 0) / 4 + 0, 6) AS mean_x FROM (SELECT k, w, h FROM t) WHERE false
+    SELECT k, w + h + 3 AS area, 0.0::DOUBLE AS west, w + 2 AS east, h AS north, round((0 + 2 + (w + 2) + 0) / 4 + 0, 6) AS mean_x FROM (SELECT k, w, h FROM t)
+        WHERE false
     UNION ALL SELECT k, (w + 2) * h, 0, w + 2, h, round((w + 2) / 2, 6) FROM t""")
 def ring_measures(spark: SparkSession, d: str) -> DataFrame:
     """Area, bounds and the mean of the vertices of a rectangle for each nation."""
@@ -149,8 +156,10 @@ def ring_measures(spark: SparkSession, d: str) -> DataFrame:
     return n.select("k", geo.ring_area(F.col("ring")).alias("area"), "b.west", "b.east", "b.north", r6("mean_x", lines.vertex_mean(F.col("ring"))["x"]))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS cx, embedding[4]::DOUBLE AS cy FROM embeddings),
-      near AS (SELECT a.vec_id AS point_id, b.vec_id AS polygon_id, abs(a.x - b.cx) + abs(a.y - b.cy) AS d, abs(a.x - b.cx - 0.1) + abs(a.y - b.cy) AS d2 FROM p a JOIN p b ON abs(a.x - b.cx) <= 0.2 AND abs(a.y - b.cy) <= 0.2)
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS cx, embedding[4]::DOUBLE AS cy FROM
+        embeddings),
+      near AS (SELECT a.vec_id AS point_id, b.vec_id AS polygon_id, abs(a.x - b.cx) + abs(a.y - b.cy) AS d, abs(a.x - b.cx - 0.1) + abs(a.y - b.cy) AS d2 FROM p
+        a JOIN p b ON abs(a.x - b.cx) <= 0.2 AND abs(a.y - b.cy) <= 0.2)
     SELECT point_id, min(polygon_id) AS polygon_id FROM near WHERE d <= 0.02 AND d >= 0.005 OR d2 <= 0.02 GROUP BY 1""")
 def point_in_parts(spark: SparkSession, d: str) -> DataFrame:
     """Areas of two diamonds each, the first with a smaller one cut out of it."""
@@ -170,7 +179,8 @@ def point_in_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 50 + 0.001 END AS v FROM orders)
-    SELECT k, coalesce(format('{:,.1f}', v), '—') AS number, coalesce(format('{:,.1f}', v * 100) || '%', '—') AS percent, CASE WHEN v IS NULL THEN '—' WHEN v >= 1000 THEN format('{:,.2f}', v / 1000) || 'km' ELSE format('{:,.0f}', v) || 'm' END AS metres FROM t""")
+    SELECT k, coalesce(format('{:,.1f}', v), '—') AS number, coalesce(format('{:,.1f}', v * 100) || '%', '—') AS percent, CASE WHEN v IS NULL THEN '—' WHEN v >=
+        1000 THEN format('{:,.2f}', v / 1000) || 'km' ELSE format('{:,.0f}', v) || 'm' END AS metres FROM t""")
 def number_labels(spark: SparkSession, d: str) -> DataFrame:
     t = S.table(spark, d, "orders").selectExpr("o_orderkey AS k", "CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 50 + 0.001D END AS v")
     v = F.col("v")
@@ -183,7 +193,8 @@ def status_labels(spark: SparkSession, d: str) -> DataFrame:
     return R.risk(spark, d).select("mesh_id", ui.status_label(F.col("score_status"), ui.SCORE_LABELS).alias("score_label"), ui.status_label(route, ui.ROUTE_LABELS).alias("route_label"))
 
 
-@query(R.RISK + """ SELECT mesh_id, round(CASE WHEN mesh_id % 2 = 0 THEN total_walking_distance_m / 60 ELSE total_walking_distance_m / 30 / 60 END, 6) AS minutes, round(coalesce(classified_ratio, inundation_ratio), 6) AS exposure,
+@query(R.RISK + """ SELECT mesh_id, round(CASE WHEN mesh_id % 2 = 0 THEN total_walking_distance_m / 60 ELSE total_walking_distance_m / 30 / 60 END, 6) AS
+        minutes, round(coalesce(classified_ratio, inundation_ratio), 6) AS exposure,
       round(CASE WHEN score_status = 'complete' THEN full_score END, 6) AS score FROM risk""")
 def field_accessors(spark: SparkSession, d: str) -> DataFrame:
     """New fields, and the older ones where those are missing."""
@@ -193,7 +204,8 @@ def field_accessors(spark: SparkSession, d: str) -> DataFrame:
     return R.risk(spark, d).select("mesh_id", r6("minutes", minutes), r6("exposure", ui.exposure_of(F.col("classified_ratio"), F.col("inundation_ratio"))), r6("score", score))
 
 
-@query(R.WHATIF + """, o AS (SELECT w.*, row_number() OVER (ORDER BY round(total_score_reduction, 9) DESC, round(w.capacity_pressure_area_weighted - simulated_pressure, 9) DESC, round(assigned_demand_area_weighted, 9) DESC, shelter_key::VARCHAR) AS place
+@query(R.WHATIF + """, o AS (SELECT w.*, row_number() OVER (ORDER BY round(total_score_reduction, 9) DESC, round(w.capacity_pressure_area_weighted -
+        simulated_pressure, 9) DESC, round(assigned_demand_area_weighted, 9) DESC, shelter_key::VARCHAR) AS place
       FROM whatif w JOIN pressure p USING (shelter_key) WHERE delta = 500 AND (w.capacity_pressure_area_weighted > 1 OR total_score_reduction > 1e-9))
     SELECT place::INT AS place, round(total_score_reduction + 1e-8, 6) AS total_score_reduction FROM o WHERE place <= 12""")
 def simulation_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +214,8 @@ def simulation_panel(spark: SparkSession, d: str) -> DataFrame:
     return ui.simulation_panel(w, 500.0).select("place", r6("total_score_reduction", F.col("total_score_reduction") + 1e-8))
 
 
-CELLS = """t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN '{x' WHEN 3 THEN '[1,2]' ELSE '{"a": 1}' END AS cell, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' Yes' WHEN 2 THEN 'false' ELSE '1' END AS flag,
+CELLS = """t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN
+        '{x' WHEN 3 THEN '[1,2]' ELSE '{"a": 1}' END AS cell, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' Yes' WHEN 2 THEN 'false' ELSE '1' END AS flag,
     CASE event_id % 3 WHEN 0 THEN '38201.0' WHEN 1 THEN '' ELSE '38.05' END AS code FROM events)"""
 
 
@@ -240,7 +253,8 @@ def capacity_status(spark: SparkSession, d: str) -> DataFrame:
     return S.shelters(spark, d).select("shelter_key", V.capacity_status(F.col("capacity") - 20).alias("status"))
 
 
-@query(S.with_views("t_pair") + """ SELECT mesh_id, shelter_key, s IN ('warning', 'critical') AS outlier FROM (SELECT mesh_id, shelter_key, CASE WHEN shelter_key % 9 = 0 THEN 'missing' WHEN total_walking_distance_m / 10 <= 100 THEN 'normal' WHEN total_walking_distance_m / 10 <= 250 THEN 'review'
+@query(S.with_views("t_pair") + """ SELECT mesh_id, shelter_key, s IN ('warning', 'critical') AS outlier FROM (SELECT mesh_id, shelter_key, CASE WHEN
+        shelter_key % 9 = 0 THEN 'missing' WHEN total_walking_distance_m / 10 <= 100 THEN 'normal' WHEN total_walking_distance_m / 10 <= 250 THEN 'review'
       WHEN total_walking_distance_m / 10 <= 500 THEN 'warning' ELSE 'critical' END AS s FROM t_pair)""")
 def snap_outliers(spark: SparkSession, d: str) -> DataFrame:
     distance = F.when(F.col("shelter_key") % 9 > 0, F.col("total_walking_distance_m") / 10)
@@ -253,7 +267,8 @@ def mesh_quality(spark: SparkSession, d: str) -> DataFrame:
     return S.meshes(spark, d).select("mesh_id", V.data_quality(wrong, V.any_null([F.col("aging_rate_65plus")])).alias("quality"))
 
 
-@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value + 0.001 END AS v FROM events) SELECT event_id, greatest(0, round_even(v * 10, 0))::BIGINT AS demand_units, greatest(0, floor(v * 10 + 1e-9))::BIGINT AS capacity_units FROM t WHERE v IS NOT NULL
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value + 0.001 END AS v FROM events) SELECT event_id, greatest(0, round_even(v * 10,
+        0))::BIGINT AS demand_units, greatest(0, floor(v * 10 + 1e-9))::BIGINT AS capacity_units FROM t WHERE v IS NOT NULL
     UNION ALL SELECT event_id, NULL, NULL FROM t WHERE v IS NULL""")
 def missing_units(spark: SparkSession, d: str) -> DataFrame:
     """Missing demand or capacity is never zero."""
@@ -261,7 +276,9 @@ def missing_units(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "events").select("event_id", V.demand_units(v).alias("demand_units"), V.capacity_units(v).alias("capacity_units"))
 
 
-@query("""SELECT count(*) AS qa_records, list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 > 0))::VARCHAR[] AS complete, list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 = 0))::VARCHAR[] AS failed FROM nation""".replace("list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 > 0))::VARCHAR[]", "array_to_string(list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 > 0)), ',')").replace("list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 = 0))::VARCHAR[]", "array_to_string(list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 = 0)), ',')"))
+@query("""SELECT count(*) AS qa_records,
+      array_to_string(list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 > 0)), ',') AS complete,
+      array_to_string(list_sort(list(n_name) FILTER (WHERE n_nationkey % 4 = 0)), ',') AS failed FROM nation""")
 def network_summary(spark: SparkSession, d: str) -> DataFrame:
     from terrafold.sources.files import network_summary as summarised
 
@@ -269,7 +286,8 @@ def network_summary(spark: SparkSession, d: str) -> DataFrame:
     return summarised(records).select("qa_records", F.array_join("complete_municipalities", ",").alias("complete"), F.array_join("failed_municipalities", ",").alias("failed"))
 
 
-@query("""SELECT x, y, CASE WHEN (x + y) % 3 = 0 THEN 'absent' ELSE 'present' END AS status, CASE WHEN (x + y) % 3 > 0 THEN x END AS bytes FROM (SELECT DISTINCT (p_size % 9)::INT AS x, (p_partkey % 5)::INT AS y FROM part)""")
+@query("""SELECT x, y, CASE WHEN (x + y) % 3 = 0 THEN 'absent' ELSE 'present' END AS status, CASE WHEN (x + y) % 3 > 0 THEN x END AS bytes FROM (SELECT DISTINCT
+        (p_size % 9)::INT AS x, (p_partkey % 5)::INT AS y FROM part)""")
 def tile_store(spark: SparkSession, d: str) -> DataFrame:
     from terrafold.sources.files import tile_store as stored
 

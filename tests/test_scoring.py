@@ -67,3 +67,12 @@ def test_renamed_join_and_its_contract(spark):
     assert sorted(tuple(r) for r in got.select("mesh", "n", "n_r", "known").collect()) == [(1, 5, 50, True), (2, 6, None, None), (3, 7, None, None)]
     with pytest.raises(ValueError, match="unique right key: 1"):
         relational.join_renamed(left, right.unionByName(right), {"wanted": "key"}, "_r", validate="m:1")
+
+
+def test_ranking_by_a_language(spark):
+    names = ["zebra", "Ärzte", "apfel", "Birne", "ärzte"]
+    rows = spark.createDataFrame([(100.0, n, 1.0, True, 0.5, 2.0, 9.0) for n in names], "delta double, shelter_key string, total_score_reduction double, resolved_over_capacity boolean, simulated_pressure double, capacity_pressure_area_weighted double, assigned_demand_area_weighted double")
+    for order in ("text", "demand"):
+        bytewise = [r.shelter_key for r in scoring.what_if_ranking(rows, order=order).orderBy("place").collect()]
+        german = [r.shelter_key for r in scoring.what_if_ranking(rows, order=order, collation="de").orderBy("place").collect()]
+        assert bytewise == sorted(names) and german == ["apfel", "ärzte", "Ärzte", "Birne", "zebra"]

@@ -92,3 +92,18 @@ def test_files_larger_than_what_is_held(tmp_path):
     for reader, name, member, rows in ((streams.ZippedCsvReader, "a.zip", "one.csv", n), (streams.FeatureReader, "f.geojson", "", n // 8), (streams.GraphReader, "g.graphml", "", n)):
         got, most = peak(reader({"path": str(tmp_path / name)}, schema), streams.Piece(str(tmp_path / name), member))
         assert got == rows and most < 20 << 20, (name, most)
+
+
+def test_written_features_are_read_again(spark, tmp_path):
+    """One feature a line, as JSON text."""
+    from pyspark.sql import functions as F
+
+    from terrafold.sources import files
+
+    df = spark.createDataFrame([(1, 132.5, 33.25), (2, 0.0, -1.0)], "id int, x double, y double")
+    geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
+    files.write_features(df, f"{tmp_path}/lines", geometry, F.struct("id"))
+    rows = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp_path}/lines").collect()), key=lambda f: f["properties"]["id"])
+    assert rows[0] == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [132.5, 33.25]}, "properties": {"id": 1}} and len(rows) == 2
+    with pytest.raises(Exception, match="not finite"):
+        files.write_features(df.withColumn("x", F.lit(float("nan"))), f"{tmp_path}/bad", geometry, F.struct("id"))
