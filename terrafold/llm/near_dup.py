@@ -305,18 +305,43 @@ def tree_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"trees did not settle in {rounds} rounds")
 
 
-def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` after ``links`` (a, b) have joined some of them: components of the roots alone, which are few."""
+def _united(batches: Batches) -> Batches:
+    """(a, b) -> (id, root) of all ids, root the smallest of its component, by union-find in one task."""
+    above: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        above.setdefault(i, i)
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    ids = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(i) for i in ids], pa.int64())], names=["id", "root"])
+
+
+def merged(roots: DataFrame, links: DataFrame, one_task: int = 200_000) -> DataFrame:
+    """``roots`` after ``links`` (a, b) have joined some of them: components of the roots alone.
+
+    Up to ``one_task`` links, which are counted, are united in one task; more by joins, with the same result.
+    """
     linked = written(_with_root(_with_root(links, roots, "a"), roots, "b").where("a_root <> b_root"), "over")
-    if linked.isEmpty():
+    n = linked.count()
+    if not n:
         dropped(linked)
         return roots
-    over = components(linked.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    pairs = linked.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    over = components(pairs) if n > one_task else written(pairs.coalesce(1).mapInArrow(_united, "id long, root long"), "united")
     dropped(linked)
     moved = roots.join(over.select(F.col("id").alias("root"), F.col("root").alias("over")), "root", "left")
     moved = moved.select("id", F.coalesce("over", "root").alias("root"))
     tops = over.where("id <> root").join(roots.select("id"), "id", "left_anti")  # roots that now have one above them
     new = written(moved.unionByName(tops.select("id", "root")), "roots")
+    dropped(over)
     dropped(roots)
     return new
 
@@ -345,6 +370,7 @@ def classes(
     picked: int = 2,
     block: int = 1024,
     few: int = 50,
+    one_task: int = 200_000,
 ) -> DataFrame:
     """One row per input row: id, class_id, class_size, kept.
 
@@ -395,7 +421,7 @@ def classes(
 
     apart = _with_root(_with_root(leading.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), roots, "a"), roots, "b")
     second = kept(apart.where("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti"), "second-pairs")
-    roots = merged(roots, verified(second, "second-links"))
+    roots = merged(roots, verified(second, "second-links"), one_task)
 
     # In a bucket that still has several components its leader is done; two more members take its place in turn.
     rest = leading.select("band", "id")
@@ -406,7 +432,7 @@ def classes(
         mixed = kept(mixed, "mixed-buckets")
         if turn < 2:
             asked = mixed.where("root <> head_root").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-            roots = merged(roots, verified(asked, "next-links"))
+            roots = merged(roots, verified(asked, "next-links"), one_task)
             rest = mixed.where("id <> head").select("band", "id")
 
     # Short texts by their rarest pairs of words: each such pair is a bucket, too.
@@ -437,7 +463,7 @@ def classes(
     # An id with several texts joins their classes.
     least = of_copy.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
     several = of_copy.join(least, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    roots = merged(roots, kept(third.unionByName(several), "third-links"))
+    roots = merged(roots, kept(third.unionByName(several), "third-links"), one_task)
     for scratch in spent:
         dropped(scratch)
 

@@ -553,6 +553,19 @@ def test_near_duplicates_are_caught_up_to_the_limit(spark, share):
     assert all(got[i] // 2 == i // 2 for i in range(200))
 
 
+def test_near_duplicate_links_unite_alike_in_a_task_and_by_joins(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 60, rng.integers(8, 120))]
+        for _ in range(4):
+            texts.append(" ".join(f"x{rng.integers(99)}" if rng.random() < 0.08 else w for w in words))
+    assert near_classes(spark, texts) == near_classes(spark, texts, one_task=0)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 90, (70, 2))], "a long, b long")
+    united = {tuple(r) for r in links.where("a <> b").coalesce(1).mapInArrow(near_dup._united, "id long, root long").collect()}
+    assert united == {tuple(r) for r in near_dup.components(links).collect()}
+
+
 def test_alignment_decides_as_the_edit_distance():
     rng = np.random.default_rng(5)
     for _ in range(300):
