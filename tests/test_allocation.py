@@ -128,6 +128,45 @@ def one_solve(units, arcs, caps, budget, each):
     return net.solve(source, sink)
 
 
+def one_part(rng, n, m, tight):
+    """Demand, costs and capacities of one linked part: everybody chooses among ten neighbours on a line."""
+    units = {f"m{i:05d}": rng.randint(1, 9) for i in range(n)}
+    caps = {f"s{j:04d}": max(1, int(5 * n / m * tight * rng.random() * 2)) for j in range(m)}
+    arcs = {}
+    for i, mesh in enumerate(units):
+        first = i * m // n
+        for k, j in enumerate(sorted(rng.sample(range(max(0, first - 8), min(m, first + 8)), 5))):
+            arcs[mesh, f"s{j:04d}"] = rng.randint(10, 4000) * 100 + k + 1
+    rows = [(mesh, units[mesh], s, c, caps[s]) for (mesh, s), c in arcs.items()]
+    return units, arcs, caps, pd.DataFrame(rows, columns=["mesh_id", "units", "shelter_key", "cost", "capacity"])
+
+
+def test_widening_step_by_step_is_one_solve_with_each_budget():
+    rng = random.Random(5)
+    for tight, each in ((0.5, None), (0.9, None), (1.3, None), (0.7, 3)):
+        units, arcs, caps, rows = one_part(rng, 60, 16, tight)
+        flow, given = A.PartFlow(rows, each), 0
+        for budget in (0, 1, 7, 40, 41, 300, 5000):
+            while given < budget and (step := flow.widen(budget - given)):
+                given += step[1]
+            assert flow.cost == one_solve(units, arcs, caps, budget, each)
+            used = flow.rows()
+            assert flow.lost_units() == sum(n for _, s, n, added in used if s is None) and given == sum(n for *_, n, added in used if added)
+            total = cost({(m, s): n for m, s, n, added in used if not added}, units, arcs)
+            assert total + given == flow.cost
+
+
+def test_searches_stay_near_their_mesh(monkeypatch):
+    pops = []
+    pop = A.heapq.heappop
+    monkeypatch.setattr(A.heapq, "heappop", lambda heap: pops.append(1) or pop(heap))
+    flow = A.PartFlow(one_part(random.Random(9), 3000, 300, 1.2)[3])
+    assert len(pops) < 60 * 3000  # each search over all nodes: millions
+    while flow.widen(500):
+        pass
+    assert flow.lost_units() == 0
+
+
 @pytest.mark.parametrize(("seed", "each"), [(1, None), (2, 0.7), (3, None)])
 def test_parts_share_the_budget_as_one_solve_does(spark, seed, each):
     rng = random.Random(seed)
