@@ -57,7 +57,7 @@ def cell_size(rows: DataFrame) -> float:
     return 2 * mean if mean else 1.0
 
 
-def _passed(size: float) -> Column:
+def passed_cells(size: float) -> Column:
     """The cells that a side passes, column by column, so that a long one has as many as its length, not its box, needs."""
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
     slack = size * 1e-6
@@ -81,7 +81,7 @@ def meetings(rows: DataFrame, key: str, size: float) -> DataFrame:
     ``kind`` is ``cross`` (inside both), ``touch`` (an end of one) or ``overlap`` (parallel, with more
     than a point in common: a row for each end of the common stretch).  Each pair comes once, the smaller id first.
     """
-    dealt = rows.select("id", key, "ax", "ay", "bx", "by", F.explode(_passed(size)).alias("cell"))
+    dealt = rows.select("id", key, "ax", "ay", "bx", "by", F.explode(passed_cells(size)).alias("cell"))
     other = dealt.select(key, "cell", F.col("id").alias("other"), *[F.col(c).alias(d) for c, d in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), strict=True)])
     near = dealt.join(other, [key, "cell"]).where("id < other").drop("cell").dropDuplicates(["id", "other"])
     ax, ay, bx, by, cx, cy, dx, dy = (F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"))
@@ -201,7 +201,7 @@ def boundary_distance(points: DataFrame, boundary: DataFrame, reach: float, roun
     for _ in range(rounds):
         span = lambda c: F.sequence(F.floor((F.col(c) - reach) / reach), F.floor((F.col(c) + reach) / reach))  # noqa: E731, B023
         cells = F.flatten(F.transform(span("x"), lambda i: F.transform(span("y"), lambda j: F.struct(i.alias("i"), j.alias("j")))))  # noqa: B023
-        there = boundary.withColumn("cell", F.explode(_passed(reach)))
+        there = boundary.withColumn("cell", F.explode(passed_cells(reach)))
         d = geo.segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
         near = left.withColumn("cell", F.explode(cells)).join(there, ["place", "cell"]).groupBy("point_id", "place").agg(F.min(d).alias("distance")).where(F.col("distance") <= reach)
         near = stored(near, "near")
