@@ -83,7 +83,9 @@ def meetings(rows: DataFrame, key: str, size: float) -> DataFrame:
     """
     dealt = rows.select("id", key, "ax", "ay", "bx", "by", F.explode(passed_cells(size)).alias("cell"))
     other = dealt.select(key, "cell", F.col("id").alias("other"), *[F.col(c).alias(d) for c, d in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), strict=True)])
-    near = dealt.join(other, [key, "cell"]).where("id < other").drop("cell").dropDuplicates(["id", "other"])
+    slack = 10.0**-DIGITS
+    apart = [(F.least(a, b) > F.greatest(c, d) + slack) | (F.least(c, d) > F.greatest(a, b) + slack) for a, b, c, d in (("ax", "bx", "cx", "dx"), ("ay", "by", "cy", "dy"))]
+    near = dealt.join(other, [key, "cell"]).where("id < other").where(~(apart[0] | apart[1])).drop("cell")
     ax, ay, bx, by, cx, cy, dx, dy = (F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"))
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
     longer = F.greatest(F.abs(rx), F.abs(ry), F.lit(1e-300)) * F.greatest(F.abs(sx), F.abs(sy), F.lit(1e-300))
@@ -100,16 +102,24 @@ def meetings(rows: DataFrame, key: str, size: float) -> DataFrame:
     through = F.when(inner, F.array(point(F.round(ax + t * rx, DIGITS), F.round(ay + t * ry, DIGITS))))
     kind = F.when(F.size("shared") > 1, "overlap").when(F.size("shared") == 1, "touch").when(inner, "cross")
     out = found.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("at", F.explode(F.coalesce(through, F.col("shared"))))
-    return out.select("id", "other", "kind", "at.x", "at.y")
+    return out.select("id", "other", "kind", "at.x", "at.y").distinct()  # a pair meets in each cell that both pass
 
 
 def _beside(points: DataFrame, rows: DataFrame, key: str, shape: str, size: float) -> DataFrame:
     """(id, shape) of the shapes of one key that hold a point (id, key, x, y) inside, which is on no side of theirs: an odd number of sides to its right."""
+    # A shape's sides go to the columns from its west end to their own east end, which are as wide as the shape, so two at
+    # most: a point meets the shapes about it, not all of its strip.  Widths are doublings of a cell, asked one by one.
+    own = F.greatest(F.lit(0), F.ceil(F.log2((F.max(F.greatest("ax", "bx")) - F.min(F.least("ax", "bx"))) / size))).cast("int")
+    wide = stored(rows.groupBy(key, shape).agg(F.min(F.least("ax", "bx")).alias("west"), F.coalesce(own, F.lit(0)).alias("level")), "widths")
+    at = lambda x: F.floor(x / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))))
+    column = F.explode(F.sequence(at(F.col("west")), at(F.greatest("ax", "bx")))).alias("column")
     strips = rows.select(key, F.col(shape), "ax", "ay", "bx", "by", F.explode(F.sequence(F.floor(F.least("ay", "by") / size), F.floor(F.greatest("ay", "by") / size))).alias("strip"))
-    asked = points.withColumn("strip", F.floor(F.col("y") / size))
+    strips = strips.join(wide, [key, shape]).select(key, F.col(shape), "ax", "ay", "bx", "by", "strip", "level", column)
+    levels = wide.select(key, "level").distinct()
+    asked = points.join(levels, key).withColumn("strip", F.floor(F.col("y") / size)).withColumn("column", at(F.col("x")))
     y, x = F.col("y"), F.col("x")
     right = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) > x
-    hits = asked.join(strips, [key, "strip"]).where(((F.col("ay") > y) != (F.col("by") > y)) & right)
+    hits = asked.join(strips, [key, "strip", "level", "column"]).where(((F.col("ay") > y) != (F.col("by") > y)) & right)
     return hits.groupBy("id", shape).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("id", shape)
 
 

@@ -95,3 +95,15 @@ def test_faults_of_known_shapes(spark):
         for i, (r, want) in enumerate(FAULTS):
             assert found[i] == want or want == {"rings_cross", "hole_outside"} and "rings_cross" in found[i], (i, r, found[i])
     assert areas.ring_faults(shapes.limit(0)).count() == 0 and areas.dissolve(parts(spark, [])).count() == 0
+
+
+def test_boxes_in_a_row_meet_their_neighbours_only(spark, monkeypatch):
+    kept = {}
+    real = areas.stored
+    monkeypatch.setattr(areas, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    box = lambda x: [[(x, 0.0), (x + 1, 0.0), (x + 1, 2.0), (x, 2.0), (x, 0.0)]]
+    rows = spark.createDataFrame([("a", str(i), box(float(i))) for i in range(300)], "place string, part string, rings array<array<struct<x:double,y:double>>>")
+    m = areas.boundary_measures(areas.dissolve(rows)).first()
+    assert (round(m.area, 6), round(m.perimeter, 6)) == (600.0, 604.0)
+    # Each box is searched in columns no wider than a few boxes, not in its whole strip.
+    assert [r.level for r in kept["widths"].select("level").distinct().collect()] == [0]
