@@ -206,6 +206,7 @@ def boundary_distance(points: DataFrame, boundary: DataFrame, reach: float, roun
     twice as far, and so on.  Places without a boundary give no row.
     """
     place = F.col("place").cast("string").alias("place")
+    boundary = stored(boundary, "boundary")  # each round reads it
     left = stored(points.select("point_id", place, "x", "y").join(boundary.select("place").distinct(), "place", "left_semi"), "asking")
     found = None
     for _ in range(rounds):
