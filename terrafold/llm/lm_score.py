@@ -11,10 +11,10 @@ targets in a tier, a softmax over that tier: a whole distribution over the
 vocabulary in every context, at the price of a part of it.
 
 It is started on the driver with a few documents and then trained in the cluster:
-one training document in ``ONE_IN`` is dealt to shards of some ``SHARD_ROWS``, every
-shard takes one pass over its windows, and the weights of the shards are averaged,
-``TURNS`` times with other documents.  Documents and steps so grow with the input,
-the driver's part does not.
+all training documents are dealt to shards of some ``SHARD_ROWS``, every shard takes
+one pass over all of its windows, and the weights of the shards are averaged,
+``TURNS`` times with other documents.  Every training document so reaches the weights;
+documents and steps grow with the input, the driver's part does not.
 
 A text is its lower-cased words, each with a space before it, and an end.  It is
 scored in windows of ``WINDOW`` ids that overlap by ``CONTEXT``: each id is scored
@@ -32,14 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import columns_of, crc_mod, id_type, python_ready, written
+from terrafold.llm.common import columns_of, crc_mod, dropped, id_type, python_ready, written
 
 WINDOW, CONTEXT = 32, 8
 STRIDE = WINDOW - CONTEXT
 WIDTH, KEY, HIDDEN = 24, 16, 48
 #: Ids whose rows are added up at a place; ids of the first softmax; how much wider each further tier is.
 LAGS, FIRST, WIDER = 3, 64, 1.5
-ONE_IN, SHARD_ROWS, TURNS, FAN = 16, 500, 2, 8
+SHARD_ROWS, TURNS, FAN = 2000, 2, 8
+#: Training rows of which one reaches the weights: all do, and nothing reads this any more but a test that sets it.
+ONE_IN = 1
 #: A word longer than this is cut into ids part by part.
 PART = 1000
 
@@ -293,12 +295,18 @@ class Attention:
         dx = (_flat(dy) @ p["qkv"].T).reshape(m["x"].shape)
         dx[:, CONTEXT:] += dh.reshape(len(rows), STRIDE, WIDTH)
         g["at"] = dx.sum(axis=0)
+        # What an id's rows of all lags get, side by side, so that one order of the ids does for them.
+        ahead = np.zeros((len(rows), WINDOW, LAGS * WIDTH), dx.dtype)
+        for lag in range(LAGS):
+            ahead[:, : WINDOW - lag, lag * WIDTH : (lag + 1) * WIDTH] = dx[:, lag:]
+        used = rows.reshape(-1)
+        order = np.argsort(used.astype(np.uint16) if vocab.seen + 3 < 1 << 16 else used, kind="stable")
+        used = used[order]
+        starts = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+        sums = np.add.reduceat(_flat(ahead)[order], starts, axis=0)
         for lag in range(LAGS):
-            used = rows[:, : WINDOW - lag].reshape(-1)
-            order = np.argsort(used, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
             g[f"e{lag}"] = np.zeros_like(p[f"e{lag}"])
-            g[f"e{lag}"][used[order][starts]] = np.add.reduceat(_flat(dx[:, lag:])[order], starts, axis=0)
+            g[f"e{lag}"][used[starts]] = sums[:, lag * WIDTH : (lag + 1) * WIDTH]
         return g
 
 
@@ -476,22 +484,26 @@ def _add_weights(shards: pa.Table) -> pa.Table:
 
 
 def trained_on(model: Attention, training: DataFrame) -> Attention:
-    """``model`` after ``TURNS`` passes of the shards over rows (row, ids), each over other documents; the same however the rows are dealt to tasks.
+    """``model`` after the shards have passed over all rows (id, ids), each in one of ``TURNS`` turns; the same however the rows are dealt to tasks.
 
     A shard's weights are added to those of ``FAN`` - 1 others, and so on until no more than ``FAN`` sums are left for the driver.
     """
     key = lambda name: F.xxhash64(F.lit(name), F.xxhash64("ids"), "id")
-    drawn = training.where(F.pmod(key("train"), F.lit(ONE_IN)) == 0).select(key("shard").alias("row"), "ids", F.pmod(key("turn"), F.lit(TURNS)).alias("turn"))
-    drawn = written(drawn, "lm-train")
-    shards = max(1, drawn.count() // (SHARD_ROWS * TURNS))
-    drawn = drawn.withColumn("shard", F.pmod("row", F.lit(shards)).cast("long"))
+    dealt = training.select(key("shard").alias("row"), "ids", F.pmod(key("turn"), F.lit(TURNS)).alias("turn"))
+    shards = max(1, training.count() // (SHARD_ROWS * TURNS))
+    dealt = dealt.withColumn("shard", F.pmod("row", F.lit(shards)).cast("long"))
     for turn in range(TURNS):
-        sums = drawn.where(F.col("turn") == turn).drop("turn").groupBy("shard").applyInArrow(_shard_weights(model, turn), "shard long, sums binary")
-        left = shards
+        # A part for each shard: many small ones joined in a task would leave the others idle.
+        mine = dealt.where(F.col("turn") == turn).drop("turn").repartition(shards, "shard")
+        sums = mine.groupBy("shard").applyInArrow(_shard_weights(model, turn), "shard long, sums binary")
+        left, spent = shards, []
         while left > FAN:
-            sums = written(sums, "lm-sums").groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(_add_weights, "shard long, sums binary")
+            spent.append(written(sums, "lm-sums"))
+            sums = spent[-1].groupBy(F.floor(F.col("shard") / FAN)).applyInArrow(_add_weights, "shard long, sums binary")
             left = -(-left // FAN)
         got = sorted(sums.collect(), key=lambda r: r["shard"])
+        for scratch in spent:
+            dropped(scratch)
         if got:
             model = _unpacked(model, sum(np.frombuffer(r["sums"], np.float32).astype(np.float64) for r in got))
     return model
@@ -526,9 +538,8 @@ def score(
 
     All counts are over every row whose crc32(id as text) mod ``folds`` is not
     ``held_out``.  The attention is started with the ``start_rows`` of those rows
-    with the smallest hashes of their texts that have no more than ``start_ids`` ids;
-    where there are more, it is trained on in the cluster, on one in ``ONE_IN`` of
-    all (:func:`trained_on`).  Words with at least one in ``frequent_words`` of the
+    with the smallest hashes of their texts that have no more than ``start_ids`` ids,
+    and then trained on in the cluster, on all of them (:func:`trained_on`).  Words with at least one in ``frequent_words`` of the
     training tokens - no more than that many - go to the workers as a table, the
     rest is joined.  Null texts count as empty: the end alone.  Ids keep their type;
     null ids are in no fold and not trained on.  Without training rows the base is
@@ -565,7 +576,7 @@ def score(
     hashes = [r["h"] for r in small.select("h").orderBy("h").limit(start_rows).collect()]
     sample = small.where(F.col("h") <= hashes[-1]).limit(start_rows).collect() if hashes else []
     model = train(*_ids(pa.array([r["ids"] for r in sorted(sample)], pa.binary()), size), vocab)
-    if ends > start_rows:
+    if ends:
         model = trained_on(model, training)
 
     kept = encoded.select("row", "id", "train", "n_tokens", "part", "known", "ids")

@@ -749,6 +749,17 @@ def test_lm_training_grows_with_the_input(spark, monkeypatch):
     assert all(np.allclose(after.p[k], again.p[k], atol=1e-5) for k in after.p)
 
 
+def test_lm_training_reaches_the_weights_of_every_row(spark):
+    """Each text has an id of its own, whose row only that text can move."""
+    n = 400
+    rows = [(i, np.array([i, n, n + 1], "<u2").tobytes()) for i in range(n)]
+    counts = np.r_[np.ones(n), n, n, 0.0]
+    start = lm_score.Attention(lm_score.Vocabulary(counts))
+    after = lm_score.trained_on(start, spark.createDataFrame(rows, "id long, ids binary"))
+    own = start.vocab.place[:n]
+    assert (after.p["e0"][own] != start.p["e0"][own]).any(axis=1).all()
+
+
 def test_lm_scores_held_out_text_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = lm_score.score(docs, tokenizer("byte_bpe_50k.tiktoken")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
