@@ -144,11 +144,44 @@ def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return min(int(row[len(b) - len(a) + limit]), limit + 1)
 
 
+def within(a: np.ndarray, others: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of ``a`` to each of the others is at most its limit: :func:`distance` for all of them together."""
+    sizes = np.array([len(b) for b in others])
+    out, left = np.zeros(len(others), bool), np.flatnonzero(np.abs(sizes - len(a)) <= limits)
+    if not len(left):
+        return out
+    # Texts side by side, cells of the band below each other: each step is over all texts.
+    widest = int(limits[left].max())
+    kind = np.int16 if 3 * (widest + len(a)) < 1 << 15 else np.int32
+    step = np.arange(2 * widest + 1, dtype=kind)[:, None]
+    known, own = np.unique(a, return_inverse=True)
+    column = np.full((max(2 * widest + len(a) + 1, widest + int(sizes[left].max())), len(left)), -1, kind)
+    for place, j in enumerate(left.tolist()):
+        at = np.searchsorted(known, others[j])
+        at[at == len(known)] = 0
+        column[widest : widest + sizes[j], place] = np.where(known[at] == others[j], at, -1) if len(known) else -1
+    row = np.repeat(np.where(step >= widest, step - widest, widest + 1).astype(kind), len(left), axis=1)
+    for i, code in enumerate(own.tolist()):
+        new = row + (column[i : i + len(step)] != code)
+        np.minimum(new[:-1], row[1:] + kind(1), out=new[:-1])
+        new -= step
+        row = np.minimum.accumulate(new, axis=0)
+        row += step
+        if i % 8 == 7:
+            alive = row.min(axis=0) <= limits[left]
+            if not alive.all():
+                left, row, column = left[alive], row[:, alive], column[:, alive]
+                if not len(left):
+                    return out
+    out[left] = row[sizes[left] - len(a) + widest, np.arange(len(left))] <= limits[left]
+    return out
+
+
 class Text:
     """A text's words as hashes, their counts and, when needed, its k-mers."""
 
     def __init__(self, codes: np.ndarray, k: int) -> None:
-        self.codes, self.k, self._kmers = codes, k, None
+        self.codes, self.k, self._kmers, self._pairs = codes, k, None, None
         self.distinct, self.times = np.unique(codes, return_counts=True)
 
     @property
@@ -157,6 +190,20 @@ class Text:
             self._kmers = runs_of(self.codes, self.k)
         return self._kmers
 
+    @property
+    def pairs(self) -> np.ndarray:
+        """Labelled pairs of neighbouring words, sorted."""
+        if self._pairs is None:
+            self._pairs = np.sort(runs_of(self.codes, 2))
+        return self._pairs
+
+
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
 
 def chained(a: Text, b: Text, limit: int) -> int:
     """Cost of the alignment through the longest chain of common k-mers; never less than the edit distance."""
@@ -180,6 +227,8 @@ def alike(a: Text, b: Text, threshold: float) -> bool:
     _, i, j = np.intersect1d(a.distinct, b.distinct, assume_unique=True, return_indices=True)
     if longer - np.minimum(a.times[i], b.times[j]).sum() > limit:  # no alignment pairs more equal words than both have
         return False
+    if in_common(a.pairs, b.pairs) < longer - 1 - 2 * limit:  # an edit takes two pairs at most from the longer text
+        return False
     return chained(a, b, limit) <= limit or distance(a.codes, b.codes, limit) <= limit
 
 
@@ -235,8 +284,11 @@ def _counts(texts: list[Text], cells: int = CELLS) -> np.ndarray:
     return out
 
 
-def _block_links(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Links of the asking texts to those of a block, one for each other component of the block: enough to join them."""
+def _block_links(k: int, threshold: float, brief_words: int = 1000) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links of the asking texts to those of a block, one for each other component of the block: enough to join them.
+
+    Of two texts outside the bucket's largest component, which both ask, the one with the smaller id does.
+    """
 
     def run(base: pa.Table, asking: pa.Table) -> pa.Table:
         a, b = [], []
@@ -244,16 +296,23 @@ def _block_links(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.
         if there and ask:
             cells, ones = _counts(there), np.ones(CELLS, np.float32)
             sizes, roots = np.array([len(t.codes) for t in there]), base.column("root").to_numpy()
-            ids = base.column("id").to_pylist()
+            numbers, ids = base.column("id").to_numpy(), base.column("id").to_pylist()
+            answers = roots == asking.column("major")[0].as_py()
             for own, root, text, row in zip(asking.column("id").to_pylist(), asking.column("root").to_pylist(), ask, _counts(ask), strict=True):
                 longer = np.maximum(sizes, len(text.codes))
                 limit = ((1 - threshold) * longer + 1e-9).astype(np.int64)
-                near = (roots != root) & (longer - np.minimum(sizes, len(text.codes)) <= limit)
+                near = (roots != root) & (answers | (numbers > own)) & (longer - np.minimum(sizes, len(text.codes)) <= limit)
                 some = np.flatnonzero(near)
                 some = some[longer[some] - np.minimum(cells[some], row) @ ones <= limit[some]]
+                some = some[[in_common(text.pairs, there[j].pairs) >= longer[j] - 1 - 2 * limit[j] for j in some.tolist()]] if len(some) else some
+                # Texts of some hundred words are aligned many at a time, longer ones one by one through their chains.
+                brief = some[longer[some] <= brief_words]
+                at_once = max(1, 400_000 // (2 * brief_words))
+                parts = [brief[i : i + at_once] for i in range(0, len(brief), at_once)]
+                linked = [j for part in parts for j in part[within(text.codes, [there[j].codes for j in part], limit[part])].tolist()]
                 done = {root}
-                for j in some.tolist():
-                    if int(roots[j]) not in done and alike(text, there[j], threshold):
+                for j in [*linked, *some[longer[some] > brief_words].tolist()]:
+                    if int(roots[j]) not in done and (longer[j] <= brief_words or alike(text, there[j], threshold)):
                         a.append(ids[j])
                         b.append(own)
                         done.add(int(roots[j]))
@@ -453,7 +512,7 @@ def classes(
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     base = apart.select("band", "id", "root", own(F.col("blocks")).alias("block"), every(F.col("others")).alias("other")).join(codes, "id")
-    asking = apart.where("root <> major").select("band", "id", "root", own(F.col("others")).alias("other"), every(F.col("blocks")).alias("block")).join(codes, "id")
+    asking = apart.where("root <> major").select("band", "id", "root", "major", own(F.col("others")).alias("other"), every(F.col("blocks")).alias("block")).join(codes, "id")
     base, asking = base.toDF(*base.columns), asking.toDF(*asking.columns)  # attributes of their own
     by = ["band", "block", "other"]
     third = base.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(_block_links(k, threshold), "a long, b long")

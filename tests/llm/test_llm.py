@@ -582,6 +582,29 @@ def test_alignment_decides_as_the_edit_distance():
         assert near_dup.alike(x, y, 0.8) == near_dup.alike(y, x, 0.8) == (true <= 0.2 * longer + 1e-9)
 
 
+def test_alignment_of_many_decides_as_of_one():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        a = rng.integers(0, 6, rng.integers(0, 40)).astype(np.uint64)
+        others = [rng.integers(0, 6, rng.integers(0, 40)).astype(np.uint64) for _ in range(4)]
+        others += [np.delete(a, rng.integers(0, max(1, len(a)), n)) if len(a) else a for n in (0, 1, 5)]
+        limits = rng.integers(0, 12, len(others))
+        assert near_dup.within(a, others, limits).tolist() == [near_dup.distance(a, b, int(n)) <= n for b, n in zip(others, limits, strict=True)]
+
+
+def test_alignment_is_spared_where_few_pairs_of_words_are_common(monkeypatch):
+    """The same words in another order: as many in common as there are, but no alignment is tried; one within the rule is."""
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in range(200)]
+    text = lambda ws: near_dup.Text(near_dup.codes_of(" ".join(ws)), 5)
+    other = [f"n{i}" if i % 6 == 2 else w for i, w in enumerate(words)]
+    tried = []
+    real = near_dup.chained
+    monkeypatch.setattr(near_dup, "chained", lambda *a: tried.append(1) or real(*a))
+    assert not near_dup.alike(text(words), text(rng.permutation(words)), 0.8) and not tried
+    assert near_dup.alike(text(words), text(other), 0.8) and tried
+
+
 def test_chain_is_longest():
     rng = np.random.default_rng(5)
     for _ in range(50):
