@@ -14,7 +14,7 @@ against the smallest id of its buckets, components of those links are formed, an
 in buckets that still have several, two more members are held against the rest.
 Members of buckets that are mixed even then are compared inside the tasks, blocks
 with blocks: counts of hashed words rule out most pairs many at a time, the others
-are aligned.
+are aligned, each pair in the first of the mixed buckets that it shares.
 
 Texts of fewer than ``few`` words (and those long enough to be like one), whose keys
 seldom agree, are joined exactly, by the rarest of their labelled pairs of words: of
@@ -269,7 +269,7 @@ def _code_batches(batches: Batches) -> Batches:
     """Texts as four-byte hashes of their words: enough to say which are not alike; links are verified on the words themselves."""
     for batch in batches:
         codes = [codes_of(t).astype(np.uint32).view(np.int32) for t in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.list_(pa.int32()))], names=["id", "codes"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("all_bands"), pa.array(codes, pa.list_(pa.int32()))], names=["id", "all_bands", "codes"])
 
 
 def _texts(t: pa.Table, k: int) -> list[Text]:
@@ -284,10 +284,30 @@ def _counts(texts: list[Text], cells: int = CELLS) -> np.ndarray:
     return out
 
 
+def _met_before(base: pa.Table, asking: pa.Table) -> np.ndarray:
+    """Which pairs (asking text, text of the block) share a bucket before this one, so that they are compared there: the same bucket is the first for both, whatever block they are in."""
+    met = np.zeros((len(asking), len(base)), bool)
+    band = base.column("band")[0].as_py()
+
+    def members(t: pa.Table) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for row, bands in enumerate(t.column("all_bands").to_pylist()):
+            for b in bands:
+                if b < band:
+                    out.setdefault(b, []).append(row)
+        return out
+
+    there, ask = members(base), members(asking)
+    for b in there.keys() & ask.keys():
+        met[np.ix_(ask[b], there[b])] = True
+    return met
+
+
 def _block_links(k: int, threshold: float, brief_words: int = 1000) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Links of the asking texts to those of a block, one for each other component of the block: enough to join them.
 
     Of two texts outside the bucket's largest component, which both ask, the one with the smaller id does.
+    Texts that share several mixed buckets are compared in the first of them alone.
     """
 
     def run(base: pa.Table, asking: pa.Table) -> pa.Table:
@@ -298,10 +318,11 @@ def _block_links(k: int, threshold: float, brief_words: int = 1000) -> Callable[
             sizes, roots = np.array([len(t.codes) for t in there]), base.column("root").to_numpy()
             numbers, ids = base.column("id").to_numpy(), base.column("id").to_pylist()
             answers = roots == asking.column("major")[0].as_py()
-            for own, root, text, row in zip(asking.column("id").to_pylist(), asking.column("root").to_pylist(), ask, _counts(ask), strict=True):
+            met = _met_before(base, asking)
+            for own, root, text, row, elsewhere in zip(asking.column("id").to_pylist(), asking.column("root").to_pylist(), ask, _counts(ask), met, strict=True):
                 longer = np.maximum(sizes, len(text.codes))
                 limit = ((1 - threshold) * longer + 1e-9).astype(np.int64)
-                near = (roots != root) & (answers | (numbers > own)) & (longer - np.minimum(sizes, len(text.codes)) <= limit)
+                near = (roots != root) & ~elsewhere & (answers | (numbers > own)) & (longer - np.minimum(sizes, len(text.codes)) <= limit)
                 some = np.flatnonzero(near)
                 some = some[longer[some] - np.minimum(cells[some], row) @ ones <= limit[some]]
                 some = some[[in_common(text.pairs, there[j].pairs) >= longer[j] - 1 - 2 * limit[j] for j in some.tolist()]] if len(some) else some
@@ -507,7 +528,9 @@ def classes(
     blocks = lambda n: F.ceil(n / block).cast("int")
     parts = kept(parts.select("band", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("others")), "parts")
     apart = kept(rooted.join(parts, "band"), "apart")
-    codes = near.join(apart.select("id").distinct(), "id").mapInArrow(_code_batches, "id long, codes array<int>")
+    # With each text go its mixed buckets, some 60 at most and, of a short one, its pairs: two texts are compared in the first that they share.
+    mixed_of = apart.groupBy("id").agg(F.collect_set("band").alias("all_bands"))
+    codes = near.join(mixed_of, "id").mapInArrow(_code_batches, "id long, all_bands array<long>, codes array<int>")
     codes = kept(codes, "codes")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

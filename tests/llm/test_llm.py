@@ -500,6 +500,25 @@ def test_near_duplicates_among_short_texts(spark):
     assert near_classes(spark, [nine, nine.rsplit(" ", 1)[0]]) == [0, 0]
 
 
+def test_pairs_of_several_mixed_buckets_are_compared_in_the_first():
+    """Ten texts that are alike, all in bucket 7; some pairs share bucket 3 or 5 as well, one shares a later one."""
+    words = [" ".join(f"w{i}" for i in range(80)) + f" own{n}" for n in range(10)]
+    codes = [near_dup.codes_of(t).astype(np.uint32).view(np.int32).tolist() for t in words]
+    bands = [[7], [7, 3], [7, 3, 9], [5, 7], [9, 7], [7, 5, 3], [7], [3, 7], [7, 5], [7, 9]]
+
+    def table(rows, **more):
+        columns = {"band": [7] * len(rows), "id": rows, "root": rows, "all_bands": [bands[r] for r in rows], "codes": [codes[r] for r in rows]}
+        types = {"all_bands": pa.list_(pa.int64()), "codes": pa.list_(pa.int32())}
+        return pa.table({n: pa.array(v, types.get(n, pa.int64())) for n, v in (columns | more).items()})
+
+    run = near_dup._block_links(5, 0.8)
+    asking = list(range(1, 10))
+    got = run(table(list(range(10))), table(asking, major=[0] * len(asking)))
+    linked = {(min(p), max(p)) for p in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)}
+    assert linked == {(a, b) for a in range(10) for b in range(a + 1, 10) if not {x for x in bands[a] if x < 7} & set(bands[b])}
+    assert len(linked) < 45
+
+
 def test_near_duplicates_in_mixed_buckets(spark):
     rng = np.random.default_rng(9)
     passage = [f"p{x}" for x in range(80)]
