@@ -264,21 +264,29 @@ class Attention:
         target, weight = target.reshape(-1), (real.reshape(-1) / max(1, real.sum())).astype(z.dtype)
         column, parts = self._outputs(target)
 
-        def error(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(len(at)), at] -= 1
-            logits *= weight[:, None]
-            return logits
-
-        d = error(z @ p["u"] + p["b"], column, weight)
-        g = {"u": z.T @ d, "b": d.sum(axis=0)}
+        def error(z: np.ndarray, u: np.ndarray, b: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(error of the logits; gradients of u and b): sums along rows and columns are products with ones, which are faster."""
+            logits = z @ u
+            logits += b
+            ones = np.ones(logits.shape[1], z.dtype)
+            with np.errstate(over="ignore"):
+                np.exp(logits, out=logits)
+                total = logits @ ones
+            if not (total.min(initial=1.0) > 1e-30 and total.max(initial=1.0) < 1e30):  # far from each other: against the largest
+                logits = z @ u + b
+                logits -= logits.max(axis=1, keepdims=True)
+                np.exp(logits, out=logits)
+                total = logits @ ones
+            logits *= (weight / total)[:, None]
+            logits.reshape(-1)[np.arange(len(at)) * logits.shape[1] + at] -= weight
+            return logits, z.T @ logits, np.ones(len(logits), z.dtype) @ logits
+
+        d, *of_first = error(z, p["u"], p["b"], column, weight)
+        g = dict(zip(("u", "b"), of_first, strict=True))
         dz = d @ p["u"].T
         for t, own in parts:
             if t < vocab.tiers - 1:
-                d = error(z[own] @ p[f"u{t}"] + p[f"b{t}"], target[own] - vocab.bounds[t], weight[own])
-                g |= {f"u{t}": z[own].T @ d, f"b{t}": d.sum(axis=0)}
+                d, g[f"u{t}"], g[f"b{t}"] = error(z.take(own, axis=0), p[f"u{t}"], p[f"b{t}"], target[own] - vocab.bounds[t], weight[own])
                 dz[own] += d @ p[f"u{t}"].T
         da = (dz @ p["g"].T) * (m["a"] > 0)
         g |= {"g": m["a"].T @ dz, "f": m["h"].T @ da}
@@ -286,7 +294,8 @@ class Attention:
         g["o"] = _flat(m["c"]).T @ dh
         dc = (dh @ p["o"].T).reshape(m["c"].shape)
         ds = dc @ m["v"].transpose(0, 2, 1)
-        ds = m["s"] * (ds - (ds * m["s"]).sum(axis=2, keepdims=True))
+        ds -= (_flat(ds * m["s"]) @ np.ones(WINDOW, z.dtype)).reshape(*ds.shape[:2], 1)
+        ds *= m["s"]
         dy = np.zeros((len(rows), WINDOW, 2 * KEY + WIDTH), z.dtype)
         dy[:, CONTEXT:, :KEY] = ds @ m["k"]
         dy[:, :, KEY : 2 * KEY] = ds.transpose(0, 2, 1) @ m["q"]
@@ -303,7 +312,7 @@ class Attention:
         order = np.argsort(used.astype(np.uint16) if vocab.seen + 3 < 1 << 16 else used, kind="stable")
         used = used[order]
         starts = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
-        sums = np.add.reduceat(_flat(ahead)[order], starts, axis=0)
+        sums = np.add.reduceat(_flat(ahead).take(order, axis=0), starts, axis=0)
         for lag in range(LAGS):
             g[f"e{lag}"] = np.zeros_like(p[f"e{lag}"])
             g[f"e{lag}"][used[starts]] = sums[:, lag * WIDTH : (lag + 1) * WIDTH]
@@ -321,24 +330,36 @@ def train(
         model, steps = Attention(vocab, seed), min(steps, -(-30 * len(rows) // batch))
     else:
         once, steps = rng.permutation(len(rows)), -(-len(rows) // batch)
-    first = {k: np.zeros_like(v) for k, v in model.p.items()}
-    second = {k: np.zeros_like(v) for k, v in model.p.items()}
+    # All weights side by side, so that a step is a few operations on long arrays.
+    names = list(model.p)
+    ends = np.cumsum([model.p[k].size for k in names])
+    flat = np.concatenate([model.p[k].reshape(-1) for k in names])
+    place = {k: slice(end - model.p[k].size, end) for k, end in zip(names, ends.tolist(), strict=True)}
+    model.p = {k: flat[place[k]].reshape(model.p[k].shape) for k in names}
+    first, second, value, scaled = (np.zeros_like(flat) for _ in range(4))
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(rows), batch) if once is None else once[(step - 1) * batch : step * batch]
         now = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        for name, value in model.gradient(rows[pick], target[pick], real[pick]).items():
-            m, v = first[name], second[name]
+        got = model.gradient(rows[pick], target[pick], real[pick])
+        runs: list[slice] = []  # of weights that this batch has a gradient for; those of a tier without a target wait
+        for name in (k for k in names if k in got):
+            at = place[name]
+            value[at] = got[name].reshape(-1)
+            runs = [*runs[:-1], slice(runs[-1].start, at.stop)] if runs and runs[-1].stop == at.start else [*runs, at]
+        for at in runs:
+            m, v, g, h = first[at], second[at], value[at], scaled[at]
             m *= np.float32(0.9)
-            m += np.float32(0.1) * value
+            np.multiply(g, np.float32(0.1), out=h)
+            m += h
             v *= np.float32(0.99)
-            np.multiply(value, value, out=value)
-            value *= np.float32(0.01)
-            v += value
-            np.sqrt(v, out=value)
-            value += np.float32(1e-8)
-            np.divide(m, value, out=value)
-            value *= np.float32(now)
-            model.p[name] -= value
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=h)
+            h *= np.float32(now)
+            flat[at] -= h
     return model
 
 

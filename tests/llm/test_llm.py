@@ -755,6 +755,24 @@ def test_lm_windows_score_each_id_once_and_add_to_one():
     assert np.isfinite(lm_scores([head], model)).all() and lm_scores([head], model) != plain
 
 
+def test_lm_gradient_of_logits_that_overflow():
+    """Outputs far from each other are taken against the largest: the gradient is finite, and that of twice the precision."""
+    rng = np.random.default_rng(6)
+    vocab = lm_score.Vocabulary(np.maximum(0, rng.integers(-20, 50, 400)).astype(float))
+    model = lm_score.Attention(vocab)
+    for name in ("u", "u0"):
+        model.p[name] *= 3000
+    rows, target = rng.integers(0, vocab.seen + 3, (3, lm_score.WINDOW)), rng.integers(0, vocab.seen, (3, lm_score.STRIDE))
+    real = rng.random(target.shape) < 0.9
+    z = model.hidden(rows)
+    with np.errstate(over="ignore"):
+        assert not np.isfinite(np.exp(z @ model.p["u"])).all()
+    short = model.gradient(rows, target, real)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    for name, value in model.gradient(rows, target, real).items():
+        assert np.isfinite(short[name]).all() and np.abs(short[name] - value).max() <= 1e-2 * max(1e-3, np.abs(value).max()), name
+
+
 def test_lm_gradient(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(lm_score, "FIRST", 8)
