@@ -40,6 +40,8 @@ WIDTH, KEY, HIDDEN = 24, 16, 48
 #: Ids whose rows are added up at a place; ids of the first softmax; how much wider each further tier is.
 LAGS, FIRST, WIDER = 3, 64, 1.5
 SHARD_ROWS, TURNS, FAN = 2000, 2, 8
+#: Windows in a step over a shard: the most that leave STEPS steps, between these two; the rate of a step for each of its windows.
+BATCHES, STEPS, RATE = (96, 384), 200, 5e-3 / 96
 #: Training rows of which one reaches the weights: all do, and nothing reads this any more but a test that sets it.
 ONE_IN = 1
 #: A word longer than this is cut into ids part by part.
@@ -135,6 +137,9 @@ class Vocabulary:
             width = int(width * WIDER)
         self.bounds = np.array([*bounds, len(counts)])
         self.tiers = len(self.bounds) - 1
+        # Of each place: 0 or one more than its tier, and its column in the first softmax.
+        self.tier_of = np.searchsorted(self.bounds, np.arange(len(counts)), side="right").astype(np.uint8)
+        self.column_of = np.where(self.tier_of == 0, np.arange(len(counts)), self.bounds[0] + self.tier_of.astype(np.int64) - 1)
 
     @property
     def end(self) -> int:
@@ -163,6 +168,7 @@ def windows(ids: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) -> tuple[np
     return stream[start[:, None] + np.arange(WINDOW)], target[late], real[late], owner
 
 
+LAG_ROWS = [f"e{lag}" for lag in range(LAGS)]
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))[CONTEXT:]
 
 
@@ -170,6 +176,23 @@ def _flat(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
+def _sums_by(keys: np.ndarray, values: np.ndarray, at: np.ndarray, often: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the sum of values[at] for each): those of a frequent key are products with ones, which are faster."""
+    order = np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")
+    keys, values = keys[order], values[at[order]]
+    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    starts, counts = bounds[:-1], np.diff(bounds)
+    sums = np.empty((len(starts), values.shape[1]), values.dtype)
+    many = counts > often
+    ones = np.ones(counts.max(initial=0), values.dtype)
+    for i in np.flatnonzero(many).tolist():
+        np.dot(ones[: counts[i]], values[starts[i] : bounds[i + 1]], out=sums[i])
+    if not many.all():
+        few = counts[~many]
+        sums[~many] = np.add.reduceat(values[np.repeat(~many, counts)], np.cumsum(few) - few, axis=0)
+    return keys[starts], sums
+
+
 class Attention:
     """One layer of causal self-attention with a feed-forward layer, and the tiered output."""
 
@@ -219,18 +242,17 @@ class Attention:
         z = a @ p["g"]
         z += h
         if keep is not None:
-            e /= total
-            keep |= {"x": x, "q": q, "k": k, "v": v, "s": e, "c": c, "h": h, "a": a, "z": z}
+            keep |= {"x": x, "q": q, "k": k, "v": v, "e": e, "total": total.reshape(-1, 1), "c": _flat(c), "h": h, "a": a}
         return z
 
     def _outputs(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """Column of each target in the first softmax; (tier, rows with a target in it) for the tiers that have any."""
-        bounds = self.vocab.bounds
-        tier = np.searchsorted(bounds, target, side="right")
+        vocab = self.vocab
+        tier = vocab.tier_of.take(target)
         order = np.argsort(tier, kind="stable")
-        ends = np.searchsorted(tier[order], np.arange(self.vocab.tiers + 2))
-        parts = [(t, order[ends[t + 1] : ends[t + 2]]) for t in range(self.vocab.tiers)]
-        return np.where(tier == 0, target, bounds[0] + tier - 1), [x for x in parts if len(x[1])]
+        ends = np.cumsum(np.bincount(tier, minlength=vocab.tiers + 1))
+        parts = [(t, order[ends[t] : ends[t + 1]]) for t in range(vocab.tiers)]
+        return vocab.column_of.take(target), [x for x in parts if len(x[1])]
 
     def log_probabilities(self, z: np.ndarray, target: np.ndarray, at_once: int = 1536) -> np.ndarray:
         """Natural logarithms of the probability of each target place."""
@@ -259,70 +281,111 @@ class Attention:
 
     def gradient(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over the real targets (n, STRIDE)."""
-        p, vocab, m = self.p, self.vocab, {}
-        z = self.hidden(rows, m)
-        target, weight = target.reshape(-1), (real.reshape(-1) / max(1, real.sum())).astype(z.dtype)
-        column, parts = self._outputs(target)
+        g, used, sums = self.gradient_parts(rows, target, real)
+        for lag, name in enumerate(LAG_ROWS):
+            g[name] = np.zeros_like(self.p[name])
+            g[name][used] = sums[:, lag * WIDTH : (lag + 1) * WIDTH]
+        return g
 
-        def error(z: np.ndarray, u: np.ndarray, b: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """(error of the logits; gradients of u and b): sums along rows and columns are products with ones, which are faster."""
-            logits = z @ u
-            logits += b
-            ones = np.ones(logits.shape[1], z.dtype)
+    def gradient_parts(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray, at_once: int = 96) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """:meth:`gradient` as (that of all but the input rows, input rows that occur, theirs side by side), worked out ``at_once`` windows at a time so that they stay in the cache."""
+        p, vocab = self.p, self.vocab
+        column, parts = self._outputs(target.reshape(-1))
+        blocks = [slice(i, i + at_once) for i in range(0, len(rows), at_once)]
+        kept: list[dict] = [{} for _ in blocks]
+        z = np.ones((len(column), WIDTH + 1), p["u"].dtype)
+        for block, m in zip(blocks, kept, strict=True):
+            z[block.start * STRIDE : block.stop * STRIDE, :WIDTH] = self.hidden(rows[block], m)
+        weight = (real.reshape(-1) / max(1, real.sum())).astype(z.dtype)
+
+        def error(z: np.ndarray, u: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(gradient of z, that of u with the bias below it): the rows of z, which are shorter, are weighted instead of those of the logits."""
+            e = z @ u
+            ones = np.ones(e.shape[1], z.dtype)
             with np.errstate(over="ignore"):
-                np.exp(logits, out=logits)
-                total = logits @ ones
+                np.exp(e, out=e)
+                total = e @ ones
             if not (total.min(initial=1.0) > 1e-30 and total.max(initial=1.0) < 1e30):  # far from each other: against the largest
-                logits = z @ u + b
-                logits -= logits.max(axis=1, keepdims=True)
-                np.exp(logits, out=logits)
-                total = logits @ ones
-            logits *= (weight / total)[:, None]
-            logits.reshape(-1)[np.arange(len(at)) * logits.shape[1] + at] -= weight
-            return logits, z.T @ logits, np.ones(len(logits), z.dtype) @ logits
-
-        d, *of_first = error(z, p["u"], p["b"], column, weight)
-        g = dict(zip(("u", "b"), of_first, strict=True))
-        dz = d @ p["u"].T
-        for t, own in parts:
-            if t < vocab.tiers - 1:
-                d, g[f"u{t}"], g[f"b{t}"] = error(z.take(own, axis=0), p[f"u{t}"], p[f"b{t}"], target[own] - vocab.bounds[t], weight[own])
-                dz[own] += d @ p[f"u{t}"].T
-        da = (dz @ p["g"].T) * (m["a"] > 0)
-        g |= {"g": m["a"].T @ dz, "f": m["h"].T @ da}
-        dh = dz + da @ p["f"].T
-        g["o"] = _flat(m["c"]).T @ dh
-        dc = (dh @ p["o"].T).reshape(m["c"].shape)
-        ds = dc @ m["v"].transpose(0, 2, 1)
-        ds -= (_flat(ds * m["s"]) @ np.ones(WINDOW, z.dtype)).reshape(*ds.shape[:2], 1)
-        ds *= m["s"]
-        dy = np.zeros((len(rows), WINDOW, 2 * KEY + WIDTH), z.dtype)
-        dy[:, CONTEXT:, :KEY] = ds @ m["k"]
-        dy[:, :, KEY : 2 * KEY] = ds.transpose(0, 2, 1) @ m["q"]
-        dy[:, :, 2 * KEY :] = m["s"].transpose(0, 2, 1) @ dc
-        g["qkv"] = _flat(m["x"]).T @ _flat(dy)
-        dx = (_flat(dy) @ p["qkv"].T).reshape(m["x"].shape)
-        dx[:, CONTEXT:] += dh.reshape(len(rows), STRIDE, WIDTH)
-        g["at"] = dx.sum(axis=0)
-        # What an id's rows of all lags get, side by side, so that one order of the ids does for them.
-        ahead = np.zeros((len(rows), WINDOW, LAGS * WIDTH), dx.dtype)
-        for lag in range(LAGS):
-            ahead[:, : WINDOW - lag, lag * WIDTH : (lag + 1) * WIDTH] = dx[:, lag:]
-        used = rows.reshape(-1)
-        order = np.argsort(used.astype(np.uint16) if vocab.seen + 3 < 1 << 16 else used, kind="stable")
-        used = used[order]
-        starts = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
-        sums = np.add.reduceat(_flat(ahead).take(order, axis=0), starts, axis=0)
-        for lag in range(LAGS):
-            g[f"e{lag}"] = np.zeros_like(p[f"e{lag}"])
-            g[f"e{lag}"][used[starts]] = sums[:, lag * WIDTH : (lag + 1) * WIDTH]
-        return g
+                e = z @ u
+                e -= e.max(axis=1, keepdims=True)
+                np.exp(e, out=e)
+                total = e @ ones
+            e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + at] -= total
+            by = (weight / total)[:, None]
+            d = e @ u[:-1].T
+            d *= by
+            return d, (z * by).T @ e
+
+        g: dict[str, np.ndarray] = {}
+
+        def add(name: str, value: np.ndarray) -> None:
+            if name in g:
+                g[name] += value
+            else:
+                g[name] = value
+
+        dz = np.empty((len(z), WIDTH), z.dtype)
+        u = np.concatenate([p["u"], p["b"][None]])
+        for block in blocks:
+            own = slice(block.start * STRIDE, block.stop * STRIDE)
+            dz[own], of_first = error(z[own], u, column[own], weight[own])
+            add("u", of_first)
+        g["u"], g["b"] = g["u"][:-1], g["u"][-1]
+        # The rows with a target in a tier lie tier by tier, so that they are fetched and put back once.
+        parts = [x for x in parts if x[0] < vocab.tiers - 1]
+        if parts:
+            late = np.concatenate([own for _, own in parts])
+            z_late, at_late, weight_late, d_late = z.take(late, axis=0), target.reshape(-1)[late], weight[late], np.empty((len(late), WIDTH), z.dtype)
+            start = 0
+            for t, own in parts:
+                mine = slice(start, start := start + len(own))
+                u = np.concatenate([p[f"u{t}"], p[f"b{t}"][None]])
+                d_late[mine], of_tier = error(z_late[mine], u, at_late[mine] - vocab.bounds[t], weight_late[mine])
+                g[f"u{t}"], g[f"b{t}"] = of_tier[:-1], of_tier[-1]
+            dz[late] += d_late
+        # Gradients of the inputs, after each window LAGS - 1 rows of zero: what an id's rows of all lags get lies side by side.
+        ahead = np.zeros((len(rows), WINDOW + LAGS - 1, WIDTH), z.dtype)
+        for block, m in zip(blocks, kept, strict=True):
+            n = len(m["x"])
+            d = dz[block.start * STRIDE : block.stop * STRIDE]
+            da = d @ p["g"].T
+            da *= m["a"] > 0
+            add("g", m["a"].T @ d)
+            add("f", m["h"].T @ da)
+            dh = da @ p["f"].T
+            dh += d
+            add("o", m["c"].T @ dh)
+            dc = dh @ p["o"].T
+            dc /= m["total"]
+            along = ((dc * m["c"]) @ np.ones(WIDTH, z.dtype)).reshape(n, STRIDE, 1)
+            dc = dc.reshape(n, STRIDE, WIDTH)
+            ds = dc @ m["v"].transpose(0, 2, 1)
+            ds -= along
+            ds *= m["e"]
+            dy = np.empty((n, WINDOW, 2 * KEY + WIDTH), z.dtype)
+            dy[:, :CONTEXT, :KEY] = 0
+            dy[:, CONTEXT:, :KEY] = ds @ m["k"]
+            dy[:, :, KEY : 2 * KEY] = ds.transpose(0, 2, 1) @ m["q"]
+            dy[:, :, 2 * KEY :] = m["e"].transpose(0, 2, 1) @ dc
+            add("qkv", _flat(m["x"]).T @ _flat(dy))
+            dx = (_flat(dy) @ p["qkv"].T).reshape(m["x"].shape)
+            dx[:, CONTEXT:] += dh.reshape(n, STRIDE, WIDTH)
+            add("at", (np.ones(n, z.dtype) @ dx.reshape(n, -1)).reshape(WINDOW, WIDTH))
+            ahead[block, :WINDOW] = dx
+        flat, step = ahead.reshape(-1), ahead.strides[1]
+        runs = np.lib.stride_tricks.as_strided(flat, (len(flat) // WIDTH - LAGS + 1, LAGS * WIDTH), (step, ahead.itemsize), writeable=False)
+        of_window = (np.arange(len(rows)) * (WINDOW + LAGS - 1))[:, None] + np.arange(WINDOW)
+        return g, *_sums_by(rows.reshape(-1), runs, of_window.reshape(-1))
 
 
 def train(
     ids: np.ndarray, lengths: np.ndarray, vocab: Vocabulary, steps: int = 900, batch: int = 96, rate: float = 6e-3, seed: int = 3, model: Attention | None = None
 ) -> Attention:
-    """By Adam on windows drawn from the sequences, each at most 30 times or so; a given model is trained on, by one pass over all windows."""
+    """By Adam on windows drawn from the sequences, each at most 30 times or so; a given model is trained on, by one pass over all windows.
+
+    Input rows move only in steps that use them and without momentum, which would
+    have to visit all rows in every step; their mean squares decay as in all others.
+    """
     rng = np.random.default_rng(seed)
     rows, target, real, _ = windows(ids, lengths, vocab)
     once = None
@@ -331,16 +394,29 @@ def train(
     else:
         once, steps = rng.permutation(len(rows)), -(-len(rows) // batch)
     # All weights side by side, so that a step is a few operations on long arrays.
-    names = list(model.p)
+    names = [k for k in model.p if k not in LAG_ROWS]
     ends = np.cumsum([model.p[k].size for k in names])
     flat = np.concatenate([model.p[k].reshape(-1) for k in names])
     place = {k: slice(end - model.p[k].size, end) for k, end in zip(names, ends.tolist(), strict=True)}
-    model.p = {k: flat[place[k]].reshape(model.p[k].shape) for k in names}
+    inputs = [model.p[k].copy() for k in LAG_ROWS]
+    squares, last = np.zeros((len(inputs[0]), LAGS * WIDTH), np.float32), np.zeros(len(inputs[0]), np.int64)
+    model.p = {k: flat[place[k]].reshape(model.p[k].shape) for k in names} | dict(zip(LAG_ROWS, inputs, strict=True))
     first, second, value, scaled = (np.zeros_like(flat) for _ in range(4))
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(rows), batch) if once is None else once[(step - 1) * batch : step * batch]
-        now = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        got = model.gradient(rows[pick], target[pick], real[pick])
+        slow = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.99**step)
+        now = slow / (1 - 0.9**step)
+        got, used, own = model.gradient_parts(rows[pick], target[pick], real[pick])
+        square = own * own
+        square *= np.float32(0.01)
+        square += squares[used] * (0.99 ** (step - last[used])).astype(np.float32)[:, None]
+        squares[used], last[used] = square, step
+        np.sqrt(square, out=square)
+        square += np.float32(1e-8)
+        own *= np.float32(slow)
+        own /= square
+        for lag, e in enumerate(inputs):
+            e[used] -= own[:, lag * WIDTH : (lag + 1) * WIDTH]
         runs: list[slice] = []  # of weights that this batch has a gradient for; those of a tier without a target wait
         for name in (k for k in names if k in got):
             at = place[name]
@@ -461,13 +537,10 @@ def _count_ids(size: int) -> Callable[[Batches], Batches]:
 def _packed(model: Attention, windows_seen: float, uses: np.ndarray) -> bytes:
     """Weights times the windows they saw; input rows times their uses, as other shards may not have them."""
     parts = [[windows_seen], uses]
-    parts += [(model.p[k] * (uses[:, None] if k in INPUT_ROWS else windows_seen)).reshape(-1) for k in sorted(model.p)]
+    parts += [(model.p[k] * (uses[:, None] if k in LAG_ROWS else windows_seen)).reshape(-1) for k in sorted(model.p)]
     return np.concatenate(parts).astype(np.float32).tobytes()
 
 
-INPUT_ROWS = {f"e{lag}" for lag in range(LAGS)}
-
-
 def _unpacked(model: Attention, total: np.ndarray) -> Attention:
     """The means; an input row that no shard used stays as it was."""
     rows = model.vocab.seen + 3
@@ -477,7 +550,7 @@ def _unpacked(model: Attention, total: np.ndarray) -> Attention:
         value = model.p[k]
         sums = total[at : at + value.size].reshape(value.shape)
         at += value.size
-        new[k] = (np.where(uses > 0, sums / np.maximum(uses, 1), value) if k in INPUT_ROWS else sums / total[0]).astype(np.float32)
+        new[k] = (np.where(uses > 0, sums / np.maximum(uses, 1), value) if k in LAG_ROWS else sums / total[0]).astype(np.float32)
     out = Attention(model.vocab)
     out.p = new
     return out
@@ -490,7 +563,8 @@ def _shard_weights(model: Attention, turn: int) -> Callable[[pa.Table], pa.Table
         mine = Attention(model.vocab)
         mine.p = {k: v.copy() for k, v in model.p.items()}
         number = shard.column("shard")[0].as_py()
-        mine = train(ids, lengths, model.vocab, rate=3e-3 / (1 + turn), seed=number, model=mine)
+        batch = int(np.clip((-(-lengths // STRIDE)).sum() // STEPS, *BATCHES))
+        mine = train(ids, lengths, model.vocab, batch=batch, rate=RATE * batch / (1 + turn), seed=number, model=mine)
         rows = windows(ids, lengths, model.vocab)[0]
         uses = np.bincount(rows.reshape(-1), minlength=model.vocab.seen + 3).astype(np.float64)
         return pa.table({"shard": pa.array([number], pa.int64()), "sums": pa.array([_packed(mine, float(len(rows)), uses)], pa.binary())})

@@ -793,6 +793,32 @@ def test_lm_gradient(monkeypatch):
             model.p[name][at] += 1e-5
 
 
+def test_lm_input_rows_move_only_in_steps_that_use_them(monkeypatch):
+    """A step visits the rows of its ids alone, whatever the size of the vocabulary, and gives each the sum over its places."""
+    rng = np.random.default_rng(8)
+    keys, values, at = rng.integers(0, 40, 300) ** 2 // 40, rng.standard_normal((500, 6)), rng.integers(0, 500, 300)
+    used, sums = lm_score._sums_by(keys, values, at)
+    assert used.tolist() == sorted(set(keys.tolist()))
+    assert np.allclose(sums, [values[at[keys == k]].sum(axis=0) for k in used])
+
+    once, n = 50, 1200
+    ids = rng.integers(0, once, n * 20)
+    ids[7777] = once  # in one text alone
+    vocab = lm_score.Vocabulary(np.bincount(ids, minlength=once + 2).astype(float))
+    model, seen = lm_score.Attention(vocab), []
+    parts = lm_score.Attention.gradient_parts
+
+    def watched(self, rows, *rest, **named):
+        seen.append((bool((rows == vocab.place[once]).any()), self.p["e0"][vocab.place[once]].copy()))
+        return parts(self, rows, *rest, **named)
+
+    monkeypatch.setattr(lm_score.Attention, "gradient_parts", watched)
+    after = lm_score.train(ids, np.full(n, 20), vocab, model=model)
+    states = [state for _, state in seen] + [after.p["e0"][vocab.place[once]]]
+    moved = [bool((a != b).any()) for a, b in zip(states[:-1], states[1:], strict=True)]
+    assert moved == [used for used, _ in seen] and sum(moved) == 1
+
+
 def test_lm_training_grows_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SHARD_ROWS", 50)
     monkeypatch.setattr(lm_score, "ONE_IN", 1)
