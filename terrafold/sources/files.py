@@ -233,17 +233,38 @@ def fetch_tiles(wanted: DataFrame, get, retries: int = 3) -> DataFrame:
     return wanted.select("x", "y").distinct().mapInPandas(run, "x int, y int, content binary, code int")
 
 
+#: Pixels of tiles that go out together: tiles may have a few pixels or 65,536.
+PIXELS_AT_ONCE = 1 << 18
+
+
 def tile_pixels(tiles: DataFrame, decode) -> DataFrame:
     """(x, y, px, py, r, g, b, a) of tiles (x, y, content); ``decode`` turns bytes into an array (height, width, 4), None means absent."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def pixels(batches):
-        for pdf in batches:
-            for x, y, content in zip(pdf["x"], pdf["y"], pdf["content"], strict=True):
-                rgba = decode(content) if content is not None else None
-                if rgba is not None:
-                    py, px = np.indices(rgba.shape[:2])
-                    yield pd.DataFrame({"x": x, "y": y, "px": px.ravel(), "py": py.ravel(), **{c: rgba[:, :, i].ravel().astype("int32") for i, c in enumerate("rgba")}})
-
-    return tiles.select("x", "y", "content").mapInPandas(pixels, "x int, y int, px int, py int, r int, g int, b int, a int")
+        def rows(batch, at, images):
+            sizes = [i.shape[0] * i.shape[1] for i in images]
+            places = {shape: [p.ravel().astype("int32") for p in np.indices(shape)] for shape in {i.shape[:2] for i in images}}
+            py, px = (np.concatenate([places[i.shape[:2]][k] for i in images]) for k in (0, 1))
+            colours = np.concatenate([i[:, :, :4].reshape(-1, 4) for i in images]).astype("int32")
+            tile = pa.array(np.repeat(at, sizes))
+            own = [batch.column(c).take(tile) for c in "xy"]
+            return pa.RecordBatch.from_arrays([*own, *map(pa.array, (px, py, *np.ascontiguousarray(colours.T)))], names=["x", "y", "px", "py", *"rgba"])
+
+        for batch in batches:
+            at, images, n = [], [], 0
+            for i, content in enumerate(batch.column("content")):
+                rgba = decode(content.as_py()) if content.is_valid else None
+                if rgba is None or not rgba.size:
+                    continue
+                at.append(i)
+                images.append(rgba)
+                n += rgba.shape[0] * rgba.shape[1]
+                if n >= PIXELS_AT_ONCE:
+                    yield rows(batch, at, images)
+                    at, images, n = [], [], 0
+            if images:
+                yield rows(batch, at, images)
+
+    return tiles.select(F.col("x").cast("int"), F.col("y").cast("int"), "content").mapInArrow(pixels, "x int, y int, px int, py int, r int, g int, b int, a int")

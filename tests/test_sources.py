@@ -1,7 +1,10 @@
 import io
 import json
+import random
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrafold.operators.gates import Gate, evaluate, require_columns, subset_diff
@@ -137,3 +140,40 @@ def test_stream_drives_a_batch_function(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(source)
         assert rerun(stream, lambda df: seen.append(df.count()), str(tmp_path / "at")).awaitTermination(120)
         assert seen[-1] == n
+
+
+def _image(content):
+    """A tile's bytes are its height and width, then its pixels."""
+    if not content:
+        return None
+    h, w = content[0], content[1]
+    return np.frombuffer(content[2:], np.uint8).reshape(h, w, 4)
+
+
+def test_pixels_of_many_tiles_come_together(spark, monkeypatch):
+    rng = random.Random(4)
+    tiles = []
+    for i in range(300):
+        h, w = rng.choice([(1, 1), (2, 4), (3, 2), (0, 2)])
+        tiles.append((i, i % 7, None if i % 11 == 0 else b"" if i % 13 == 0 else bytes([h, w, *(rng.randrange(256) for _ in range(h * w * 4))])))
+    want = set()
+    for x, y, content in tiles:
+        image = _image(content) if content is not None else None
+        if image is not None:
+            want |= {(x, y, px, py, *map(int, image[py, px])) for py in range(image.shape[0]) for px in range(image.shape[1])}
+    given = spark.createDataFrame(tiles, "x int, y int, content binary").repartition(3)
+    got = [tuple(r) for r in files.tile_pixels(given, _image).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+    class Tiles:
+        """What goes into the workers, given to the worker's function here."""
+
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, _: [len(p) for p in run([batch.to_pandas()])]
+        mapInArrow = lambda self, run, _: [p.num_rows for p in run([batch])]
+
+    batch = pa.RecordBatch.from_pylist([{"x": x, "y": y, "content": c} for x, y, c in tiles], pa.schema([("x", pa.int32()), ("y", pa.int32()), ("content", pa.binary())]))
+    assert files.tile_pixels(Tiles(), _image) == [len(want)]  # not a frame for each tile
+    monkeypatch.setattr(files, "PIXELS_AT_ONCE", 100)
+    parts = files.tile_pixels(Tiles(), _image)
+    assert sum(parts) == len(want) and max(parts) < 108 and len(parts) > 5
