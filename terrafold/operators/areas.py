@@ -51,6 +51,11 @@ def named_parts(features: DataFrame) -> DataFrame:
     return each.withColumn("rings", F.transform("rings", points))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals both: files of whole coordinates take a byte or two a row, by which the planner would send millions of rows, and the cells made of each, through the driver."""
+    return df.hint("merge")
+
+
 def cell_size(rows: DataFrame) -> float:
     """Twice the mean extent of the sides: a cell for the grid in which they are compared.  Runs a job."""
     mean = rows.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
@@ -85,23 +90,28 @@ def meetings(rows: DataFrame, key: str, size: float) -> DataFrame:
     other = dealt.select(key, "cell", F.col("id").alias("other"), *[F.col(c).alias(d) for c, d in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), strict=True)])
     slack = 10.0**-DIGITS
     apart = [(F.least(a, b) > F.greatest(c, d) + slack) | (F.least(c, d) > F.greatest(a, b) + slack) for a, b, c, d in (("ax", "bx", "cx", "dx"), ("ay", "by", "cy", "dy"))]
-    near = dealt.join(other, [key, "cell"]).where("id < other").where(~(apart[0] | apart[1])).drop("cell")
+    near = dealt.join(_dealt(other), [key, "cell"]).where("id < other").where(~(apart[0] | apart[1])).drop("cell")
     ax, ay, bx, by, cx, cy, dx, dy = (F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"))
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
     longer = F.greatest(F.abs(rx), F.abs(ry), F.lit(1e-300)) * F.greatest(F.abs(sx), F.abs(sy), F.lit(1e-300))
     cross, eps = rx * sy - ry * sx, 1e-9
     parallel = F.abs(cross) <= 1e-12 * longer
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    on = lambda px, py, qx, qy, ex, ey: geo.segment_distance(px, py, qx, qy, ex, ey) <= 10.0**-DIGITS / 2
-    ends = [(cx, cy, on(cx, cy, ax, ay, bx, by)), (dx, dy, on(dx, dy, ax, ay, bx, by)), (ax, ay, on(ax, ay, cx, cy, dx, dy)), (bx, by, on(bx, by, cx, cy, dx, dy))]
-    shared = F.array_distinct(F.filter(F.array(*[F.when(hit, point(x, y)) for x, y, hit in ends]), lambda p: p.isNotNull()))
-    found = near.withColumn("shared", shared)
+    within = lambda p, q, e: (p >= F.least(q, e) - slack) & (p <= F.greatest(q, e) + slack)
+    # The box of a side settles most ends, without the distance.
+    on = lambda px, py, qx, qy, ex, ey: within(px, qx, ex) & within(py, qy, ey) & (geo.segment_distance(px, py, qx, qy, ex, ey) <= 10.0**-DIGITS / 2)
+    ends = {"c": on(cx, cy, ax, ay, bx, by), "d": on(dx, dy, ax, ay, bx, by), "a": on(ax, ay, cx, cy, dx, dy), "b": on(bx, by, cx, cy, dx, dy)}
     t = ((cx - ax) * sy - (cy - ay) * sx) / F.nullif(cross, F.lit(0.0))
     u = ((cx - ax) * ry - (cy - ay) * rx) / F.nullif(cross, F.lit(0.0))
-    inner = ~parallel & (t > eps) & (t < 1 - eps) & (u > eps) & (u < 1 - eps) & (F.size("shared") == 0)
-    through = F.when(inner, F.array(point(F.round(ax + t * rx, DIGITS), F.round(ay + t * ry, DIGITS))))
-    kind = F.when(F.size("shared") > 1, "overlap").when(F.size("shared") == 1, "touch").when(inner, "cross")
-    out = found.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("at", F.explode(F.coalesce(through, F.col("shared"))))
+    inner = F.coalesce(~parallel & (t > eps) & (t < 1 - eps) & (u > eps) & (u < 1 - eps), F.lit(False))
+    # Plain expressions, which are compiled, each worked out once: a filter before the points would repeat them all in the join.
+    met = near.withColumns({f"on_{e}": hit for e, hit in ends.items()} | {"through": F.when(inner, point(F.round(ax + t * rx, DIGITS), F.round(ay + t * ry, DIGITS)))})
+    same = lambda e, o: F.col(f"on_{o}") & (F.col(f"{e}x") == F.col(f"{o}x")) & (F.col(f"{e}y") == F.col(f"{o}y"))
+    own = {e: F.col(f"on_{e}") for e in "cd"} | {e: F.col(f"on_{e}") & ~same(e, "c") & ~same(e, "d") for e in "ab"}  # an end in common counts once
+    n = sum((F.when(hit, 1).otherwise(0) for hit in own.values()), F.lit(0))
+    points = [F.when(hit, point(F.col(f"{e}x"), F.col(f"{e}y"))) for e, hit in own.items()]
+    kind = F.when(n > 1, "overlap").when(n == 1, "touch").otherwise("cross")
+    out = met.select("id", "other", kind.alias("kind"), F.explode(F.array(*points, F.when(n == 0, F.col("through")))).alias("at")).where("at IS NOT NULL")
     return out.select("id", "other", "kind", "at.x", "at.y").distinct()  # a pair meets in each cell that both pass
 
 
@@ -114,12 +124,12 @@ def _beside(points: DataFrame, rows: DataFrame, key: str, shape: str, size: floa
     at = lambda x: F.floor(x / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))))
     column = F.explode(F.sequence(at(F.col("west")), at(F.greatest("ax", "bx")))).alias("column")
     strips = rows.select(key, F.col(shape), "ax", "ay", "bx", "by", F.explode(F.sequence(F.floor(F.least("ay", "by") / size), F.floor(F.greatest("ay", "by") / size))).alias("strip"))
-    strips = strips.join(wide, [key, shape]).select(key, F.col(shape), "ax", "ay", "bx", "by", "strip", "level", column)
+    strips = strips.join(_dealt(wide), [key, shape]).select(key, F.col(shape), "ax", "ay", "bx", "by", "strip", "level", column)
     levels = wide.select(key, "level").distinct()
-    asked = points.join(levels, key).withColumn("strip", F.floor(F.col("y") / size)).withColumn("column", at(F.col("x")))
+    asked = points.join(_dealt(levels), key).withColumn("strip", F.floor(F.col("y") / size)).withColumn("column", at(F.col("x")))
     y, x = F.col("y"), F.col("x")
     right = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) > x
-    hits = asked.join(strips, [key, "strip", "level", "column"]).where(((F.col("ay") > y) != (F.col("by") > y)) & right)
+    hits = asked.join(_dealt(strips), [key, "strip", "level", "column"]).where(((F.col("ay") > y) != (F.col("by") > y)) & right)
     return hits.groupBy("id", shape).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("id", shape)
 
 
@@ -139,7 +149,7 @@ def dissolve(parts: DataFrame, size: float | None = None) -> DataFrame:
     along = lambda p: (p["x"] - F.col("ax")) * (F.col("bx") - F.col("ax")) + (p["y"] - F.col("ay")) * (F.col("by") - F.col("ay"))
     ends = F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"])
     stops = F.array_sort(F.transform(F.array_union(ends, F.coalesce("cuts", F.array().cast(f"array<{POINT}>"))), lambda p: F.struct(along(p).alias("t"), p.alias("p"))))
-    cut = rows.join(cuts, "id", "left").withColumn("stops", stops)
+    cut = rows.join(_dealt(cuts), "id", "left").withColumn("stops", stops)
     n = F.size("stops")
     pieces = cut.select("place", "part", F.explode(F.zip_with(F.slice("stops", 1, n - 1), F.slice("stops", 2, n - 1), lambda a, b: F.struct(a["p"].alias("a"), b["p"].alias("b")))).alias("e"))
     pieces = pieces.select("place", "part", F.least("e.a", "e.b").alias("lo"), F.greatest("e.a", "e.b").alias("hi"), (F.col("e.a") < F.col("e.b")).alias("ahead"))
@@ -151,8 +161,8 @@ def dissolve(parts: DataFrame, size: float | None = None) -> DataFrame:
     middle = owned.select("id", "place", ((F.col("lo.x") + F.col("hi.x")) / 2).alias("x"), ((F.col("lo.y") + F.col("hi.y")) / 2).alias("y"))
     within = _beside(middle, rows, "place", "part", size)
     # What another part covers has the union on both sides.
-    covered = within.join(owned.select("id", "owners"), "id").where(~F.array_contains("owners", F.col("part"))).select("id").distinct()
-    left = owned.join(covered, "id", "left_anti")
+    covered = within.join(_dealt(owned.select("id", "owners")), "id").where(~F.array_contains("owners", F.col("part"))).select("id").distinct()
+    left = owned.join(_dealt(covered), "id", "left_anti")
     start, end = (F.when(F.col("left"), F.col(a)).otherwise(F.col(b)) for a, b in (("lo", "hi"), ("hi", "lo")))
     return left.select("place", start.alias("a"), end.alias("b")).select("place", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
@@ -207,17 +217,17 @@ def boundary_distance(points: DataFrame, boundary: DataFrame, reach: float, roun
     """
     place = F.col("place").cast("string").alias("place")
     boundary = stored(boundary, "boundary")  # each round reads it
-    left = stored(points.select("point_id", place, "x", "y").join(boundary.select("place").distinct(), "place", "left_semi"), "asking")
+    left = stored(points.select("point_id", place, "x", "y").join(_dealt(boundary.select("place").distinct()), "place", "left_semi"), "asking")
     found = None
     for _ in range(rounds):
         span = lambda c: F.sequence(F.floor((F.col(c) - reach) / reach), F.floor((F.col(c) + reach) / reach))  # noqa: E731, B023
         cells = F.flatten(F.transform(span("x"), lambda i: F.transform(span("y"), lambda j: F.struct(i.alias("i"), j.alias("j")))))  # noqa: B023
         there = boundary.withColumn("cell", F.explode(passed_cells(reach)))
         d = geo.segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
-        near = left.withColumn("cell", F.explode(cells)).join(there, ["place", "cell"]).groupBy("point_id", "place").agg(F.min(d).alias("distance")).where(F.col("distance") <= reach)
+        near = left.withColumn("cell", F.explode(cells)).join(_dealt(there), ["place", "cell"]).groupBy("point_id", "place").agg(F.min(d).alias("distance")).where(F.col("distance") <= reach)
         near = stored(near, "near")
         found = near if found is None else found.unionByName(near)
-        left = stored(left.join(near, ["point_id", "place"], "left_anti"), "asking")
+        left = stored(left.join(_dealt(near), ["point_id", "place"], "left_anti"), "asking")
         if left.isEmpty():
             return found
         reach *= 2
@@ -243,7 +253,7 @@ def ring_faults(shapes: DataFrame, size: float | None = None) -> DataFrame:
 
     met = meetings(rows, "shape", size)
     mine = rows.select("id", "shape", "ring", "side", "last", "ax", "ay", "bx", "by")
-    pairs = met.join(mine, "id").join(mine.select(F.col("id").alias("other"), F.col("ring").alias("ring2"), F.col("side").alias("side2")), "other")
+    pairs = met.join(_dealt(mine), "id").join(_dealt(mine.select(F.col("id").alias("other"), F.col("ring").alias("ring2"), F.col("side").alias("side2"))), "other")
     apart = F.abs(F.col("side") - F.col("side2"))
     neighbours = (apart == 1) | (apart == F.col("last"))
     bad = (F.col("kind") != "touch") | ~neighbours
@@ -253,13 +263,13 @@ def ring_faults(shapes: DataFrame, size: float | None = None) -> DataFrame:
     # With rings that don't cross, any point of a hole that lies on no other ring tells where it is.
     on_others = met.select("id", "x", "y").unionByName(met.select(F.col("other").alias("id"), "x", "y")).distinct()
     holes = rows.where("ring > 0").select("id", "shape", "ring", "side", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    free = holes.join(on_others, ["id", "x", "y"], "left_anti")
+    free = holes.join(_dealt(on_others), ["id", "x", "y"], "left_anti")
     one = Window.partitionBy("shape", "ring").orderBy("side")
     asked = stored(free.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "side"), "holes")
     numbered = rows.withColumn("inside_of", F.col("ring"))
-    within = _beside(asked.select("id", "shape", "x", "y"), numbered, "shape", "inside_of", size).join(asked.select("id", "shape", "ring"), "id")
+    within = _beside(asked.select("id", "shape", "x", "y"), numbered, "shape", "inside_of", size).join(_dealt(asked.select("id", "shape", "ring")), "id")
     inside = within.where("inside_of = 0").select("id")
-    outside = asked.join(inside, "id", "left_anti").select("shape", F.lit("hole_outside").alias("fault"))
+    outside = asked.join(_dealt(inside), "id", "left_anti").select("shape", F.lit("hole_outside").alias("fault"))
     nested = within.where("inside_of > 0 AND inside_of <> ring").select("shape", F.lit("hole_in_hole").alias("fault"))
     out = none
     for more in (opened, few, crossing, overlaps, outside, nested):

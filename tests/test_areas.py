@@ -107,3 +107,24 @@ def test_boxes_in_a_row_meet_their_neighbours_only(spark, monkeypatch):
     assert (round(m.area, 6), round(m.perimeter, 6)) == (600.0, 604.0)
     # Each box is searched in columns no wider than a few boxes, not in its whole strip.
     assert [r.level for r in kept["widths"].select("level").distinct().collect()] == [0]
+
+
+def test_no_table_of_sides_or_points_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+    stored = areas.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(areas, "stored", noted)
+    box = lambda x, y: [[(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0), (x, y)]]
+    parts = spark.createDataFrame([("p", str(i), box(float(i), 0.0)) for i in range(4)], "place string, part string, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(i, "p", i + 0.5, 0.75) for i in range(4)], "point_id int, place string, x double, y double")
+    boundary = areas.dissolve(parts)
+    near = areas.boundary_distance(points, boundary, 0.1)  # needs several rounds
+    assert {r.point_id: round(r.distance, 9) for r in near.collect()} == {0: 0.5, 1: 0.75, 2: 0.75, 3: 0.75}
+    # Files of a few bytes a row would be sent, whatever they hold.
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    assert {"sides", "pieces", "boundary", "asking", "near"} <= {n for n, _ in plans}
+    assert [n for n, p in plans if "Broadcast" in p] == []
